@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "mixing", "line_dedup", "chat", "warc")
+MODULES = ("decontaminate", "mixing", "line_dedup", "quality", "chat", "warc")
 
 
 def _loaded():
