@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "mixing", "ngram_join", "line_dedup", "quality", "chat", "warc")
+MODULES = ("decontaminate", "mixing", "ngram_join", "line_dedup", "quality", "chat", "embeddings", "warc")
 
 
 def _loaded():
