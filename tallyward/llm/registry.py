@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "mixing", "ngram_join", "line_dedup", "quality", "suffix_dedup", "chat", "embeddings", "warc")
+MODULES = ("decontaminate", "mixing", "ngram_join", "line_dedup", "quality", "suffix_dedup", "language_model", "chat", "embeddings", "warc")
 
 
 def _loaded():
