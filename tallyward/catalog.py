@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+import importlib
+
+from tallyward.plans import registry
+
+MODULES = ("profiling", "preparation", "detection")
+FLAGSHIP = "agg_01_column_profile"
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"tallyward.plans.{m}")
 
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.SQL)
