@@ -6,8 +6,8 @@ import importlib
 
 from tallyward.plans import registry
 
-MODULES = ("profiling", "preparation", "detection")
-FLAGSHIP = "agg_01_column_profile"
+MODULES = ("profiling", "preparation", "detection", "audit")
+FLAGSHIP = "rsk_16_risk_pipeline"
 
 
 def _load() -> None:

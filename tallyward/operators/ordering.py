@@ -16,12 +16,12 @@ def prefix_sum(df: DataFrame, order: list[Column], value: Column, name: str, par
     each, give the offsets. The partitioned rows are written once, so that both uses see the same cut.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = materialize(df.withColumn("_v", value).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    totals = tagged.groupBy("_part").agg(F.sum("_v").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.withColumn("_before", before).select("_part", "_before")
-    within = F.sum("_v").over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return tagged.withColumn("_within", within).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_within") + F.col("_before")).drop("_v", "_part", "_within", "_before")
+    tagged = materialize(df.withColumn("__ps_v", value).repartitionByRange(n, *order).withColumn("__ps_part", F.spark_partition_id()))
+    totals = tagged.groupBy("__ps_part").agg(F.sum("__ps_v").alias("__ps_sum"))
+    before = F.coalesce(F.sum("__ps_sum").over(W.orderBy("__ps_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.withColumn("__ps_before", before).select("__ps_part", "__ps_before")
+    within = F.sum("__ps_v").over(W.partitionBy("__ps_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return tagged.withColumn("__ps_within", within).join(F.broadcast(offsets), "__ps_part").withColumn(name, F.col("__ps_within") + F.col("__ps_before")).drop("__ps_v", "__ps_part", "__ps_within", "__ps_before")
 
 
 def row_numbers(df: DataFrame, order: list[Column], name: str = "row_id") -> DataFrame:
