@@ -6,7 +6,7 @@ import importlib
 
 from tallyward.plans import registry
 
-MODULES = ("profiling", "preparation", "detection", "audit")
+MODULES = ("profiling", "preparation", "detection", "audit", "reconciliation", "workflow")
 FLAGSHIP = "rsk_16_risk_pipeline"
 
 
