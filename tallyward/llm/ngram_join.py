@@ -38,6 +38,8 @@ CELLS, SLAB = 1 << 22, 1 << 15
 GROUP = 48
 #: Sets per block of a cluster.
 BLOCK = 1024
+#: Rows of (set, cluster, document) that are broadcast at most (under 50 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: The first order gives candidates, the others filter.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1)
 
@@ -121,8 +123,8 @@ def token_classes(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _pack(tokens: np.ndarray, many: np.ndarray) -> list[bytes]:
-    """32 bits of each first token, in order: equal tokens stay equal, which is all that a filter needs."""
-    raw, ends = tokens.astype(np.uint32), np.concatenate([[0], np.cumsum(many)])
+    """16 bits of each first token, in order: equal tokens stay equal, which is all that a filter needs."""
+    raw, ends = tokens.astype(np.uint16), np.concatenate([[0], np.cumsum(many)])
     return [raw[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
@@ -133,14 +135,85 @@ def passes(a: bytes, na: int, b: bytes, nb: int, num: int, den: int) -> bool:
     overlap; so all but na - o of a's first m - (nb - o) tokens are among b's first m.
     """
     least = -(-num * (na + nb) // (num + den))
-    m = len(b) // 4 if len(b) // 4 < nb else nb + na
-    look = min(len(a) // 4, m - (nb - least))
+    m = len(b) // 2 if len(b) // 2 < nb else nb + na
+    look = min(len(a) // 2, m - (nb - least))
     if look <= 0:
         return True
-    there = np.isin(np.frombuffer(a, np.uint32)[:look], np.frombuffer(b, np.uint32)).sum()
+    there = np.isin(np.frombuffer(a, np.uint16)[:look], np.frombuffer(b, np.uint16)).sum()
     return bool(there >= look - (na - least))
 
 
+def _token_rows(held: list[tuple[np.ndarray, np.ndarray]], id_type: pa.DataType, layout: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 1 (token, set), 2 (set, the set it is linked to), 3 (frequent token, the set that stands for it)."""
+    tokens, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((nodes, tokens))
+    t, v = tokens[order], nodes[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+    run = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    group = np.cumsum(np.isin(np.arange(len(t)), run, assume_unique=True)) - 1
+    sets = np.bincount(group[new], minlength=len(run))
+    hot = (sets > GROUP)[group] if len(t) else np.zeros(0, bool)
+    centre = v[run][group] if len(t) else v
+    kind = np.where(hot, np.where(v == centre, 3, 2), 1).astype(np.int8)
+    # rows in the order of the texts, where a set repeats and so takes little space
+    at = np.sort(order[new])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    b = back[at]
+    k, item = kind[b], np.where(kind[b] == 2, centre[b], t[b])
+    keep = (k != 2) | (v[b] != item)
+    k, item, node = k[keep], item[keep], v[b][keep]
+    m = len(k)
+    yield pa.record_batch([pa.array(k), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.array(node.view(np.int64)), pa.array(item.view(np.int64)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=layout)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by token and set: all pairs of the sets of a token if they are few, else links to the first."""
+
+    def out(u: np.ndarray, v: np.ndarray, star: bool) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(np.full(len(u), star))], names=["u", "v", "star"])
+
+    def solve(t: np.ndarray, v: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(t):
+            return
+        new = np.ones(len(t), bool)
+        new[1:] = t[1:] != t[:-1]
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(t)))
+        frequent = (size > GROUP) | (np.add.reduceat(hot.astype(np.int64), at) > 0)
+        for k in np.unique(size[~frequent]):
+            if k < 2:
+                continue
+            rows = v[at[~frequent & (size == k)][:, None] + np.arange(k)]
+            i, j = np.triu_indices(k, 1)
+            for part in np.array_split(rows, max(1, len(rows) * len(i) // 500_000)):
+                yield out(part[:, i].ravel(), part[:, j].ravel(), False)
+        long = np.flatnonzero(frequent & (size > 1))
+        if len(long):
+            u = ragged(at[long] + 1, size[long] - 1)
+            yield out(v[u], np.repeat(v[at[long]], size[long] - 1), True)
+
+    t, v, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    for b in batches:
+        t = np.concatenate([t, b.column(0).to_numpy()])
+        v = np.concatenate([v, b.column(1).to_numpy()])
+        hot = np.concatenate([hot, b.column(2).to_numpy() == 3])
+        same = np.zeros(len(t), bool)
+        same[1:] = (t[1:] == t[:-1]) & (v[1:] == v[:-1])
+        if same.any():  # one row per token and set, frequent if any of them is
+            first = np.flatnonzero(~same)
+            hot = np.add.reduceat(hot.astype(np.int64), first) > 0
+            t, v = t[first], v[first]
+        cut = int(np.searchsorted(t, t[-1])) if len(t) and (t[:-1] <= t[1:]).all() else len(t)
+        yield from solve(t[:cut], v[:cut], hot[:cut])
+        t, v, hot = t[cut:], v[cut:], hot[cut:]
+        if len(t) > 4 * GROUP:  # a frequent token so far: its sets are linked, one stands for them
+            yield out(v[1:], np.repeat(v[0], len(v) - 1), True)
+            t, v, hot = t[:1], v[:1], np.ones(1, bool)
+    yield from solve(t, v, hot)
+
+
 def compare(nodes: np.ndarray, block: np.ndarray, texts: list[bytes], n: int, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets: within block 0 alone, or between blocks 0 and 1."""
     s = Shingles(texts, n)
@@ -202,37 +275,46 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     docs = docs.select("doc_id", "text")
     classes = spark.sparkContext.broadcast(token_classes(docs, n))
 
-    # one pass: each document's set hash and size, and its first tokens under every order
+    # one pass: each document's set hash and size, its first tokens under the filtering orders, and the
+    # tokens under the first order, where a task sends a token of many of its sets for one of them only
+    kind = dict(docs.dtypes)["doc_id"]
+    layout = ["kind", "doc_id", "n", "node", "token", "f1", "f2"]
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
+            none = lambda k, t: pa.nulls(k, t)
             for lo, hi, texts in chunks(b):
                 s = Shingles(texts, n)
                 p = prefix_length(s.n, num, den)
+                nodes = s.nodes()
                 tokens, many = s.first(ORDERS[0], classes.value, p)
-                ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                held.append((tokens, np.repeat(nodes, many)))
                 filters = [_pack(*s.first(o, classes.value, 2 * p)) for o in ORDERS[1:]]
-                yield pa.record_batch(
-                    [b.column(0).slice(lo, hi - lo), pa.array(s.n), pa.array(s.nodes().view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.view(np.int64))), *[pa.array(x, pa.binary()) for x in filters]],
-                    names=["doc_id", "n", "node", "first", "f1", "f2"],
-                )
-
-    kind = dict(docs.dtypes)["doc_id"]
-    described = docs.mapInArrow(describe, f"doc_id {kind}, n long, node long, first array<long>, f1 binary, f2 binary")
+                k = hi - lo
+                yield pa.record_batch([pa.array(np.zeros(k, np.int8)), b.column(0).slice(lo, k), pa.array(s.n), pa.array(nodes.view(np.int64)), none(k, pa.int64()), *[pa.array(x, pa.binary()) for x in filters]], names=layout)
+                if sum(len(t) for t, _ in held) > 1_000_000:
+                    yield from _token_rows(held, b.column(0).type, layout)
+                    held = []
+            last = b.column(0).type
+        if held:
+            yield from _token_rows(held, last, layout)
+
+    described = docs.mapInArrow(describe, f"kind tinyint, doc_id {kind}, n long, node long, token long, f1 binary, f2 binary")
     described = scratch.save(described, "described")
-    members = described.select("doc_id", "n", "node")
-
-    # tokens that first tokens of several sets share
-    first = described.where("n > 0").select(F.explode("first").alias("token"), "node", "n").distinct()
-    shared = first.groupBy("token").agg(F.count("*").alias("sets"), F.min("node").alias("centre")).where("sets > 1")
-    near = scratch.save(first.join(shared, "token"), "shared")
-    stars = near.where(f"sets > {GROUP} and node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
-    groups = near.where(f"sets <= {GROUP}").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("g"))
-    pairs = groups.select(F.posexplode("g").alias("i", "x"), "g").select("x", F.explode(F.slice("g", F.col("i") + 2, F.size("g"))).alias("y"))
-    fits = (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & (F.col("x.node") != F.col("y.node"))
-    pairs = pairs.where(fits).select(F.col("x.node").alias("u"), F.col("x.n").alias("un"), F.col("y.node").alias("v"), F.col("y.n").alias("vn")).distinct()
+    members = described.where("kind = 0").select("doc_id", "n", "node")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = described.where("kind in (1, 3)").select("token", "node", "kind").repartition(width, "token").sortWithinPartitions("token", "node")
+    met = shared.mapInArrow(_meet, "u long, v long, star boolean").unionByName(described.where("kind = 2").select(F.col("node").alias("u"), F.col("token").alias("v"), F.lit(True).alias("star")))
+    met = scratch.save(met.distinct(), "met")
+    stars = met.where("star").select("u", "v")
 
     # the other orders
-    filters = described.where("n > 0").groupBy("node").agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"))
+    filters = described.where("kind = 0 and n > 0").groupBy("node").agg(F.first(F.struct("n", "f1", "f2")).alias("f"))
+    sides = [filters.select(F.col("node").alias(k), F.col("f").alias(f"{k}f")) for k in ("u", "v")]
+    pairs = met.where("not star").select("u", "v").join(sides[0], "u")
+    pairs = pairs.join(sides[1], "v").select("u", F.col("uf.n").alias("un"), "v", F.col("vf.n").alias("vn"), F.col("uf.f1").alias("u1"), F.col("uf.f2").alias("u2"), F.col("vf.f1").alias("v1"), F.col("vf.f2").alias("v2"))
+    pairs = pairs.where(den * F.least("un", "vn") >= num * F.greatest("un", "vn"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,10 +323,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
             ok = pa.array(ok, pa.bool_())
             yield pa.record_batch([pa.array(u, pa.int64()).filter(ok), pa.array(v, pa.int64()).filter(ok)], names=["u", "v"])
 
-    sides = [filters.select(F.col("node").alias(k), F.col("f1").alias(f"{k}1"), F.col("f2").alias(f"{k}2")) for k in ("u", "v")]
-    pairs = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "un", "v", "vn", "u1", "u2", "v1", "v2")
     candidates = scratch.save(pairs.mapInArrow(keep, "u long, v long").unionByName(stars), "candidates")
-    scratch.drop(near)
+    scratch.drop(met)
     scratch.release()
 
     # clusters, compared in blocks; the smallest document of a set lends its text
@@ -252,7 +332,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     lend = members.join(clusters, "node").groupBy("node", "component").agg(F.min("doc_id").alias("doc_id")).join(sizes, "component")
     lend = scratch.save(lend.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "lend")
-    body = docs.join(lend, "doc_id").dropDuplicates(["node"])
+    few = F.broadcast(lend) if lend.count() <= BROADCAST_ROWS else lend
+    body = docs.join(few, "doc_id").dropDuplicates(["node", "doc_id"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     body = body.select("component", "node", "block", "text", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
 
