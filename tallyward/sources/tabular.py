@@ -14,6 +14,10 @@ DELIMITERS = ",;\t|"
 WRAPPERS = ("data", "rows", "records", "items")
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 
+# Spark reads ISO-8859-1; cp1252 differs in these bytes.
+_PAIRS = [(bytes([b]).decode("latin-1"), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+_C1, _CP1252 = ("".join(p[i] for p in _PAIRS if p[1]) for i in (0, 1))
+
 
 def _head(spark: SparkSession, path: str, size: int = 65536) -> bytes:
     """The first bytes of the first file at a path, by Spark's reader."""
@@ -27,7 +31,7 @@ def sniff(head: bytes) -> tuple[str, str]:
     for e in ENCODINGS:
         try:
             text = head.decode(e)
-            encoding = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[e]
+            encoding = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8"}.get(e, e)
             break
         except UnicodeDecodeError as err:
             if err.start > len(head) - 4 and e.startswith("utf-8"):  # a character cut at the end
@@ -43,9 +47,11 @@ def sniff(head: bytes) -> tuple[str, str]:
 def read_delimited(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
     """All columns as text; surplus values fail the read if strict, short rows give empty text."""
     delimiter, encoding = sniff(_head(spark, path))
-    df = spark.read.csv(path, sep=delimiter, header=True, encoding=encoding, quote='"', escape='"', multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE", inferSchema=False)
+    single = encoding in ("cp1252", "latin-1")
+    df = spark.read.csv(path, sep=delimiter, header=True, encoding="ISO-8859-1" if single else encoding, quote='"', escape='"', multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE", inferSchema=False)
     df = clean_headers(df)
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    text = lambda c: F.translate(c, _C1, _CP1252) if encoding == "cp1252" else c
+    return df.select(*[F.coalesce(text(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])
 
 
 def flatten(df: DataFrame) -> DataFrame:
