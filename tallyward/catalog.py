@@ -6,7 +6,7 @@ import importlib
 
 from tallyward.plans import registry
 
-MODULES = ("profiling", "preparation", "detection", "audit", "reconciliation", "workflow", "credit", "files")
+MODULES = ("profiling", "preparation", "detection", "audit", "reconciliation", "workflow", "credit", "files", "extras")
 FLAGSHIP = "rsk_16_risk_pipeline"
 
 

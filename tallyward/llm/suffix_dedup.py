@@ -205,6 +205,7 @@ def repeated(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     scratch.release()
     distinct = cand.groupBy("gram", "piece", "strings").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start", "offset")).alias("at"))
     distinct = scratch.save(distinct, "distinct")
+    scratch.release()
     many = distinct.groupBy("gram").agg(F.count("*").alias("n")).where(f"n > {MANY}").select("gram", F.lit(True).alias("many"))
     lists = distinct.join(many, "gram", "left").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.start", "strings", "at.offset", "gram", "piece", "copies", F.coalesce("many", F.lit(False)).alias("many"))).alias("p"))
     bodies = own.join(lists, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select("text", "p")
@@ -233,8 +234,8 @@ def repeated(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
 
     schema = "key long, gram long, piece long, strings int, first int, copies long, body binary"
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one text per distinct piece; keys stay together and arrive sorted
-    parts = bodies.mapInArrow(extract, schema).groupBy("key", "gram", "piece", "strings", "first").agg(F.max("copies").alias("copies"), F.first("body").alias("body")).repartition(width, "key").sortWithinPartitions("key")
+    # one text per distinct piece (a repeated row sends its own again, which its copies cover); keys stay together and arrive sorted
+    parts = bodies.mapInArrow(extract, schema).repartition(width, "key").sortWithinPartitions("key")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:

@@ -106,3 +106,32 @@ def within_budget(steps: DataFrame, run: str, order: str, cost: str, budget: flo
     """Steps of a run as long as their running cost stays within the budget."""
     used = F.sum(cost).over(W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
     return steps.withColumn("used", used).where(F.col("used") <= budget)
+
+
+def decide(cases: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Cases with the status after their latest decision (approve, reject, return, close, reopen); others unchanged."""
+    after = F.element_at(F.create_map(*[F.lit(x) for p in (("approve", "APPROVED"), ("reject", "REJECTED"), ("return", "RETURNED"), ("close", "CLOSED"), ("reopen", "REOPENED")) for x in p]), F.col("action"))
+    last = decisions.groupBy("case_id").agg(F.max_by(after, "at").alias("_s"))
+    return cases.join(last, "case_id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
+
+
+#: Preprocessing steps that a plan may hold.
+ALLOWED_STEPS = ("trim", "lowercase", "parse_number", "parse_date", "drop_duplicates", "impute_median")
+
+
+def plan_problems(steps: list[tuple[str, str]], columns: list[str]) -> list[tuple[str, str, str]]:
+    """(step, column, problem) of a preprocessing plan: unknown steps and columns that do not exist."""
+    out = []
+    for step, column in steps:
+        if step not in ALLOWED_STEPS:
+            out.append((step, column, "FORBIDDEN_STEP"))
+        if column not in columns:
+            out.append((step, column, "NO_COLUMN"))
+    return out
+
+
+def promote(versions: DataFrame, model: str, version: str, chosen: DataFrame) -> DataFrame:
+    """versions with one production version per model: the chosen one, where there is one."""
+    c = chosen.select(F.col(model).alias("_m"), F.col(version).alias("_v"))
+    d = versions.join(F.broadcast(c), F.col(model) == F.col("_m"), "left")  # chosen: one row per model
+    return d.withColumn("stage", F.when(F.col("_v").isNull(), F.col("stage")).when(F.col(version) == F.col("_v"), "production").when(F.col("stage") == "production", "archived").otherwise(F.col("stage"))).drop("_m", "_v")
