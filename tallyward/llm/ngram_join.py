@@ -309,12 +309,15 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     met = scratch.save(met.distinct(), "met")
     stars = met.where("star").select("u", "v")
 
+    # sizes first: most pairs that share one token are of too different sizes, and fall before filters travel
+    sizes = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"))
+    near = met.where("not star").select("u", "v").join(sizes.select(F.col("node").alias("u"), F.col("n").alias("un")), "u")
+    near = near.join(sizes.select(F.col("node").alias("v"), F.col("n").alias("vn")), "v").where(den * F.least("un", "vn") >= num * F.greatest("un", "vn"))
     # the other orders
-    filters = described.where("kind = 0 and n > 0").groupBy("node").agg(F.first(F.struct("n", "f1", "f2")).alias("f"))
+    filters = described.where("kind = 0 and n > 0").groupBy("node").agg(F.first(F.struct("f1", "f2")).alias("f"))
     sides = [filters.select(F.col("node").alias(k), F.col("f").alias(f"{k}f")) for k in ("u", "v")]
-    pairs = met.where("not star").select("u", "v").join(sides[0], "u")
-    pairs = pairs.join(sides[1], "v").select("u", F.col("uf.n").alias("un"), "v", F.col("vf.n").alias("vn"), F.col("uf.f1").alias("u1"), F.col("uf.f2").alias("u2"), F.col("vf.f1").alias("v1"), F.col("vf.f2").alias("v2"))
-    pairs = pairs.where(den * F.least("un", "vn") >= num * F.greatest("un", "vn"))
+    pairs = near.join(sides[1], "v").join(sides[0], "u")
+    pairs = pairs.select("u", "un", "v", "vn", F.col("uf.f1").alias("u1"), F.col("uf.f2").alias("u2"), F.col("vf.f1").alias("v1"), F.col("vf.f2").alias("v2"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
