@@ -3,9 +3,13 @@
 Texts become tokens; numbers, names and units of measure become typed placeholders, other words
 their lower case. Windows of template tokens are hash-joined with those of the benchmark. Matched
 windows of a document and an item that lie on one diagonal are aligned, and the values behind the
-placeholders are compared: each benchmark value has to map to one value of the document all along.
-So a question whose numbers and names were swapped is still caught, while texts that only share a
-frame of placeholders are not.
+placeholders are compared: each benchmark value has to map to one value of the document all along
+one occurrence of the item. So a question whose numbers and names were swapped is still caught, also
+beside others with other values, while texts that only share a frame of placeholders are not.
+
+An occurrence is one diagonal, or one with what neighbouring diagonals (less than half an item away,
+nearest first) cover besides, as after an insertion, or all diagonals together, as when an item is
+spread over a document. A pair is known by its best occurrence.
 
 A number is a run of digits with separators or a spelled number; a name is a capitalised word that
 does not begin a sentence; a unit is a listed word after a number. Items with fewer tokens than a
@@ -97,19 +101,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, scratch: Scratch | No
     r = runs.select(F.col("doc_id").alias("r_doc"), "item_id", "shift", "covered")
     aligned = docs.select("doc_id", "text").join(r, F.col("doc_id").eqNullSafe(F.col("r_doc")))
     aligned = aligned.withColumn("raw", raw_tokens(F.col("text"))).drop("text", "r_doc").join(items.withColumnRenamed("raw", "item_raw"), "item_id")
-    slot = F.filter(F.transform("covered", lambda p: F.struct(F.get("tpl", p).alias("kind"), value(F.get("item_raw", p)).alias("item"), value(F.get("raw", p + F.col("shift"))).alias("doc"))), lambda s: s["kind"].isin("#", "~", "@"))
-    pairs = aligned.select("doc_id", "item_id", F.size("tpl").alias("n_item"), "covered", slot.alias("slots"))
-    pairs = pairs.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("n_covered"), F.flatten(F.collect_set("slots")).alias("slots"))
+    slot = F.filter(F.transform("covered", lambda p: F.struct(p.alias("at"), F.get("tpl", p).alias("kind"), value(F.get("item_raw", p)).alias("item"), value(F.get("raw", p + F.col("shift"))).alias("doc"))), lambda s: s["kind"].isin("#", "~", "@"))
+    pairs = aligned.select("doc_id", "item_id", "shift", F.size("tpl").alias("n_item"), "covered", slot.alias("slots"))
+    everything = pairs.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"), F.flatten(F.collect_set("slots")).alias("slots"))
+    found = pairs.drop("shift").unionByName(everything).unionByName(_neighbours(pairs))
     # of each benchmark value, the share of slots with its most frequent document value
     mapped = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["item"].alias("item"))))
     doc_values = lambda k: F.transform(F.filter("slots", lambda s: (s["kind"] == k["kind"]) & (s["item"] == k["item"])), lambda s: s["doc"])
     agree = lambda v: F.array_max(F.transform(F.array_distinct(v), lambda x: F.size(F.filter(v, lambda y: y == x))))
     n_agree = F.aggregate(mapped, F.lit(0), lambda acc, k: acc + F.coalesce(agree(doc_values(k)), F.lit(0)))
-    out = pairs.select(
-        "doc_id", "item_id", F.col("n_covered").cast("long").alias("n_tokens"), F.round(F.col("n_covered") / F.col("n_item"), 4).alias("coverage"),
+    out = found.select(
+        "doc_id", "item_id", F.size("covered").cast("long").alias("n_tokens"), F.round(F.size("covered") / F.col("n_item"), 4).alias("coverage"),
         F.size("slots").cast("long").alias("n_slots"), F.round(F.when(F.size("slots") > 0, n_agree / F.size("slots")).otherwise(1.0), 4).alias("consistency"),
     )
-    return out.where((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENT))
+    out = out.where((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENT))
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "consistency", "n_tokens", "n_slots")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_tokens", "b.coverage", "b.n_slots", "b.consistency")
+
+
+def _neighbours(pairs: DataFrame) -> DataFrame:
+    """Of each diagonal that has neighbours: its positions, and those it lacks from the nearest neighbour that has them.
+
+    Diagonals meet by ranges of an item's length, so a group has at most three lengths of diagonals however long the document.
+    """
+    run = F.struct("shift", "covered", "slots")
+    spread = pairs.withColumn("cell", F.floor(F.col("shift") / F.col("n_item"))).withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    groups = spread.groupBy("doc_id", "item_id", (F.col("cell") + F.col("step")).alias("cell")).agg(F.max("n_item").alias("n_item"), F.collect_set(F.when(F.col("step") == 0, run)).alias("own"), F.collect_set(run).alias("runs"))
+    each = groups.where((F.size("own") > 0) & (F.size("runs") > 1)).select("doc_id", "item_id", "n_item", "runs", F.explode("own").alias("a"))
+    far = lambda r: F.abs(r["shift"] - F.col("a.shift"))
+    near = F.array_sort(F.transform(F.filter("runs", lambda r: far(r) * 2 < F.col("n_item")), lambda r: F.struct(far(r).alias("far"), r["shift"].alias("shift"), r["covered"].alias("covered"), r["slots"].alias("slots"))))
+    each = each.select("doc_id", "item_id", "n_item", "a", near.alias("near")).where(F.size("near") > 1)
+
+    def add(acc: Column, r: Column) -> Column:
+        new = F.array_except(r["covered"], acc["covered"])
+        return F.struct(F.concat(acc["covered"], new).alias("covered"), F.concat(acc["slots"], F.filter(r["slots"], lambda s: F.array_contains(new, s["at"]))).alias("slots"))
+
+    chain = F.aggregate("near", F.struct(F.col("a.covered").alias("covered"), F.col("a.slots").alias("slots")), add)
+    return each.select("doc_id", "item_id", "n_item", chain.alias("c")).select("doc_id", "item_id", "n_item", "c.covered", "c.slots")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

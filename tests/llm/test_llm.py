@@ -110,6 +110,26 @@ def test_reparameterised_questions(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_occurrences_are_judged_one_by_one(spark):
+    item = "On Friday John bought 5 apples and 3 kg of flour for 20 dollars while John sold 5 pears to Paul"
+    other = "On Monday Maria bought 7 apples and 12 kg of flour for 30 dollars while Maria sold 7 pears to Peter"
+    third = "On Sunday Clara bought 8 apples and 14 kg of flour for 40 dollars while Clara sold 8 pears to Simon"
+    split = lambda t: t.replace("for", "that was sold there for")
+    again = "then the man sold # pears to @ and then the man sold # plums to @ and then the man sold # pears to @ and then the man sold # plums to @"
+    fill = lambda t, v: "so " + "".join(next(v) if c in "#@" else c for c in t)
+    b = spark.createDataFrame([(1, item), (2, fill(again, iter(["1", "Ann", "2", "Bob", "3", "Carl", "4", "Dora"])))], "item_id long, text string")
+    loose = "then @ gave the red box with # coins to @ before @ took the blue box with # coins from @ and @ ran home with # coins"
+    b = b.unionByName(spark.createDataFrame([(3, fill(loose, iter("Ann 5 Bob Ann 5 Bob Ann 5".split())))], b.schema))
+    rows = [
+        (1, f"Well. {item}. {other}."), (2, f"Well. {other}. {third}. {item}."), (3, f"Well. {split(item)}. {split(other)}. {split(third)}."),
+        (4, "Well. " + fill(again, iter(["1", "Ann", "2", "Bob", "3", "Carl", "4", "Dora"]))), (5, ". ".join(fill(loose, iter(v.split())) for v in ("Tom 1 Al Max 2 Jim Ted 3", "Eva 4 Ida Lea 6 Mia Zoe 7"))),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2)}
+    assert all(r["consistency"] == 1.0 for r in got.values()) and got[1, 1]["n_slots"] == 10 and got[1, 1]["coverage"] == 1.0
+    assert got[3, 1]["coverage"] == 1.0
+
+
 def test_template_tokens(spark):
     d = spark.createDataFrame([("It was 5 km. Ann ran twenty miles in Rome, and m is 1,000.5 kg",)], "t string")
     got = d.select(decontaminate.raw_tokens(F.col("t")).alias("r")).select(decontaminate.template(F.col("r")).alias("x")).first()["x"]
