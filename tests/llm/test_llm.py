@@ -344,6 +344,23 @@ def test_language_model(spark, corpus, docs):
     assert language_model.score_texts(docs.limit(0).select("doc_id", "text"), train).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(language_model.TOKENIZER), reason="no tokenizer")
+def test_language_model_learns_from_every_token(spark, docs):
+    kept = {}
+
+    class Kept(common.Scratch):
+        def save(self, df, name):
+            kept[name] = super().save(df, name)
+            return kept[name]
+
+    train, scratch = docs.select("doc_id", "text"), Kept(spark, "kept")
+    subs = language_model._counts(train, language_model.TOKENIZER, scratch)[1].toPandas()
+    ids = np.zeros(language_model.VOCABULARY)
+    ids[subs.item] = subs.n
+    language_model.train_attention(train, language_model.class_map(ids)[0], ids, language_model.TOKENIZER, scratch)
+    assert {r["seen"] for r in kept["weights"].collect()} == {ids.sum()}
+
+
 def test_attention_is_a_causal_distribution():
     rng = np.random.default_rng(2)
     flat = (rng.standard_normal(sum(language_model._SIZES.values())) * 0.3).astype(np.float64)
