@@ -12,8 +12,10 @@ nearest first) cover besides, as after an insertion, or all diagonals together,
 spread over a document. A pair is known by its best occurrence.
 
 A number is a run of digits with separators or a spelled number; a name is a capitalised word that
-does not begin a sentence; a unit is a listed word after a number. Items with fewer tokens than a
-window match nothing. Null or empty texts match nothing. Rows with one doc_id count as one
+does not begin a sentence; a unit is a listed word after a number. An item with fewer tokens than a
+window is one window of its whole length. Windows with few ordinary words are no evidence of a template
+and match by their raw values, as do first windows, whose first token depends on what stands before it:
+verbatim copies are found whatever they consist of. Texts without tokens match nothing. Rows with one doc_id count as one
 document; equal benchmark texts under several ids all match. Extra columns are ignored by
 contaminated() and kept by decontaminate(). Empty tables give no matches.
 """
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tallyward.llm.common import Scratch, table
 
-#: Template tokens per window; of them at least so many are words, else a window is no evidence.
+#: Template tokens per window; of them at least so many are words, else a window matches verbatim only.
 WINDOW, WORDS = 8, 4
+SLOTS = ("#", "~", "@")
 #: Share of an item's tokens that matched windows cover, and of its slots that map consistently.
 COVERAGE, CONSISTENT = 0.5, 0.8
 #: Benchmark windows up to this number are broadcast (under 50 MB); beyond it the join shuffles.
@@ -72,36 +75,63 @@ def _shifted(h: Column, k: int) -> Column:
     return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def _windows(df: DataFrame, keep: list[str], tokens: str) -> DataFrame:
-    """(keep, pos, window hash) of all windows of 8 template tokens, by doubling."""
-    df = df.select(*keep, F.transform(template(F.col(tokens)), lambda x: F.xxhash64(x)).alias("h"))
-    for k in (1, 2, 4):
-        df = df.select(*keep, _shifted(F.col("h"), k).alias("h"))
+def _windows(df: DataFrame, keep: list[str], tokens: str, lengths: list[int]) -> DataFrame:
+    """(keep, pos, length, verbatim, window hash) of all windows of template tokens and of raw values.
+
+    Raw values hash whatever stands before them; where they are no placeholders, their template tokens are the same strings.
+    """
+    df = df.select(*keep, F.col(tokens).alias("raw"), template(F.col(tokens)).alias("t"))
+    df = df.select(*keep, "raw", "t", F.transform("t", lambda x: F.xxhash64(x)).alias("h0"))
+    exact = F.transform("t", lambda x, i: F.when(x.isin(*SLOTS), F.xxhash64(value(F.get("raw", i)))).otherwise(F.get("h0", i)))
+    df = df.select(*keep, "h0", exact.alias("h1"), F.size("raw").alias("n"))
+    names = []
+    for v in ("0", "1"):
+        for length in lengths:
+            name = f"w{length}_{v}"
+            # by doubling for whole windows, token by token for shorter ones
+            steps = [1, 2, 4] if length == WINDOW else range(1, length)
+            df = df.withColumn(name, F.col(f"h{v}"))
+            for k in steps:
+                df = df.withColumn(name, _shifted(F.col(name), k) if length == WINDOW else _longer(F.col(name), F.col(f"h{v}"), k))
+            names.append(name)
+    # all lists in one, each filled up to the number of tokens
+    padded = [F.concat(F.col(c), F.array_repeat(F.lit(None).cast("long"), F.col("n") - F.size(c))) for c in names]
+    df = df.where("n > 0").select(*keep, "n", F.concat(*padded).alias("h"))
     # outer: else Catalyst filters on the size of h first and computes it once more for that
-    return df.select(*keep, F.posexplode_outer("h").alias("pos", "h")).where(F.col("h").isNotNull())
+    df = df.select(*keep, "n", F.posexplode_outer("h").alias("at", "h")).where(F.col("h").isNotNull())
+    part = F.floor(F.col("at") / F.col("n")).cast("int")
+    return df.select(*keep, (F.col("at") % F.col("n")).alias("pos"), F.get(F.lit(lengths * 2), part).alias("length"), (part >= len(lengths)).alias("verbatim"), "h")
+
+
+def _longer(h: Column, base: Column, k: int) -> Column:
+    n = F.greatest(F.size(base) - k, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(base, F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, scratch: Scratch | None = None) -> DataFrame:
     """Pairs (doc_id, item_id) with tokens covered, coverage, slots, and the share of slots that map consistently."""
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.select("item_id", raw_tokens(F.col("text")).alias("raw"))
-    items = scratch.save(items.select("item_id", "raw", template(F.col("raw")).alias("tpl")).where(F.size("tpl") >= WINDOW), "items")
-    words = F.size(F.filter(F.slice("tpl", F.col("pos") + 1, WINDOW), lambda x: ~x.isin("#", "~", "@")))
-    marks = _windows(items, ["item_id", "tpl"], "raw").where(words >= WORDS).select("item_id", F.col("pos").alias("item_pos"), "h")
+    items = scratch.save(items.select("item_id", "raw", template(F.col("raw")).alias("tpl")).where(F.size("raw") > 0), "items")
+    length = F.least(F.size("tpl"), F.lit(WINDOW))
+    lengths = sorted(r[0] for r in items.select(length).distinct().collect()) or [WINDOW]  # of 1 to 8
+    words = F.size(F.filter(F.slice("tpl", F.col("pos") + 1, F.col("length")), lambda x: ~x.isin(*SLOTS)))
+    marks = _windows(items, ["item_id", "tpl"], "raw", lengths).where((F.col("length") == length) & F.when(F.col("verbatim"), (words < WORDS) | (F.col("pos") == 0)).otherwise(words >= WORDS))
+    marks = marks.select("item_id", F.col("pos").alias("item_pos"), "length", "h").distinct()
     marks = scratch.save(marks, "windows")
     small = F.broadcast(marks) if marks.count() <= BROADCAST_WINDOWS else marks
     own = docs.select("doc_id", raw_tokens(F.col("text")).alias("raw"))
-    hits = _windows(own, ["doc_id"], "raw").join(small, "h").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    hits = _windows(own, ["doc_id"], "raw", lengths).join(small, ["length", "h"]).select("doc_id", "item_id", "item_pos", "length", (F.col("pos") - F.col("item_pos")).alias("shift"))
     # windows at one shift: the item's positions they cover
-    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("starts"))
-    runs = runs.withColumn("covered", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + WINDOW - 1))))).drop("starts")
+    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("starts"), F.max("length").alias("length"))
+    runs = runs.withColumn("covered", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("length") - 1))))).drop("starts", "length")
     runs = scratch.save(runs, "runs")
 
     # values behind the slots at the covered positions, of the few documents with hits
     r = runs.select(F.col("doc_id").alias("r_doc"), "item_id", "shift", "covered")
     aligned = docs.select("doc_id", "text").join(r, F.col("doc_id").eqNullSafe(F.col("r_doc")))
     aligned = aligned.withColumn("raw", raw_tokens(F.col("text"))).drop("text", "r_doc").join(items.withColumnRenamed("raw", "item_raw"), "item_id")
-    slot = F.filter(F.transform("covered", lambda p: F.struct(p.alias("at"), F.get("tpl", p).alias("kind"), value(F.get("item_raw", p)).alias("item"), value(F.get("raw", p + F.col("shift"))).alias("doc"))), lambda s: s["kind"].isin("#", "~", "@"))
+    slot = F.filter(F.transform("covered", lambda p: F.struct(p.alias("at"), F.get("tpl", p).alias("kind"), value(F.get("item_raw", p)).alias("item"), value(F.get("raw", p + F.col("shift"))).alias("doc"))), lambda s: s["kind"].isin(*SLOTS))
     pairs = aligned.select("doc_id", "item_id", "shift", F.size("tpl").alias("n_item"), "covered", slot.alias("slots"))
     everything = pairs.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered"), F.flatten(F.collect_set("slots")).alias("slots"))
     found = pairs.drop("shift").unionByName(everything).unionByName(_neighbours(pairs))

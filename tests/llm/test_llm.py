@@ -130,6 +130,19 @@ def test_occurrences_are_judged_one_by_one(spark):
     assert got[3, 1]["coverage"] == 1.0
 
 
+def test_short_and_dense_items_match_verbatim(spark):
+    dense = "Compute 3 4 5 plus 6 7 8 9 minus 10 11 12 13 14"
+    items = [(1, "What is the capital of France?"), (2, dense), (3, "Why so?"), (4, "Please name the tallest tower of old Paris"), (5, " .,;")]
+    rows = [
+        (1, "They asked What is the capital of France? Nobody knew."), (2, f"so {dense} and go"), (3, "So compute 3 4 5 plus 6 7 8 9 minus 10 11 12 13 15 or less"), (4, "Compute 1 2 9 plus 4 4 4 9 minus 77 11 62 33 14"),
+        (5, "Why are they so?"), (6, "And why so late"), (7, "We said Please name the tallest tower of old Paris"), (8, "What is the capital of Spain?"), (9, "- ,"), (10, None),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r for r in got.collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (6, 3), (7, 4), (8, 1)}
+    assert got[2, 2]["coverage"] == 1.0 and got[2, 2]["n_tokens"] == 15 and got[2, 2]["consistency"] == 1.0 and got[6, 3]["n_tokens"] == 2
+
+
 def test_template_tokens(spark):
     d = spark.createDataFrame([("It was 5 km. Ann ran twenty miles in Rome, and m is 1,000.5 kg",)], "t string")
     got = d.select(decontaminate.raw_tokens(F.col("t")).alias("r")).select(decontaminate.template(F.col("r")).alias("x")).first()["x"]
