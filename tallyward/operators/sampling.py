@@ -22,23 +22,33 @@ EXPANSION = ((0.75, 1.25), (0.80, 1.3), (0.85, 1.4), (0.90, 1.5), (0.95, 1.6), (
 PROJECTABLE = ("certainty", "monetary_unit")
 
 
-def reliability_factor(k: int, confidence: float) -> float:
-    """The Poisson mean at which k or fewer events have probability 1 - confidence."""
-
-    def at_most(mean: float) -> float:
-        term = total = math.exp(-mean)
-        for i in range(1, k + 1):
-            term *= mean / i
+def reliability_factors(k: np.ndarray, confidence: float) -> np.ndarray:
+    """The Poisson means at which k or fewer events have probability 1 - confidence, for any k: Newton steps on the logarithm of that probability."""
+    k = np.asarray(k, float)
+    if not len(k):
+        return k
+    fact = np.array([math.lgamma(x + 1) for x in k])
+    mean = k + 1
+    for _ in range(100):
+        # the probability over that of exactly k, from k events downwards
+        total, term, i = np.ones_like(k), np.ones_like(k), 0
+        while True:
+            term = term * np.maximum(k - i, 0) / mean
             total += term
-        return total
+            i += 1
+            if ((term <= 1e-17 * total) & (k - i <= mean)).all():
+                break
+        step = total * (k * np.log(mean) - mean - fact + np.log(total) - math.log(1 - confidence))
+        new = np.maximum(mean + step, mean / 10)
+        done = np.abs(new - mean) <= 1e-14 * mean
+        mean = new
+        if done.all():
+            break
+    return mean
 
-    lo, hi = 0.0, 1.0
-    while at_most(hi) > 1 - confidence:
-        hi *= 2
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if at_most(mid) > 1 - confidence else (lo, mid)
-    return (lo + hi) / 2
+
+def reliability_factor(k: int, confidence: float) -> float:
+    return float(reliability_factors(np.array([k]), confidence)[0])
 
 
 def expansion_factor(confidence: float) -> float:
@@ -145,11 +155,13 @@ def project_misstatement(tested: DataFrame, *, interval: float, confidence: floa
     t = t.withColumn("over", (F.col("taint") > 0) & F.col("selection_basis").isin(*PROJECTABLE))
     ranked = t.where(F.col("over") & ~certain).withColumn("capped", F.least("taint", F.lit(1.0)))
     ranked = row_numbers(ranked, [F.desc("capped"), F.col("book"), F.col("audit")], "rank")
-    n = ranked.count()
-    factors = [reliability_factor(k, confidence) for k in range(min(n, 2000) + 1)]
-    steps = [(k, max(factors[k] - factors[k - 1] - 1, 0.0)) for k in range(1, len(factors))]
-    increments = tested.sparkSession.createDataFrame(steps or [(0, 0.0)], "rank long, extra double")
-    extra = ranked.join(F.broadcast(increments), "rank", "left").agg(F.coalesce(F.sum("capped"), F.lit(0.0)).alias("taints"), F.coalesce(F.sum(F.coalesce("extra", F.lit(0.0)) * F.col("capped")), F.lit(0.0)).alias("increments"))
+
+    @F.pandas_udf("double")
+    def increment(rank: pd.Series) -> pd.Series:
+        k = rank.to_numpy()
+        return pd.Series(np.maximum(reliability_factors(k, confidence) - reliability_factors(k - 1, confidence) - 1, 0.0))
+
+    extra = ranked.withColumn("extra", increment("rank")).agg(F.coalesce(F.sum("capped"), F.lit(0.0)).alias("taints"), F.coalesce(F.sum(F.col("extra") * F.col("capped")), F.lit(0.0)).alias("increments"))
     known = t.agg(
         F.coalesce(F.sum(F.when(certain & F.col("over"), F.col("book") - F.col("audit"))), F.lit(0.0)).alias("known"),
         F.coalesce(F.sum(F.when(F.col("taint") < 0, F.col("audit") - F.col("book"))), F.lit(0.0)).alias("understated"),
@@ -179,10 +191,14 @@ def bootstrap_lift(scored: DataFrame, score: str, label: str, k: int, rounds: in
     """Percentile interval of the lift at k, and whether the ranking beats a random one.
 
     Only the score order and labels matter, so each replicate draws from counts by distinct score;
-    replicates are spread over tasks and depend on their number alone.
+    replicates are spread over tasks and depend on their number alone. The scores below those that a
+    replicate's top k can reach (twice k and 1,000 rows, at least) count together.
     """
-    groups = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos")).orderBy(F.desc(score)).limit(100_000).toPandas()
+    groups = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos")).orderBy(F.desc(score)).limit(max(100_000, 2 * k + 1000)).toPandas()
     n, pos = groups["n"].to_numpy(), groups["pos"].to_numpy()
+    every = scored.agg(F.count("*").alias("n"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("pos")).first()
+    if every["n"] > n.sum():
+        n, pos = np.append(n, every["n"] - n.sum()), np.append(pos, every["pos"] - pos.sum())
     shared = scored.sparkSession.sparkContext.broadcast((n, pos))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -149,3 +149,21 @@ def test_chain_finds_tampering(spark):
     assert [(r["seq"], r["problem"]) for r in lifecycle.broken_links(bad, "stream", "seq", F.col("payload")).collect()] == [(3, "ALTERED")]
     assert [(r["seq"], r["problem"]) for r in lifecycle.broken_links(chain.where("seq <> 3"), "stream", "seq", F.col("payload")).collect()] == [(4, "GAP")]
     assert lifecycle.broken_links(chain, "stream", "seq", F.col("payload")).count() == 0
+
+
+def test_projection_beyond_many_misstatements(spark):
+    factor = lambda k: sampling.reliability_factor(k, 0.95)
+    assert [round(factor(k), 4) for k in (0, 1, 2)] == [2.9957, 4.7439, 6.2958]
+    for k in (600, 695, 750, 2000, 50_000):
+        a = k + 1
+        about = a * (1 - 1 / (9 * a) + 1.6448536 / (3 * a**0.5)) ** 3  # Wilson and Hilferty
+        assert abs(factor(k) - about) < 0.02 and 1 < factor(k) - factor(k - 1) < 1.05
+    tested = spark.range(3000).select(F.lit(100.0).alias("book"), F.lit(50.0).alias("audit"), F.lit("monetary_unit").alias("selection_basis"))
+    r = sampling.project_misstatement(tested, interval=10.0, confidence=0.95, tolerable=1e9).first()
+    assert r["projected"] == 15000 and abs(r["allowance"] - 10 * (factor(0) + (factor(3000) - factor(0) - 3000) / 2)) < 0.01
+
+
+def test_lift_counts_all_scores(spark):
+    scored = spark.range(150_000).select(F.col("id").alias("score"), (F.col("id") < 50_000).cast("int").alias("y"))
+    r = sampling.bootstrap_lift(scored, "score", "y", 100, rounds=8).first()
+    assert r["rounds"] == 8 and r["verdict"] == "NOT_DISTINGUISHABLE" and r["high"] == 0
