@@ -16,19 +16,31 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; longer single texts make a larger step.
 CHUNK_BYTES = 1 << 19
+#: Tasks among which the edges of one node are dealt.
+SALT = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as keep it apart from columns (upper and lower case are one)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # --- shared scratch tables -------------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one set here where none is set and all run in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -161,12 +173,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Smallest node reachable for every node of an edge list (u, v long), as (node, component).
 
     Alternating large-star and small-star steps; each is one aggregation and one join, written to
-    the shared folder. Only minima travel, so a node with very many neighbours gathers nothing.
+    the shared folder. Only minima travel, and to SALT places each, so a node with very many
+    neighbours gathers nothing and its edges meet its minimum in several tasks.
     """
 
     def spread(sym: DataFrame) -> DataFrame:
-        low = sym.groupBy("u").agg(F.min("v").alias("m"))
-        return sym.join(low, "u").select("u", "v", F.least("u", "m").alias("m"))
+        low = sym.groupBy("u").agg(F.min("v").alias("m")).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
+        salted = sym.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
+        return salted.join(low, ["u", "salt"]).select("u", "v", F.least("u", "m").alias("m"))
 
     def signature(df: DataFrame) -> tuple:
         r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
