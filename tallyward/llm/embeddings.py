@@ -5,11 +5,18 @@ a grid as wide as the join distance, and cut into sequence intervals. Projection
 distance, so two intervals whose boxes are farther apart than the join distance hold no link and
 are skipped; so are halves of intervals, recursively. What is left is compared in double precision.
 
-A link is a cosine at or above the threshold, as dot(u, v) / (|u| * |v|) in double precision.
-Equal vectors count once, with their number. A task returns counts per vector and a spanning
-forest of its links, never the pairs. Vectors that are null, zero, of another length than most, or that hold null or non-finite
-components, and vectors whose label is null, link with nothing. Repeated rows are equal vectors; a
-repeated vec_id is one vector per distinct content. Empty tables give no rows. Extra columns are ignored.
+A link is a cosine at or above the threshold, as dot(u, v) / (|u| * |v|) in double precision, after
+scaling by powers of two, so that very large and very small components neither overflow nor vanish.
+Equal vectors count once, with their number; they are known by a 64-bit hash of label and content. A task returns
+counts per vector and a spanning forest of its links, never the pairs.
+
+Intervals are the leaves of a tree of FANOUT children each; pairs of subtrees are joined level by
+level, and only the children of pairs that are near go on. So no label's intervals all meet.
+
+Vectors that are null, zero, or that hold null or non-finite components, and vectors whose label is
+null, link with nothing. Vectors of different lengths do not link. Repeated rows are equal vectors;
+rows that repeat a vec_id count each with its own content, and a null vec_id is never the smallest of
+a component with others. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from tallyward.llm.common import Scratch, connected_components, table
 
 #: Principal directions of the grid, vectors per sequence interval, and vectors per leaf of the recursion.
 DIRECTIONS, INTERVAL, LEAF = 6, 1024, 64
+#: Children of a node of the tree of intervals, as a power of two.
+FANOUT = 5
 #: Distances keep this much room for rounding before anything is skipped.
 ROOM = 1e-6
 
@@ -35,6 +44,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which brings their largest component to between 0.5 and 1."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(1, initial=0.0))[1][:, None])
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = _scaled(m)
+    return m / np.linalg.norm(m, axis=1)[:, None]
+
+
 def principal_directions(vectors: DataFrame, dim: int, k: int) -> np.ndarray:
     """The k leading eigenvectors of the second moments of all unit vectors; tasks send dim * dim sums."""
 
@@ -42,8 +61,7 @@ def principal_directions(vectors: DataFrame, dim: int, k: int) -> np.ndarray:
         total = np.zeros((dim, dim))
         for b in batches:
             if len(b):
-                m = _matrix(b.column(0))
-                m /= np.linalg.norm(m, axis=1)[:, None]
+                m = _unit(_matrix(b.column(0)))
                 total += m.T @ m
         yield pa.record_batch([pa.array(range(dim), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["row", "sums"])
 
@@ -99,54 +117,82 @@ def _forest(n: int, links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def near_intervals(ordered: DataFrame, radius: float) -> DataFrame:
+    """(i, j): pairs of intervals whose boxes are not farther apart than radius, found from the top of a tree of intervals down.
+
+    A level's nodes are runs of intervals of one partition of the grid order, then runs of partitions.
+    """
+    k = DIRECTIONS
+    boxes = ordered.groupBy("label", "dim", "part", "number", "interval").agg(*[f(F.col("point")[i]).alias(f"{n}{i}") for i in range(k) for n, f in (("lo", F.min), ("hi", F.max))])
+    most = boxes.agg(F.max("number").alias("number"), F.max("part").alias("part")).first()
+    steps = [(0, FANOUT * s) for s in range(1, 64) if most["number"] >> (FANOUT * (s - 1))]
+    steps += [(FANOUT * s, 63) for s in range(1, 13) if most["part"] >> (FANOUT * (s - 1))]
+    levels, names = [], ["interval"]
+    for parts, numbers in steps:
+        names.append(f"up{len(names)}")
+        boxes = boxes.withColumn(names[-1], F.xxhash64("label", "dim", F.shiftright("part", parts), F.shiftright("number", numbers) if numbers < 63 else F.lit(0), F.lit(len(names))))
+    bounds = [f(f"{n}{i}").alias(f"{n}{i}") for i in range(k) for n, f in (("lo", F.min), ("hi", F.max))]
+    for at, name in enumerate(names):
+        above = F.xxhash64("label", "dim") if at + 1 == len(names) else F.col(names[at + 1])
+        levels.append(boxes.select(above.alias("above"), F.col(name).alias("key"), *[c for i in range(k) for c in (f"lo{i}", f"hi{i}")]).groupBy("above", "key").agg(*bounds))
+    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"x.lo{i}") - F.col(f"y.hi{i}"), F.col(f"y.lo{i}") - F.col(f"x.hi{i}")), 2.0) for i in range(k)), F.lit(0.0))
+    top = levels[-1].select("above").distinct()
+    near = top.select(F.col("above").alias("i"), F.col("above").alias("j"))
+    for level in reversed(levels):
+        x, y = level.alias("x"), level.alias("y")
+        pairs = near.join(x, F.col("i") == F.col("x.above")).join(y, F.col("j") == F.col("y.above"))
+        # children of one node meet once; those of two nodes all meet
+        pairs = pairs.where((F.col("i") != F.col("j")) | (F.col("x.key") <= F.col("y.key"))).where(gap <= radius * radius)
+        near = pairs.select(F.col("x.key").alias("i"), F.col("y.key").alias("j"))
+    return near
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, scratch: Scratch | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "embeddings")
     sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     base = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    base = base.withColumn("mark", F.when(F.coalesce(sound, F.lit(False)) & F.col("label").isNotNull(), F.struct(F.xxhash64("label", "embedding").alias("a"), F.hash("embedding", F.lit(3)).alias("b"))))
-    usable = base.where("mark is not null")
-    row = usable.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    base = base.withColumn("node", F.when(F.coalesce(sound, F.lit(False)) & F.col("label").isNotNull(), F.xxhash64("label", F.size("embedding"), "embedding")))
+    # equal vectors once
+    nodes = base.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = scratch.save(nodes.withColumn("dim", F.size("embedding")), "nodes")
+    row = nodes.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
     if row is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = row["dim"]
-    usable = usable.where(F.size("embedding") == dim)
-    # equal vectors once
-    nodes = usable.groupBy("mark").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    nodes = scratch.save(nodes, "nodes")
-    directions = principal_directions(nodes, dim, min(DIRECTIONS, dim))
+    # the usual length has its own directions; any orthogonal ones will do, so other lengths use the first axes
+    usual = row["dim"]
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + ROOM
-    shared = spark.sparkContext.broadcast(directions)
+    shared = spark.sparkContext.broadcast(principal_directions(nodes.where(F.col("dim") == usual), usual, min(DIRECTIONS, usual)))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _matrix(b.column(1)) if len(b) else np.zeros((0, dim))
-            p = (m / np.linalg.norm(m, axis=1)[:, None]) @ shared.value
-            yield pa.record_batch([b.column(0), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(np.floor(p / radius).astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["node", "point", "cell"])
-
-    kind = dict(nodes.dtypes)["node"]
-    placed = nodes.select("node", "embedding").mapInArrow(project, f"node {kind}, point array<double>, cell array<int>")
-    placed = scratch.save(nodes.select("node", "label").join(placed, "node"), "placed")
+            dims = b.column(1).to_numpy()
+            for dim in np.unique(dims):
+                own = b.filter(pa.array(dims == dim))
+                m = _unit(_matrix(own.column(2)))
+                p = np.zeros((len(m), DIRECTIONS))
+                p[:, : min(dim, DIRECTIONS)] = m @ shared.value if dim == usual else m[:, :DIRECTIONS]
+                yield pa.record_batch([own.column(0), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(np.floor(p / radius).astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["node", "point", "cell"])
+
+    placed = nodes.select("node", "dim", "embedding").mapInArrow(project, "node long, point array<double>, cell array<int>")
+    placed = scratch.save(nodes.select("node", "label", "dim").join(placed, "node"), "placed")
     # sequence intervals: the grid order cut at equal distances, label by label; a range partition holds
     # consecutive rows, and numbering within it needs no global sort
-    ordered = placed.repartitionByRange("label", "cell", "node").sortWithinPartitions("label", "cell", "node")
-    place = F.monotonically_increasing_id()
-    ordered = ordered.withColumn("place", place).withColumn("interval", F.xxhash64("label", F.shiftright("place", 33), F.floor(F.pmod("place", F.lit(1 << 33)) / INTERVAL)))
-    ordered = scratch.save(ordered.select("node", "label", "point", "place", "interval"), "ordered")
-    k = directions.shape[1]
-    bounds = [f(F.col("point")[i]).alias(f"{n}{i}") for i in range(k) for n, f in (("lo", F.min), ("hi", F.max))]
-    boxes = scratch.save(ordered.groupBy("label", "interval").agg(*bounds), "boxes")
-    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"x.lo{i}") - F.col(f"y.hi{i}"), F.col(f"y.lo{i}") - F.col(f"x.hi{i}")), 2.0) for i in range(k)), F.lit(0.0))
-    near = boxes.alias("x").join(boxes.alias("y"), (F.col("x.label") == F.col("y.label")) & (F.col("x.interval") <= F.col("y.interval"))).where(gap <= radius * radius)
-    tasks = scratch.save(near.select(F.col("x.interval").alias("i"), F.col("y.interval").alias("j")), "tasks")
+    ordered = placed.repartitionByRange("label", "dim", "cell", "node").sortWithinPartitions("label", "dim", "cell", "node")
+    ordered = ordered.withColumn("place", F.monotonically_increasing_id())
+    ordered = ordered.withColumns({"part": F.shiftright("place", 33), "number": F.floor(F.pmod("place", F.lit(1 << 33)) / INTERVAL)})
+    ordered = ordered.withColumn("interval", F.xxhash64("label", "dim", "part", "number"))
+    ordered = scratch.save(ordered.select("node", "label", "dim", "point", "place", "part", "number", "interval"), "ordered")
+    tasks = scratch.save(near_intervals(ordered, radius), "tasks")
     sides = tasks.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("interval"))
     rows = ordered.select("node", "interval", "place", "point").join(nodes.select("node", "embedding", "copies"), "node").join(sides, "interval")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place", kind="stable")
-        m = np.array(pdf["embedding"].tolist(), np.float64)
-        m /= np.linalg.norm(m, axis=1)[:, None]
+        v = _scaled(np.array(pdf["embedding"].tolist(), np.float64))
+        norm = np.sqrt((v * v).sum(1))
+        m = v / norm[:, None]
         p = np.array(pdf["point"].tolist())
         node, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
         first = pdf["interval"].to_numpy() == pdf["i"].to_numpy()
@@ -162,8 +208,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, scratch: Scratch |
         if len(b) and len(links):
             links = np.stack([a[links[:, 0]], b[links[:, 1]]], 1)
         if len(links):
-            v = np.array(pdf["embedding"].tolist(), np.float64)
-            norm = np.sqrt((v * v).sum(1))
             keep = np.concatenate([(v[x[:, 0]] * v[x[:, 1]]).sum(1) / (norm[x[:, 0]] * norm[x[:, 1]]) >= threshold for x in np.array_split(links, len(links) // 65536 + 1)])
             links = links[keep]
         weight = np.bincount(links[:, 0], copies[links[:, 1]], len(node)) + np.bincount(links[:, 1], copies[links[:, 0]], len(node))
@@ -173,11 +217,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, scratch: Scratch |
     found = scratch.save(rows.groupBy("i", "j").applyInPandas(work, "u long, v long, links long"), "links")
     counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("v is not null").select("u", "v"), scratch)
-    facts = nodes.select("mark", "node", "copies").join(counts, "node", "left").join(comps, "node", "left")
-    facts = facts.select("mark", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    facts = scratch.save(facts.withColumnRenamed("mark", "m"), "facts")
-    out = base.select("vec_id", "mark").join(facts, F.col("mark") == F.col("m"), "left")
-    component = F.coalesce("component", "vec_id")
+    facts = nodes.select("node", "least", "copies").join(counts, "node", "left").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    facts = scratch.save(facts, "facts")
+    least = facts.groupBy("component").agg(F.min("least").alias("first"))
+    facts = facts.join(least, "component").select(F.col("node").alias("m"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "first")
+    facts = scratch.save(facts, "named")
+    out = base.select("vec_id", "node").join(facts, F.col("node") == F.col("m"), "left")
+    component = F.coalesce("first", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
