@@ -8,8 +8,10 @@ document once; the rates are then rounded to copies by a hash of the document's
 of documents of falling size takes up what the rounding leaves over.
 
 Null text counts 0 words; a null source is a source of its own, the last; documents without words
-stay at the rate 1 and take nothing. Repeated rows are documents of their own. Empty tables give
-no rows. Extra columns are kept by mix() and need no particular names but those passed in.
+stay at the rate 1 and take nothing. Repeated rows are documents of their own: rows of one id and
+text are numbered, and each is rounded by itself. Very long texts count whole. Empty tables give no rows.
+Extra columns are kept by mix(), whatever their names; the five columns added get more
+underscores where theirs are taken.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyward.llm.common import WORD, Scratch, table
+from tallyward.llm.common import WORD, Scratch, table, unused
 
 #: Newton steps at most, and the relative distance from a target at which they end.
 STEPS, CLOSE = 60, 1e-6
@@ -93,15 +95,22 @@ def mix(
     docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     size: Callable[[Column], Column] = word_count,
 ) -> DataFrame:
-    """docs with _size, _source_size, _target, _rate and _copies: how often the mix takes each row.
+    """docs with _size, _source_size, _target, _rate and _copies as last columns: how often the mix takes each row.
 
     Weights go to the sources in code-point order, repeating; the targets share the sum of all
     sizes, none above limit times its source's size. Results depend on the rows alone.
     """
     spark, keep = docs.sparkSession, docs.columns
     scratch = Scratch(spark, "mixing")
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _key(F.col(source_col)).alias("key"), size(F.col(text_col)).alias("size"))
-    base = scratch.save(base, "sizes")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), _key(F.col(f"`{source_col}`")).alias("key"),
+        F.xxhash64(f"`{text_col}`").alias("body"), size(F.col(f"`{text_col}`")).alias("size"),
+    )
+    base = scratch.save(rows.drop("row"), "sizes")
+    again = base.where("size > 0").groupBy("key", "id", "body").agg(F.count("*").alias("times")).where("times > 1")
+    again = scratch.save(again.drop("times"), "repeated")
+    number = _numbered(again) if not again.isEmpty() else lambda df: df.withColumn("number", F.lit(1))
+    base = number(base)
     hist = scratch.save(base.groupBy("key", "source", "size").agg(F.count("*").alias("n")), "histogram")
     sizes = hist.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).cast("double").alias("source_size"))
     goal = scratch.save(targets(sizes, weights, limit), "targets")
@@ -110,7 +119,7 @@ def mix(
     full, none = F.col("target") >= F.col("source_size") * limit * (1 - 1e-12), F.col("target") <= 0
     tilted = F.least(F.lit(float(limit)), F.exp(F.least(F.col("mult") * F.col("size"), F.lit(50.0))))
     rate = F.when(F.col("size") == 0, 1.0).when(full, float(limit)).when(none, 0.0).otherwise(tilted)
-    uniform = F.pmod(F.xxhash64("id", "size", F.lit("mix")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    uniform = F.pmod(F.xxhash64("id", "size", F.lit("mix"), "body", "number"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     rounded = F.least(F.lit(limit), F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
     drawn = base.join(dual, "key").withColumn("rate", rate).withColumn("copies", rounded)
 
@@ -119,37 +128,46 @@ def mix(
         drawn.where("size > 0")
         .withColumn("way", F.explode(F.array(F.when(F.col("copies") < limit, 1), F.when(F.col("copies") > 0, -1))))
         .where("way is not null")
-        .groupBy("key", F.floor(F.log2("size")).alias("octave"), F.pmod(F.xxhash64("id"), F.lit(LADDER)).alias("part"), "way")
-        .agg(F.max(F.struct("size", "id")).alias("top"))
+        .groupBy("key", F.floor(F.log2("size")).alias("octave"), F.pmod(F.xxhash64("id", "body", "number"), F.lit(LADDER)).alias("part"), "way")
+        .agg(F.max(F.struct("size", F.struct("id", "body", "number").alias("which"))).alias("top"))
     )
     taken = drawn.groupBy("key", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
-    ladder = rungs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("top.size").alias("size"), "way", F.col("top.id").alias("id"))), asc=False).alias("rungs"))
-    empty = F.expr("cast(array() as array<struct<id:bigint,way:int>>)") if dict(base.dtypes)["id"] == "bigint" else F.array().cast(f"array<struct<id:{dict(base.dtypes)['id']},way:int>>")
+    ladder = rungs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("top.size").alias("size"), "way", F.col("top.which").alias("which"))), asc=False).alias("rungs"))
+    empty = F.array().cast(f"array<struct<which:struct<id:{dict(base.dtypes)['id']},body:bigint,number:int>,way:int>>")
     start = F.struct((F.col("target") - F.col("taken")).alias("left"), empty.alias("picked"))
 
     def climb(acc: Column, x: Column) -> Column:
         use = F.when(x["way"] > 0, acc["left"] >= x["size"] / 2).otherwise(acc["left"] <= -x["size"] / 2)
-        return F.when(use, F.struct((acc["left"] - x["way"] * x["size"]).alias("left"), F.concat(acc["picked"], F.array(F.struct(x["id"].alias("id"), x["way"].alias("way")))).alias("picked"))).otherwise(acc)
+        return F.when(use, F.struct((acc["left"] - x["way"] * x["size"]).alias("left"), F.concat(acc["picked"], F.array(F.struct(x["which"].alias("which"), x["way"].alias("way")))).alias("picked"))).otherwise(acc)
 
     picked = taken.join(ladder, "key").select("key", F.explode(F.aggregate("rungs", start, climb)["picked"]).alias("p"))
-    mends = scratch.save(picked.groupBy("key", F.col("p.id").alias("id")).agg(F.sum("p.way").cast("int").alias("way")), "mends")
-
-    own = {c: f"_in_{i}" for i, c in enumerate(keep)}
-    d = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in keep])
-    d = d.withColumns({"key": _key(F.col(own[source_col])), "id": F.col(own[id_col]), "size": size(F.col(own[text_col]))}).join(dual, "key")
-    d = d.withColumn("rate", rate).withColumn("copies", rounded)
-    m = mends.select(F.col("key").alias("m_key"), F.col("id").alias("m_id"), "way")
-    d = d.join(m, (F.col("key") == F.col("m_key")) & F.col("id").eqNullSafe(F.col("m_id")), "left")
+    mends = scratch.save(picked.groupBy(F.col("key").alias("m_key"), F.col("p.which").alias("which")).agg(F.sum("p.way").cast("int").alias("way")), "mends")
+
+    d = number(rows).join(dual, "key").withColumn("rate", rate).withColumn("copies", rounded)
+    d = d.join(mends, (F.col("key") == F.col("m_key")) & F.struct("id", "body", "number").eqNullSafe(F.col("which")), "left")
     copies = F.when(F.col("size") == 0, F.col("copies")).otherwise(F.greatest(F.lit(0), F.least(F.lit(limit), F.col("copies") + F.coalesce("way", F.lit(0)))))
-    return d.select(
-        *[F.col(own[c]).alias(c) for c in keep], F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"), copies.cast("int").alias("_copies")
-    )
+    added = {"_size": F.col("size"), "_source_size": F.col("source_size"), "_target": F.col("target"), "_rate": F.col("rate"), "_copies": copies.cast("int")}
+    return d.select(*[F.col("row").getField(c).alias(c) for c in keep], *[v.alias(unused(keep, k)) for k, v in added.items()])
+
+
+def _numbered(again: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function that numbers rows of one id and text from 1 on; only the rows listed in again are sorted for that."""
+
+    def number(df: DataFrame) -> DataFrame:
+        a = again.select(F.struct("key", "id", "body").alias("same"))
+        marked = df.join(a, F.struct("key", "id", "body").eqNullSafe(F.col("same")), "left")
+        once = marked.where("same is null").withColumn("number", F.lit(1))
+        order = W.partitionBy("key", "id", "body").orderBy("size")
+        return once.unionByName(marked.where("same is not null").withColumn("number", F.row_number().over(order))).drop("same")
+
+    return number
 
 
 def expand(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its number among the copies."""
-    rows = mixed.withColumn("copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))))
-    return rows.drop("_size", "_source_size", "_target", "_rate", "_copies")
+    """The mix itself, from what mix() returns: each row as often as it is taken, with its number among the copies in the last column."""
+    keep, copies = mixed.columns[:-5], F.col(f"`{mixed.columns[-1]}`")
+    copy = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias(unused(keep, "copy"))
+    return mixed.select(*[F.col(f"`{c}`") for c in keep], copy)
 
 
 def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
