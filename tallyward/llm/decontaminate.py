@@ -172,9 +172,9 @@ def _neighbours(pairs: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones; repeated rows go or stay together."""
-    bad = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()
     bad = Scratch(docs.sparkSession, "decontaminate").save(bad, "bad")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.alias("a").join(bad.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
