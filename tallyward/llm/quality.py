@@ -2,14 +2,15 @@
 
 Indicators of hashed word, shape and character n-grams are scaled by the log-count ratio of the two classes
 and a linear hinge-loss model is fitted on them by dual coordinate descent; a logistic curve of the
-margin, fitted on the same rows, gives the score. Class counts of all indicators come from every
-labelled training row, as partial sums per task; the fit uses a bounded sample of FIT_ROWS rows,
-chosen by a hash of the id. Every text is scored whole.
+margin, fitted on rows the model has not seen, gives the score. The classifier learns from a bounded
+sample of the labelled rows, chosen by a hash of the id: class counts from COUNT_ROWS rows, the
+hinge-loss model from FIT_ROWS of them, the curve from the CURVE-th part of those. So only
+ids of bounded number are broadcast and no text travels but theirs. Every text is scored whole.
 
 Null text counts as empty; an empty text has the score of the bias alone, like any other. Rows whose
 label is null or that have no text row teach nothing; a doc_id with several labels has the lower.
 Without labels of both classes every score is the share of label 1 (0.5 without labels). Repeated
-rows are scored each. Empty tables give no rows. Extra columns are kept by score().
+rows are scored each. Empty tables give no rows. Extra columns are kept by score(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tallyward.llm.common import Scratch, Words, chunks, mix64, table
+from tallyward.llm.common import Scratch, Words, chunks, mix64, table, unused
 
 #: Size of the feature space; the model is one number per feature whatever the corpus.
 BITS = 18
 SPACE = 1 << BITS
-#: Labelled rows the hinge-loss model is fitted on, at most; class counts use all.
-FIT_ROWS = 12_000
+#: Labelled rows that class counts come from, and that the hinge-loss model is fitted on, at most.
+COUNT_ROWS, FIT_ROWS = 60_000, 12_000
+#: Every so manieth row of the fit shapes the logistic curve instead of the model; tasks that count.
+CURVE, TASKS = 5, 8
 EPOCHS, COST, SMOOTH = 8, 0.05, 1.0
 THRESHOLD = 0.3
 
@@ -149,11 +153,24 @@ def fit_logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-6), b
 
 
-def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, scratch: Scratch | None = None) -> tuple[np.ndarray, float, float]:
+def _chosen(y: DataFrame, bound: int, fit_rows: int) -> DataFrame:
+    """(doc_id, label, fit) of at most bound rows, the first by a hash of the id, of them fit_rows to fit; few more than these are sorted."""
+    cells = 1 << 20
+    share = min(1.0, 1.2 * bound / max(1, y.count()) + 0.001)
+    rank = F.xxhash64("doc_id", F.lit("quality"))
+    few = y.where(F.pmod(rank, F.lit(cells)) < int(share * cells)) if share < 1 else y
+    few = few.withColumn("place", F.pmod(rank, F.lit(cells))).orderBy("place", "doc_id").limit(bound)
+    return few.select("doc_id", "label", (F.row_number().over(W.orderBy("place", "doc_id")) <= fit_rows).alias("fit"))
+
+
+def train(docs: DataFrame, labels: DataFrame, *, count_rows: int = COUNT_ROWS, fit_rows: int = FIT_ROWS, scratch: Scratch | None = None) -> tuple[np.ndarray, float, float]:
     """Weights (ratios folded in, bias last) and the logistic curve. labels has doc_id and label (0 or 1)."""
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     y = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text").join(y, "doc_id")
+    # a bounded number of ids is broadcast, and so many texts travel at most
+    chosen = scratch.save(_chosen(y, max(count_rows, fit_rows), fit_rows), "chosen")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(TASKS, "doc_id").dropDuplicates(["doc_id"])
+    rows = scratch.save(rows.select("doc_id", "text", "label", "fit"), "labelled")
     counts = scratch.save(class_counts(rows), "counts")
     table_ = counts.toPandas()  # at most one row per feature: a fixed bound
     pos, neg = np.zeros(SPACE + 1), np.zeros(SPACE + 1)
@@ -167,9 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, scrat
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ratio)
 
-    # a bounded number of rows, so their ids are broadcast and one task fits the model
-    chosen = scratch.save(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "chosen")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).repartition(1)
+    # a bounded number of rows, so one task fits the model
+    sample = rows.where("fit").select("doc_id", "text", "label").repartition(1).sortWithinPartitions("doc_id")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, labels = [], []
@@ -181,10 +197,14 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, scrat
                 labels += own[lo:hi]
         y = np.where(np.array(labels) > 0, 1.0, -1.0)
         if len(y) and 0 < (y > 0).sum() < len(y):
-            w = dual_coordinate_descent(rows, y, shared.value, COST, EPOCHS) * shared.value
-            f = np.concatenate(rows)
-            starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-            a, c = fit_logistic(margins(f, starts, w), y)
+            apart = np.arange(len(y)) % CURVE == 0
+            if not all(0 < (y[x] > 0).sum() < x.sum() for x in (apart, ~apart)):
+                apart = np.zeros(len(y), bool)  # too few rows: model and curve share them
+            w = dual_coordinate_descent([r for r, x in zip(rows, apart, strict=True) if not x], y[~apart], shared.value, COST, EPOCHS) * shared.value
+            shape = apart if apart.any() else ~apart
+            held = [r for r, x in zip(rows, shape, strict=True) if x]
+            starts = np.concatenate([[0], np.cumsum([len(r) for r in held])])
+            a, c = fit_logistic(margins(np.concatenate(held), starts, w), y[shape])
             yield pa.record_batch([pa.array([w.tobytes()]), pa.array([a]), pa.array([c])], names=["w", "a", "c"])
 
     found = scratch.save(sample.mapInArrow(fit, "w binary, a double, c double"), "model").first()
@@ -194,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, scrat
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float], text_col: str = "text") -> DataFrame:
-    """docs with _score, the probability of label 1."""
+    """docs with the probability of label 1 in a last column, _score (or with more underscores, where that is taken)."""
     weights, a, c = model
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float64), a, c))
 
@@ -208,7 +228,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float], text_col: str
                 out[lo:hi] = 1 / (1 + np.exp(-np.clip(a * margins(*features(texts), w) + c, -500, 500)))
             yield pd.Series(out)
 
-    return docs.withColumn("_score", scored(F.col(f"`{text_col}`")))
+    return docs.withColumn(unused(docs.columns, "_score"), scored(F.col(f"`{text_col}`")))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
