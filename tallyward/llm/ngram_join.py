@@ -1,22 +1,33 @@
 """N-gram Jaccard join with several global token orders.
 
 A document is its set of distinct word n-grams. Two sets whose Jaccard similarity reaches the threshold
-share a token among their first tokens under any global order of all tokens. Candidates come from the
-first tokens under one order, rarest first; under two more orders the pairs must share enough of
-their first tokens as well; only what passes all orders is verified, on whole sets.
-
-Nothing emits the pairs of a large group. Equal sets count once. A token with at most GROUP sets
-gives its pairs; a more frequent one among first tokens links its sets to one of them, as sets made
-of frequent tokens are copies of popular text. The clusters of these links are compared in blocks
-within tasks, every pair of sets of a cluster by exact intersection sizes, and a block returns only
-a spanning forest of its links. So no link between different sets is lost.
-
-Rarity is the count of a token's cell in a hash table of fixed size over all tokens of all documents;
-it only steers the order, so shared cells cost time but no result. Sets are known by a 64-bit hash.
+share a token among their first tokens under any global order of all tokens. All orders here put
+tokens of a single set first, so a set whose first tokens are all its own has no links and leaves at once.
+Of the others, pairs that share one of the first tokens under the first order (rarest first) are
+candidates; they must share one under each other order as well; only what passes all is verified,
+on whole sets.
+
+First, sets that cannot have links leave: two linked sets share many of their tokens of least hash, so a
+set sends those only and stays if enough of them turn out to be shared. Of the sets that stay,
+tokens are counted exactly: every task sends the tokens of its sets, packed, to the bucket of their
+hash; a bucket returns those of two sets or more with their counts to the bucket of each set. Tokens
+so frequent that a table of fixed size shows it are not sent; they come last in every order that goes by
+counts. A set travels with the tokens it shares only, which is all that similarities need.
+
+Nothing emits the pairs of a large group. Equal sets count once. A token with at most GROUP sets gives
+its pairs; a more frequent one links its sets to one of them. The clusters of these links are
+compared in tasks of at most about BLOCK sets, which apply the filters and then count exact
+intersections; they return a spanning forest of their links. A larger cluster is cut into blocks, each
+compared within itself and with some sets of the cluster that all blocks get; then the sets that
+are not in the cluster's largest component meet all blocks. So no link between components is lost, and
+the cost beyond one pass is (sets outside the largest component) x (sets of the cluster).
 
 Null or empty text, and text without words, is an empty set and links with nothing; a text with fewer
-words than n has its whole sequence as one n-gram. Repeated rows link (their sets are equal). A
-repeated doc_id is one document. Empty tables give no rows. Extra columns are kept by keep_one().
+words than n has its whole sequence as one n-gram. Repeated rows link (their sets are equal). Rows
+that repeat a doc_id are compared each with its own text; a null doc_id is never the smallest of a
+component with others. Very long texts are sets like any other. Empty tables give no rows. Extra
+columns are ignored by jaccard_components() and kept by keep_one(), whatever their names. Sets and
+tokens are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,13 +44,21 @@ from pyspark.sql import functions as F
 from tallyward.llm.common import Scratch, Words, chunks, connected_components, mix64, powers, ragged, table
 
 #: Cells of the table of token counts, and of its slabs that are added up apart.
-CELLS, SLAB = 1 << 22, 1 << 15
+CELLS, SLAB = 1 << 20, 1 << 15
+#: A token is frequent from so many rows above the mean of the cells (or eight deviations, if that is more).
+FREQUENT = 4096
+#: Tokens per bucket, and tokens a task holds before it sends them.
+BUCKET, HOLD = 1 << 20, 1 << 20
+#: Linked sets share one in so many of their tokens among those of least hash that they send.
+SHARE = 5
+#: Marks of texts that are broadcast at most (under 50 MB); more are joined by a shuffle.
+BROADCAST_MARKS = 2_000_000
 #: Sets that share a first token: up to so many give pairs, more are linked to one of them.
 GROUP = 48
-#: Sets per block of a cluster.
-BLOCK = 1024
-#: Rows of (set, cluster, document) that are broadcast at most (under 50 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Sets per block of a cluster, and sets of a large cluster that all its blocks get.
+BLOCK, PIVOTS = 1024, 32
+#: Copies of the small side where one set may stand for very many rows.
+SALT = 16
 #: The first order gives candidates, the others filter.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1)
 
@@ -79,30 +98,162 @@ class Shingles:
         out = mix64(sums[self.starts[1:]] - sums[self.starts[:-1]] + self.n.astype(np.uint64))
         return np.where(self.n > 0, out, _U(0))
 
-    def first(self, order: int, classes: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first tokens of each text under a global order, and how many of each text there are."""
-        own = mix64(self.hash ^ _U(order))
-        rank = (classes[(self.hash >> _U(20)) & _U(CELLS - 1)].astype(np.uint64) << _U(48)) | (own >> _U(16))
-        at = np.lexsort((rank, self.doc))
-        many = np.minimum(many, self.n)
-        return self.hash[at[ragged(self.starts[:-1], many)]], many
-
 
 def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """n - ceil(t * n) + 1: sets of similarity t or more share one of so many first tokens."""
     return np.where(n > 0, n - -(-n * num // den) + 1, 0)
 
 
-def token_classes(docs: DataFrame, n: int) -> np.ndarray:
-    """Order classes of all cells: 0 where the count looks like that of single tokens, else the count. Fixed size."""
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> _U(20)) & _U(CELLS - 1)
+
+
+# --- sets that may have links -------------------------------------------------------------------------
+
+
+def _sent(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many tokens of least hash a set sends: of two linked sets these have SHARE of the smaller set's tokens in common, or one."""
+    return np.where(n > 0, n - -(-n * num // den) + np.maximum(1, n // SHARE), 0)
+
+
+def possible(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, mark, n, node) of every row, and texts of which every set with a link has one at least.
+
+    Sets send their tokens of least hash, packed by bucket; a set that gets too few of them back as shared
+    has no links. A token that several sets of a step share is sent once for all of them.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * width
+    names = ["bucket", "doc_id", "mark", "n", "node", "nodes", "lens", "tokens"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size, place = np.zeros(0, np.uint64), [], 0, 0
+
+        def flush(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            node, token = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(token)
+            node, token = node[order], token[order]
+            head = np.ones(len(token), bool)
+            head[1:] = token[1:] != token[:-1]
+            many = np.diff(np.append(np.flatnonzero(head), len(token)))
+            shared = np.repeat(many > 1, many)
+            own, credit = np.unique(node[shared], return_counts=True)
+            node[shared] = 0  # the sets here have their credit; others that hold the token get theirs
+            use = head | ~shared
+            rows = _pack((token[use] >> _U(40)).astype(np.int64) % buckets, node[use], token[use], None)
+            rows.append((int(own[0] % _U(buckets)) if len(own) else 0, own.tobytes(), credit.astype(np.int32).tobytes(), None, None))
+            k = len(rows)
+            cols = list(zip(*rows, strict=True))
+            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.nulls(k, id_type), *[pa.nulls(k, pa.int64())] * 3, *[pa.array(c, pa.binary()) for c in cols[1:4]]], names=names)
+
+        id_type = pa.int64()
+        for b in batches:
+            id_type = b.column(0).type
+            for lo, hi, texts in chunks(b):
+                s, k = Shingles(texts, n), hi - lo
+                nodes = s.nodes()
+                deal = ((place + np.arange(k)) % buckets).astype(np.int32)
+                place += k
+                yield pa.record_batch([pa.array(deal), b.column(0).slice(lo, k), b.column(1).slice(lo, k), pa.array(s.n), pa.array(nodes.view(np.int64)), *[pa.nulls(k, pa.binary())] * 3], names=names)
+                fresh, seen = _fresh(nodes, seen)
+                lens = np.where(fresh, _sent(s.n, num, den), 0)
+                at = ragged(s.starts[:-1], lens)  # tokens of a text are sorted by hash
+                held.append((np.repeat(nodes, lens), s.hash[at]))
+                size += len(at)
+                if size > HOLD:
+                    yield from flush(id_type)
+                    held, size = [], 0
+        if size:
+            yield from flush(id_type)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = ["doc_id", "mark", "n", "node", "credit"]
+        id_type = None
+
+        def credits(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nodes, counts = [np.frombuffer(r[0], np.uint64) for r in rows if r[2] is None], [np.frombuffer(r[1], np.int32) for r in rows if r[2] is None]
+            raw = [r for r in rows if r[2] is not None]
+            if raw:
+                token = np.concatenate([np.frombuffer(r[2], np.uint64) for r in raw])
+                node = np.concatenate([np.repeat(np.frombuffer(r[0], np.uint64), np.frombuffer(r[1], np.int32)) for r in raw])
+                order = np.argsort(token)
+                t, v = token[order], node[order]
+                twice = np.zeros(len(t), bool)
+                twice[1:] = t[1:] == t[:-1]
+                twice[:-1] |= twice[1:]
+                t, v = t[twice], v[twice]
+                by = np.lexsort((v, t))
+                t, v = t[by], v[by]
+                new = np.ones(len(t), bool)  # copies of a set in several tasks count once
+                new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+                head = np.ones(len(t), bool)
+                head[1:] = t[1:] != t[:-1]
+                first = np.flatnonzero(head)
+                # two sets, or one row for several
+                several = (np.add.reduceat(new.astype(np.int64), first) > 1) | (v[first] == 0) if len(first) else np.zeros(0, bool)
+                good = np.repeat(several, np.diff(np.append(first, len(t)))) & new & (v != 0)
+                nodes.append(v[good])
+                counts.append(np.ones(int(good.sum()), np.int32))
+            own, back = np.unique(np.concatenate(nodes), return_inverse=True)
+            if len(own):
+                credit = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+                k = len(own)
+                yield pa.record_batch([pa.nulls(k, id_type), *[pa.nulls(k, pa.int64())] * 2, pa.array(own.view(np.int64)), pa.array(credit)], names=out)
+
+        bucket, held = None, []
+        for b in batches:
+            id_type = b.column(1).type
+            plain = b.filter(b.column(5).is_null())
+            if len(plain):
+                yield pa.record_batch([*plain.columns[1:5], pa.nulls(len(plain), pa.int64())], names=out)
+            packed = b.filter(b.column(5).is_valid())
+            for at, *row in zip(*[packed.column(i).to_pylist() for i in (0, 5, 6, 7)], strict=True):
+                if at != bucket and held:
+                    yield from credits(held)
+                    held = []
+                bucket = at
+                held.append(row)
+        if held:
+            yield from credits(held)
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    sent = rows.mapInArrow(send, f"bucket int, doc_id {kind}, mark long, n long, node long, nodes binary, lens binary, tokens binary")
+    sent = sent.repartition(width, "bucket").sortWithinPartitions("bucket")
+    found = scratch.save(sent.mapInArrow(count, f"doc_id {kind}, mark long, n long, node long, credit long"), "members")
+    members = found.where("credit is null").drop("credit")
+    # enough shared tokens for the smallest set that a set can be linked to
+    sets = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("mark").alias("mark"))
+    credit = found.where("credit is not null").groupBy("node").agg(F.sum("credit").alias("credit"))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * num / F.lit(den)) / SHARE))
+    live = scratch.save(sets.join(credit, "node").where(F.col("credit") >= least).select("mark"), "live")
+    live = F.broadcast(live) if live.count() <= BROADCAST_MARKS else live
+    texts = docs.select(F.xxhash64("text").alias("mark"), "text").join(live, "mark", "left_semi").select("text")
+    return members, scratch.save(texts, "possible")
+
+
+# --- sets, and the counts of their tokens ----------------------------------------------------------
+
+
+def _fresh(nodes: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts hold sets that this task has not sent, and the sets it has sent with them."""
+    fresh = np.zeros(len(nodes), bool)
+    fresh[np.unique(nodes, return_index=True)[1]] = True
+    fresh &= (nodes != 0) & ~np.isin(nodes, seen)
+    return fresh, np.concatenate([seen, nodes[fresh]])
+
+
+def token_cells(texts: DataFrame, n: int) -> np.ndarray:
+    """How many tokens fall into each cell of a table of fixed size."""
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
         for b in batches:
-            for _, _, texts in chunks(b):
-                cells += np.bincount((Shingles(texts, n).hash >> _U(20)) & _U(CELLS - 1), minlength=CELLS).astype(np.uint32)
+            for _, _, part in chunks(b):
+                cells += np.bincount(_cell(Shingles(part, n).hash), minlength=CELLS).astype(np.uint32)
         slabs = [(i // SLAB, zlib.compress(cells[i : i + SLAB].tobytes(), 1)) for i in range(0, CELLS, SLAB) if cells[i : i + SLAB].any()]
-        yield pa.record_batch([pa.array([x[0] for x in slabs], pa.int64()), pa.array([x[1] for x in slabs], pa.binary())], names=["slab", "counts"])
+        if slabs:
+            yield pa.record_batch([pa.array([x[0] for x in slabs], pa.int32()), pa.array([x[1] for x in slabs], pa.binary())], names=["slab", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -110,62 +261,218 @@ def token_classes(docs: DataFrame, n: int) -> np.ndarray:
             for slab, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(slab, np.zeros(SLAB, np.uint64))
                 own += np.frombuffer(zlib.decompress(blob), np.uint32)
-        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slab", "counts"])
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slab", "counts"])
 
-    kinds = "slab long, counts binary"
-    parts = docs.select("text").mapInArrow(count, kinds).repartition(min(CELLS // SLAB, 64), "slab").mapInArrow(add, kinds)
+    parts = texts.mapInArrow(cells_of, "slab int, counts binary").repartition(CELLS // SLAB, "slab").mapInArrow(add, "slab int, counts binary")
     cells = np.zeros(CELLS, np.uint64)
     for r in parts.toLocalIterator():
         cells[r["slab"] * SLAB : (r["slab"] + 1) * SLAB] = np.frombuffer(r["counts"], np.uint64)
+    return cells
+
+
+def frequent_cells(cells: np.ndarray) -> np.ndarray:
+    """Counts of the cells that hold a frequent token, 0 for all others."""
     mean = float(cells.mean())
-    usual = mean + 4 * mean**0.5 + 2
-    return np.where(cells <= usual, 0, np.minimum(cells, 65535)).astype(np.uint16)
+    return np.where(cells > mean + max(FREQUENT, 8 * mean**0.5), np.minimum(cells, 2**31 - 1), 0).astype(np.uint32)
+
+
+_PACKED = "bucket int, counted boolean, nodes binary, sizes binary, lens binary, tokens binary, counts binary"
+_NAMES = ["bucket", "counted", "nodes", "sizes", "lens", "tokens", "counts"]
 
 
-def _pack(tokens: np.ndarray, many: np.ndarray) -> list[bytes]:
-    """16 bits of each first token, in order: equal tokens stay equal, which is all that a filter needs."""
-    raw, ends = tokens.astype(np.uint16), np.concatenate([[0], np.cumsum(many)])
-    return [raw[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
+def _pack(bucket: np.ndarray, node: np.ndarray, token: np.ndarray, count: np.ndarray | None) -> list[tuple]:
+    """Per bucket: its sets, how many tokens each has there, the tokens and their counts."""
+    order = np.lexsort((node, bucket))
+    bucket, node, token = bucket[order], node[order], token[order]
+    count = None if count is None else count[order].astype(np.int32)
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    rows = []
+    for s, e in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+        nodes, lens = np.unique(node[s:e], return_counts=True)
+        rows.append((int(bucket[s]), nodes.tobytes(), lens.astype(np.int32).tobytes(), token[s:e].tobytes(), None if count is None else count[s:e].tobytes()))
+    return rows
 
 
-def passes(a: bytes, na: int, b: bytes, nb: int, num: int, den: int) -> bool:
-    """Whether two sets can reach the threshold, from their first tokens under one order.
+def _packed(rows: list[tuple], counted: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of _pack() as a batch; sizes may come as a sixth place."""
+    if rows:
+        k, cols = len(rows), list(zip(*rows, strict=True))
+        sizes = pa.array(cols[5], pa.binary()) if len(cols) > 5 else pa.nulls(k, pa.binary())
+        yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array([counted] * k), pa.array(cols[1], pa.binary()), sizes, *[pa.array(c, pa.binary()) for c in cols[2:5]]], names=_NAMES)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows sorted by bucket, bucket by bucket, with their arrays."""
+    kinds = {"nodes": np.uint64, "sizes": np.int64, "lens": np.int32, "tokens": np.uint64, "counts": np.int32}
+    bucket, held = None, []
+    for b in batches:
+        for row in b.to_pylist():
+            if row["bucket"] != bucket and held:
+                yield bucket, held
+                held = []
+            bucket = row["bucket"]
+            held.append({"counted": row["counted"], **{k: None if row[k] is None else np.frombuffer(row[k], t) for k, t in kinds.items()}})
+    if held:
+        yield bucket, held
+
+
+def shared_tokens(texts: DataFrame, n: int, cells: np.ndarray) -> DataFrame:
+    """Packed rows by bucket of the set: its size and frequent tokens, and the other tokens it shares, with counts."""
+    spark = texts.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(width, int(cells.sum()) // BUCKET + 1)
+    shared = spark.sparkContext.broadcast(frequent_cells(cells))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, seen, held, size = shared.value, np.zeros(0, np.uint64), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            node, token = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from _packed(_pack((token >> _U(40)).astype(np.int64) % buckets, node, token, None), False)
+
+        for b in batches:
+            for _, _, part in chunks(b):
+                s = Shingles(part, n)
+                nodes = s.nodes()
+                fresh, seen = _fresh(nodes, seen)  # a task sends a set once
+                of, often = nodes[s.doc], frequent[_cell(s.hash)]
+                use = fresh[s.doc]
+                hot = use & (often > 0)
+                # sizes and frequent tokens by bucket of the set
+                own, sizes = nodes[fresh], s.n[fresh]
+                place = own % _U(buckets)
+                lens = np.bincount(s.doc[hot], minlength=len(nodes))[fresh]
+                starts = s.starts[:-1][fresh]
+                rows = []
+                for k in np.unique(place):
+                    at = np.flatnonzero(place == k)
+                    every = ragged(starts[at], sizes[at])
+                    every = every[hot[every]]
+                    rows.append((int(k), own[at].tobytes(), lens[at].astype(np.int32).tobytes(), s.hash[every].tobytes(), often[every].astype(np.int32).tobytes(), sizes[at].astype(np.int64).tobytes()))
+                yield from _packed(rows, True)
+                light = use & (often == 0)
+                held.append((of[light], s.hash[light]))
+                size += int(light.sum())
+                if size > HOLD:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
 
-    At most na - o tokens of a are not in b and at most nb - o the other way, o being the least
-    overlap; so all but na - o of a's first m - (nb - o) tokens are among b's first m.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, rows in _by_bucket(batches):
+            raw = [r for r in rows if not r["counted"]]
+            # on their way to the bucket of their sets
+            yield from _packed([(at, *[r[k].tobytes() for k in ("nodes", "lens", "tokens", "counts", "sizes")]) for r in rows if r["counted"]], True)
+            if not raw:
+                continue
+            token = np.concatenate([r["tokens"] for r in raw])
+            node = np.concatenate([np.repeat(r["nodes"], r["lens"]) for r in raw])
+            order = np.argsort(token)
+            t = token[order]
+            twice = np.zeros(len(t), bool)
+            twice[1:] = t[1:] == t[:-1]
+            twice[:-1] |= twice[1:]
+            order = order[twice]
+            t, v = token[order], node[order]
+            by = np.lexsort((v, t))
+            t, v = t[by], v[by]
+            new = np.ones(len(t), bool)  # copies of a set in several tasks count once
+            new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+            t, v = t[new], v[new]
+            head = np.ones(len(t), bool)
+            head[1:] = t[1:] != t[:-1]
+            df = np.diff(np.append(np.flatnonzero(head), len(t)))
+            df = np.repeat(df, df)
+            keep = df > 1
+            yield from _packed(_pack((v[keep] % _U(buckets)).astype(np.int64), v[keep], t[keep], df[keep]), True)
+
+    sent = texts.mapInArrow(send, _PACKED).repartition(width, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(count, _PACKED)
+
+
+_RECORD = "kind tinyint, node long, other long, token long, n long, tokens array<long>, first array<long>, second array<long>, third array<long>"
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(values[ragged(starts, lens)].view(np.int64)))
+
+
+def records(packed: DataFrame, num: int, den: int) -> DataFrame:
+    """Sets that can have links, as rows of several kinds.
+
+    0: set, size, its shared tokens and the first of them under each order; 1 and 3: one of its first tokens
+    under the first order (3: it is frequent here and the set stands for others); 2: a set and the one it is linked to.
     """
-    least = -(-num * (na + nb) // (num + den))
-    m = len(b) // 2 if len(b) // 2 < nb else nb + na
-    look = min(len(a) // 2, m - (nb - least))
-    if look <= 0:
-        return True
-    there = np.isin(np.frombuffer(a, np.uint16)[:look], np.frombuffer(b, np.uint16)).sum()
-    return bool(there >= look - (na - least))
-
-
-def _token_rows(held: list[tuple[np.ndarray, np.ndarray]], id_type: pa.DataType, layout: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 1 (token, set), 2 (set, the set it is linked to), 3 (frequent token, the set that stands for it)."""
-    tokens, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((nodes, tokens))
-    t, v = tokens[order], nodes[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
-    run = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-    group = np.cumsum(np.isin(np.arange(len(t)), run, assume_unique=True)) - 1
-    sets = np.bincount(group[new], minlength=len(run))
-    hot = (sets > GROUP)[group] if len(t) else np.zeros(0, bool)
-    centre = v[run][group] if len(t) else v
+    names = [x.split()[0] for x in _RECORD.split(", ")]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for _, rows in _by_bucket(batches):
+            own = [r for r in rows if r["sizes"] is not None]
+            nodes, at = np.unique(np.concatenate([r["nodes"] for r in own]), return_index=True)
+            n = np.concatenate([r["sizes"] for r in own])[at]
+            token = np.concatenate([r["tokens"] for r in rows])
+            df = np.concatenate([r["counts"] for r in rows])
+            of = np.searchsorted(nodes, np.concatenate([np.repeat(r["nodes"], r["lens"]) for r in rows]))
+            order = np.lexsort((token, of))
+            new = np.ones(len(order), bool)
+            new[1:] = (token[order[1:]] != token[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+            order = order[new]
+            token, df, of = token[order], df[order], of[order]
+            shared = np.bincount(of, minlength=len(nodes))
+            need = prefix_length(n, num, den) - (n - shared)
+            live = np.flatnonzero((need > 0) & (shared > 0))
+            if not len(live):
+                continue
+            use = need[of] > 0
+            token, df, of = token[use], df[use], np.searchsorted(live, of[use])
+            need, n, nodes = np.minimum(need[live], shared[live]), n[live], nodes[live]
+            starts = np.searchsorted(of, np.arange(len(live)))
+            many = np.diff(np.append(starts, len(of)))
+            firsts = []
+            for k, o in enumerate(ORDERS):
+                h = mix64(token ^ _U(o))
+                # by count, by its power of two, by the hash alone
+                rank = (h, df) if k == 0 else (h, np.log2(df).astype(np.int64)) if k == 1 else (h,)
+                firsts.append(token[np.lexsort((*rank, of))])
+            held.append((firsts[0][ragged(starts, need)], np.repeat(nodes, need)))
+            k = len(live)
+            yield pa.record_batch(
+                [pa.array(np.zeros(k, np.int8)), pa.array(nodes.view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(n), _lists(token, starts, many), *[_lists(f, starts, need) for f in firsts]], names=names
+            )
+            if sum(len(t) for t, _ in held) > HOLD:
+                yield from _token_rows(held, names)
+                held = []
+        if held:
+            yield from _token_rows(held, names)
+
+    width = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, _RECORD)
+
+
+# --- candidates ---------------------------------------------------------------------------------------
+
+
+def _token_rows(held: list[tuple[np.ndarray, np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 1, 2 and 3 from first tokens and their sets: a token of many sets here is sent for one of them only."""
+    t, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((v, t))
+    t, v = t[order], v[order]
+    head = np.ones(len(t), bool)
+    head[1:] = t[1:] != t[:-1]
+    at = np.flatnonzero(head)
+    size = np.diff(np.append(at, len(t)))
+    hot, centre = np.repeat(size > GROUP, size), np.repeat(v[at], size)
     kind = np.where(hot, np.where(v == centre, 3, 2), 1).astype(np.int8)
-    # rows in the order of the texts, where a set repeats and so takes little space
-    at = np.sort(order[new])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    b = back[at]
-    k, item = kind[b], np.where(kind[b] == 2, centre[b], t[b])
-    keep = (k != 2) | (v[b] != item)
-    k, item, node = k[keep], item[keep], v[b][keep]
-    m = len(k)
-    yield pa.record_batch([pa.array(k), pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.array(node.view(np.int64)), pa.array(item.view(np.int64)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=layout)
+    m, null = len(t), lambda k: [pa.nulls(k, pa.int64()), *[pa.nulls(k, pa.list_(pa.int64()))] * 4]
+    whole = kind != 2
+    k = int(whole.sum())
+    yield pa.record_batch([pa.array(kind[whole]), pa.array(v[whole].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(t[whole].view(np.int64)), *null(k)], names=names)
+    if k < m:
+        links = np.unique(np.stack([v[~whole], centre[~whole]], 1), axis=0)
+        k = len(links)
+        yield pa.record_batch([pa.array(np.full(k, 2, np.int8)), pa.array(links[:, 0].copy().view(np.int64)), pa.array(links[:, 1].copy().view(np.int64)), pa.nulls(k, pa.int64()), *null(k)], names=names)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,20 +521,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from solve(t, v, hot)
 
 
-def compare(nodes: np.ndarray, block: np.ndarray, texts: list[bytes], n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: within block 0 alone, or between blocks 0 and 1."""
-    s = Shingles(texts, n)
-    count = len(nodes)
-    vocabulary, token = np.unique(s.hash, return_inverse=True)
+def _overlaps(doc: np.ndarray, token: np.ndarray, count: int, row_at: np.ndarray, col_at: np.ndarray) -> np.ndarray:
+    """How many tokens each row set and each column set have in common, from (set, token) rows without repeats."""
+    vocabulary, token = np.unique(token, return_inverse=True)
     df = np.bincount(token, minlength=len(vocabulary))
-    across = bool((block != block[0]).any())
-    rows = np.flatnonzero(block == block[0]) if across else np.arange(count)
-    cols = np.flatnonzero(block != block[0]) if across else rows
-    row_at, col_at = np.full(count, -1), np.full(count, -1)
-    row_at[rows], col_at[cols] = np.arange(len(rows)), np.arange(len(cols))
+    rows, cols = np.flatnonzero(row_at >= 0), np.flatnonzero(col_at >= 0)
     common = np.zeros((len(rows), len(cols)), np.float32)
     # frequent tokens by matrix products, in steps; rare ones pair by pair
-    frequent = np.flatnonzero(df > max(8, count // 64))
+    limit = max(8, count // 64)
+    frequent = np.flatnonzero(df > limit)
     step = max(1, (4 << 20) // max(1, count))
     column = np.full(len(vocabulary), -1)
     for i in range(0, len(frequent), step):
@@ -235,137 +537,154 @@ def compare(nodes: np.ndarray, block: np.ndarray, texts: list[bytes], n: int, nu
         column[frequent[i : i + step]] = np.arange(len(frequent[i : i + step]))
         ok = column[token] >= 0
         m = np.zeros((count, min(step, len(frequent) - i)), np.float32)
-        m[s.doc[ok], column[token[ok]]] = 1
+        m[doc[ok], column[token[ok]]] = 1
         common += m[rows] @ m[cols].T
-    rare = (df > 1) & (df <= max(8, count // 64))
-    ok = np.flatnonzero(rare[token])
+    ok = np.flatnonzero(((df > 1) & (df <= limit))[token])
     ok = ok[np.argsort(token[ok], kind="stable")]
     lens = df[np.unique(token[ok])]
-    starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if len(lens) else np.zeros(0, np.int64)
+    starts = np.cumsum(lens) - lens
+    flat = common.ravel()
     for d in range(1, int(lens.max()) if len(lens) else 0):  # members of a token at distance d
         some = lens > d
         at = ragged(starts[some], lens[some] - d)
-        x, y = s.doc[ok[at]], s.doc[ok[at + d]]
-        if not across:
-            np.add.at(common, (row_at[x], col_at[y]), 1)
-            np.add.at(common, (row_at[y], col_at[x]), 1)
-        else:
-            swap = row_at[x] < 0
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            both = (row_at[x] >= 0) & (col_at[y] >= 0)
-            np.add.at(common, (row_at[x[both]], col_at[y[both]]), 1)
-    both = common.astype(np.int64)
-    link = den * both >= num * (s.n[rows][:, None] + s.n[cols][None, :] - both)
-    link &= (s.n[rows] > 0)[:, None]
-    if not across:
-        np.fill_diagonal(link, False)
+        x, y = doc[ok[at]], doc[ok[at + d]]
+        for a, b in ((x, y), (y, x)):
+            both = (row_at[a] >= 0) & (col_at[b] >= 0)
+            flat += np.bincount(row_at[a[both]] * len(cols) + col_at[b[both]], minlength=len(flat)).astype(np.float32)
+    return common
+
+
+def compare(nodes: np.ndarray, n: np.ndarray, orders: list[list[np.ndarray]], tokens: list[np.ndarray], num: int, den: int, rows: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets at rows (all, if none is given) and all sets.
+
+    Pairs must share a first token under every order; sets with such pairs are then compared whole.
+    """
+    count = len(nodes)
+    row = np.ones(count, bool) if rows is None else rows
+
+    def table_of(lists: list[np.ndarray], use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        row_at, col_at = np.full(count, -1), np.full(count, -1)
+        col_at[use], row_at[use & row] = np.arange(use.sum()), np.arange((use & row).sum())
+        lens = np.fromiter((len(x) if u else 0 for x, u in zip(lists, use, strict=True)), np.int64, count)
+        flat = np.concatenate([x for x, u in zip(lists, use, strict=True) if u] or [np.zeros(0, np.int64)])
+        return _overlaps(np.repeat(np.arange(count), lens), flat, count, row_at, col_at), np.flatnonzero(use & row), np.flatnonzero(use), use
+
+    use = np.ones(count, bool)
+    may = None
+    for lists in orders:
+        own, at, to, _ = table_of(lists, use)
+        own = own > 0
+        own &= at[:, None] != to[None, :]
+        own &= den * np.minimum(n[at][:, None], n[to][None, :]) >= num * np.maximum(n[at][:, None], n[to][None, :])
+        may = own if may is None else own & may
+        # sets without a pair left go
+        left = np.zeros(count, bool)
+        left[at[may.any(1)]] = True
+        left[to[may.any(0)]] = True
+        may = may[np.ix_(left[at], left[to])]
+        use = left
+        if not use.any():
+            return []
+    both, at, to, _ = table_of(tokens, use)
+    both = both.astype(np.int64)
+    link = may & (den * both >= num * (n[at][:, None] + n[to][None, :] - both))
     label, forest = np.arange(count), []
-    for i, r in enumerate(rows):
-        for c in cols[np.flatnonzero(link[i])]:
+    for i, r in enumerate(at):
+        for c in to[np.flatnonzero(link[i])]:
             if label[r] != label[c]:
                 label[label == label[c]] = label[r]
                 forest.append((int(nodes[r]), int(nodes[c])))
     return forest
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for docs with doc_id and text; similarity num/den or more links."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "jaccard")
-    docs = docs.select("doc_id", "text")
-    classes = spark.sparkContext.broadcast(token_classes(docs, n))
-
-    # one pass: each document's set hash and size, its first tokens under the filtering orders, and the
-    # tokens under the first order, where a task sends a token of many of its sets for one of them only
-    kind = dict(docs.dtypes)["doc_id"]
-    layout = ["kind", "doc_id", "n", "node", "token", "f1", "f2"]
+# --- components -----------------------------------------------------------------------------------------
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            none = lambda k, t: pa.nulls(k, t)
-            for lo, hi, texts in chunks(b):
-                s = Shingles(texts, n)
-                p = prefix_length(s.n, num, den)
-                nodes = s.nodes()
-                tokens, many = s.first(ORDERS[0], classes.value, p)
-                held.append((tokens, np.repeat(nodes, many)))
-                filters = [_pack(*s.first(o, classes.value, 2 * p)) for o in ORDERS[1:]]
-                k = hi - lo
-                yield pa.record_batch([pa.array(np.zeros(k, np.int8)), b.column(0).slice(lo, k), pa.array(s.n), pa.array(nodes.view(np.int64)), none(k, pa.int64()), *[pa.array(x, pa.binary()) for x in filters]], names=layout)
-                if sum(len(t) for t, _ in held) > 1_000_000:
-                    yield from _token_rows(held, b.column(0).type, layout)
-                    held = []
-            last = b.column(0).type
-        if held:
-            yield from _token_rows(held, last, layout)
 
-    described = docs.mapInArrow(describe, f"kind tinyint, doc_id {kind}, n long, node long, token long, f1 binary, f2 binary")
-    described = scratch.save(described, "described")
-    members = described.where("kind = 0").select("doc_id", "n", "node")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = described.where("kind in (1, 3)").select("token", "node", "kind").repartition(width, "token").sortWithinPartitions("token", "node")
-    met = shared.mapInArrow(_meet, "u long, v long, star boolean").unionByName(described.where("kind = 2").select(F.col("node").alias("u"), F.col("token").alias("v"), F.lit(True).alias("star")))
-    met = scratch.save(met.distinct(), "met")
-    stars = met.where("star").select("u", "v")
-
-    # sizes first: most pairs that share one token are of too different sizes, and fall before filters travel
-    sizes = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"))
-    near = met.where("not star").select("u", "v").join(sizes.select(F.col("node").alias("u"), F.col("n").alias("un")), "u")
-    near = near.join(sizes.select(F.col("node").alias("v"), F.col("n").alias("vn")), "v").where(den * F.least("un", "vn") >= num * F.greatest("un", "vn"))
-    # the other orders
-    filters = described.where("kind = 0 and n > 0").groupBy("node").agg(F.first(F.struct("f1", "f2")).alias("f"))
-    sides = [filters.select(F.col("node").alias(k), F.col("f").alias(f"{k}f")) for k in ("u", "v")]
-    pairs = near.join(sides[1], "v").join(sides[0], "u")
-    pairs = pairs.select("u", "un", "v", "vn", F.col("uf.f1").alias("u1"), F.col("uf.f2").alias("u2"), F.col("vf.f1").alias("v1"), F.col("vf.f2").alias("v2"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, un, v, vn, a1, a2, b1, b2 = (c.to_pylist() for c in b.columns)
-            ok = [all(passes(x, na, y, nb, num, den) and passes(y, nb, x, na, num, den) for x, y in ((x1, y1), (x2, y2))) for na, nb, x1, x2, y1, y2 in zip(un, vn, a1, a2, b1, b2, strict=True)]
-            ok = pa.array(ok, pa.bool_())
-            yield pa.record_batch([pa.array(u, pa.int64()).filter(ok), pa.array(v, pa.int64()).filter(ok)], names=["u", "v"])
+def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id) for docs with doc_id and text; similarity num/den or more links.
 
-    candidates = scratch.save(pairs.mapInArrow(keep, "u long, v long").unionByName(stars), "candidates")
-    scratch.drop(met)
+    mark is a hash of the text, which tells rows of one doc_id apart.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    docs = docs.select("doc_id", "text")
+    members, texts = possible(docs, n, num, den, scratch)
     scratch.release()
+    found = scratch.save(records(shared_tokens(texts, n, token_cells(texts, n)), num, den), "records")
+    scratch.release()
+    sets = found.where("kind = 0")
+
+    shared = found.where("kind in (1, 3)").select("token", "node", "kind").repartition("token").sortWithinPartitions("token", "node")
+    stars = found.where("kind = 2").select(F.col("node").alias("u"), F.col("other").alias("v"), F.lit(True).alias("star"))
+    met = scratch.save(shared.mapInArrow(_meet, "u long, v long, star boolean").unionByName(stars).distinct(), "met")
+    # pairs: sizes and the other orders
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"{k}n"), F.col("second").alias(f"{k}2"), F.col("third").alias(f"{k}3"))
+    pairs = met.where("not star").select("u", "v").join(side("u"), "u").join(side("v"), "v").where(den * F.least("un", "vn") >= num * F.greatest("un", "vn"))
+    pairs = pairs.where(F.arrays_overlap("u2", "v2") & F.arrays_overlap("u3", "v3")).select("u", "v")
+    clusters = scratch.save(connected_components(pairs.unionByName(met.where("star").select("u", "v")), scratch), "clusters")
+    links = _links(sets, clusters, num, den, scratch)
+    linked = connected_components(links, scratch)
 
-    # clusters, compared in blocks; the smallest document of a set lends its text
-    clusters = scratch.save(connected_components(candidates, scratch), "clusters")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    lend = members.join(clusters, "node").groupBy("node", "component").agg(F.min("doc_id").alias("doc_id")).join(sizes, "component")
-    lend = scratch.save(lend.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "lend")
-    few = F.broadcast(lend) if lend.count() <= BROADCAST_ROWS else lend
-    body = docs.join(few, "doc_id").dropDuplicates(["node", "doc_id"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    body = body.select("component", "node", "block", "text", other).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
+    # equal sets, and linked ones: the smallest document; one set may stand for very many rows, so rows meet sets salted
+    least = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    least = least.join(linked, "node", "left").where("rows > 1 or component is not null")
+    named = least.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("component_id"))
+    named = least.select("node", F.coalesce("component", "node").alias("component")).join(named, "component").select("node", "component_id")
+    named = scratch.save(named, "components").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
+    out = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALT)).cast("int")).join(named, ["node", "salt"], "left")
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [x.encode("utf-8", "surrogatepass") if x is not None else b"" for x in pdf["text"]]
-        found = compare(pdf["node"].to_numpy(np.int64), pdf["block"].to_numpy(), texts, n, num, den)
-        return pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
 
-    links = scratch.save(body.groupBy("component", "i", "j").applyInPandas(work, "u long, v long"), "links")
-    linked = connected_components(links, scratch)
-    least = members.join(linked, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.save(linked.join(least, "component").select("node", "component_id"), "components")
-    out = members.join(named, "node", "left")
-    # equal sets: the smallest document of the set
-    alone = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    out = out.join(alone, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "least", "doc_id").alias("component_id"))
+def _links(sets: DataFrame, clusters: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(u, v): edges that connect what is linked within each cluster."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        arrays = lambda c: [np.asarray(x, np.int64) for x in pdf[c]]
+        rows = pdf["asks"].to_numpy(bool)
+        edges = compare(pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), [arrays(c) for c in ("first", "second", "third")], arrays("tokens"), num, den, rows)
+        return pd.DataFrame(edges, columns=["u", "v"], dtype=np.int64)
+
+    body = ["node", "n", "tokens", "first", "second", "third"]
+    columns = ["component", "i", "j", "asks", *body]
+    size = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    placed = clusters.join(size, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = scratch.save(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("size"), "placed")
+    large = placed.where("blocks > 1")
+    low = large.groupBy("component", "blocks", "block").agg(F.min("node").alias("node"))  # one set per block stands for it, PIVOTS at most
+    pivots = low.where(F.col("block") < PIVOTS).select("component", "node", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "block").where("i <> block")
+    every = placed.select("component", "node", F.col("block").alias("i")).unionByName(pivots.select("component", "node", "i"))
+    rows = sets.select(*body).join(every, "node").withColumns({"j": F.lit(0), "asks": F.lit(True)}).select(columns)
+    links = scratch.save(rows.groupBy("component", "i", "j").applyInPandas(work, "u long, v long"), "links")
+    if large.isEmpty():
+        return links
+    # large clusters: sets outside the largest component so far meet all blocks
+    parts = connected_components(links, scratch).select("node", F.col("component").alias("part"))
+    now = large.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    top = now.groupBy("component", "part").agg(F.count("*").alias("size")).groupBy("component").agg(F.max(F.struct("size", "part")).alias("top"))
+    now = scratch.save(now.join(top, "component").withColumn("outside", F.col("part") != F.col("top.part")).drop("top"), "outside")
+    asks = now.where("outside").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+    now = now.join(asks, "component")
+    group = F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")
+    to = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")
+    ask = now.where("outside").select("component", "node", group.alias("i"), to).withColumn("asks", F.lit(True))
+    answer = now.select("component", "node", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i")).withColumn("asks", F.lit(False))
+    both = ask.unionByName(answer.select("component", "node", "i", "j", "asks")).groupBy("component", "node", "i", "j").agg(F.max("asks").alias("asks"))
+    rows = sets.select(*body).join(both, "node").select(columns)
+    more = scratch.save(rows.groupBy("component", "i", "j").applyInPandas(work, "u long, v long"), "links")
+    return links.unionByName(more)
 
 
 def keep_one(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id. Rows without doc_id stay."""
     found = jaccard_components(docs, n=n, num=num, den=den)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where("doc_id <> component_id").select("doc_id", "mark").distinct()
     gone = Scratch(docs.sparkSession, "jaccard").save(gone, "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    a, b = docs.alias("a"), gone.alias("b")
+    return a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.mark")), "left_anti")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100).drop("mark")
 
 
 QUERIES = {"op3_jaccard_join": op3_jaccard_join}
