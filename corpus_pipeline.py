@@ -17,15 +17,15 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, learnt from labels.quality: documents below KEEP_SCORE go."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs.select("doc_id", "text"), labels)
-    return quality.score(docs, model).where(F.col("_score") >= KEEP_SCORE).drop("_score")
+    scored = quality.score(docs, model)
+    return scored.where(F.col(f"`{scored.columns[-1]}`") >= KEEP_SCORE).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def strip_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup with the source as the host; n_chars follows the text."""
-    out = line_dedup.drop_lines(docs).drop("_n_lines", "_n_dropped")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(docs.columns)
-    return out
+    """Line dedup with the source as the host; n_chars follows the text. Pages of boilerplate alone stay for the next stage, which keeps one of equal ones."""
+    out = line_dedup.drop_lines(docs, keep_whole=True)
+    chars = F.length("text").cast(dict(docs.dtypes)["n_chars"]) if "n_chars" in docs.columns else None
+    return out.select(*[chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ stay in their order. The host of a page is a column (the source of documents) or
 
 Lines are compared after trimming; blank lines always stay. Null text stays null and counts as a
 page without lines; pages with a null host form one site; repeated rows are pages of their own,
-a line that repeats within one counts once. A line needs min_pages pages at least, so that a small
-site does not lose lines that only few pages share. A page that would lose every line it has keeps
-them all: it is a copy of other pages rather than boilerplate around a page. Empty tables give no rows. Extra columns are
-kept whatever their names.
+a line that repeats within one counts once. A line needs min_pages pages at least, as one page of a
+site with few pages is a large share. A page of boilerplate alone loses all lines, or, with
+keep_whole, none: where near-duplicate removal follows, that then keeps one of such pages that are
+equal. Very long texts are pages like any other. Empty tables give no rows. Extra columns are kept
+whatever their names; the two columns added get more underscores where theirs are taken.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import Scratch, table
+from tallyward.llm.common import Scratch, table, unused
 
 #: Boilerplate: on more than this share of a site's pages, and on so many pages at least.
-RATIO, MIN_PAGES = 0.1, 5
-#: Per row, lines go out with 64 bits of the hash; two hashes make an accidental match unlikely at any size.
+RATIO, MIN_PAGES = 0.01, 5
 _TRIM = " \t\r\x0b\x0c"
 
 
@@ -53,23 +53,28 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     return many.groupBy("host").agg(F.collect_set("m").alias("marks"))
 
 
-def drop_lines(pages: DataFrame, *, host: Column | None = None, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, scratch: Scratch | None = None) -> DataFrame:
-    """pages with text_col without its site's boilerplate, and _n_lines and _n_dropped."""
+def drop_lines(
+    pages: DataFrame, *, host: Column | None = None, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, keep_whole: bool = False, scratch: Scratch | None = None
+) -> DataFrame:
+    """pages with text_col without its site's boilerplate, and _n_lines and _n_dropped as last columns."""
     host = F.col("source") if host is None else host
     scratch = scratch or Scratch(pages.sparkSession, "lines")
     found = scratch.save(boilerplate(pages, host, F.col(f"`{text_col}`"), ratio, min_pages), "boilerplate")
-    b = found.select(F.col("host").alias("_b_host"), F.col("marks").alias("_b_marks"))
     # one row per site that has such lines at all, of bounded width; Catalyst broadcasts it while it is small
-    d = pages.withColumn("_host", host).join(b, F.col("_host").eqNullSafe(F.col("_b_host")), "left")
-    lines = _lines(F.col(f"`{text_col}`"))
-    kept = F.when(F.col("_b_marks").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_b_marks"), _mark(x)), F.lit(False))))
-    d = d.withColumn("_kept", kept)
-    d = d.withColumn("_kept", F.when(F.exists("_kept", lambda x: F.btrim(x, F.lit(_TRIM)) != ""), F.col("_kept")).otherwise(lines))
-    n = F.coalesce(F.size(lines), F.lit(0))
+    b = found.select(F.col("host").alias("site"), "marks")
+    own = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), host.alias("host"))
+    d = own.join(b, F.col("host").eqNullSafe(F.col("site")), "left")
+    text = F.col("page").getField(text_col)
+    lines = _lines(text)
+    kept = F.when(F.col("marks").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("marks"), _mark(x)), F.lit(False))))
+    d = d.withColumn("kept", kept)
+    if keep_whole:
+        d = d.withColumn("kept", F.when(F.exists("kept", lambda x: F.btrim(x, F.lit(_TRIM)) != ""), F.col("kept")).otherwise(lines))
+    n = F.when(text.isNull(), 0).otherwise(F.size(lines))
     return d.select(
-        *[(F.array_join("_kept", "\n") if c == text_col else F.col(f"`{c}`")).alias(c) for c in pages.columns],
-        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(n).alias("_n_lines"),
-        F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(n - F.size("_kept")).alias("_n_dropped"),
+        *[(F.array_join("kept", "\n") if c == text_col else F.col("page").getField(c)).alias(c) for c in pages.columns],
+        n.alias(unused(pages.columns, "_n_lines")),
+        F.when(text.isNull(), 0).otherwise(n - F.size("kept")).alias(unused(pages.columns, "_n_dropped")),
     )
 
 
@@ -88,8 +93,7 @@ b as (
   select l.source, l.t from l join s on l.source is not distinct from s.source where l.t <> ''
   group by l.source, l.t, s.pages having count(distinct l.doc_id) >= {MIN_PAGES} and count(distinct l.doc_id) > {RATIO} * s.pages
 ),
-f as (select l.*, b.t is not null as found from l left join b on l.source is not distinct from b.source and l.t = b.t),
-m as (select *, found and coalesce(bool_or(t <> '' and not found) over (partition by doc_id), false) as gone from f),
+m as (select l.*, b.t is not null as gone from l left join b on l.source is not distinct from b.source and l.t = b.t),
 k as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, coalesce(string_agg(x, chr(10) order by pos) filter (where not gone), '') as kept from m group by doc_id)
 select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_dropped, 0) as n_dropped, case when d.text is not null then md5(k.kept) end as kept_md5
 from documents d left join k using (doc_id)
