@@ -5,14 +5,17 @@ of GRAM bytes (by hash), and consecutive strings with one gram form a piece of t
 occur twice matter. Their distinct pieces meet by gram, and a task sorts the suffixes of the
 pieces it holds in two stages: suffixes smaller than their successors directly, all others induced
 from them by scanning the buckets in order; common prefixes of neighbours then show the strings
-that start twice. Equal pieces travel once, with their number. Results return to each occurrence.
+that start twice. Equal pieces of one step are one row that lists its occurrences, and of all equal
+pieces one body travels, with their number. Results return to each occurrence.
 
 A gram with very many distinct pieces (the edge of a popular passage) would fill a task; its pieces are
-cut into short runs of strings and meet by a hash of the bytes that all strings of a run share.
+cut into short runs of strings and meet by a hash of the bytes that all strings of a run share. Equal
+bodies that meet are sorted once.
 
-Null text is an empty text; texts shorter than LENGTH keep all bytes; matches do not cross texts. Rows
-with one doc_id are texts of their own; repeated rows are copies of each other. Empty tables give no
-rows. Extra columns are kept whatever their names.
+Null text is an empty text; texts shorter than LENGTH keep all bytes; matches do not cross texts; very long
+texts are handled whole. Rows with one doc_id are texts of their own; repeated rows are copies of each
+other. Empty tables give no rows. Extra columns are kept whatever their names; the two columns added
+get more underscores where theirs are taken.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import _EXACT, Scratch, chunks, mix64, powers, ragged, table
+from tallyward.llm.common import _EXACT, Scratch, chunks, mix64, powers, ragged, table, unused
 
 LENGTH, GRAM = 200, 80
 #: Distinct pieces of one gram beyond which they are cut, and strings per run then.
@@ -182,28 +185,47 @@ def _runs(starts: np.ndarray) -> list[int]:
 
 
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    ids = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return docs.withColumns({"_k1": F.xxhash64(*ids, text), "_k2": F.hash(text, *ids)})
+    """Columns by number, c0, c1, ..., and two hashes _k1 and _k2 of the row."""
+    place = docs.columns.index(text_col)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = F.coalesce(f"c{place}", F.lit(""))
+    ids = [F.col(c) for c in named.columns if c != f"c{place}"]
+    return named.withColumns({"_k1": F.xxhash64(*ids, text), "_k2": F.hash(text, *ids)})
 
 
 def repeated(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     """(_k1, _k2, runs): per text the strings that start elsewhere as well, as first and number, repeating."""
-    own = docs.where(F.octet_length(text_col) >= LENGTH).select("_k1", "_k2", F.col(f"`{text_col}`").alias("text"))
+    own = docs.where(F.octet_length(text_col) >= LENGTH).select("_k1", "_k2", F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, _, texts in chunks(b):
                 p = pieces(texts)
-                at = pa.array(p["text"] + lo)
-                yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(p["start"].astype(np.int32)), pa.array(p["strings"].astype(np.int32)), pa.array(p["offset"].astype(np.int32)), pa.array(p["gram"]), pa.array(p["piece"])], names=["k1", "k2", "start", "strings", "offset", "gram", "piece"])
-
-    placed = scratch.save(own.mapInArrow(cut, "k1 long, k2 int, start int, strings int, offset int, gram long, piece long"), "pieces")
-    twice = placed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+                order = np.lexsort((p["strings"], p["gram"], p["piece"]))
+                first = np.ones(len(order), bool)
+                for k in ("piece", "gram", "strings"):
+                    v = p[k][order]
+                    first[1:] &= v[1:] == v[:-1]
+                first[1:] = ~first[1:]
+                if len(order):
+                    first[0] = True
+                head, n = order[first], np.diff(np.append(np.flatnonzero(first), len(order)))
+                at = pa.array(p["text"][head] + lo)
+                rest = order[~first]  # further occurrences of the same pieces, in the order of these
+                ends = np.concatenate([[0], np.cumsum(n - 1)]).astype(np.int32)
+                where = pa.array(p["text"][rest] + lo)
+                more = pa.StructArray.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(p["start"][rest].astype(np.int32))], names=["k1", "k2", "start"])
+                yield pa.record_batch(
+                    [b.column(0).take(at), b.column(1).take(at), *[pa.array(p[k][head].astype(np.int32)) for k in ("start", "strings", "offset")], pa.array(p["gram"][head]), pa.array(p["piece"][head]), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), more)],
+                    names=["k1", "k2", "start", "strings", "offset", "gram", "piece", "n", "more"],
+                )
+
+    placed = scratch.save(own.mapInArrow(cut, "k1 long, k2 int, start int, strings int, offset int, gram long, piece long, n long, more array<struct<k1:long,k2:int,start:int>>"), "pieces")
+    twice = placed.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     cand = scratch.save(placed.join(twice, "gram"), "candidates")
     scratch.drop(placed)
     scratch.release()
-    distinct = cand.groupBy("gram", "piece", "strings").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start", "offset")).alias("at"))
+    distinct = cand.groupBy("gram", "piece", "strings").agg(F.sum("n").alias("copies"), F.min(F.struct("k1", "k2", "start", "offset")).alias("at"))
     distinct = scratch.save(distinct, "distinct")
     scratch.release()
     many = distinct.groupBy("gram").agg(F.count("*").alias("n")).where(f"n > {MANY}").select("gram", F.lit(True).alias("many"))
@@ -235,14 +257,20 @@ def repeated(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     schema = "key long, gram long, piece long, strings int, first int, copies long, body binary"
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one text per distinct piece (a repeated row sends its own again, which its copies cover); keys stay together and arrive sorted
-    parts = bodies.mapInArrow(extract, schema).repartition(width, "key").sortWithinPartitions("key")
+    parts = bodies.mapInArrow(extract, schema).repartition(width, "key").sortWithinPartitions("key", "body")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            out = []
-            for (_, gram, piece, strings, first, copies, body), starts in zip(rows, repeated_strings([r[6] for r in rows]), strict=True):
-                runs = [0, len(body) - LENGTH + 1] if copies > 1 else _runs(starts)
+            out, bodies = [], {}  # equal bodies are sorted once
+            for r in rows:
+                bodies.setdefault(r[6], len(bodies))
+            alike = np.bincount([bodies[r[6]] for r in rows])
+            found = repeated_strings(list(bodies))
+            for _, gram, piece, strings, first, copies, body in rows:
+                i = bodies[body]
+                runs = [0, len(body) - LENGTH + 1] if copies > 1 or alike[i] > 1 else _runs(found[i])
                 if runs:
+                    runs = list(runs)
                     runs[0::2] = [x + first for x in runs[0::2]]
                     out.append((gram, piece, strings, runs))
             if out:
@@ -254,8 +282,11 @@ def repeated(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
                 if size >= SORT_BYTES and row[0] != held[-1][0]:
                     yield from solve(held)
                     held, size = [], 0
+                if held and row[0] == held[-1][0] and row[6] == held[-1][6]:  # an equal body takes no space of its own
+                    row = (*row[:6], held[-1][6])
+                else:
+                    size += len(row[6])
                 held.append(row)
-                size += len(row[6])
         if held:
             yield from solve(held)
 
@@ -264,8 +295,9 @@ def repeated(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     scratch.release()
     found = found.groupBy("gram", "piece", "strings").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     back = cand.join(found, ["gram", "piece", "strings"])
-    shifted = F.transform("runs", lambda x, i: F.when(i % 2 == 0, x + F.col("start")).otherwise(x))
-    out = back.select("k1", "k2", shifted.alias("runs")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    back = back.select("runs", F.explode(F.concat(F.array(F.struct("k1", "k2", "start")), "more")).alias("o"))
+    shifted = F.transform("runs", lambda x, i: F.when(i % 2 == 0, x + F.col("o.start")).otherwise(x))
+    out = back.select("o.k1", "o.k2", shifted.alias("runs")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     out = scratch.save(out, "runs")
     scratch.release()
     return out.select(F.col("k1").alias("_r1"), F.col("k2").alias("_r2"), "runs")
@@ -285,12 +317,12 @@ def _covered(n: int, runs: list[int] | None) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """docs with _kept (the remaining bytes) and _spans (removed byte ranges, as start and end, repeating)."""
+    """docs with _kept (the remaining bytes) and _spans (removed byte ranges, as start and end, repeating) as last columns."""
     scratch = scratch or Scratch(docs.sparkSession, "suffixes")
     keyed = _keyed(docs, text_col)
-    runs = repeated(keyed, text_col, scratch)
-    joined = keyed.join(runs, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left").drop("_k1", "_k2", "_r1", "_r2").withColumnRenamed("runs", "_runs")
     place = docs.columns.index(text_col)
+    runs = repeated(keyed, f"c{place}", scratch)
+    joined = keyed.join(runs, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")), "left").drop("_k1", "_k2", "_r1", "_r2").withColumnRenamed("runs", "_runs")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,8 +337,9 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", scratch: Scratch
 
     from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-    schema = StructType(list(docs.schema.fields)).add("_kept", BinaryType()).add("_spans", ArrayType(LongType()))
-    return joined.mapInArrow(work, schema)
+    schema = StructType(keyed.drop("_k1", "_k2").schema.fields).add("_kept", BinaryType()).add("_spans", ArrayType(LongType()))
+    out = joined.mapInArrow(work, schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], *[F.col(c).alias(unused(docs.columns, c)) for c in ("_kept", "_spans")])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
