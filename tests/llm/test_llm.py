@@ -196,6 +196,19 @@ def test_mix_edges(spark, empty):
     one = spark.createDataFrame([(1, None, "x", None, 0, 9), (1, "a b", "x", None, 0, 9)], f"{DOCS}, size int")
     assert sorted(r["_copies"] for r in mixing.mix(one).where("_size > 0").collect()) == [1]
     assert "size" in mixing.mix(one).columns
+    clash = one.withColumns({"_size": F.lit(1), "_copies": F.lit("c"), "copy": F.lit(8), "key": F.lit(2), "body": F.lit(3), "number": F.lit(4), "id": F.lit(5), "row": F.lit(6)})
+    row = mixing.expand(mixing.mix(clash)).where("text = 'a b'").first()
+    assert (row["_size"], row["_copies"], row["copy"], row["_copy"], row["key"], row["number"]) == (1, "c", 8, 1, 2, 4)
+
+
+def test_mix_rounds_repeated_rows_one_by_one(spark):
+    rows = [(1, " ".join(["a"] * 7), "s0")] * 30 + [(2, " ".join(["b"] * 6), "s1")] * 40 + [(None, "c d", "s2")] * 25
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, goal = collections.Counter(), {}
+    for r in mixing.mix(d).collect():
+        taken[r["source"]] += r["_size"] * r["_copies"]
+        goal[r["source"]] = r["_target"]
+    assert all(abs(taken[s] - goal[s]) <= 7 for s in goal), (taken, goal)
 
 
 # --- Jaccard join -----------------------------------------------------------------------------------------
@@ -238,18 +251,52 @@ def test_jaccard_empty(empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
-def test_prefix_filter_never_loses_a_pair():
+def test_compare_keeps_every_link():
+    """The filters under several orders lose no pair, whichever rows ask."""
     rng = np.random.default_rng(4)
-    for _ in range(300):
-        n = int(rng.integers(5, 80))
-        a = rng.choice(1000, n, replace=False)
-        b = np.unique(np.concatenate([rng.choice(a, n - int(rng.integers(0, max(1, n // 8))), replace=False), rng.integers(1000, 1100, int(rng.integers(0, 3)))]))
-        both, na, nb = len(np.intersect1d(a, b)), len(a), len(b)
-        if 100 * both < 80 * (na + nb - both):
-            continue
-        rank = rng.permutation(1100)
-        pack = lambda x: np.array(sorted(x, key=lambda t: rank[t]))[: 2 * int(ngram_join.prefix_length(np.array([len(x)]), 80, 100)[0])].astype(np.uint16).tobytes()  # noqa: B023, E731
-        assert ngram_join.passes(pack(a), na, pack(b), nb, 80, 100) and ngram_join.passes(pack(b), nb, pack(a), na, 80, 100)
+    for _ in range(30):
+        base, sets = rng.choice(500, 60, replace=False), []
+        for _ in range(40):
+            keep = rng.random(60) > rng.choice([0.02, 0.1, 0.3])
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(500, 2000, int(rng.integers(0, 9)))])))
+        n = np.array([len(x) for x in sets])
+        p = ngram_join.prefix_length(n, 80, 100)
+        ranks = [rng.permutation(2000) for _ in range(3)]
+        orders = [[x[np.argsort(r[x])][:k] for x, k in zip(sets, p, strict=True)] for r in ranks]
+        asks = rng.random(40) < 0.5
+        want = [(i, j) for i in range(40) for j in range(40) if i != j and asks[i] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        got = ngram_join.compare(np.arange(40), n, orders, sets, 80, 100, asks)
+        assert set(got) <= set(want) and components(range(40), got) == components(range(40), want)
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    """Every row is compared with its own text, whatever its id."""
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    a, b, c = text(), text(), text()
+    near = lambda t: [*t[:-1], "other"]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (3, " ".join(near(b))), (None, " ".join(c)), (7, " ".join(near(c))), (9, None), (None, ""), (4, " ".join(text()))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"mark": F.lit(1), "_gone": F.lit(2)})
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(d).collect()}
+    assert got == {(1, 96, 1), (3, 96, 1), (None, 96, 7), (7, 96, 7), (9, 0, 9), (None, 0, None), (4, 96, 4)}
+    kept = ngram_join.keep_one(d)
+    assert kept.columns == d.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "4", "7", "9", "None", "None"]
+
+
+def test_jaccard_frequent_tokens(spark, monkeypatch):
+    """Tokens that the table of counts shows as frequent are not sent, and lose no link."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 6)
+    rng = random.Random(11)
+    head = [f"h{i}" for i in range(40)]
+    rows = []
+    for i in range(40):
+        own = [f"x{rng.randrange(10**6)}" for _ in range(8)]
+        rows += [(3 * i, " ".join(head + own)), (3 * i + 1, " ".join(head + own[:-1] + [f"y{i}"])), (3 * i + 2, " ".join(head[:-9] + own + own[::-1] + [f"z{i}"] * 9))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows for w in [t.split()]}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(d, n=3, num=80, den=100).collect()}
+    assert got == components(list(sets), linked) and len(set(got.values())) < len(sets)
 
 
 # --- lines -------------------------------------------------------------------------------------------------
@@ -261,7 +308,14 @@ def test_lines(spark):
     got = {r["doc_id"]: r for r in line_dedup.drop_lines(d).collect()}
     assert got[1]["text"] == "body 1\n" and got[1]["_n_dropped"] == 2 and got[1]["_n_lines"] == 4
     assert got[2]["text"] == "body 2" and got[50]["text"] is None and got[52]["text"] == "menu" and got[53]["text"] == ""
-    assert got[51]["text"] == "menu"  # a page keeps its lines rather than lose them all
+    assert got[51]["text"] == "" and got[51]["_n_dropped"] == 1
+    assert {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(d, keep_whole=True).collect()}[51] == "menu"
+    clash = d.withColumns({"_host": F.lit("mine"), "_n_lines": F.lit(7), "marks": F.lit(3), "kept": F.lit(4), "page": F.lit(5), "site": F.lit(6)})
+    row = line_dedup.drop_lines(clash).where("doc_id = 1").first()
+    assert (row["_host"], row["_n_lines"], row["marks"], row["kept"], row["page"], row["site"], row["__n_lines"], row["text"]) == ("mine", 7, 3, 4, 5, 6, 4, "body 1\n")
+    sites = spark.createDataFrame([(i, f"http://a.org/{i}", f"top\n{i}") for i in range(8)] + [(9, "http://b.org/", "top\n9"), (10, None, "top")], "page_id long, url string, html string")
+    by_url = {r["page_id"]: r["html"] for r in line_dedup.drop_lines(sites, host=line_dedup.host_of_url(F.col("url")), text_col="html").collect()}
+    assert by_url[3] == "3" and by_url[9] == "top\n9" and by_url[10] == "top"
     assert line_dedup.drop_lines(d.limit(0)).count() == 0
     assert spark.createDataFrame([("HTTP://u:p@A.b.c:80/x",), (None,)], "u string").select(line_dedup.host_of_url(F.col("u")).alias("h")).first()["h"] == "a.b.c"
 
@@ -282,6 +336,39 @@ def test_quality_learns_and_scores_everything(spark):
     none = quality.score(d, quality.train(d, y.limit(0)))
     assert {round(r["_score"], 6) for r in none.collect()} == {0.5}
     assert quality.score(d.limit(0), quality.train(d, y)).count() == 0
+    named = quality.score(d.withColumn("_score", F.lit("mine")), quality.train(d, y))
+    assert named.columns[-2:] == ["_score", "__score"] and {r["_score"] for r in named.select("_score").collect()} == {"mine"}
+
+
+def test_quality_counts_and_scores_match_brute_force(spark):
+    """Class counts of every row, and the score from weights and curve, against plain loops."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("the cat Sat 12 on, mats".split()) for _ in range(rng.randint(0, 20)))) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    y = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    features = {}
+    for i, t in rows:
+        f, starts = quality.features([t.encode()])
+        assert list(starts) == [0, len(f)] and len(set(f.tolist())) == len(f)
+        features[i] = f.tolist()
+    got = {r["feature"]: (r["pos"], r["neg"]) for r in quality.class_counts(d.join(y, "doc_id")).collect()}
+    want = {quality.SPACE: (30, 30)}
+    for i in range(60):
+        for f in features[i]:
+            pos, neg = want.get(f, (0, 0))
+            want[f] = (pos + i % 2, neg + (i + 1) % 2)
+    assert got == want
+    weights, a, c = quality.train(d, y)
+    for r in quality.score(d, (weights, a, c)).collect():
+        f = features[r["doc_id"]]
+        margin = (sum(weights[x] for x in f) + weights[quality.SPACE]) / math.sqrt(len(f) + 1)
+        assert math.isclose(r["_score"], 1 / (1 + math.exp(-(a * margin + c))), rel_tol=1e-9)
+
+
+def test_quality_learns_from_a_bounded_sample(spark):
+    y = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id long, label int")
+    got = quality._chosen(y, 100, 30).collect()
+    assert len(got) == 100 and sum(r["fit"] for r in got) == 30 and sorted(map(tuple, got)) == sorted(map(tuple, quality._chosen(y.repartition(3), 100, 30).collect()))
 
 
 def test_dual_coordinate_descent_reaches_the_optimum():
@@ -409,6 +496,21 @@ def test_chat_round_trip():
         text, _ = chat.render(turns)
         assert [x[:2] for x in chat.parse(text)] == turns
     assert chat.render([("user", "plain <b>")])[1] == 0
+    for text in ("a<|im_end|>b", "hi<|im_end|>", "<|im_start|>"):  # no control string stays as it is
+        shown, n = chat.render([("assistant", text), ("<|im_end|>", "x")])
+        assert n == 2 and shown.count(chat.START) == shown.count(chat.END) == 2 and chat.parse(shown)[0][1] == text
+
+
+def test_chat_sql_agrees(spark, tmp_path):
+    """The query and its SQL over rows that hold control strings, empty roles and a very long text."""
+    import duckdb
+
+    rows = [(1, 0, "user", "a<|im_end|>b"), (1, 1, "assistant", "hi<|im_end|>"), (2, 0, "", "x" * 200_000), (2, 1, None, None), (3, 0, "<|im_end|>", "<\\|"), (3, 1, "assistant", "<|im_end|>\n<|im_start|>user\n")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in chat.op8_chat_roundtrip(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.sql(f"create view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(db.sql(chat.SQL["op8_chat_roundtrip"]).fetchall())
 
 
 def test_chat_rows(spark):
@@ -425,6 +527,28 @@ def test_chat_rows(spark):
 # --- embeddings -----------------------------------------------------------------------------------------------
 
 
+def test_embeddings_of_any_length_and_size(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, [1.0, 0.01], 1), (2, [1.0, 0.0], 1), (3, v, 1), (4, [2.0, 4.0, 6.1], 1), (5, [-1.0, 0.0, 0.0], 1), (6, [1e-200, 0.0, 0.0], 1), (7, [1e200, 1e198, 0.0], 1), (8, [5e-324, 0.0, 0.0], 1), (9, [0.0, 0.0, 0.0], 1), (10, None, 1), (11, [], 1), (12, [float("nan"), 1.0], 1), (13, v, None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (2, 6), 7: (2, 6), 8: (2, 6), **{i: (0, i) for i in range(9, 14)}}
+    # a repeated id counts each row with its own content
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.01, 1.0], 1), (None, [1.0, 0.01], 1)]
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [("1", 1, 1), ("1", 1, 1), ("2", 1, 1), ("None", 1, 1)]
+
+
+def test_tree_of_intervals_finds_all_near_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "FANOUT", 1)
+    rng = np.random.default_rng(6)
+    at = rng.random((60, embeddings.DIRECTIONS))
+    rows = [(i % 2, 3, i // 20, i % 20, i, [float(x) for x in at[i]]) for i in range(60)]
+    d = spark.createDataFrame(rows, "label int, dim int, part long, number long, interval long, point array<double>")
+    got = {tuple(sorted(r)) for r in embeddings.near_intervals(d, 0.8).collect()}
+    want = {(i, j) for i in range(60) for j in range(i, 60) if i % 2 == j % 2 and ((at[i] - at[j]) ** 2).sum() <= 0.64}
+    assert got == want
+
+
 def test_embeddings_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "INTERVAL", 16)
     monkeypatch.setattr(embeddings, "LEAF", 4)
