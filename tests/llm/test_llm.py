@@ -473,16 +473,41 @@ def test_attention_is_a_causal_distribution():
     changed[:, -3:] = (changed[:, -3:] + 1) % 127
     assert np.allclose(logits.reshape(len(x), 16, -1)[:, :13], language_model.forward(w, changed).reshape(len(x), 16, -1)[:, :13])
     y = np.where(t >= 0, cls[np.maximum(t, 0)], -1)
+    p = logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    rows = np.flatnonzero(y.ravel() >= 0)
+    # training sees the same model: the second halves of rows of two blocks have the same probabilities
+    whole = (x[:, :16] != language_model.CLASSES - 1).all(1)
+    later = np.concatenate([np.full_like(y, -1), y], 1)[whole]
+    own = rows[np.isin(rows // 16, np.flatnonzero(whole))]
+    assert whole.sum() == 4 and np.isclose(language_model.gradient(flat, x[whole], later)[1], -p[own, y.ravel()[own]].sum())
+    x, y = language_model.sequences(cls, per)
+    assert sorted(y[y >= 0].tolist()) == sorted(cls.tolist()) and x[0, 0] == -1 and x[0, 1] == cls[0] and y[0, 0] == cls[0]
     g, _, n = language_model.gradient(flat, x, y)
+    assert n == 70
     for i in rng.integers(0, len(flat), 30):
         e = np.zeros_like(flat)
         e[i] = 1e-5
         slope = (language_model.gradient(flat + e, x, y)[1] - language_model.gradient(flat - e, x, y)[1]) / 2e-5 / n
         assert abs(slope - g[i]) < 1e-6
     lp = language_model.log_probabilities(w, cls, np.zeros(70), per)
-    p = logits - np.log(np.exp(logits).sum(1, keepdims=True))
-    rows = np.flatnonzero(y.ravel() >= 0)
-    assert np.isclose(lp.sum(), p[rows, y.ravel()[rows]].sum())
+    y = cls[t[t >= 0]]
+    assert np.isclose(lp.sum(), p[rows, y].sum())
+
+
+def test_attention_beats_a_bigram_table():
+    """Each text keeps to few classes: what the last class alone says is less than what the context says."""
+    rng = np.random.default_rng(3)
+    per = np.full(500, 32)
+    cls = np.concatenate([rng.choice(rng.choice(60, 5, replace=False), 32) for _ in per])
+    x, y = language_model.sequences(cls, per)
+    share = np.bincount(cls, minlength=language_model.CLASSES)[:-1]
+    flat = language_model.fit(language_model.start_weights(share / share.sum()), x[:400], y[:400], 0.02, 30)
+    _, loss, n = language_model.gradient(flat, x[400:], y[400:])
+    table_ = np.full((language_model.CLASSES, language_model.CLASSES - 1), 0.1)
+    np.add.at(table_, (x[:400].ravel(), y[:400].ravel()), 1)
+    table_ /= table_.sum(1, keepdims=True)
+    bigram = -np.log(table_[x[400:].ravel(), y[400:].ravel()]).mean()
+    assert loss / n < bigram - 0.3, (loss / n, bigram)
 
 
 # --- chat -----------------------------------------------------------------------------------------------------
