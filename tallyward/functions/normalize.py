@@ -115,3 +115,15 @@ def satisfies(version: str, constraint: str) -> bool:
         if not tests[op or "=="](parts(version), parts(c.removeprefix(op or ""))):
             return False
     return True
+
+
+def satisfies_column(version: Column, constraint: str) -> Column:
+    """satisfies() of a column of versions."""
+    parts = lambda v: F.transform(F.split(F.trim(v), r"\."), lambda x: x.cast("int"))
+    tests = {">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
+    out = F.lit(True)
+    for c in constraint.split(","):
+        c = c.strip()
+        op = next((o for o in tests if c.startswith(o)), None)
+        out = out & tests[op or "=="](parts(version), parts(F.lit(c.removeprefix(op or ""))))
+    return out

@@ -135,3 +135,10 @@ def promote(versions: DataFrame, model: str, version: str, chosen: DataFrame) ->
     c = chosen.select(F.col(model).alias("_m"), F.col(version).alias("_v"))
     d = versions.join(F.broadcast(c), F.col(model) == F.col("_m"), "left")  # chosen: one row per model
     return d.withColumn("stage", F.when(F.col("_v").isNull(), F.col("stage")).when(F.col(version) == F.col("_v"), "production").when(F.col("stage") == "production", "archived").otherwise(F.col("stage"))).drop("_m", "_v")
+
+
+def pack_conflicts(codes: DataFrame) -> DataFrame:
+    """(code, pack_a, pack_b): codes that several packs define, from (pack, code); a code has as many rows as pairs of its packs."""
+    packs = codes.groupBy("code").agg(F.sort_array(F.collect_set("pack")).alias("packs")).where(F.size("packs") > 1)
+    left = packs.select("code", "packs", F.posexplode("packs").alias("i", "pack_a"))
+    return left.select("code", "pack_a", F.explode(F.slice("packs", F.col("i") + 2, F.size("packs"))).alias("pack_b"))

@@ -5,6 +5,8 @@ Records have id, side (SOURCE_A or SOURCE_B), account, currency, amount, directi
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from heapq import merge
 from itertools import combinations
 
 import pandas as pd
@@ -50,11 +52,42 @@ def tolerance_pairs(records: DataFrame, *, days: int, absolute: float | None = N
     return one.groupBy("b_id").agg(F.count("*").alias("n"), F.max("a_id").alias("a_id")).where("n = 1").select("a_id", "b_id")
 
 
-def group_matches(records: DataFrame, *, tolerance: float = 0.0, most_size: int = 4, pool: int = 40, steps: int = 200_000) -> DataFrame:
+def _smallest_sets(rows: list[tuple[str, str, int]], most_size: int, tolerance: float, steps: int) -> tuple[list[list[int]], bool]:
+    """Sets of rows (id, side, cents) of both sides that net to zero, smallest first, then in the order of rows; and whether the steps ran out.
+
+    The last two members of a set are looked up by the sum they have to have, so a size costs the combinations of two members less.
+    """
+    n, used, found, tried = len(rows), set(), [], 0
+    sums: dict[int, list[tuple[int, int]]] = {}
+    for i, j in combinations(range(n), 2):
+        sums.setdefault(rows[i][2] + rows[j][2], []).append((i, j))
+    keys = sorted(sums)
+    for size in range(2, most_size + 1):
+        for head in combinations(range(n), size - 2):
+            tried += 1
+            if tried > steps:
+                return found, True
+            if used.intersection(head):
+                continue
+            goal, last = -sum(rows[i][2] for i in head), head[-1] if head else -1
+            near = keys[bisect_left(keys, goal - tolerance) : bisect_right(keys, goal + tolerance)]
+            pairs = sums[near[0]] if len(near) == 1 else merge(*(sums[k] for k in near))
+            for pair in pairs:
+                tried += 1
+                if pair[0] <= last or used.intersection(pair) or len({rows[i][1] for i in (*head, *pair)}) < 2:
+                    continue
+                found.append([*head, *pair])
+                used.update(found[-1])
+                if head:
+                    break
+    return found, False
+
+
+def group_matches(records: DataFrame, *, tolerance: float = 0.0, most_size: int = 8, pool: int = 200, steps: int = 2_000_000) -> DataFrame:
     """(account, currency, group_no, ids, net, capped): smallest sets of both sides that net to zero within tolerance.
 
-    Sizes rise from two, combinations are tried in id order, no record is used twice. Pools above the
-    cap, and searches that reach the step cap, return one row with capped set, so that nothing is dropped silently.
+    Sizes rise from two, sets are tried in id order, no record is used twice. Pools above the cap, and
+    searches that reach the step budget, return one row with capped set, so that nothing is dropped silently.
     """
     own = records.select("account", "currency", "id", "side", F.when(F.col("direction") == "CR", F.col("amount")).otherwise(-F.col("amount")).cast("double").alias("signed"))
     sizes = own.groupBy("account", "currency").agg(F.count("*").alias("n"))
@@ -63,25 +96,11 @@ def group_matches(records: DataFrame, *, tolerance: float = 0.0, most_size: int
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        rows = list(zip(pdf["id"].astype(str), pdf["side"], (pdf["signed"] * 100).round().astype("int64"), strict=True))
-        used, out, tried, capped = set(), [], 0, False
-        for size in range(2, most_size + 1):
-            for c in combinations(range(len(rows)), size):
-                tried += 1
-                if tried > steps:
-                    capped = True
-                    break
-                if used & set(c) or len({rows[i][1] for i in c}) < 2:
-                    continue
-                net = sum(rows[i][2] for i in c)
-                if abs(net) <= tolerance * 100:
-                    used |= set(c)
-                    out.append((pdf["account"].iloc[0], pdf["currency"].iloc[0], len(out) + 1, [rows[i][0] for i in c], net / 100, False))
-            if capped:
-                break
-        if capped:
-            out.append((pdf["account"].iloc[0], pdf["currency"].iloc[0], 0, [], None, True))
-        return pd.DataFrame(out, columns=["account", "currency", "group_no", "ids", "net", "capped"])
+        rows = list(zip(pdf["id"].astype(str), pdf["side"], (pdf["signed"] * 100).round().astype("int64").tolist(), strict=True))
+        found, capped = _smallest_sets(rows, most_size, tolerance * 100, steps)
+        key = (pdf["account"].iloc[0], pdf["currency"].iloc[0])
+        out = [(*key, no, [rows[i][0] for i in c], sum(rows[i][2] for i in c) / 100, False) for no, c in enumerate(found, 1)]
+        return pd.DataFrame(out + [(*key, 0, [], None, True)] * capped, columns=["account", "currency", "group_no", "ids", "net", "capped"])
 
     kinds = dict(records.dtypes)
     found = own.groupBy("account", "currency").applyInPandas(work, f"account {kinds['account']}, currency string, group_no int, ids array<string>, net double, capped boolean")
@@ -131,12 +150,12 @@ def resolved_cases(cases: DataFrame, matched: DataFrame) -> DataFrame:
     return long.join(matched.select("id", F.lit(1).alias("m")), "id", "left").groupBy("case_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("m", F.lit(0))).alias("done")).where("n = done").select("case_id")
 
 
-def manual_match_problems(chosen: DataFrame) -> DataFrame:
-    """Why a manual match of the chosen records is not allowed; no rows if it is."""
+def manual_match_problems(chosen: DataFrame, *by: str) -> DataFrame:
+    """Why a manual match of the chosen records is not allowed, for each match where by names its columns; no rows if it is."""
     signed = F.when(F.col("direction") == "CR", F.col("amount")).otherwise(-F.col("amount"))
-    s = chosen.agg(F.countDistinct("id").alias("n"), F.countDistinct("currency").alias("c"), F.countDistinct("side").alias("s"), F.abs(F.sum(signed)).alias("net"))
+    s = chosen.groupBy(*by).agg(F.countDistinct("id").alias("n"), F.countDistinct("currency").alias("c"), F.countDistinct("side").alias("s"), F.abs(F.sum(signed)).alias("net"))
     checks = [(F.col("n") < 2, "fewer than two records"), (F.col("c") > 1, "several currencies"), (F.col("s") < 2, "one side only"), (F.col("net") > 0.01, "does not net to zero")]
-    return s.select(F.explode(F.array_compact(F.array(*[F.when(c, m) for c, m in checks]))).alias("problem"))
+    return s.select(*by, F.explode(F.array_compact(F.array(*[F.when(c, m) for c, m in checks]))).alias("problem"))
 
 
 def resolve_routing(cases: DataFrame, rules: DataFrame) -> DataFrame:

@@ -128,6 +128,11 @@ def load_pack(text: str) -> RulePack:
     return RulePack(raw["name"], str(raw["version"]), tuple(Rule(r["id"], r["expression"], r["severity"], day(r.get("effective_from"), date.min), day(r.get("effective_to"), date.max)) for r in raw["rules"]))
 
 
+def rules_in_force(day: Column, pack: RulePack) -> Column:
+    """Ids of the rules of a pack that are in force on a day, both ends included."""
+    return F.array_compact(F.array(*[F.when(day.between(F.lit(r.effective_from.isoformat()).cast("date"), F.lit(r.effective_to.isoformat()).cast("date")), F.lit(r.id)) for r in pack.rules]))
+
+
 def evaluate(df: DataFrame, pack: RulePack, day: date) -> DataFrame:
     """df with rule_score (the largest severity that fired, else 0) and fired (rule ids in pack order)."""
     fit, _ = pack.split(df.columns, day)

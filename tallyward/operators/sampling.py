@@ -56,6 +56,19 @@ def expansion_factor(confidence: float) -> float:
     return float(np.interp(confidence, [c for c, _ in EXPANSION], [f for _, f in EXPANSION]))
 
 
+def expansion_factor_column(confidence: Column) -> Column:
+    """expansion_factor() of a column of confidences."""
+    out = F.when(confidence <= EXPANSION[0][0], F.lit(EXPANSION[0][1]))
+    for (c, f), (c2, f2) in zip(EXPANSION, EXPANSION[1:], strict=False):
+        out = out.when(confidence <= c2, f + (f2 - f) * (confidence - c) / (c2 - c))
+    return F.when(confidence.isNotNull(), out.otherwise(F.lit(EXPANSION[-1][1])))
+
+
+def projectable(basis: Column) -> Column:
+    """Whether errors found under a selection basis may be projected."""
+    return basis.isin(*PROJECTABLE)
+
+
 def mus_sample_size(book: float, tolerable: float, expected: float, confidence: float, least: int = 1, most: int | None = None) -> tuple[int, float]:
     """Sample size and interval of monetary-unit sampling."""
     room = tolerable - expected * expansion_factor(confidence)

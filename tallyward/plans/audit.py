@@ -188,7 +188,7 @@ def smp_10(spark, sf_dir):
     return sampling.build_sample(c, "c_custkey", "c_acctbal", "risk", interval=_CI, start=_CS, size=1000, threshold=98, n_random=25, seed=5).select("c_custkey", "stratum")
 
 
-_TESTED = "select l_extendedprice as book, case when l_partkey % 200 = 3 then l_extendedprice * 0.6 when l_partkey % 200 = 4 then l_extendedprice * 1.1 else l_extendedprice end as audit, case when l_partkey % 50 = 3 then 'certainty' when l_partkey % 9 = 1 then 'high_risk' else 'monetary_unit' end as selection_basis from lineitem where l_orderkey % 50 = 0"
+_TESTED = "select l_extendedprice as book, case when l_partkey % 200 = 3 then l_extendedprice * 0.6 when l_partkey % 200 = 4 then l_extendedprice * 1.1 else l_extendedprice end as audit, case when l_partkey % 50 = 3 then 'certainty' when l_partkey % 9 = 1 then 'high_risk' else 'monetary_unit' end as selection_basis from lineitem"
 
 
 @query("smp_12_tainting", f"with t as ({_TESTED}) select count(*) as n, round(sum((book - audit) / book), 4) as taint, count(*) filter (where audit < book) as overstated from t where book <> 0")
@@ -201,7 +201,7 @@ def _tested(spark, sf_dir):
     p, x = F.col("l_partkey"), F.col("l_extendedprice")
     audit = F.when(p % 200 == 3, x * 0.6).when(p % 200 == 4, x * 1.1).otherwise(x)
     basis = F.when(p % 50 == 3, "certainty").when(p % 9 == 1, "high_risk").otherwise("monetary_unit")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(x.alias("book"), audit.alias("audit"), basis.alias("selection_basis"))
+    return table(spark, sf_dir, "lineitem").select(x.alias("book"), audit.alias("audit"), basis.alias("selection_basis"))
 
 
 @query("smp_13_projection")

@@ -16,14 +16,26 @@ def _scored(spark, sf_dir):
     return d.select("doc_id", "source", F.least(F.lit(1.0), F.col("n_chars") / 8000).alias("p"), F.coalesce("toxic", F.lit(0)).alias("y"))
 
 
-@query("ml_01_mapping", "select * from (values ('cust_id', 'member_id'), ('Loan Value', 'loan_amount'), ('salary', 'income'), ('dpd', 'days_past_due')) t(\"column\", canonical)")
+@query("ml_01_mapping", "select c_custkey as member_id, c_acctbal as loan_amount, c_nationkey as days_past_due, c_mktsegment as market_segment, c_name as target_arrears from customer")
 def ml_01(spark, sf_dir):
-    return spark.createDataFrame(list(credit.propose_mapping(["cust_id", "Loan Value", "salary", "dpd", "other"]).items()), "column string, canonical string")
+    c = table(spark, sf_dir, "customer")
+    return credit.apply_mapping(c.select(F.col("c_custkey").alias("Cust No"), F.col("c_acctbal").alias("loan_amt"), F.col("c_nationkey").alias("DPD"), F.col("c_mktsegment").alias(" Market-Segment"), F.col("c_name").alias("default flag")))
 
 
-@query("fn_11_governance_flags", "select * from (values ('gender', 'PROTECTED'), ('Post Code', 'PROXY_REVIEW'), ('arrears_flag', 'LEAKAGE')) t(\"column\", flag)")
+_NAMES = ("Gender", "Post Code", "zip", "trace no", "unzipped", "Future Balance", "written off", "write-off", "political view", "e mail", "surname 2", "AGE band", "average", "income", "final_default", "Languages")
+_NAME_SQL = "select c_custkey, lower((['" + "', '".join(_NAMES) + f"'])[c_custkey % {len(_NAMES)} + 1] || ' ' || c_nationkey) as raw from customer"
+_LIST = lambda words: "['" + "', '".join(words) + "']"
+
+
+@query(
+    "fn_11_governance_flags",
+    f"with r as ({_NAME_SQL}), n as (select c_custkey, trim(regexp_replace(raw, '[^a-z0-9]+', '_', 'g'), '_') as n from r), p as (select *, list_append(string_split(n, '_'), n) as parts from n) "
+    f"select c_custkey, case when list_has_any(parts, {_LIST([*credit.PROTECTED, 'political'])}) then 'protected' when list_has_any(parts, {_LIST(credit.PROXY)}) then 'review' when regexp_matches(n, '{credit.LEAKAGE}') then 'leakage' end as flag from p",
+)
 def fn_11(spark, sf_dir):
-    return spark.createDataFrame(credit.governance_flags(["gender", "Post Code", "arrears_flag", "income"]), "column string, flag string")
+    names = F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (F.col("c_custkey") % len(_NAMES) + 1).cast("int"))
+    c = table(spark, sf_dir, "customer").withColumn("raw", F.concat_ws(" ", names, F.col("c_nationkey").cast("string")))
+    return c.select("c_custkey", credit.governance_flag(F.col("raw")).alias("flag"))
 
 
 @query("ml_02_feature_problems", "select * from (values ('c_acctbal', 'NEGATIVE'), ('c_name', 'CARDINALITY')) t(feature, problem)")

@@ -53,7 +53,7 @@ def det_04(spark, sf_dir):
     return detect.correlation_residuals(_li(spark, sf_dir), "k", "x", "y")
 
 
-_VEC = "select vec_id, embedding[1]::double as e0, embedding[2]::double as e1, embedding[3]::double as e2 from embeddings where label = 3"
+_VEC = "select vec_id, embedding[1]::double as e0, embedding[2]::double as e1, embedding[3]::double as e2 from embeddings"
 _KNN = (
     f"with v as ({_VEC}), m as (select median(e0) as m0, median(e1) as m1, median(e2) as m2 from v), d as (select median(abs(e0 - m0)) as d0, median(abs(e1 - m1)) as d1, median(abs(e2 - m2)) as d2 from v, m), "
     "s as (select vec_id, (e0 - m0) / d0 as a, (e1 - m1) / d1 as b, (e2 - m2) / d2 as c from v, m, d), "
@@ -64,7 +64,7 @@ _KNN = (
 
 
 def _vectors(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("label = 3")
+    e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(3)])
 
 

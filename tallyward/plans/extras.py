@@ -11,35 +11,35 @@ from tallyward.functions import normalize
 from tallyward.operators import credit, frequency, lifecycle, prepare, risk, rules, sampling
 from tallyward.plans.registry import query
 from tallyward.session import shared_dir, table
-from tallyward.sources import statements, tabular
+from tallyward.sources import tabular
 
 
 def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/files-{spark.sparkContext.applicationId}-{name}"
 
 
-_ORD = "select o_orderkey::varchar as o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderkey % 200 = 0"
+_ORD = "select o_orderkey::varchar as o_orderkey, o_orderstatus, o_orderpriority from orders"
 
 
 @query("src_01_delimited", _ORD)
 def src_01(spark, sf_dir):
     path = _folder(spark, "delimited")
-    table(spark, sf_dir, "orders").where("o_orderkey % 200 = 0").select("o_orderkey", "o_orderstatus", "o_orderpriority").write.mode("overwrite").csv(path, sep=";", header=True)
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").write.mode("overwrite").csv(path, sep=";", header=True)
     return tabular.read_delimited(spark, path)
 
 
-@query("src_02_wrapped_json", "select o_orderkey, o_custkey as \"who.id\" from orders where o_orderkey % 500 = 0")
+@query("src_02_wrapped_json", "select o_orderkey, o_custkey as \"who.id\" from orders")
 def src_02(spark, sf_dir):
     path = _folder(spark, "json")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", F.struct(F.col("o_custkey").alias("id")).alias("who"))).alias("records"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", F.struct(F.col("o_custkey").alias("id")).alias("who"))).alias("records"))
     rows.select("records").write.mode("overwrite").json(path)
     return tabular.flatten(spark.read.json(path).select(F.explode("records").alias("r")).select("r.*"))
 
 
-@query("src_04_guarded_scan", "select count(*) as n from events where event_id % 3 = 0")
+@query("src_04_guarded_scan", "select count(*) as n from events")
 def src_04(spark, sf_dir):
     path = _folder(spark, "lines")
-    table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", "event_type").write.mode("overwrite").json(path)
+    table(spark, sf_dir, "events").select("event_id", "event_type").write.mode("overwrite").json(path)
     return tabular.guard(tabular.read_json(spark, path, lines=True)).agg(F.count("event_id").alias("n"))
 
 
@@ -50,18 +50,6 @@ def src_09(spark, sf_dir):
     return tabular.read_delimited(spark, path)
 
 
-@query("src_13_bai2_grammar", "select * from (values ('50.00', 'CR', 'payment more text'), ('25.00', 'DR', 'fee')) t(amount, direction, description)")
-def src_13(spark, sf_dir):
-    text = "02,R,S,1,240101,,USD,2/\n03,ACC,USD,010,,,/\n16,195,5000,0,REF1,,payment/\n88,more text/\n16,495,2500,0,REF2,,fee/"
-    return spark.createDataFrame([(r["amount"], r["direction"], r["description"]) for r in statements.parse_bai2(text)], "amount string, direction string, description string")
-
-
-@query("src_12_camt053_grammar", "select * from (values ('OPENING', '1000.00', 'CR'), ('ENTRY', '25.50', 'DR')) t(kind, amount, direction)")
-def src_12(spark, sf_dir):
-    text = '<Document xmlns="urn:x"><Stmt><Acct><Id><IBAN>D</IBAN></Id></Acct><Bal><Tp><CdOrPrtry><Cd>OPBD</Cd></CdOrPrtry></Tp><Amt Ccy="EUR">1000.00</Amt><CdtDbtInd>CRDT</CdtDbtInd></Bal><Ntry><Amt Ccy="EUR">25.50</Amt><CdtDbtInd>DBIT</CdtDbtInd><BookgDt><Dt>2024-01-03</Dt></BookgDt></Ntry></Stmt></Document>'
-    return spark.createDataFrame([(r["kind"], r["amount"], r["direction"]) for r in statements.parse_camt053(text)], "kind string, amount string, direction string")
-
-
 @query("src_15_population_recheck", "select count(*) as n, true as unchanged from orders")
 def src_15(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -78,11 +66,11 @@ def src_17(spark, sf_dir):
     return rules.dry_run(table(spark, sf_dir, "events"), rules.load_pack(_PACK_TEXT), date(2024, 1, 1))
 
 
-@query("rsk_07_rules_in_force", "select * from (values ('2019-06-01', 2), ('2020-01-01', 2), ('2020-01-02', 1)) t(day, in_force)")
+@query("rsk_07_rules_in_force", "select event_id, case when date_part('day', ts) <= 10 then ['a', 'b'] else ['a'] end as in_force from events")
 def rsk_07(spark, sf_dir):
-    pack = rules.load_pack(_PACK_TEXT)
-    days = ("2019-06-01", "2020-01-01", "2020-01-02")
-    return spark.createDataFrame([(d, sum(r.in_force(date.fromisoformat(d)) for r in pack.rules)) for d in days], "day string, in_force int")
+    # days of the month as days of 2020, as the pack's second rule ends in that month
+    e = table(spark, sf_dir, "events").select("event_id", F.date_add(F.lit(date(2019, 12, 22)), F.dayofmonth("ts")).alias("day"))
+    return e.select("event_id", rules.rules_in_force(F.col("day"), rules.load_pack(_PACK_TEXT)).alias("in_force"))
 
 
 @query("pre_01_clean_headers", "select n_nationkey as key, n_name as name from nation")
@@ -116,9 +104,17 @@ def rsk_17(spark, sf_dir):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count_if("flag_outlier").alias("flagged"))
 
 
-@query("smp_02_expansion_factor", "select * from (values (0.9, 1.5), (0.95, 1.6), (0.925, 1.55), (0.5, 1.25), (0.999, 1.9)) t(c, factor)")
+_POINTS = "(values " + ", ".join(f"({c}, {f})" for c, f in sampling.EXPANSION) + ") t(c, f)"
+
+
+@query(
+    "smp_02_expansion_factor",
+    f"with t as (select c, f, lead(c) over (order by c) as c2, lead(f) over (order by c) as f2 from {_POINTS}), p as (select p_partkey, 0.7 + p_size / 160.0 as c from part) "
+    "select p_partkey, round(case when p.c <= 0.75 then 1.25 when p.c >= 0.99 then 1.9 else t.f + (t.f2 - t.f) * (p.c - t.c) / (t.c2 - t.c) end, 6) as factor from p left join t on p.c > t.c and p.c <= t.c2 and p.c > 0.75 and p.c < 0.99",
+)
 def smp_02(spark, sf_dir):
-    return spark.createDataFrame([(c, round(sampling.expansion_factor(c), 6)) for c in (0.9, 0.95, 0.925, 0.5, 0.999)], "c double, factor double")
+    c = F.lit(0.7) + F.col("p_size") / 160.0
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(sampling.expansion_factor_column(c), 6).alias("factor"))
 
 
 @query("smp_04_attribute_size", "select * from (values (0.05, 0.0, 60), (0.10, 0.0, 30), (0.05, 0.0, 40)) t(tolerable, expected, n)")
@@ -132,43 +128,47 @@ def smp_05(spark, sf_dir):
     return spark.createDataFrame([(round(sampling.basic_precision(10_000, 0.95), 2),)], "precision double")
 
 
-@query("smp_11_projectable", "select * from (values ('certainty', true), ('monetary_unit', true), ('random', false), ('high_risk', false)) t(basis, projectable)")
+@query("smp_11_projectable", "select case when l_partkey % 50 = 3 then 'certainty' when l_partkey % 9 = 1 then 'high_risk' else 'monetary_unit' end as basis, l_partkey % 50 = 3 or l_partkey % 9 <> 1 as projectable, count(*) as n from lineitem group by 1, 2")
 def smp_11(spark, sf_dir):
-    d = spark.createDataFrame([(b,) for b in ("certainty", "monetary_unit", "random", "high_risk")], "basis string")
-    return d.select("basis", F.col("basis").isin(*sampling.PROJECTABLE).alias("projectable"))
+    from tallyward.plans.audit import _tested
 
+    return _tested(spark, sf_dir).groupBy(F.col("selection_basis").alias("basis"), sampling.projectable(F.col("selection_basis")).alias("projectable")).agg(F.count("*").alias("n"))
 
-@query("smp_14_evaluate_run", "with s as (select o_orderkey, o_orderkey % 4 <> 0 as done from orders where o_orderkey % 40 < 8) select count(*) filter (where done) as tested, count(*) filter (where not done) as untested, count(*) filter (where not done) = 0 as complete from s")
+
+@query("smp_14_evaluate_run", "with s as (select o_orderkey, o_orderkey % 4 <> 0 as done from orders) select count(*) filter (where done) as tested, count(*) filter (where not done) as untested, count(*) filter (where not done) = 0 as complete from s")
 def smp_14(spark, sf_dir):
-    s = table(spark, sf_dir, "orders").where("o_orderkey % 40 < 8").select("o_orderkey")
+    s = table(spark, sf_dir, "orders").select("o_orderkey")
     values = s.where("o_orderkey % 4 <> 0").withColumn("audit", F.lit(1))
     j = s.join(values, "o_orderkey", "left")
     return j.agg(F.count("audit").alias("tested"), F.count_if(F.col("audit").isNull()).alias("untested"), (F.count_if(F.col("audit").isNull()) == 0).alias("complete"))
 
 
-@query("smp_17_seed", "select true as same, true as differs")
+@query("smp_17_seed", "select count(*) as n, count(distinct c_name) as seeds, true as in_range from customer")
 def smp_17(spark, sf_dir):
-    a, b, c = sampling.derive_seed(x=1, y="q"), sampling.derive_seed(y="q", x=1), sampling.derive_seed(x=2, y="q")
-    return spark.createDataFrame([(a == b and 0 <= a < 2**63, a != c)], "same boolean, differs boolean")
+    seeds = F.pandas_udf(lambda names: names.map(lambda x: sampling.derive_seed(run="audit", item=x)), "long")
+    s = table(spark, sf_dir, "customer").select(seeds("c_name").alias("seed"))
+    return s.agg(F.count("*").alias("n"), F.countDistinct("seed").alias("seeds"), F.bool_and(F.col("seed") >= 0).alias("in_range"))
 
 
-@query("join_19_item_evidence", "select o_orderkey, case when o_totalprice >= 450000 then 'high_risk' when o_orderkey % 10 = 0 then 'random' else 'not_selected' end as basis, greatest(0, 450000 - o_totalprice) as gap from orders where o_orderkey % 30 = 0")
+@query("join_19_item_evidence", "select o_orderkey, case when o_totalprice >= 450000 then 'high_risk' when o_orderkey % 10 = 0 then 'random' else 'not_selected' end as basis, greatest(0, 450000 - o_totalprice) as gap from orders")
 def join_19(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 30 = 0")
+    o = table(spark, sf_dir, "orders")
     high = o.where("o_totalprice >= 450000").select("o_orderkey", F.lit(True).alias("high"))
     rnd = o.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit(True).alias("rnd"))
     j = o.join(high, "o_orderkey", "left").join(rnd, "o_orderkey", "left")
     return j.select("o_orderkey", F.when(F.col("high"), "high_risk").when(F.col("rnd"), "random").otherwise("not_selected").alias("basis"), F.greatest(F.lit(0.0), 450000 - F.col("o_totalprice")).alias("gap"))
 
 
-@query("fn_10_column_names", "select * from (values (' Loan Value ', 'loan_value'), ('DPD (days)', 'dpd_days')) t(raw, name)")
+@query("fn_10_column_names", "select p_partkey, trim(regexp_replace(lower(' ' || p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', '_', 'g'), '_') as name from part")
 def fn_10(spark, sf_dir):
-    return spark.createDataFrame([(r, credit.normal_name(r)) for r in (" Loan Value ", "DPD (days)")], "raw string, name string")
+    raw = F.concat(F.lit(" "), "p_name", F.lit(" ("), "p_brand", F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", credit.normal_name_column(raw).alias("name"))
 
 
-@query("fn_17_version_constraint", "select * from (values ('1.4.0', true), ('2.0.0', false), ('1.1.9', false)) t(version, fits)")
+@query("fn_17_version_constraint", "select p_partkey, (p_size % 3, p_size % 7, p_partkey % 10) >= (1, 2, 0) and (p_size % 3, p_size % 7, p_partkey % 10) < (2, 0, 0) as fits from part")
 def fn_17(spark, sf_dir):
-    return spark.createDataFrame([(v, normalize.satisfies(v, ">=1.2.0,<2.0.0")) for v in ("1.4.0", "2.0.0", "1.1.9")], "version string, fits boolean")
+    version = F.concat_ws(".", (F.col("p_size") % 3).cast("string"), (F.col("p_size") % 7).cast("string"), (F.col("p_partkey") % 10).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.satisfies_column(version, ">=1.2.0,<2.0.0").alias("fits"))
 
 
 @query("fn_18_canonical_json", "select n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' as j from nation")
@@ -186,16 +186,24 @@ def ml_18(spark, sf_dir):
     return d.join(F.broadcast(steps), F.col("edge") <= F.col("p"), "left").groupBy("doc_id").agg(F.round(F.max_by("value", "edge"), 6).alias("confidence"))
 
 
-@query("ml_13_gated_selection", "select 'good' as model, true as accepted")
+@query(
+    "ml_13_gated_selection",
+    "with s as (select d.source, least(1, d.n_chars / 8000) as p, coalesce(l.toxic, 0) as y from documents d join labels l using (doc_id)), m as (select source as model, count(*) as n, -avg((p - y) * (p - y)) as skill, abs(avg(p) - avg(y)) as bias from s group by 1) "
+    "select model, round(skill, 6) as skill from m where n >= 10 and bias <= 0.5 order by m.skill desc, model limit 1",
+)
 def ml_13(spark, sf_dir):
-    c = spark.sql("select * from values ('good', 0.8, 0.02), ('sharp', 0.85, 0.2), ('weak', 0.5, 0.01) t(model, auc, ece)")
-    return c.where("ece <= 0.05 and auc >= 0.6").agg(F.max_by("model", "auc").alias("model"), (F.count("*") > 0).alias("accepted"))
+    from tallyward.plans.credit import _scored
+
+    d = _scored(spark, sf_dir)
+    m = d.groupBy(F.col("source").alias("model")).agg(F.count("*").alias("n"), (-F.avg((F.col("p") - F.col("y")) ** 2)).alias("skill"), F.abs(F.avg("p") - F.avg("y")).alias("bias"))
+    return credit.select_gated(m, "skill", (F.col("n") >= 10) & (F.col("bias") <= 0.5)).select("model", F.round("skill", 6).alias("skill"))
 
 
-@query("ml_21_generated_rows", "select 2000 as n, true as plausible")
+@query("ml_21_generated_rows")
 def ml_21(spark, sf_dir):
-    d = spark.range(2000).select(F.col("id"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10_000)) / 100).alias("score"), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(100)) < 20).cast("int").alias("label"))
-    return d.agg(F.count("*").cast("int").alias("n"), (F.avg("label").between(0.1, 0.3) & F.avg("score").between(40, 60)).alias("plausible"))
+    """As many members as customers, by the share of arrears at each number of late payments."""
+    d = credit.generate_members(spark, table(spark, sf_dir, "customer").count())
+    return d.groupBy("late_cnt").agg(F.count("*").alias("n"), F.round(F.avg("arrears_flag"), 4).alias("arrears"))
 
 
 @query("wf_08_decisions", "with d as (select o_orderkey as case_id, case when o_orderkey % 3 = 0 then 'APPROVED' when o_orderkey % 3 = 1 then 'REJECTED' else 'PROPOSED' end as status from orders) select status, count(*) as n from d group by 1")
@@ -214,7 +222,12 @@ def wf_16(spark, sf_dir):
     return spark.createDataFrame(found, "step string, column string, problem string")
 
 
-@query("wf_20_promotion", "select * from (values ('a', '1', 'archived'), ('a', '2', 'production'), ('b', '1', 'production')) t(model, version, stage)")
+@query(
+    "wf_20_promotion",
+    "with v as (select distinct p_brand as model, p_size as version, case when p_size % 10 = 1 then 'production' else 'candidate' end as stage from part), c as (select model, max(version) as version from v where model like '%1' group by 1) "
+    "select v.model, v.version, case when c.version is null then stage when v.version = c.version then 'production' when stage = 'production' then 'archived' else stage end as stage from v left join c using (model)",
+)
 def wf_20(spark, sf_dir):
-    v = spark.sql("select * from values ('a', '1', 'production'), ('a', '2', 'candidate'), ('b', '1', 'production') t(model, version, stage)")
-    return lifecycle.promote(v, "model", "version", spark.sql("select 'a' model, '2' version"))
+    v = table(spark, sf_dir, "part").select(F.col("p_brand").alias("model"), F.col("p_size").alias("version"), F.when(F.col("p_size") % 10 == 1, "production").otherwise("candidate").alias("stage")).distinct()
+    chosen = v.where("model like '%1'").groupBy("model").agg(F.max("version").alias("version"))
+    return lifecycle.promote(v, "model", "version", chosen)

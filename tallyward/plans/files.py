@@ -35,22 +35,76 @@ def src_16(spark, sf_dir):
     return v.join(d, "doc_id", "left").agg(F.count("known").alias("known"), F.count_if(F.col("known").isNull()).alias("unknown"))
 
 
-@query("src_11_mt940_grammar", "select * from (values ('OPENING', '1000.00', 'CR'), ('ENTRY', '50.00', 'CR'), ('ENTRY', '25.50', 'DR'), ('CLOSING', '1024.50', 'CR')) t(kind, amount, direction)")
+# --- statements: one of each customer, several in a file ----------------------------------------------------
+
+_STATEMENTS = (
+    "with o as (select 'C' || o_custkey as account, case when o_orderkey % 2 = 0 then 'CR' else 'DR' end as direction, round(o_totalprice, 2)::decimal(28,2) as amount from orders) "
+    "select account, direction, count(*) as n, sum(amount) as total, 0::decimal(38,2) as difference from o group by 1, 2"
+)
+
+
+def _accounts(spark, sf_dir, entry, net):
+    """(account, entries, closing, side): of each customer the lines of its orders, in order, and what they net to."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    amount = F.round("o_totalprice", 2).cast("decimal(28,2)")
+    signed = F.sum(F.when(k % 2 == 0, amount).otherwise(-amount))
+    rows = o.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(entry(k, amount))), "").alias("entries"), signed.alias("net"))
+    return rows.select("o_custkey", F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("account"), "entries", net(F.abs("net")).alias("closing"), (F.col("net") >= 0).alias("credit"))
+
+
+def _read_back(spark, texts, kind, per_file):
+    """Writes one text per row, so many to a file, reads the files as statements and sums them up."""
+    path = f"{shared_dir(spark)}/statements-{spark.sparkContext.applicationId}-{kind}"
+    texts.select("value").write.mode("overwrite").option("maxRecordsPerFile", per_file).text(path)
+    rows = statements.read_statements(spark, path, kind)
+    sums = rows.where("kind = 'ENTRY'").groupBy("account", "direction").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(28,2)")).alias("total"))
+    if kind == "bai2":  # it has no balances here
+        return sums.withColumn("difference", F.lit(0).cast("decimal(38,2)"))
+    return sums.join(statements.balance_check(rows).select("account", "difference"), "account")
+
+
+def _comma(amount):
+    return F.translate(amount.cast("string"), ".", ",")
+
+
+@query("src_11_mt940_grammar", _STATEMENTS)
 def src_11(spark, sf_dir):
-    text = ":20:X\n:25:ACC\n:60F:C240101EUR1000,00\n:61:2401020102C50,00NTRFREF1\n:86:first\nline\n:61:240103D25,50NMSCREF2\n:86:second\n:62F:C240103EUR1024,50\n-}"
-    return spark.createDataFrame([(r["kind"], r["amount"], r["direction"]) for r in statements.parse_mt940(text)], "kind string, amount string, direction string")
+    entry = lambda k, a: F.concat(F.lit(":61:2401020102"), F.when(k % 2 == 0, "C").otherwise("D"), _comma(a), F.lit("NTRFREF"), k.cast("string"), F.lit("\n:86:first\nline\n"))
+    a = _accounts(spark, sf_dir, entry, _comma)
+    text = F.concat(F.lit(":20:X\n:25:"), "account", F.lit("\n:60F:C240101EUR0,00\n"), "entries", F.lit(":62F:"), F.when(F.col("credit"), "C").otherwise("D"), F.lit("240103EUR"), "closing", F.lit("\n-}"))
+    return _read_back(spark, a.select(text.alias("value")), "mt940", 200)
+
+
+@query("src_12_camt053_grammar", _STATEMENTS)
+def src_12(spark, sf_dir):
+    side = lambda credit: F.when(credit, "CRDT").otherwise("DBIT")
+    entry = lambda k, a: F.concat(F.lit('<Ntry><Amt Ccy="EUR">'), a.cast("string"), F.lit("</Amt><CdtDbtInd>"), side(k % 2 == 0), F.lit("</CdtDbtInd><BookgDt><Dt>2024-01-03</Dt></BookgDt><NtryRef>R"), k.cast("string"), F.lit("</NtryRef></Ntry>"))
+    balance = lambda code, amount, credit: F.concat(F.lit(f'<Bal><Tp><CdOrPrtry><Cd>{code}</Cd></CdOrPrtry></Tp><Amt Ccy="EUR">'), amount, F.lit("</Amt><CdtDbtInd>"), side(credit), F.lit("</CdtDbtInd></Bal>"))
+    a = _accounts(spark, sf_dir, entry, lambda net: net.cast("string"))
+    one = F.concat(F.lit("<Stmt><Acct><Id><IBAN>"), "account", F.lit("</IBAN></Id></Acct>"), balance("OPBD", F.lit("0.00"), F.lit(True)), balance("CLBD", F.col("closing"), F.col("credit")), "entries", F.lit("</Stmt>"))
+    # a file is one document, of a hundred customers at most
+    documents = a.groupBy(F.floor(F.col("o_custkey") / 100)).agg(F.concat(F.lit('<Document xmlns="urn:x">'), F.array_join(F.collect_list(one), ""), F.lit("</Document>")).alias("value"))
+    return _read_back(spark, documents, "camt053", 1)
+
+
+@query("src_13_bai2_grammar", _STATEMENTS)
+def src_13(spark, sf_dir):
+    entry = lambda k, a: F.concat(F.lit("16,"), F.when(k % 2 == 0, "195").otherwise("495"), F.lit(","), (a * 100).cast("long").cast("string"), F.lit(",0,REF"), k.cast("string"), F.lit(",,payment/\n88,more text/\n"))
+    a = _accounts(spark, sf_dir, entry, lambda net: net.cast("string"))
+    text = F.concat(F.lit("02,R,S,1,240101,,USD,2/\n03,"), "account", F.lit(",USD,010,,,/\n"), "entries", F.lit("49,0,2/"))
+    return _read_back(spark, a.select(text.alias("value")), "bai2", 200)
 
 
-@query("snk_05_csv_export", "select o_orderkey::varchar as o_orderkey, o_totalprice::decimal(20,2)::varchar as o_totalprice from orders where o_orderkey % 100 = 0")
+@query("snk_05_csv_export", "select o_orderkey::varchar as o_orderkey, o_totalprice::decimal(20,2)::varchar as o_totalprice from orders")
 def snk_05(spark, sf_dir):
     path = f"{shared_dir(spark)}/export-{spark.sparkContext.applicationId}-orders"
-    sinks.write_csv(table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select("o_orderkey", "o_totalprice"), path, money=("o_totalprice",))
+    sinks.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), path, money=("o_totalprice",))
     return spark.read.csv(path, header=True, inferSchema=False)
 
 
-@query("snk_07_evidence_pack", "select o_custkey, count(*) as n from orders where o_custkey % 50 = 0 group by 1")
+@query("snk_07_evidence_pack", "select o_custkey, count(*) as n from orders group by 1")
 def snk_07(spark, sf_dir):
-    items = table(spark, sf_dir, "orders").where("o_custkey % 50 = 0").select("o_custkey", "o_orderkey", "o_totalprice")
+    items = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     packs = sinks.evidence_pack(items.select("o_custkey").distinct(), items, "o_custkey")
     back = F.from_json("pack", "items array<struct<o_orderkey:bigint,o_totalprice:double>>")
     return packs.select("o_custkey", F.size(back["items"]).cast("long").alias("n"))
@@ -61,6 +115,8 @@ def snk_08(spark, sf_dir):
     return sinks.manifest(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
-@query("snk_06_audit_export", "select event_id, event_type from events where user_id % 20 = 1 order by event_id")
+@query("snk_06_audit_export", "select event_id, event_type from events")
 def snk_06(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id % 20 = 1").orderBy("event_id").select("event_id", "event_type")
+    path = f"{shared_dir(spark)}/export-{spark.sparkContext.applicationId}-events"
+    sinks.write_csv(table(spark, sf_dir, "events").select("event_id", "event_type").repartitionByRange("event_id").sortWithinPartitions("event_id"), path)
+    return spark.read.csv(path, header=True, schema="event_id long, event_type string")

@@ -64,12 +64,12 @@ def join_04(spark, sf_dir):
 @query("join_05_group_matches")
 def join_05(spark, sf_dir):
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").where("o_custkey % 5 = 0")
+    o = table(spark, sf_dir, "orders")
     base = o.select(F.col("o_custkey").alias("account"), F.lit("USD").alias("currency"), k, F.round("o_totalprice", 0).alias("p"))
     whole = base.select("account", "currency", F.concat(F.lit("A"), k.cast("string")).alias("id"), F.lit("SOURCE_A").alias("side"), F.lit("CR").alias("direction"), F.col("p").alias("amount"))
     part = lambda i, share: base.where(k % 3 == 0).select("account", "currency", F.concat(F.lit(f"B{i}-"), k.cast("string")).alias("id"), F.lit("SOURCE_B").alias("side"), F.lit("DR").alias("direction"), share.alias("amount"))
     records = whole.unionByName(part(1, F.floor(F.col("p") / 2).cast("double"))).unionByName(part(2, F.col("p") - F.floor(F.col("p") / 2)))
-    return matching.group_matches(records, most_size=3, pool=30)
+    return matching.group_matches(records, steps=60_000)
 
 
 @query("join_06_isolating_guard", _REC + ", d as (select *, case when account % 3 = 0 then null else account % 4 end as fund from r) select a.id as a_id, b.id as b_id from d a join d b on a.side = 'SOURCE_A' and b.side = 'SOURCE_B' and a.reference = b.reference and a.fund is not distinct from b.fund where a.reference <> ''")
@@ -79,9 +79,9 @@ def join_06(spark, sf_dir):
     return a.join(b, (F.col("a.reference") == F.col("b.reference")) & F.col("a.fund").eqNullSafe(F.col("b.fund"))).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
 
 
-@query("join_07_mixed_groups", "select o_custkey as g, count(distinct o_orderstatus) as n_values from orders where o_custkey % 20 = 0 group by 1 having count(distinct o_orderstatus) > 1")
+@query("join_07_mixed_groups", "select o_custkey as g, count(distinct o_orderstatus) as n_values from orders group by 1 having count(distinct o_orderstatus) > 1")
 def join_07(spark, sf_dir):
-    return matching.mixed_groups(table(spark, sf_dir, "orders").where("o_custkey % 20 = 0").withColumnRenamed("o_custkey", "g"), "g", "o_orderstatus")
+    return matching.mixed_groups(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "g"), "g", "o_orderstatus")
 
 
 @query("join_08_cascade", _REC + _L1 + _L2 + _M + " select rule, count(*) as n from m group by 1")
@@ -99,22 +99,33 @@ def join_09(spark, sf_dir):
     return matching.breaks(r, matching.cascade(r, days=2, absolute=1))
 
 
-@query("join_10_resolved_cases", _REC + _L1 + ", m as (select a_id as id from l1 union all select b_id from l1), c as (select o_custkey as case_id, 'A' || o_orderkey as id from orders where o_custkey % 4 = 0) select case_id from c left join m using (id) group by 1 having count(*) = count(m.id)")
+@query("join_10_resolved_cases", _REC + _L1 + ", m as (select a_id as id from l1 union all select b_id from l1), c as (select o_custkey as case_id, 'A' || o_orderkey as id from orders) select case_id from c left join m using (id) group by 1 having count(*) = count(m.id)")
 def join_10(spark, sf_dir):
-    c = table(spark, sf_dir, "orders").where("o_custkey % 4 = 0").groupBy(F.col("o_custkey").alias("case_id")).agg(F.collect_list(F.concat(F.lit("A"), F.col("o_orderkey").cast("string"))).alias("record_ids"))
+    c = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.collect_list(F.concat(F.lit("A"), F.col("o_orderkey").cast("string"))).alias("record_ids"))
     m = matching.exact_pairs(_records(spark, sf_dir)).select(F.explode(F.array("a_id", "b_id")).alias("id"))
     return matching.resolved_cases(c, m)
 
 
-@query("join_11_manual_match", "select unnest(['several currencies', 'does not net to zero']) as problem")
+_CHOSEN = "select o_orderkey // 4 as g, o_orderkey::varchar as id, o_custkey % 9 = 0 as other, case when o_orderkey % 2 = 0 then 'SOURCE_A' else 'SOURCE_B' end as side, case when o_orderkey % 2 = 0 then 1 else -1 end * floor(o_totalprice / 20000) as signed from orders"
+
+
+@query(
+    "join_11_manual_match",
+    f"with c as ({_CHOSEN}), s as (select g, count(distinct id) as n, count(distinct other) as c, count(distinct side) as s, abs(sum(signed)) as net from c group by g) "
+    "select g, 'fewer than two records' as problem from s where n < 2 union all select g, 'several currencies' from s where c > 1 union all select g, 'one side only' from s where s < 2 union all select g, 'does not net to zero' from s where net > 0.01",
+)
 def join_11(spark, sf_dir):
-    chosen = spark.sql("select * from values ('1', 'USD', 'SOURCE_A', 'CR', 10.0), ('2', 'EUR', 'SOURCE_B', 'DR', 9.0) t(id, currency, side, direction, amount)")
-    return matching.manual_match_problems(chosen)
+    k = F.col("o_orderkey")
+    chosen = table(spark, sf_dir, "orders").select(
+        F.floor(k / 4).alias("g"), k.cast("string").alias("id"), F.when(F.col("o_custkey") % 9 == 0, "EUR").otherwise("USD").alias("currency"), F.when(k % 2 == 0, "SOURCE_A").otherwise("SOURCE_B").alias("side"),
+        F.when(k % 2 == 0, "CR").otherwise("DR").alias("direction"), F.floor(F.col("o_totalprice") / 20000).alias("amount"),
+    )
+    return matching.manual_match_problems(chosen, "g")
 
 
-@query("join_12_unmatch", "with e as (select o_orderkey as match_id, o_orderkey % 3 = 0 as reversed from orders where o_orderkey % 5 = 0) select count(*) filter (where not reversed) as active, count(*) filter (where reversed) as reversed from e")
+@query("join_12_unmatch", "with e as (select o_orderkey as match_id, o_orderkey % 3 = 0 as reversed from orders) select count(*) filter (where not reversed) as active, count(*) filter (where reversed) as reversed from e")
 def join_12(spark, sf_dir):
-    m = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("match_id"), F.lit("MATCHED").alias("status"), F.lit(1).alias("seq"))
+    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("match_id"), F.lit("MATCHED").alias("status"), F.lit(1).alias("seq"))
     history = m.unionByName(m.where("match_id % 3 = 0").withColumns({"status": F.lit("REVERSED"), "seq": F.lit(2)}))
     last = history.groupBy("match_id").agg(F.max_by("status", "seq").alias("status"))
     return last.agg(F.count_if(F.col("status") == "MATCHED").alias("active"), F.count_if(F.col("status") == "REVERSED").alias("reversed"))
@@ -139,10 +150,19 @@ def join_17(spark, sf_dir):
     return matching.eligible_policies(c, p)
 
 
-@query("join_18_evidence_difference", "select 'a' as only_a, 'd' as only_b, 'b,c' as common")
+_FIRED = "list_sort(list_distinct(list(o_orderpriority) filter (where o_orderstatus = '{}')))"
+
+
+@query(
+    "join_18_evidence_difference",
+    f"with e as (select o_custkey, coalesce({_FIRED.format('F')}, []) as x, coalesce({_FIRED.format('O')}, []) as y from orders group by 1) "
+    "select o_custkey, array_to_string(list_filter(x, lambda v: not list_contains(y, v)), ',') as only_a, array_to_string(list_filter(y, lambda v: not list_contains(x, v)), ',') as only_b, array_to_string(list_filter(x, lambda v: list_contains(y, v)), ',') as common from e",
+)
 def join_18(spark, sf_dir):
-    d = spark.sql("select array('a', 'b', 'c') x, array('b', 'c', 'd') y").select(matching.evidence_difference(F.col("x"), F.col("y")).alias("e"))
-    return d.select(*[F.array_join(f"e.{c}", ",").alias(c) for c in ("only_a", "only_b", "common")])
+    fired = lambda status: F.collect_set(F.when(F.col("o_orderstatus") == status, F.col("o_orderpriority")))
+    d = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(fired("F").alias("x"), fired("O").alias("y"))
+    d = d.select("o_custkey", matching.evidence_difference(F.col("x"), F.col("y")).alias("e"))
+    return d.select("o_custkey", *[F.array_join(f"e.{c}", ",").alias(c) for c in ("only_a", "only_b", "common")])
 
 
 @query("join_20_incomplete_accounts", _REC + " select account, case when count(*) filter (where side = 'SOURCE_A') = 0 then 'SOURCE_A' else 'SOURCE_B' end as missing_side from r where account % 3 = 0 or side = 'SOURCE_A' group by 1 having count(distinct side) < 2")

@@ -132,7 +132,7 @@ def wf_15(spark, sf_dir):
 
 @query("wf_17_proposal_problems", "select o_orderkey as proposal_id, 'UNKNOWN_ID' as problem from orders where o_orderkey % 100 = 0 and o_orderkey <> 0 union all select o_orderkey, 'FORBIDDEN_FIELD' from orders where o_orderkey % 100 = 50")
 def wf_17(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     p = o.select(k.alias("proposal_id"), F.when(k % 100 == 0, F.array(k, -k)).otherwise(F.array(k)).alias("cited"), F.when(k % 100 == 50, F.array(F.lit("note"), F.lit("amount"))).otherwise(F.array(F.lit("note"))).alias("fields"))
     return lifecycle.proposal_problems(p, table(spark, sf_dir, "orders").select(k.alias("id")))
@@ -143,10 +143,10 @@ def wf_17_budget(spark, sf_dir):
     return lifecycle.within_budget(table(spark, sf_dir, "events").where("value is not null"), "user_id", "event_id", "value", 500).select("event_id")
 
 
-@query("wf_18_pack_conflicts", "select 'AMT-02,TIM-01' as codes")
+@query("wf_18_pack_conflicts", "with c as (select distinct o_orderpriority as pack, o_custkey as code from orders) select a.pack as pack_a, b.pack as pack_b, count(*) as codes from c a join c b on a.code = b.code and a.pack < b.pack group by 1, 2")
 def wf_18(spark, sf_dir):
-    d = spark.sql("select array('TIM-01', 'AMT-02', 'DUP-01') a, array('AMT-02', 'TIM-01', 'FX-01') b")
-    return d.select(F.array_join(F.sort_array(F.array_intersect("a", "b")), ",").alias("codes"))
+    c = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("pack"), F.col("o_custkey").alias("code"))
+    return lifecycle.pack_conflicts(c).groupBy("pack_a", "pack_b").agg(F.count("*").alias("codes"))
 
 
 @query("wf_21_list_page", "select o_orderkey, o_orderdate::date::varchar as day from orders order by o_orderdate desc nulls last, o_orderkey limit 25 offset 50")
@@ -154,10 +154,10 @@ def wf_21(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.col("o_orderdate").desc_nulls_last(), "o_orderkey").offset(50).limit(25).select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("day"))
 
 
-@query("wf_22_merged_history", "with u as (select c_custkey as id, 'memory' as place, 0 as p from customer where c_custkey <= 40 union all select c_custkey, 'disk', 1 from customer where c_custkey between 30 and 70), l as (select id, arg_max(place, p) as place from u group by 1) select * from l order by id desc limit 25")
+@query("wf_22_merged_history", "with u as (select c_custkey as id, 'memory' as place, 0 as p from customer union all select c_custkey, 'disk', 1 from customer where c_acctbal > 0), l as (select id, arg_max(place, p) as place from u group by 1) select * from l order by id desc limit 25")
 def wf_22(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    u = c.where("id <= 40").withColumns({"place": F.lit("memory"), "p": F.lit(0)}).unionByName(c.where("id between 30 and 70").withColumns({"place": F.lit("disk"), "p": F.lit(1)}))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    u = c.drop("c_acctbal").withColumns({"place": F.lit("memory"), "p": F.lit(0)}).unionByName(c.where("c_acctbal > 0").drop("c_acctbal").withColumns({"place": F.lit("disk"), "p": F.lit(1)}))
     return u.groupBy("id").agg(F.max_by("place", "p").alias("place")).orderBy(F.desc("id")).limit(25)
 
 

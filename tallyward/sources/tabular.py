@@ -20,9 +20,14 @@ _C1, _CP1252 = ("".join(p[i] for p in _PAIRS if p[1]) for i in (0, 1))
 
 
 def _head(spark: SparkSession, path: str, size: int = 65536) -> bytes:
-    """The first bytes of the first file at a path, by Spark's reader."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("c")).first()
-    return bytes(row["c"]) if row else b""
+    """About the first bytes of the files at a path: their first lines as Latin-1, so every byte stays what it is."""
+    lines, used = [], 0
+    for r in spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\n").csv(path, sep="\u0001", quote="", escape="", schema="value string").limit(200).collect():
+        lines.append((r["value"] or "").encode("latin-1", "replace"))
+        used += len(lines[-1]) + 1
+        if used >= size:
+            break
+    return b"\n".join(lines)[:size]
 
 
 def sniff(head: bytes) -> tuple[str, str]:
@@ -44,11 +49,14 @@ def sniff(head: bytes) -> tuple[str, str]:
         return max(DELIMITERS, key=line.count) if any(d in line for d in DELIMITERS) else ",", encoding
 
 
-def read_delimited(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
-    """All columns as text; surplus values fail the read if strict, short rows give empty text."""
+def read_delimited(spark: SparkSession, path: str, *, strict: bool = True, multiline: bool = True) -> DataFrame:
+    """All columns as text; surplus values fail the read if strict, short rows give empty text.
+
+    Quoted values may hold line breaks; without them (multiline false) large files are split among tasks.
+    """
     delimiter, encoding = sniff(_head(spark, path))
     single = encoding in ("cp1252", "latin-1")
-    df = spark.read.csv(path, sep=delimiter, header=True, encoding="ISO-8859-1" if single else encoding, quote='"', escape='"', multiLine=True, mode="FAILFAST" if strict else "PERMISSIVE", inferSchema=False)
+    df = spark.read.csv(path, sep=delimiter, header=True, encoding="ISO-8859-1" if single else encoding, quote='"', escape='"', multiLine=multiline, mode="FAILFAST" if strict else "PERMISSIVE", inferSchema=False)
     df = clean_headers(df)
     text = lambda c: F.translate(c, _C1, _CP1252) if encoding == "cp1252" else c
     return df.select(*[F.coalesce(text(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])

@@ -1,12 +1,13 @@
 """Operators on small fixtures: literal cases, closed forms against loops, and invariants."""
 
+import random
 from datetime import date
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyward.operators import detect, lifecycle, matching, ordering, prepare, profile, rules, sampling
+from tallyward.operators import credit, detect, lifecycle, matching, ordering, prepare, profile, rules, sampling
 
 
 def test_row_numbers_do_not_depend_on_partitions(spark):
@@ -167,3 +168,38 @@ def test_lift_counts_all_scores(spark):
     scored = spark.range(150_000).select(F.col("id").alias("score"), (F.col("id") < 50_000).cast("int").alias("y"))
     r = sampling.bootstrap_lift(scored, "score", "y", 100, rounds=8).first()
     assert r["rounds"] == 8 and r["verdict"] == "NOT_DISTINGUISHABLE" and r["high"] == 0
+
+
+def test_smallest_sets_are_those_of_plain_enumeration():
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for trial in range(60):
+        rows = [(f"r{i:02d}", rng.choice("AB"), rng.randint(-12, 12)) for i in range(rng.randint(2, 9))]
+        tolerance = trial % 3
+        used, want = set(), []
+        for size in range(2, 6):
+            for c in combinations(range(len(rows)), size):
+                if not used & set(c) and len({rows[i][1] for i in c}) == 2 and abs(sum(rows[i][2] for i in c)) <= tolerance:
+                    used |= set(c)
+                    want.append(list(c))
+        assert matching._smallest_sets(rows, 5, tolerance, 10**6) == (want, False)
+    assert matching._smallest_sets(rows, 5, 0, 1)[1]
+
+
+def test_names_of_columns(spark):
+    assert credit.propose_mapping(["Cust No", "loan_amt", "Other (x)"]) == {"Cust No": "member_id", "loan_amt": "loan_amount", "Other (x)": "other_x"}
+    names = ["gender", "Post Code", "zip", "trace", "unzipped", "write off", "political view", "arrears_flag", "Age", "average", "e-mail", "Marital Status", "marital_status", "future_x"]
+    want = {"gender": "protected", "zip": "review", "write off": "leakage", "political view": "protected", "Age": "protected", "future_x": "leakage", "marital_status": "protected", "Marital Status": "protected"}
+    assert dict(credit.governance_flags(names)) == want
+    d = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r["n"]: r["f"] for r in d.select("n", credit.governance_flag(F.col("n")).alias("f")).collect() if r["f"]} == want
+    assert credit.mapping_problems(["zip", "a", "b"], {"zip": "income", "a": "x", "b": "x"}) == [("zip", "SENSITIVE"), ("a", "DUPLICATE"), ("b", "DUPLICATE")]
+    assert credit.mapping_problems(["a", "b"], {"a": "1x", "c": "c"}) == [("b", "NOT_MAPPED"), ("c", "UNKNOWN"), ("a", "INVALID_NAME")]
+
+
+def test_generated_members(spark):
+    d = credit.generate_members(spark, 4000).cache()
+    r = d.selectExpr("avg(arrears_flag) a", "avg(arrears_flag) filter (where late_cnt >= 3) b", "avg(arrears_flag) filter (where late_cnt = 0) c", "count(distinct cust_id) n").first()
+    assert 0.1 < r["a"] < 0.5 and r["b"] > r["c"] + 0.1 and r["n"] == 4000
+    assert d.exceptAll(credit.generate_members(spark, 4000)).count() == 0
