@@ -51,7 +51,7 @@ FREQUENT = 4096
 BUCKET, HOLD = 1 << 20, 1 << 20
 #: Linked sets share one in so many of their tokens among those of least hash that they send.
 SHARE = 5
-#: Marks of texts that are broadcast at most (under 50 MB); more are joined by a shuffle.
+#: Marks of texts (and ids of documents) that are broadcast at most (under 50 MB); more are joined by a shuffle.
 BROADCAST_MARKS = 2_000_000
 #: Sets that share a first token: up to so many give pairs, more are linked to one of them.
 GROUP = 48
@@ -679,7 +679,8 @@ def keep_one(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> D
     found = jaccard_components(docs, n=n, num=num, den=den)
     gone = found.where("doc_id <> component_id").select("doc_id", "mark").distinct()
     gone = Scratch(docs.sparkSession, "jaccard").save(gone, "gone")
-    a, b = docs.alias("a"), gone.alias("b")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_MARKS else gone  # else whole texts travel
+    a, b = docs.alias("a"), few.alias("b")
     return a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.mark")), "left_anti")
 
 
