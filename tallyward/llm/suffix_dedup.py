@@ -201,7 +201,7 @@ def repeated(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
         for b in batches:
             for lo, _, texts in chunks(b):
                 p = pieces(texts)
-                order = np.lexsort((p["strings"], p["gram"], p["piece"]))
+                order = np.argsort(p["piece"], kind="stable")
                 first = np.ones(len(order), bool)
                 for k in ("piece", "gram", "strings"):
                     v = p[k][order]
