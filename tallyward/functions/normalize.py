@@ -127,3 +127,16 @@ def satisfies_column(version: Column, constraint: str) -> Column:
         op = next((o for o in tests if c.startswith(o)), None)
         out = out & tests[op or "=="](parts(version), parts(F.lit(c.removeprefix(op or ""))))
     return out
+
+
+def meets_column(version: str, constraint: Column) -> Column:
+    """satisfies() of a version under a column of constraints; null where a constraint is none."""
+    parts = lambda v: F.transform(F.split(F.trim(v), r"\."), lambda x: x.try_cast("int"))
+    own = parts(F.lit(version))
+
+    def meets(c: Column) -> Column:
+        op, other = F.regexp_extract(c, r"^\s*(>=|<=|==|!=|>|<)?", 1), parts(F.regexp_replace(c, r"^\s*(>=|<=|==|!=|>|<)?", ""))
+        told = F.when(op == ">=", own >= other).when(op == "<=", own <= other).when(op == ">", own > other).when(op == "<", own < other).when(op == "!=", own != other).otherwise(own == other)
+        return F.when(F.forall(other, lambda x: x.isNotNull()), told)
+
+    return F.forall(F.split(constraint, ","), meets)

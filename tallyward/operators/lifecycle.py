@@ -130,6 +130,13 @@ def plan_problems(steps: list[tuple[str, str]], columns: list[str]) -> list[tupl
     return out
 
 
+def plan_step_problems(steps: DataFrame, columns: list[str]) -> DataFrame:
+    """steps (step, column, others) with problem, a row for each problem of a step; steps without one have no row."""
+    forbidden = F.when(~F.coalesce(F.col("step").isin(*ALLOWED_STEPS), F.lit(False)), "FORBIDDEN_STEP")
+    missing = F.when(~F.coalesce(F.col("column").isin(*columns), F.lit(False)), "NO_COLUMN")
+    return steps.withColumn("problem", F.explode(F.array_compact(F.array(forbidden, missing))))
+
+
 def promote(versions: DataFrame, model: str, version: str, chosen: DataFrame) -> DataFrame:
     """versions with one production version per model: the chosen one, where there is one."""
     c = chosen.select(F.col(model).alias("_m"), F.col(version).alias("_v"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,6 +14,10 @@ from pyspark.sql.window import Window as W
 from tallyward.functions import parsing
 
 
+#: Columns that are targets unless the policy names others.
+TARGETS = ("target", "label", "is_anomaly", "is_fraud")
+
+
 @dataclass(frozen=True)
 class Policy:
     """What is kept out of the detectors, the targets, and configured ratio pairs (28 at most)."""
@@ -23,6 +30,21 @@ class Policy:
     def __post_init__(self) -> None:
         if len(self.ratio_pairs) > 28:
             raise ValueError("at most 28 ratio pairs")
+        if any(len(p) != 2 or not all(isinstance(c, str) for c in p) or p[0] == p[1] for p in self.ratio_pairs):
+            raise ValueError("a ratio pair is two different column names")
+
+    @classmethod
+    def from_environment(cls, env: Mapping[str, str] = os.environ, prefix: str = "TALLYWARD_") -> Policy:
+        """EXCLUDED_COLUMNS and TARGET_COLUMNS separated by commas, RATIO_PAIRS as a JSON list of pairs."""
+        names = lambda key, default="": tuple(c.strip() for c in env.get(prefix + key, default).split(",") if c.strip())
+        pairs = json.loads(env.get(prefix + "RATIO_PAIRS", "[]"))
+        if not isinstance(pairs, list) or not all(isinstance(p, list) for p in pairs):
+            raise ValueError("RATIO_PAIRS must be a list of pairs")
+        return cls(excluded=names("EXCLUDED_COLUMNS"), targets=names("TARGET_COLUMNS", ",".join(TARGETS)), ratio_pairs=tuple(map(tuple, pairs)))
+
+    def features(self, df: DataFrame) -> list[str]:
+        """Columns of df that are neither excluded nor targets."""
+        return [c for c in df.columns if c not in self.excluded and c not in self.targets]
 
 
 def clean_headers(df: DataFrame) -> DataFrame:

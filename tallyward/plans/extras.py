@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyward.functions import normalize
@@ -117,15 +118,16 @@ def smp_02(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(sampling.expansion_factor_column(c), 6).alias("factor"))
 
 
-@query("smp_04_attribute_size", "select * from (values (0.05, 0.0, 60), (0.10, 0.0, 30), (0.05, 0.0, 40)) t(tolerable, expected, n)")
+@query("smp_04_attribute_size", "select o_custkey, least(count(*), ceil(-ln(0.05) / (0.05 * (1 + o_custkey % 4))))::int as n from orders group by 1")
 def smp_04(spark, sf_dir):
-    rows = [(t, e, sampling.attribute_sample_size(t, e, 0.95, p)) for t, e, p in ((0.05, 0.0, 10_000), (0.10, 0.0, 10_000), (0.05, 0.0, 40))]
-    return spark.createDataFrame(rows, "tolerable double, expected double, n int")
+    size = F.pandas_udf(lambda rate, population: pd.Series([sampling.attribute_sample_size(r, 0.0, 0.95, p) for r, p in zip(rate, population, strict=True)]), "int")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("population"))
+    return o.select("o_custkey", size(F.lit(0.05) * (1 + F.col("o_custkey") % 4), "population").alias("n"))
 
 
-@query("smp_05_basic_precision", "select 29957.32 as precision")
+@query("smp_05_basic_precision", "select p_partkey, round(-ln(0.05) * p_retailprice, 4) as precision from part")
 def smp_05(spark, sf_dir):
-    return spark.createDataFrame([(round(sampling.basic_precision(10_000, 0.95), 2),)], "precision double")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(sampling.basic_precision(F.col("p_retailprice"), 0.95), 4).alias("precision"))
 
 
 @query("smp_11_projectable", "select case when l_partkey % 50 = 3 then 'certainty' when l_partkey % 9 = 1 then 'high_risk' else 'monetary_unit' end as basis, l_partkey % 50 = 3 or l_partkey % 9 <> 1 as projectable, count(*) as n from lineitem group by 1, 2")
@@ -216,10 +218,15 @@ def wf_08(spark, sf_dir):
     return lifecycle.decide(cases, first.unionByName(second)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("wf_16_plan_problems", "select * from (values ('drop_table', 'value', 'FORBIDDEN_STEP'), ('trim', 'nope', 'NO_COLUMN')) t(step, \"column\", problem)")
+@query(
+    "wf_16_plan_problems",
+    "with s as (select event_id, case when event_id % 3 = 0 then 'drop_table' else 'trim' end as step, case when event_id % 5 = 0 then 'nope' else event_type end as \"column\" from events) "
+    "select *, 'FORBIDDEN_STEP' as problem from s where step = 'drop_table' union all select *, 'NO_COLUMN' from s where \"column\" not in ('click', 'view')",
+)
 def wf_16(spark, sf_dir):
-    found = lifecycle.plan_problems([("trim", "event_type"), ("drop_table", "value"), ("trim", "nope")], table(spark, sf_dir, "events").columns)
-    return spark.createDataFrame(found, "step string, column string, problem string")
+    k = F.col("event_id")
+    steps = table(spark, sf_dir, "events").select(k, F.when(k % 3 == 0, "drop_table").otherwise("trim").alias("step"), F.when(k % 5 == 0, "nope").otherwise(F.col("event_type")).alias("column"))
+    return lifecycle.plan_step_problems(steps, ["click", "view"])
 
 
 @query(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
-from tallyward.operators import ordering
+from tallyward.operators import ordering, prepare
 from tallyward.plans.registry import query
 from tallyward.session import shared_dir, table
-from tallyward.sources import sinks, statements, tabular
+from tallyward.sources import packs, sinks, statements, tabular, workbook
 
 
 @query("src_03_nested_flatten", "select event_id, (props->>'$.k')::bigint as \"p.k\" from events")
@@ -120,3 +123,105 @@ def snk_06(spark, sf_dir):
     path = f"{shared_dir(spark)}/export-{spark.sparkContext.applicationId}-events"
     sinks.write_csv(table(spark, sf_dir, "events").select("event_id", "event_type").repartitionByRange("event_id").sortWithinPartitions("event_id"), path)
     return spark.read.csv(path, header=True, schema="event_id long, event_type string")
+
+
+# --- splittable scans, uploads, workbooks, manifests ---------------------------------------------------------
+
+
+def _path(spark, name):
+    return f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}"
+
+
+@query("src_07_split_scan", "select count(*) as n, sum(l_orderkey) as keys from lineitem")
+def src_07(spark, sf_dir):
+    path = _path(spark, "split")
+    table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity").write.mode("overwrite").csv(path, header=True, sep="\t")
+    rows = tabular.read_delimited(spark, path, multiline=False)
+    return rows.agg(F.count("*").alias("n"), F.sum(F.col("l_orderkey").cast("long")).alias("keys"))
+
+
+@query("src_08_upload_limits", "select count(*) as rows, 2 as columns, case when count(*) > 200000 then 'ROWS' end as problem from lineitem")
+def src_08(spark, sf_dir):
+    return tabular.upload_problem(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"))
+
+
+_XLSX = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+def _workbook(rows) -> bytes:
+    """A workbook of (key, name, nation) under a blank row and a header that spans two columns, and a sheet of notes."""
+    cell = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    lines = [f'<row r="2">{cell("A2", "key")}{cell("B2", "who")}</row>']
+    for i, (key, name, nation) in enumerate(rows, 4):
+        lines.append(f'<row r="{i}">{cell(f"A{i}", key)}{cell(f"B{i}", name)}{cell(f"C{i}", nation)}</row>')
+    # the header's second cell is merged with a third one, which is there and empty
+    lines[0] = lines[0].replace("</row>", '<c r="C2"/></row>')
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {_XLSX}><sheets><sheet name="data"/><sheet name="notes"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {_XLSX}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f"<worksheet {_XLSX}><sheetData/></worksheet>")
+    return b.getvalue()
+
+
+def _workbooks(spark, sf_dir):
+    """(path, content): suppliers, 500 to a workbook."""
+    pack = F.pandas_udf(lambda rows: rows.map(lambda r: _workbook([(x["key"], x["name"], x["nation"]) for x in r])), "binary")
+    row = F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    books = table(spark, sf_dir, "supplier").groupBy(F.floor(F.col("s_suppkey") / 500).cast("string").alias("path")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return books.select("path", pack("rows").alias("content"))
+
+
+@query("src_10_workbooks", "select s_suppkey::varchar as \"key\", s_name as who, s_nationkey::varchar as \"who (2)\", row_number() over (partition by s_suppkey // 500 order by s_suppkey) + 3 as line_no from supplier")
+def src_10(spark, sf_dir):
+    f = F.col("fields")
+    return workbook.parse_workbooks(_workbooks(spark, sf_dir)).select(*[f[c].alias(c) for c in ("key", "who", "who (2)")], "line_no")
+
+
+@query("src_14_sheets", "select distinct (s_suppkey // 500)::varchar as file, sheet from supplier, (values ('data'), ('notes')) t(sheet)")
+def src_14(spark, sf_dir):
+    return workbook.list_sheets(_workbooks(spark, sf_dir))
+
+
+@query("src_18_manifests", "select p_partkey, case when p_size % 5 = 0 then 'INVALID' when p_size % 8 > 4 or p_size % 8 = 4 and p_partkey % 3 > 0 then 'INCOMPATIBLE' end as problem from part")
+def src_18(spark, sf_dir):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    compat = F.concat(F.lit(">=1."), (size % 8).cast("string"), F.lit("."), (key % 3).cast("string"), F.lit(",<2.0.0"))
+    pack = F.struct(F.col("p_name").alias("id"), F.when(size % 5 != 0, "1.0.0").alias("version"), compat.alias("engine_compat"))
+    return table(spark, sf_dir, "part").select("p_partkey", packs.manifest_problem(F.to_json(F.struct(pack.alias("pack"))), "1.4.0").alias("problem"))
+
+
+@query("snk_01_findings", "select event_id, value from events where value > 100")
+def snk_01(spark, sf_dir):
+    path = _path(spark, "findings")
+    sinks.write_findings(table(spark, sf_dir, "events").where("value > 100").select("event_id", "value"), path)
+    return spark.read.schema("event_id long, value double").json(path)
+
+
+@query("snk_02_analysis", "select event_type, count(*) as n, max(value) as largest from events group by 1")
+def snk_02(spark, sf_dir):
+    path = _path(spark, "analysis")
+    sinks.save_analysis(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("largest")), path)
+    return spark.read.schema("event_type string, n long, largest double").json(path)
+
+
+@query("snk_03_scores", "select event_id, value as score, event_type from events")
+def snk_03(spark, sf_dir):
+    path = _path(spark, "all-scores")
+    sinks.write_scores(table(spark, sf_dir, "events").select("event_id", F.col("value").alias("score"), "event_type"), path, "event_type")
+    return spark.read.parquet(path).select("event_id", "score", "event_type")
+
+
+@query("snk_04_sample_items", "select o_orderkey as item_id, o_totalprice as amount, case when o_totalprice >= 450000 then 'certainty' else 'random' end as stratum, 'run-2' as run_id from orders union all select o_orderkey, o_totalprice, 'all', 'run-1' from orders")
+def snk_04(spark, sf_dir):
+    path, o = _path(spark, "sample"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_totalprice").alias("amount"))
+    sinks.write_sample(o.withColumn("stratum", F.lit("all")), path, "run-1")
+    sinks.write_sample(o.withColumn("stratum", F.when(F.col("amount") >= 450000, "certainty").otherwise("random")), path, "run-2")
+    return spark.read.parquet(path)
+
+
+@query("pre_13_policy", "select event_id, event_type, value from events")
+def pre_13(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    policy = prepare.Policy.from_environment({"TALLYWARD_EXCLUDED_COLUMNS": "props, ts", "TALLYWARD_TARGET_COLUMNS": "user_id"})
+    return e.select(*policy.features(e))

@@ -15,6 +15,17 @@ def write_scores(scores: DataFrame, path: str, *partition: str) -> None:
     scores.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
+def write_sample(items: DataFrame, path: str, run_id: str) -> None:
+    """The items of a sampling run, in folders of their run and stratum; writing a run again replaces that run alone."""
+    rows = items.withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "stratum").parquet(path)
+
+
+def save_analysis(result: DataFrame, path: str) -> None:
+    """A small result (a row a group) as one JSON file; readers see the former one or the new one."""
+    result.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_csv(df: DataFrame, path: str, money: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> None:
     d = df.withColumns({c: F.col(c).cast("decimal(20,2)").cast("string") for c in money}) if money else df
     (d.orderBy(*order) if order else d).write.mode("overwrite").csv(path, header=True)

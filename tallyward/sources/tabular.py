@@ -123,5 +123,33 @@ def batch_ids(df: DataFrame, row_id: str, rows: int = 5000, cells: int = 100_000
     return df.withColumn("batch_id", F.floor((F.col(row_id) - 1) / n))
 
 
+def upload_problem(df: DataFrame, *, most_rows: int = 200_000, most_columns: int = 200) -> DataFrame:
+    """One row (rows, columns, problem): what forbids df as an upload, null if nothing does."""
+    width, nested = len(df.columns), nested_columns(df)
+    n = F.col("rows")
+    problem = F.when(F.lit(not 1 <= width <= most_columns), "COLUMNS").when(F.lit(len(set(df.columns)) < width), "DUPLICATE_COLUMNS").when(F.lit(bool(nested)), "NESTED").when((n < 1) | (n > most_rows), "ROWS")
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(width).alias("columns"), problem.alias("problem"))
+
+
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """CSV, XLSX or a JSON array of flat records, within the limits of an upload; anything else is an error."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind not in ("csv", "xlsx", "json"):
+        raise ValueError("only CSV, XLSX and JSON files are accepted")
+    if kind == "json":
+        if not _head(spark, path).lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"["):
+            raise ValueError("JSON must hold an array of records")
+        df = spark.read.json(path, multiLine=True, mode="FAILFAST")
+    else:
+        df = load(spark, path)
+    if kind == "xlsx":
+        first = df.first()
+        df = df.select(*[F.col("fields")[c].alias(c) for c in (first["fields"] if first else ())])
+    found = upload_problem(df).first()["problem"]
+    if found:
+        raise ValueError(f"the upload is refused: {found}")
+    return df
+
+
 def nested_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (StructType, ArrayType))]

@@ -6,7 +6,8 @@ import zipfile
 
 import pytest
 
-from tallyward.sources import sinks, statements, tabular, workbook
+from tallyward.operators import prepare
+from tallyward.sources import packs, sinks, statements, tabular, workbook
 from tallyward.streaming import bulk
 
 MT940 = ":20:X\n:25:ACC\n:60F:C240101EUR1000,00\n:61:2401020102C50,00NTRFREF1\n:86:first\nline\n:61:240103D25,50NMSCREF2\n:86:second\n:62F:C240103EUR1024,50\n-}"
@@ -83,3 +84,29 @@ def test_bulk_stream(spark, tmp_path):
     q = bulk.score_files(spark, str(src), "id long, amount double", "id", "amount", str(tmp_path / "out"), str(tmp_path / "cp"), files_per_batch=1)
     q.awaitTermination(120)
     assert sorted(r["row"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [50, 150, 250]
+
+
+def test_uploads(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"x": 1, "y": "a"}, {"x": 2, "y": null}]')
+    assert tabular.read_upload(spark, str(tmp_path / "a.json")).count() == 2
+    for name, text, why in (("b.json", '[{"x": {"y": 1}}]', "NESTED"), ("c.json", '{"rows": [{"x": 1}]}', "array"), ("d.csv", "x,y\n", "ROWS"), ("e.txt", "x\n1\n", "accepted")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError, match=why):
+            tabular.read_upload(spark, str(tmp_path / name))
+    assert tabular.upload_problem(spark.range(3), most_rows=2).first()["problem"] == "ROWS"
+    assert tabular.upload_problem(spark.range(3).selectExpr("id", "id as b"), most_columns=1).first()["problem"] == "COLUMNS"
+
+
+def test_manifests(spark, tmp_path):
+    for i, text in enumerate(('{"pack": {"id": "p", "version": "1.0.0", "engine_compat": ">=1.2.0, <2.0.0"}}', '{"pack": {"id": "p", "version": "1.0.0", "engine_compat": "1.3.0"}}', '{"pack": {"id": "p"}}', "no json", '{"pack": {"id": "p", "version": "1.0.0", "engine_compat": ">=one"}}')):
+        (tmp_path / f"{i}.json").write_text(text)
+    got = sorted((r["file"][-6], r["problem"]) for r in packs.load_manifests(spark, str(tmp_path), "1.4.0").collect())
+    assert got == [("0", None), ("1", "INCOMPATIBLE"), ("2", "INVALID"), ("3", "INVALID"), ("4", "INCOMPATIBLE")]
+
+
+def test_policy_from_environment():
+    p = prepare.Policy.from_environment({"X_EXCLUDED_COLUMNS": " a, ,b", "X_RATIO_PAIRS": '[["c", "d"]]'}, "X_")
+    assert (p.excluded, p.targets, p.ratio_pairs) == (("a", "b"), prepare.TARGETS, (("c", "d"),))
+    for bad in ('[["c", "c"]]', '[["c"]]', '{"c": "d"}', json.dumps([["a", "b"]] * 29)):
+        with pytest.raises(ValueError):
+            prepare.Policy.from_environment({"X_RATIO_PAIRS": bad}, "X_")
