@@ -656,3 +656,11 @@ def test_pipeline_stages(spark):
             assert docs.columns == columns
     assert counts[1] < counts[0] and counts[2] == counts[1] and counts[3] < counts[2] and counts[4] <= counts[3]
     assert corpus_pipeline.run(spark, sf).count() == counts[-1]
+
+
+@pytest.mark.skipif(not os.path.exists(language_model.TOKENIZER), reason="no tokenizer")
+def test_language_model_keeps_clashing_columns(spark, docs):
+    d = docs.select("doc_id", "text").where("doc_id < 5").selectExpr("*", "doc_id as _k1", "doc_id as k1", "doc_id as row", "doc_id as `a.b`", "'old' as score")
+    got = language_model.score_texts(d, docs.select("doc_id", "text")).collect()
+    assert len(got) == d.count()
+    assert all(r["_k1"] == r["k1"] == r["row"] == r["a.b"] == r["doc_id"] and r["score"] < 0 for r in got)
