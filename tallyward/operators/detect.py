@@ -6,8 +6,6 @@ plans run per batch. Findings are rows (row, column, model, layer, score).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -160,9 +158,3 @@ def reservoir(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
-
-
-def as_pandas_batches(df: DataFrame) -> Iterator[pd.DataFrame]:
-    """Bounded batches of rows for callers that need local frames."""
-    for rows in df.toLocalIterator(prefetchPartitions=True):
-        yield pd.DataFrame([rows.asDict()])
