@@ -118,6 +118,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Runs:
+    """Runs of bytes that a table calls inside, in some texts: first byte, end, hash by a table of codes, and per text the range of its runs."""
+
+    def __init__(self, texts: list[bytes], inside: np.ndarray, code: np.ndarray):
+        self.raw = b" ".join(texts) + b" "
+        self.buf = buf = np.frombuffer(self.raw, np.uint8)
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+        within = np.concatenate([[False], inside[buf], [False]])
+        edge = np.flatnonzero(within[1:] != within[:-1])
+        self.start, self.end = edge[0::2], edge[1::2]
+        p, self._inv = powers(len(buf) + 1)
+        self._sums = np.empty(len(buf) + 1, np.uint64)
+        self._sums[0] = 0
+        np.cumsum(code[buf] * p[:-1], out=self._sums[1:])
+        self.hash = self.between(self.start, self.end)
+        self.bounds = np.searchsorted(self.start, starts)
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from start to end."""
+        return mix64((self._sums[end] - self._sums[start]) * self._inv[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """Words of some texts: hash, first byte, end, and per text the range of its words."""
 

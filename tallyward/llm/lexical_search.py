@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyward.llm.common import Scratch, chunks, mix64, powers, ragged, table
+from tallyward.llm.common import Runs, Scratch, chunks, ragged, table
 
 #: Postings of a term in the upper tiers, about; bins of impacts a term's boundaries are chosen from.
 TIERS, BINS = (512, 8192), 256
@@ -50,17 +50,8 @@ _CODE[65:91] = _CODE[97:123]
 
 def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all terms, one text after the other, and where each text's begin."""
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
-    inside = np.concatenate([[False], _TERM[buf], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    first, end = edge[0::2], edge[1::2]
-    p, inv = powers(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_CODE[buf] * p[:-1], out=sums[1:])
-    h = mix64((sums[end] - sums[first]) * inv[first] + (end - first).astype(np.uint64))
-    return h.view(np.int64), np.searchsorted(first, starts)
+    found = Runs(texts, _TERM, _CODE)
+    return found.hash.view(np.int64), found.bounds
 
 
 def items_terms(items: DataFrame, item_col: str, text_col: str) -> DataFrame:

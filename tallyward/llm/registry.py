@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate", "mixing", "ngram_join", "line_dedup", "quality", "suffix_dedup", "language_model", "chat", "embeddings", "warc", "hard_negatives", "lexical_search")
+MODULES = ("decontaminate", "mixing", "ngram_join", "line_dedup", "quality", "suffix_dedup", "language_model", "chat", "embeddings", "warc", "hard_negatives", "lexical_search", "language_id")
 
 
 def _loaded():
