@@ -369,7 +369,7 @@ def spans(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
                     a, e = w.bounds[t], w.bounds[t + 1]
                     turn = np.flatnonzero(np.concatenate([[True], best[a + 1 : e] != best[a : e - 1]])) + a if e > a else np.zeros(0, np.int64)
                     rows = []
-                    for x, y in zip(turn, np.append(turn[1:], e), strict=True):
+                    for x, y in zip(turn, np.append(turn[1:], e)[: len(turn)], strict=True):
                         rows.append({"start": int(chars[w.start[x]] - chars[offset]), "end": int(chars[w.end[y - 1]] - chars[offset]), "lang": m.languages[best[x]], "score": float(post[x:y, best[x]].mean())})
                     out.append(rows)
                     offset += len(text) + 1
