@@ -6,12 +6,14 @@ plans run per batch. Findings are rows (row, column, model, layer, score).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyward.operators.neighbours import neighbours
+from tallyward.operators.quantiles import attach, medians, quantiles
+from tallyward.session import materialize
+
 
 def severity(score: Column) -> Column:
     return F.when(score >= 85, "critical").when(score >= 65, "high").when(score >= 40, "medium").otherwise("low")
@@ -22,23 +24,22 @@ def confidence(score: Column) -> Column:
 
 
 def _baseline(df: DataFrame, x: Column, keys: list[str]) -> DataFrame:
-    """Median, MAD, mean, population deviation and quartiles per batch (all rows without keys), rounded to 4 places."""
+    """Median, MAD, mean, population deviation and nearest-rank quartiles per batch (all rows without keys); all but the quartiles rounded to 4 places."""
     v = df.select(*keys, x.alias("_x")).where("_x is not null")
-    first = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.round(F.median("_x"), 4).alias("_med"), F.round(F.avg("_x"), 4).alias("_mean"), F.round(F.stddev_pop("_x"), 4).alias("_std"), F.percentile("_x", F.lit(0.25)).alias("_q1"), F.percentile("_x", F.lit(0.75)).alias("_q3"))
-    raw = v.groupBy(*keys).agg(F.median("_x").alias("_m"))
-    dev = (v.join(raw, keys) if keys else v.crossJoin(F.broadcast(raw))).groupBy(*keys).agg(F.round(F.median(F.abs(F.col("_x") - F.col("_m"))), 4).alias("_mad"))
-    return first.join(dev, keys) if keys else first.crossJoin(dev)
-
-
-def _with(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(facts, keys) if keys else df.crossJoin(F.broadcast(facts))
+    first = v.groupBy(*keys).agg(F.count("*").alias("_n"), F.round(F.avg("_x"), 4).alias("_mean"), F.round(F.stddev_pop("_x"), 4).alias("_std"))
+    ranks = quantiles(v, {"_q": F.col("_x")}, [0.5, 0.25, 0.75], keys, nearest=(0.25, 0.75))
+    ranks = ranks.select(*keys, F.col("_q_0").alias("_m"), F.round("_q_0", 4).alias("_med"), F.col("_q_1").alias("_q1"), F.col("_q_2").alias("_q3"))
+    dev = medians(attach(v, ranks, keys), {"_d": F.abs(F.col("_x") - F.col("_m"))}, keys).select(*keys, F.round("_d", 4).alias("_mad"))
+    if keys:
+        return first.join(ranks.drop("_m"), keys).join(dev, keys)
+    return first.crossJoin(ranks.drop("_m")).crossJoin(dev)  # one row each
 
 
 def numeric_outliers(df: DataFrame, row: str, column: str, least: float = 40, keys: tuple[str, ...] = ()) -> DataFrame:
     """Score min(100, 18 * max(robust z, z, 3 if outside the 1.5 IQR fence))."""
     k = list(keys)
     x = F.col(column).cast("double")
-    d = _with(df, _baseline(df, x, k), k)
+    d = attach(df, _baseline(df, x, k), k)
     rz = F.when(F.col("_mad") > 0, F.abs(0.6745 * (x - F.col("_med")) / F.col("_mad"))).otherwise(0.0)
     z = F.when(F.col("_std") > 0, F.abs((x - F.col("_mean")) / F.col("_std"))).otherwise(0.0)
     iqr = F.col("_q3") - F.col("_q1")
@@ -51,71 +52,52 @@ def numeric_outliers(df: DataFrame, row: str, column: str, least: float = 40, ke
 def ratio_breaks(df: DataFrame, row: str, x: str, y: str) -> DataFrame:
     """Ratios y / x far from their median; needs 8 rows with x not zero."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) != 0)).withColumn("_r", F.col(y) / F.col(x))
-    med = pairs.agg(F.count("*").alias("_n"), F.median("_r").alias("_med"), (F.max("_r") - F.min("_r")).alias("_range"))
-    d = pairs.crossJoin(F.broadcast(med)).withColumn("_dev", F.abs(F.col("_r") - F.col("_med")))
-    mad = d.agg(F.median("_dev").alias("_mad"))
-    d = d.crossJoin(F.broadcast(mad))
+    facts = pairs.agg(F.count("*").alias("_n"), (F.max("_r") - F.min("_r")).alias("_range")).crossJoin(medians(pairs, {"_med": F.col("_r")}))  # one row each
+    d = attach(pairs, facts).withColumn("_dev", F.abs(F.col("_r") - F.col("_med")))
+    d = attach(d, medians(d, {"_mad": F.col("_dev")}))
     z = F.when(F.col("_mad") > 0, 0.6745 * F.col("_dev") / F.col("_mad")).otherwise(0.0)
     flat = (F.col("_mad") == 0) & (F.col("_range") > 0) & (F.col("_dev") > F.greatest(0.25 * F.abs("_med"), F.lit(1e-4)))
     out = d.where((F.col("_n") >= 8) & ((z >= 3) | flat))
-    return out.select(F.col(row).alias("row"), F.lit(f"{y}/{x}").alias("column"), F.lit("ratio_break").alias("model"), F.lit("L2").alias("layer"), F.round(F.least(F.lit(100.0), F.greatest(18 * z, F.lit(74.0))), 4).alias("score"))
+    score = F.least(F.lit(100.0), F.greatest(18 * z, F.when(flat, 74.0).otherwise(0.0)))
+    return out.select(F.col(row).alias("row"), F.lit(f"{y}/{x}").alias("column"), F.lit("ratio_break").alias("model"), F.lit("L2").alias("layer"), F.round(score, 4).alias("score"))
 
 
 def correlation_residuals(df: DataFrame, row: str, x: str, y: str, least_r: float = 0.8) -> DataFrame:
     """Absolute residuals of the least-squares line far from their median, where |r| reaches least_r."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     fit = pairs.agg(F.count("*").alias("_n"), F.corr(y, x).alias("_r"), F.regr_slope(y, x).alias("_slope"), F.regr_intercept(y, x).alias("_icept"), (F.max(y) - F.min(y)).alias("_range"))
-    d = pairs.crossJoin(F.broadcast(fit)).withColumn("_res", F.abs(F.col(y) - (F.col("_slope") * F.col(x) + F.col("_icept"))))
-    med = d.agg(F.median("_res").alias("_med"))
-    d = d.crossJoin(F.broadcast(med))
-    mad = d.agg(F.median(F.abs(F.col("_res") - F.col("_med"))).alias("_mad"))
-    d = d.crossJoin(F.broadcast(mad))
-    z = F.when(F.col("_mad") > 0, 0.6745 * F.abs(F.col("_res") - F.col("_med")) / F.col("_mad")).otherwise(0.0)
-    flat = (F.col("_mad") == 0) & (F.col("_res") > 0.2 * F.col("_range"))
+    d = attach(pairs, fit).withColumn("_res", F.abs(F.col(y) - (F.col("_slope") * F.col(x) + F.col("_icept"))))
+    d = attach(d, medians(d, {"_med": F.col("_res")})).withColumn("_dev", F.abs(F.col("_res") - F.col("_med")))
+    d = attach(d, medians(d, {"_mad": F.col("_dev")}))
+    z = F.when(F.col("_mad") > 0, 0.6745 * F.col("_dev") / F.col("_mad")).otherwise(0.0)
+    flat = (F.col("_mad") == 0) & (F.col("_range") > 0) & (F.col("_res") > 0.2 * F.col("_range"))
     out = d.where((F.col("_n") >= 8) & (F.abs("_r") >= least_r) & ((z >= 3) | flat))
-    return out.select(F.col(row).alias("row"), F.lit(f"{x}~{y}").alias("column"), F.lit("correlation_residual").alias("model"), F.lit("L2").alias("layer"), F.round(F.least(F.lit(100.0), F.greatest(16 * z, F.lit(72.0))), 4).alias("score"))
+    score = F.least(F.lit(100.0), F.greatest(16 * z, F.when(flat, 72.0).otherwise(0.0)))
+    return out.select(F.col(row).alias("row"), F.lit(f"{x}~{y}").alias("column"), F.lit("correlation_residual").alias("model"), F.lit("L2").alias("layer"), F.round(score, 4).alias("score"))
 
 
-def knn_distances(df: DataFrame, row: str, columns: list[str], k: int = 5, block: int = 512) -> DataFrame:
+def knn_distances(df: DataFrame, row: str, columns: list[str], k: int = 5) -> DataFrame:
     """(row, distance): mean distance to the k nearest other rows, columns scaled by median and MAD. Exact.
 
-    Rows meet in pairs of blocks; a task compares two blocks and returns each row's k nearest within
-    them, so nothing holds all pairs. The work is quadratic in the rows, as exact neighbours of
-    arbitrary data are; use it on strata of bounded size.
+    Rows with a null in a column take no part, nor do columns whose MAD is 0 or null.
     """
     complete = df.where(" and ".join(f"`{c}` is not null" for c in columns))
-    meds = complete.agg(*[F.median(c).alias(f"_m_{i}") for i, c in enumerate(columns)])
-    d = complete.crossJoin(F.broadcast(meds))
-    mads = d.agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{i}"))).alias(f"_d_{i}") for i, c in enumerate(columns)])
-    facts = mads.first()
-    use = [i for i in range(len(columns)) if facts and facts[i]]
-    scaled = d.crossJoin(F.broadcast(mads)).select(F.col(row).alias("row"), F.array(*[((F.col(columns[i]) - F.col(f"_m_{i}")) / F.col(f"_d_{i}")).cast("double") for i in use]).alias("x"))
-    blocks = max(1, -(-complete.count() // block))
-    scaled = scaled.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    sides = scaled.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")})
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, b = np.array(pdf["x"].tolist()).reshape(len(pdf), -1), pdf["row"].to_numpy(), pdf["b"].to_numpy()
-        dist = np.sqrt(np.maximum(0, ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)))
-        np.fill_diagonal(dist, np.inf)
-        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-            dist[b[:, None] == b[None, :]] = np.inf
-        near = np.sort(dist, 1)[:, :k]
-        return pd.DataFrame({"row": np.repeat(ids, near.shape[1]), "d": near.ravel()}).query("d < inf")
-
-    near = sides.groupBy("i", "j").applyInPandas(work, f"row {dict(df.dtypes)[row]}, d double")
-    best = near.groupBy("row").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k).alias("ds"))  # k per block at most
-    return best.select("row", (F.aggregate("ds", F.lit(0.0), lambda a, v: a + v) / F.size("ds")).alias("distance"))
+    d = attach(complete, medians(complete, {f"_m_{i}": F.col(c) for i, c in enumerate(columns)}))
+    d = attach(d, medians(d, {f"_d_{i}": F.abs(F.col(c) - F.col(f"_m_{i}")) for i, c in enumerate(columns)}))
+    axes = [F.when(F.col(f"_d_{i}") > 0, ((F.col(c) - F.col(f"_m_{i}")) / F.col(f"_d_{i}")).cast("double")).otherwise(0.0).alias(f"_s_{i}") for i, c in enumerate(columns)]
+    scaled = d.select(F.col(row).alias("row"), *axes)
+    near = neighbours(scaled, "row", [f"_s_{i}" for i in range(len(columns))], k)
+    return near.groupBy("row").agg(F.avg("d").alias("distance"))
 
 
 def knn_outliers(df: DataFrame, row: str, columns: list[str], k: int = 5) -> DataFrame:
-    """Rows whose neighbour distance reaches the 95th percentile and a robust z of 2.5."""
-    d = knn_distances(df, row, columns, k)
-    facts = d.agg(F.median("distance").alias("_med"), F.percentile("distance", F.lit(0.95)).alias("_p95"))
-    d = d.crossJoin(F.broadcast(facts))
-    mad = d.agg(F.median(F.abs(F.col("distance") - F.col("_med"))).alias("_mad"))
+    """Rows whose neighbour distance reaches the nearest-rank 95th percentile and a robust z of 2.5; needs 8 rows."""
+    d = materialize(knn_distances(df, row, columns, k))
+    high = quantiles(d, {"_p": F.col("distance")}, [0.95, 0.5], nearest=(0.95,)).select(F.col("n__p").alias("_n"), F.col("_p_0").alias("_p95"), F.col("_p_1").alias("_med"))
+    d = attach(d, high)
+    d = attach(d, medians(d, {"_mad": F.abs(F.col("distance") - F.col("_med"))}))
     z = F.when(F.col("_mad") > 0, 0.6745 * F.abs(F.col("distance") - F.col("_med")) / F.col("_mad")).otherwise(0.0)
-    out = d.crossJoin(F.broadcast(mad)).where((F.col("distance") >= F.col("_p95")) & (z >= 2.5))
+    out = d.where((F.col("_n") >= 8) & (F.col("distance") >= F.col("_p95")) & (z >= 2.5))
     return out.select("row", F.lit("knn").alias("column"), F.lit("knn_distance").alias("model"), F.lit("L2").alias("layer"), F.round(F.least(F.lit(100.0), F.greatest(15 * z, F.lit(68.0))), 4).alias("score"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyward.operators.quantiles import attach, distinct_counts, medians, quantiles
+
 
 def _stack(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
@@ -17,19 +19,19 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
 def column_profile(df: DataFrame, numeric: list[str], other: list[str] = ()) -> DataFrame:
     """One row per column: presence, distinct values, and for numbers min, max, mean, median, population std and MAD.
 
-    Two passes over the data whatever the number of columns: medians first, then deviations from them.
+    The number of passes does not depend on the number of columns: sums, distinct values, medians, then deviations from them.
     """
     cols = [*numeric, *other]
-    aggs = [F.count("*").alias("n")]
-    for c in cols:
-        aggs += [F.count(c).alias(f"{c}|present"), F.countDistinct(c).alias(f"{c}|distinct")]
+    aggs = [F.count("*").alias("n")] + [F.count(c).alias(f"{c}|present") for c in cols]
     for c in numeric:
         x = F.col(c).cast("double")
-        aggs += [f(x).alias(f"{c}|{k}") for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop), ("median", F.median))]
-    first = df.agg(*aggs)
-    meds = first.select(*[F.col(f"`{c}|median`").alias(f"_med_{i}") for i, c in enumerate(numeric)])
-    mads = df.crossJoin(F.broadcast(meds)).agg(*[F.median(F.abs(F.col(c).cast("double") - F.col(f"_med_{i}"))).alias(f"{c}|mad") for i, c in enumerate(numeric)]) if numeric else None
-    wide = first.crossJoin(F.broadcast(mads)) if mads is not None else first  # one row each
+        aggs += [f(x).alias(f"{c}|{k}") for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))]
+    wide = df.agg(*aggs).crossJoin(_distinct_wide(df, cols))
+    if numeric:
+        # one row each
+        meds = medians(df, {f"_med_{i}": F.col(c) for i, c in enumerate(numeric)})
+        mads = medians(attach(df, meds), {f"{c}|mad": F.abs(F.col(c).cast("double") - F.col(f"_med_{i}")) for i, c in enumerate(numeric)})
+        wide = wide.crossJoin(meds.withColumnsRenamed({f"_med_{i}": f"{c}|median" for i, c in enumerate(numeric)})).crossJoin(mads)
 
     def of(c: str) -> Column:
         pick = lambda k: F.round(F.col(f"`{c}|{k}`"), 4) if c in numeric else F.lit(None).cast("double")
@@ -43,6 +45,12 @@ def column_profile(df: DataFrame, numeric: list[str], other: list[str] = ()) ->
     return wide.select(F.explode(F.array(*[of(c) for c in cols])).alias("r")).select("r.*")
 
 
+def _distinct_wide(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the number of distinct values of each column, as column|distinct."""
+    long = distinct_counts(df, columns)
+    return long.agg(*[F.coalesce(F.max(F.when(F.col("column") == c, F.col("distinct_values"))), F.lit(0)).alias(f"{c}|distinct") for c in columns])
+
+
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """The k most frequent values of each column, ties by value."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("r")).select("r.*").where("value is not null")
@@ -77,9 +85,9 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def box_stats(df: DataFrame, column: str) -> DataFrame:
-    """Quartiles (linear), fences at 1.5 IQR, whiskers inside the fences, and outliers."""
+    """Quartiles (nearest rank), fences at 1.5 IQR, whiskers inside the fences, and outliers."""
     v = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    q = v.agg(F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"))
+    q = quantiles(v, {"q": F.col("v")}, [0.25, 0.75], nearest=(0.25, 0.75)).select(F.col("q_0").alias("q1"), F.col("q_1").alias("q3"))
     q = q.withColumns({"low": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "high": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
     d = v.crossJoin(F.broadcast(q))
     inside = F.col("v").between(F.col("low"), F.col("high"))
@@ -91,14 +99,16 @@ def schema_profile(df: DataFrame, numeric: list[str]) -> DataFrame:
     aggs = [F.count("*").alias("n")]
     for c in numeric:
         x = F.col(c).cast("double")
-        aggs.append(
-            F.struct(
-                F.count_if(x.isNull()).alias("nulls"), F.countDistinct(c).alias("distinct_values"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.round(F.avg(x), 4).alias("mean_value"),
-                F.round(F.median(x), 4).alias("median_value"), F.round(F.percentile(x, F.lit(0.95)), 4).alias("p95"), F.count_if(x < 0).alias("negative"), F.count_if(x == 0).alias("zero"),
-            ).alias(c)
-        )
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n").alias("n"), F.col(f"`{c}`").alias("s")) for c in numeric])
-    return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.column", "r.n", "r.s.*")
+        kinds = (("nulls", F.count_if(x.isNull())), ("min_value", F.min(x)), ("max_value", F.max(x)), ("mean_value", F.round(F.avg(x), 4)), ("negative", F.count_if(x < 0)), ("zero", F.count_if(x == 0)))
+        aggs += [f.alias(f"{c}|{k}") for k, f in kinds]
+    ranks = quantiles(df, {c: F.col(c) for c in numeric}, [0.5, 0.95])
+    wide = df.agg(*aggs).crossJoin(_distinct_wide(df, numeric)).crossJoin(ranks)  # one row each
+    order = ("nulls", "distinct", "min_value", "max_value", "mean_value", "median", "p95", "negative", "zero")
+    name = lambda c, k: f"`{c}_0`" if k == "median" else f"`{c}_1`" if k == "p95" else f"`{c}|{k}`"
+    shown = {"distinct": "distinct_values", "median": "median_value"}
+    of = lambda c, k: (F.round(F.col(name(c, k)), 4) if k in ("median", "p95") else F.col(name(c, k))).alias(shown.get(k, k))
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n").alias("n"), *[of(c, k) for k in order]) for c in numeric])
+    return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def running_stats(df: DataFrame, column: str, *keys: str) -> DataFrame:

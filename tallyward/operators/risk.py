@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyward.operators.frequency import rare_entities, with_duplicate_flag
+from tallyward.operators.quantiles import attach, medians
 
 
 def amount_flags(amount: Column) -> dict[str, Column]:
@@ -25,11 +26,10 @@ def time_flags(ts: Column) -> dict[str, Column]:
 
 def robust_flag(df: DataFrame, amount: str, name: str = "flag_outlier", least: float = 3.5) -> DataFrame:
     """|x - median| / (1.4826 * MAD) > least; false where the MAD is 0."""
-    med = df.agg(F.median(amount).alias("_med"))
-    d = df.crossJoin(F.broadcast(med))
-    mad = d.agg(F.median(F.abs(F.col(amount) - F.col("_med"))).alias("_mad"))
+    d = attach(df, medians(df, {"_med": F.col(amount)}))
+    mad = medians(d, {"_mad": F.abs(F.col(amount) - F.col("_med"))})
     z = F.abs(F.col(amount) - F.col("_med")) / (1.4826 * F.col("_mad"))
-    return d.crossJoin(F.broadcast(mad)).withColumn(name, F.coalesce((F.col("_mad") > 0) & (z > least), F.lit(False))).drop("_med", "_mad")
+    return attach(d, mad).withColumn(name, F.coalesce((F.col("_mad") > 0) & (z > least), F.lit(False))).drop("_med", "_mad")
 
 
 def add_flags(df: DataFrame, amount: str, ts: str | None = None, entity: str | None = None) -> DataFrame:
@@ -49,11 +49,9 @@ def missing_rate(columns: list[str]) -> Column:
 
 
 def robust_z(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with _z: per column |x - median| / (1.4826 * MAD), in two passes for all columns."""
-    meds = df.agg(*[F.median(c).alias(f"_m{i}") for i, c in enumerate(columns)])
-    d = df.crossJoin(F.broadcast(meds))
-    mads = d.agg(*[F.median(F.abs(F.col(c) - F.col(f"_m{i}"))).alias(f"_d{i}") for i, c in enumerate(columns)])
-    d = d.crossJoin(F.broadcast(mads))
+    """df with _z: per column |x - median| / (1.4826 * MAD), all columns at once."""
+    d = attach(df, medians(df, {f"_m{i}": F.col(c) for i, c in enumerate(columns)}))
+    d = attach(d, medians(d, {f"_d{i}": F.abs(F.col(c) - F.col(f"_m{i}")) for i, c in enumerate(columns)}))
     z = [F.struct(F.coalesce(F.when(F.col(f"_d{i}") > 0, F.abs(F.col(c) - F.col(f"_m{i}")) / (1.4826 * F.col(f"_d{i}"))), F.lit(0.0)).alias("z"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]
     return d.withColumn("_z", F.array(*z)).drop(*[f"_{k}{i}" for i in range(len(columns)) for k in "md"])
 

@@ -90,7 +90,14 @@ def rsk_10(spark, sf_dir):
     return risk.isolation_scores(e, ["value", "hour"], "event_id").select("event_id", F.round("iso_score", 6).alias("iso_score"))
 
 
-@query("rsk_11_local_outlier")
+_LOF = (
+    "with v as (select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c from embeddings), p as (select x.vec_id as r, y.vec_id as o, sqrt((x.a - y.a) ^ 2 + (x.b - y.b) ^ 2 + (x.c - y.c) ^ 2) as d from v x join v y on x.vec_id <> y.vec_id), "
+    "n as (select * from p qualify row_number() over (partition by r order by d, o) <= 20), kd as (select r as o, max(d) as kd from n group by 1), lrd as (select n.r, 1 / greatest(avg(greatest(n.d, kd.kd)), 1e-10) as lrd from n join kd using (o) group by 1) "
+    "select n.r as \"row\", round(avg(x.lrd) / any_value(y.lrd), 6) as lof from n join lrd x on x.r = n.o join lrd y on y.r = n.r group by 1"
+)
+
+
+@query("rsk_11_local_outlier", _LOF)
 def rsk_11(spark, sf_dir):
     from tallyward.operators.neighbours import local_outlier_factor
     from tallyward.plans.detection import _vectors

@@ -9,7 +9,7 @@ from tallyward.plans.registry import query
 from tallyward.session import table
 
 _OUT = (
-    "with m as (select median(value) as mm, round(median(value), 4) as med, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events), "
+    "with m as (select median(value) as mm, round(median(value), 4) as med, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std, list_sort(list(value))[round_even((count(value) - 1) * 0.25, 0)::bigint + 1] as q1, list_sort(list(value))[round_even((count(value) - 1) * 0.75, 0)::bigint + 1] as q3 from events), "
     "d as (select round(median(abs(value - mm)), 4) as mad from events, m), "
     "s as (select event_id as \"row\", least(100.0, 18 * greatest(case when mad > 0 then abs(0.6745 * (value - med) / mad) else 0 end, case when std > 0 then abs((value - mean) / std) else 0 end, case when q3 > q1 and (value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)) then 3.0 else 0 end)) as score from events, m, d where value is not null), "
     "f as (select \"row\", 'value' as \"column\", 'numeric_outlier' as model, 'L2' as layer, round(score, 4) as score from s where round(score, 4) >= 40) "
@@ -43,16 +43,30 @@ def _li(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(k.alias("k"), F.col("l_extendedprice").alias("x"), y.alias("y"))
 
 
-@query("det_03_ratio_breaks", f"with l as ({_LI}), p as (select k, y / x as r from l where x <> 0), m as (select median(r) as med from p), d as (select k, abs(r - med) as dev from p, m), a as (select median(dev) as mad from d) select k as \"row\", 'y/x' as \"column\", 'ratio_break' as model, 'L2' as layer, round(least(100, greatest(18 * 0.6745 * dev / mad, 74)), 4) as score from d, a where 0.6745 * dev / mad >= 3")
+@query("det_03_ratio_breaks", f"with l as ({_LI}), p as (select k, y / x as r from l where x <> 0), m as (select median(r) as med, max(r) - min(r) as span from p), d as (select k, abs(r - med) as dev, med, span from p, m), a as (select median(dev) as mad from d), z as (select k, case when mad > 0 then 0.6745 * dev / mad else 0 end as z, mad = 0 and span > 0 and dev > greatest(abs(med) * 0.25, 0.0001) as exact from d, a) select k as \"row\", 'y/x' as \"column\", 'ratio_break' as model, 'L2' as layer, round(least(100, greatest(18 * z, case when exact then 74 else 0 end)), 4) as score from z where z >= 3 or exact")
 def det_03(spark, sf_dir):
     return detect.ratio_breaks(_li(spark, sf_dir), "k", "x", "y")
 
 
-@query("det_04_correlation_residuals", f"with l as ({_LI}), f as (select corr(y, x) as r, regr_slope(y, x) as s, regr_intercept(y, x) as i from l), e as (select k, abs(y - (s * x + i)) as res from l, f), m as (select median(res) as med from e), a as (select median(abs(res - med)) as mad from e, m) select k as \"row\", 'x~y' as \"column\", 'correlation_residual' as model, 'L2' as layer, round(least(100, greatest(16 * 0.6745 * abs(res - med) / mad, 72)), 4) as score from e, m, a, f where abs(r) >= 0.8 and 0.6745 * abs(res - med) / mad >= 3")
+@query("det_04_correlation_residuals", f"with l as ({_LI}), f as (select corr(y, x) as r, regr_slope(y, x) as s, regr_intercept(y, x) as i from l), e as (select k, abs(y - (s * x + i)) as res from l, f), m as (select median(res) as med from e), a as (select median(abs(res - med)) as mad from e, m), g as (select max(y) - min(y) as span from l), z as (select k, case when mad > 0 then 0.6745 * abs(res - med) / mad else 0 end as z, mad = 0 and span > 0 and res > span * 0.2 as exact from e, m, a, f, g where abs(r) >= 0.8) select k as \"row\", 'x~y' as \"column\", 'correlation_residual' as model, 'L2' as layer, round(least(100, greatest(16 * z, case when exact then 72 else 0 end)), 4) as score from z where z >= 3 or exact")
 def det_04(spark, sf_dir):
     return detect.correlation_residuals(_li(spark, sf_dir), "k", "x", "y")
 
 
+_EXACT = "select l_orderkey * 10000000 + l_partkey * 10 + l_linenumber as k, l_quantity as x, case when l_partkey % 50 = 7 then l_quantity * 4 when l_partkey % 50 = 8 then l_quantity * 2.2 else l_quantity * 2 end as y from lineitem"
+
+
+def _exact(spark, sf_dir):
+    part, q = F.col("l_partkey") % 50, F.col("l_quantity")
+    k = F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(k.alias("k"), q.alias("x"), F.when(part == 7, q * 4).when(part == 8, q * 2.2).otherwise(q * 2).alias("y"))
+
+
+@query("det_03_exact_ratio_breaks", f"with l as ({_EXACT}) select k as \"row\", 'y/x' as \"column\", 'ratio_break' as model, 'L2' as layer, 74.0::double as score from l where abs(y / x - 2) > 0.5")
+def det_03_exact(spark, sf_dir):
+    return detect.ratio_breaks(_exact(spark, sf_dir), "k", "x", "y")
+
+
 _VEC = "select vec_id, embedding[1]::double as e0, embedding[2]::double as e1, embedding[3]::double as e2 from embeddings"
 _KNN = (
     f"with v as ({_VEC}), m as (select median(e0) as m0, median(e1) as m1, median(e2) as m2 from v), d as (select median(abs(e0 - m0)) as d0, median(abs(e1 - m1)) as d1, median(abs(e2 - m2)) as d2 from v, m), "
@@ -73,7 +87,7 @@ def det_05(spark, sf_dir):
     return detect.knn_distances(_vectors(spark, sf_dir), "vec_id", ["e0", "e1", "e2"]).select("row", F.round("distance", 6).alias("distance"))
 
 
-@query("det_05_knn_outliers", _KNN + ", q as (select median(distance) as med, quantile_cont(distance, 0.95) as p95 from k), a as (select median(abs(distance - med)) as mad from k, q) select vec_id as \"row\", 'knn' as \"column\", 'knn_distance' as model, 'L2' as layer, round(least(100, greatest(15 * 0.6745 * abs(distance - med) / mad, 68)), 4) as score from k, q, a where distance >= p95 and 0.6745 * abs(distance - med) / mad >= 2.5")
+@query("det_05_knn_outliers", _KNN + ", q as (select median(distance) as med, list_sort(list(distance))[round_even((count(distance) - 1) * 0.95, 0)::bigint + 1] as p95 from k), a as (select median(abs(distance - med)) as mad from k, q) select vec_id as \"row\", 'knn' as \"column\", 'knn_distance' as model, 'L2' as layer, round(least(100, greatest(15 * 0.6745 * abs(distance - med) / mad, 68)), 4) as score from k, q, a where distance >= p95 and 0.6745 * abs(distance - med) / mad >= 2.5")
 def det_05_out(spark, sf_dir):
     return detect.knn_outliers(_vectors(spark, sf_dir), "vec_id", ["e0", "e1", "e2"])
 
@@ -135,7 +149,7 @@ def det_14(spark, sf_dir):
 
 @query(
     "det_15_batch_relative_outliers",
-    "with e as (select event_id, value, (event_id // 2500)::bigint as batch from events where value is not null), m as (select batch, median(value) as mm, round(median(value), 4) as med, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from e group by 1), d as (select batch, round(median(abs(value - mm)), 4) as mad from e join m using (batch) group by 1), "
+    "with e as (select event_id, value, (event_id // 2500)::bigint as batch from events where value is not null), m as (select batch, median(value) as mm, round(median(value), 4) as med, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as std, list_sort(list(value))[round_even((count(value) - 1) * 0.25, 0)::bigint + 1] as q1, list_sort(list(value))[round_even((count(value) - 1) * 0.75, 0)::bigint + 1] as q3 from e group by 1), d as (select batch, round(median(abs(value - mm)), 4) as mad from e join m using (batch) group by 1), "
     "s as (select batch, event_id as \"row\", round(least(100.0, 18 * greatest(abs(0.6745 * (value - med) / mad), abs((value - mean) / std), case when value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1) then 3.0 else 0 end)), 4) as score from e join m using (batch) join d using (batch)) select batch, \"row\", score from s where score >= 40",
 )
 def det_15(spark, sf_dir):

@@ -52,7 +52,7 @@ def agg_04(spark, sf_dir):
     return profile.histogram(table(spark, sf_dir, "events"), "value")
 
 
-@query("agg_05_box_stats", "with q as (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events), f as (select *, q1 - 1.5 * (q3 - q1) as low, q3 + 1.5 * (q3 - q1) as high from q) select q1, q3, low, high, min(value) filter (where value between low and high) as whisker_low, max(value) filter (where value between low and high) as whisker_high, count(*) filter (where value not between low and high) as outliers, count(*) as n from events, f where value is not null group by all")
+@query("agg_05_box_stats", "with q as (select list_sort(list(value))[round_even((count(value) - 1) * 0.25, 0)::bigint + 1] as q1, list_sort(list(value))[round_even((count(value) - 1) * 0.75, 0)::bigint + 1] as q3 from events), f as (select *, q1 - 1.5 * (q3 - q1) as low, q3 + 1.5 * (q3 - q1) as high from q) select q1, q3, low, high, min(value) filter (where value between low and high) as whisker_low, max(value) filter (where value between low and high) as whisker_high, count(*) filter (where value not between low and high) as outliers, count(*) as n from events, f where value is not null group by all")
 def agg_05(spark, sf_dir):
     return profile.box_stats(table(spark, sf_dir, "events"), "value")
 
