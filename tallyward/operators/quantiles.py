@@ -21,6 +21,8 @@ from tallyward.session import materialize
 ACCURACY, MARGIN = 10_000, 5
 #: Cells of a bracket.
 CELLS = 1024
+#: Tables of so many rows at most are sorted as they are, with the same result.
+SMALL = 200_000
 
 
 def _frame(columns: int, fractions: list[float], box) -> tuple[list, dict, dict]:
@@ -83,6 +85,8 @@ def quantiles(df: DataFrame, columns: dict[str, Column], fractions: list[float],
     keys, names = list(keys), list(columns)
     keep = lambda c: F.when(~F.isnan(c), c)
     base = df.select(*keys, *[keep(x.cast("double")).alias(f"_x{i}") for i, x in enumerate(columns.values())])
+    if base.limit(SMALL + 1).count() <= SMALL:
+        return _sorted(base, names, fractions, keys, nearest)
     sketch = base.groupBy(*keys).agg(
         *[F.count(f"_x{i}").alias(f"_n{i}") for i in range(len(names))],
         *[F.percentile_approx(f"_x{i}", F.array(*[F.lit(e) for e in _ends(fractions)]), F.lit(ACCURACY)).alias(f"_b{i}") for i in range(len(names))],
@@ -90,6 +94,24 @@ def quantiles(df: DataFrame, columns: dict[str, Column], fractions: list[float],
     return _keyed(base, sketch, names, fractions, keys, nearest) if keys else _whole(base, sketch, names, fractions, nearest)
 
 
+def _sorted(base: DataFrame, names: list[str], fractions: list[float], keys: list[str], nearest: tuple[float, ...]) -> DataFrame:
+    """The same from sorted lists; the table has SMALL rows at most."""
+    lists = base.groupBy(*keys).agg(*[F.array_sort(F.collect_list(f"_x{i}")).alias(f"_l{i}") for i in range(len(names))])
+
+    def value(i: int, f: float) -> Column:
+        values = F.col(f"_l{i}")
+        at = (F.size(values) - 1) * F.lit(f)
+        pick = lambda r: F.get(values, r.cast("int"))
+        if f in nearest:
+            return pick(F.bround(at))
+        part = at - F.floor(at)
+        return F.when(part == 0, pick(at)).otherwise(pick(F.floor(at)) * (1 - part) + pick(F.ceil(at)) * part)
+
+    counts = [F.size(f"_l{i}").cast("long").alias(f"n_{x}") for i, x in enumerate(names)]
+    out = lists.select(*keys, *counts, *[value(i, f).alias(f"{x}_{j}") for i, x in enumerate(names) for j, f in enumerate(fractions)])
+    return out.where(" and ".join(f"`{k}` is not null" for k in keys)) if keys else out
+
+
 def _whole(base: DataFrame, sketch: DataFrame, names: list[str], fractions: list[float], nearest: tuple[float, ...]) -> DataFrame:
     spark, s = base.sparkSession, sketch.first()
     n = [s[f"_n{i}"] for i in range(len(names))]
