@@ -48,7 +48,11 @@ def missing_reason(raw: Column) -> Column:
     return F.when(raw.isNull(), "null").when(t == "", "blank").when(low.isin(MISSING_TOKENS), "token").when(low.isin(NON_FINITE), "non_finite")
 
 
+# Literals of a source that say a value is not known.
+UNKNOWN_LITERALS = ["unknown", "n/a", "na", "null"]
+
+
 def null_kind(raw: Column) -> Column:
     """NULL, EMPTY, UNKNOWN_LITERAL or VALUE."""
-    t = F.trim(raw)
-    return F.when(raw.isNull(), "NULL").when(t == "", "EMPTY").when(F.lower(t).isin([*MISSING_TOKENS, "na", "-"]), "UNKNOWN_LITERAL").otherwise("VALUE")
+    t = F.lower(F.regexp_replace(raw, r"^\s+|\s+$", ""))
+    return F.when(raw.isNull(), "NULL").when(t == "", "EMPTY").when(t.isin(UNKNOWN_LITERALS), "UNKNOWN_LITERAL").otherwise("VALUE")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyward.operators.neighbours import neighbours
+from tallyward.operators.neighbours import PACK, neighbours
 from tallyward.operators.quantiles import attach, medians, quantiles
 from tallyward.session import materialize
 
@@ -76,7 +76,7 @@ def correlation_residuals(df: DataFrame, row: str, x: str, y: str, least_r: floa
     return out.select(F.col(row).alias("row"), F.lit(f"{x}~{y}").alias("column"), F.lit("correlation_residual").alias("model"), F.lit("L2").alias("layer"), F.round(score, 4).alias("score"))
 
 
-def knn_distances(df: DataFrame, row: str, columns: list[str], k: int = 5) -> DataFrame:
+def knn_distances(df: DataFrame, row: str, columns: list[str], k: int = 5, block: int = PACK) -> DataFrame:
     """(row, distance): mean distance to the k nearest other rows, columns scaled by median and MAD. Exact.
 
     Rows with a null in a column take no part, nor do columns whose MAD is 0 or null.
@@ -86,7 +86,7 @@ def knn_distances(df: DataFrame, row: str, columns: list[str], k: int = 5) -> Da
     d = attach(d, medians(d, {f"_d_{i}": F.abs(F.col(c) - F.col(f"_m_{i}")) for i, c in enumerate(columns)}))
     axes = [F.when(F.col(f"_d_{i}") > 0, ((F.col(c) - F.col(f"_m_{i}")) / F.col(f"_d_{i}")).cast("double")).otherwise(0.0).alias(f"_s_{i}") for i, c in enumerate(columns)]
     scaled = d.select(F.col(row).alias("row"), *axes)
-    near = neighbours(scaled, "row", [f"_s_{i}" for i in range(len(columns))], k)
+    near = neighbours(scaled, "row", [f"_s_{i}" for i in range(len(columns))], k, block)
     return near.groupBy("row").agg(F.avg("d").alias("distance"))
 
 

@@ -155,8 +155,8 @@ def _nearest(d: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int, reach:
     return pa.table({"point": pa.array(ids[row]), "other": pa.array(others[at[keep]]), "d": pa.array(value[keep])})
 
 
-def neighbours(df: DataFrame, row: str, columns: list[str], k: int, *, pack: int = PACK, pivots: int = PIVOTS) -> DataFrame:
-    """(row, other, d): the k nearest other rows of each row by Euclidean distance, ties by row. Exact.
+def neighbours(df: DataFrame, row: str, columns: list[str], k: int, block: int = PACK, pivots: int = PIVOTS) -> DataFrame:
+    """(row, other, d): the k nearest other rows of each row by Euclidean distance, ties by row. Exact. Packs hold block points.
 
     Rows with a null, NaN or infinite coordinate take no part; rows may share an id only if they share the point too.
     """
@@ -167,7 +167,7 @@ def neighbours(df: DataFrame, row: str, columns: list[str], k: int, *, pack: int
     ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy("x").orderBy("row"))).where(F.col("_r") <= k + 1)
     points = ranked.groupBy("x").agg(F.array_sort(F.collect_list("row")).alias("rows")).withColumn("point", F.xxhash64("x"))
     points = materialize(points)
-    index = Index(points, len(columns), pack, pivots)
+    index = Index(points, len(columns), block, pivots)
     near = index.nearest(k)
     # each point with its own rows at distance 0, then those of its neighbours
     own = points.select("point", F.col("point").alias("other"), F.lit(0.0).alias("d"))

@@ -29,6 +29,28 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "row_id") -> Dat
     return prefix_sum(df, order, F.lit(1).cast("long"), name)
 
 
+def with_previous(df: DataFrame, keys: list[str], seq: str, columns: dict[str, str], partitions: int | None = None) -> DataFrame:
+    """df with columns of the row before it in its key, by seq (name of the new column: column of the row before); null for the first.
+
+    Rows are range-partitioned by key and seq, so one long key spreads over many tasks; the last row of each
+    partition, one row each, is what the next one's first row looks back to. Rows of a key have distinct seq.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(k) for k in [*keys, seq]]
+    tagged = materialize(df.repartitionByRange(n, *order).withColumn("__pv_part", F.spark_partition_id()))
+    row = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns.values())])
+    last = tagged.groupBy("__pv_part").agg(F.max_by(row, F.struct(*order)).alias("__pv_last"))
+    # a row per partition; a partition may be empty, so its neighbour is the one before it that is not
+    last = last.withColumn("__pv_border", F.lag("__pv_last").over(W.orderBy("__pv_part"))).drop("__pv_last")
+    own = F.lag(row).over(W.partitionBy("__pv_part").orderBy(*order))
+    looked = tagged.withColumn("__pv_own", own).join(F.broadcast(last), "__pv_part").withColumn("__pv_row", F.coalesce("__pv_own", "__pv_border"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col("__pv_row")[f"k{i}"].eqNullSafe(F.col(k))
+    out = looked.withColumns({name: F.when(F.col("__pv_row").isNotNull() & same, F.col("__pv_row")[f"c{i}"]) for i, name in enumerate(columns)})
+    return out.drop("__pv_part", "__pv_own", "__pv_border", "__pv_row")
+
+
 def thin(df: DataFrame, order: list[Column], most: int) -> DataFrame:
     """Every k-th row in order, k the least stride that leaves at most about `most` rows."""
     numbered = row_numbers(df, order, "_rn")

@@ -85,6 +85,8 @@ def quantiles(df: DataFrame, columns: dict[str, Column], fractions: list[float],
     keys, names = list(keys), list(columns)
     keep = lambda c: F.when(~F.isnan(c), c)
     base = df.select(*keys, *[keep(x.cast("double")).alias(f"_x{i}") for i, x in enumerate(columns.values())])
+    if keys:
+        base = base.where(" and ".join(f"`{k}` is not null" for k in keys))
     if base.limit(SMALL + 1).count() <= SMALL:
         return _sorted(base, names, fractions, keys, nearest)
     sketch = base.groupBy(*keys).agg(
@@ -108,8 +110,7 @@ def _sorted(base: DataFrame, names: list[str], fractions: list[float], keys: lis
         return F.when(part == 0, pick(at)).otherwise(pick(F.floor(at)) * (1 - part) + pick(F.ceil(at)) * part)
 
     counts = [F.size(f"_l{i}").cast("long").alias(f"n_{x}") for i, x in enumerate(names)]
-    out = lists.select(*keys, *counts, *[value(i, f).alias(f"{x}_{j}") for i, x in enumerate(names) for j, f in enumerate(fractions)])
-    return out.where(" and ".join(f"`{k}` is not null" for k in keys)) if keys else out
+    return lists.select(*keys, *counts, *[value(i, f).alias(f"{x}_{j}") for i, x in enumerate(names) for j, f in enumerate(fractions)])
 
 
 def _whole(base: DataFrame, sketch: DataFrame, names: list[str], fractions: list[float], nearest: tuple[float, ...]) -> DataFrame:

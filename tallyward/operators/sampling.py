@@ -18,7 +18,7 @@ from tallyward.operators.ordering import prefix_sum, row_numbers
 # --- scalars ------------------------------------------------------------------------------------------
 
 #: Expansion factors by confidence.
-EXPANSION = ((0.75, 1.25), (0.80, 1.3), (0.85, 1.4), (0.90, 1.5), (0.95, 1.6), (0.98, 1.8), (0.99, 1.9))
+EXPANSION = ((0.50, 1.00), (0.75, 1.25), (0.80, 1.30), (0.85, 1.40), (0.90, 1.50), (0.95, 1.60), (0.99, 1.90))
 PROJECTABLE = ("certainty", "monetary_unit")
 
 
@@ -51,6 +51,19 @@ def reliability_factor(k: int, confidence: float) -> float:
     return float(reliability_factors(np.array([k]), confidence)[0])
 
 
+def reliability_factor_column(k: Column, confidence: Column) -> Column:
+    """reliability_factors() of columns, in Arrow batches: one solve for each confidence of a batch."""
+
+    @F.pandas_udf("double")
+    def solved(k: pd.Series, confidence: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=k.index)
+        for c, own in k.dropna().groupby(confidence):
+            out[own.index] = reliability_factors(own.to_numpy(), float(c))
+        return out
+
+    return solved(k, confidence)
+
+
 def expansion_factor(confidence: float) -> float:
     """Linear between the points of the table, constant beyond them."""
     return float(np.interp(confidence, [c for c, _ in EXPANSION], [f for _, f in EXPANSION]))

@@ -141,10 +141,15 @@ def rsk_16(spark, sf_dir):
 # --- sampling -------------------------------------------------------------------------------------
 
 
-@query("smp_01_reliability_factors", "select * from (values (0, 0.95, 2.996), (1, 0.95, 4.744), (2, 0.95, 6.296), (0, 0.9, 2.303), (1, 0.9, 3.89), (0, 0.99, 4.605)) t(k, c, factor)")
+@query("smp_01_reliability_factors", "select p_partkey, (p_size % 12)::int as k, case p_partkey % 3 when 0 then 0.9 when 1 then 0.95 else 0.99 end::double as confidence, case p_partkey % 3 when 0 then 0.1 when 1 then 0.05 else 0.01 end::double as tail from part")
 def smp_01(spark, sf_dir):
-    rows = [(k, c, round(sampling.reliability_factor(k, c), 3)) for k, c in ((0, 0.95), (1, 0.95), (2, 0.95), (0, 0.9), (1, 0.9), (0, 0.99))]
-    return spark.createDataFrame(rows, "k int, c double, factor double")
+    """tail is the probability of k or fewer events at the factor, by its Poisson sum."""
+    part = F.col("p_partkey") % 3
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 12).cast("int").alias("k"), F.when(part == 0, 0.9).when(part == 1, 0.95).otherwise(0.99).alias("confidence"))
+    p = p.withColumn("factor", sampling.reliability_factor_column(F.col("k"), F.col("confidence")))
+    terms = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.pow("factor", i) / F.factorial(i))
+    tail = F.exp(-F.col("factor")) * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    return p.select("p_partkey", "k", "confidence", F.round(tail, 9).alias("tail"))
 
 
 @query("smp_03_sample_size", "with b as (select sum((round(o_totalprice * 100))::bigint)::double / 100 as book from orders) select ceil(book * 2.995732273553991 / (book * 0.02 - book * 0.002 * 1.6))::bigint as n, round(book / ceil(book * 2.995732273553991 / (book * 0.02 - book * 0.002 * 1.6)), 2) as interval from b")

@@ -26,7 +26,7 @@ _ORD = "select o_orderkey::varchar as o_orderkey, o_orderstatus, o_orderpriority
 def src_01(spark, sf_dir):
     path = _folder(spark, "delimited")
     table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").write.mode("overwrite").csv(path, sep=";", header=True)
-    return tabular.read_delimited(spark, path)
+    return tabular.read_delimited(spark, path, multiline=False)  # no value holds a line break, so files split
 
 
 @query("src_02_wrapped_json", "select o_orderkey, o_custkey as \"who.id\" from orders")
@@ -44,10 +44,14 @@ def src_04(spark, sf_dir):
     return tabular.guard(tabular.read_json(spark, path, lines=True)).agg(F.count("event_id").alias("n"))
 
 
-@query("src_09_short_rows", "select * from (values ('1', 'a', ''), ('2', 'b', 'c')) t(x, y, z)")
+@query("src_09_short_rows", "select p_partkey::varchar as x, p_brand as y, case when p_partkey % 3 = 0 then '' else p_size::varchar end as z from part")
 def src_09(spark, sf_dir):
     path = _folder(spark, "short")
-    spark.createDataFrame([("x|y|z\n1|a|\n2|b|c",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    key = F.col("p_partkey")
+    line = F.concat_ws("|", key.cast("string"), "p_brand", F.when(key % 3 != 0, F.col("p_size").cast("string")))
+    head = spark.range(1).select(F.lit("x|y|z").alias("value"), F.lit(0).alias("at"))
+    lines = table(spark, sf_dir, "part").select(line.alias("value"), F.lit(1).alias("at"))
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
     return tabular.read_delimited(spark, path)
 
 
@@ -105,16 +109,13 @@ def rsk_17(spark, sf_dir):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count_if("flag_outlier").alias("flagged"))
 
 
-_POINTS = "(values " + ", ".join(f"({c}, {f})" for c, f in sampling.EXPANSION) + ") t(c, f)"
-
-
 @query(
     "smp_02_expansion_factor",
-    f"with t as (select c, f, lead(c) over (order by c) as c2, lead(f) over (order by c) as f2 from {_POINTS}), p as (select p_partkey, 0.7 + p_size / 160.0 as c from part) "
-    "select p_partkey, round(case when p.c <= 0.75 then 1.25 when p.c >= 0.99 then 1.9 else t.f + (t.f2 - t.f) * (p.c - t.c) / (t.c2 - t.c) end, 6) as factor from p left join t on p.c > t.c and p.c <= t.c2 and p.c > 0.75 and p.c < 0.99",
+    "with p as (select p_partkey, 0.45 + p_size / 90.0 as c from part) select p_partkey, round(case when c <= 0.5 then 1.0 when c >= 0.99 then 1.9 when c <= 0.75 then 1 + (c - 0.5) when c <= 0.8 then 1.25 + (c - 0.75) when c <= 0.85 then 1.3 + 2 * (c - 0.8) "
+    "when c <= 0.9 then 1.4 + 2 * (c - 0.85) when c <= 0.95 then 1.5 + 2 * (c - 0.9) else 1.6 + 7.5 * (c - 0.95) end, 6)::double as factor from p",
 )
 def smp_02(spark, sf_dir):
-    c = F.lit(0.7) + F.col("p_size") / 160.0
+    c = F.lit(0.45) + F.col("p_size") / 90.0
     return table(spark, sf_dir, "part").select("p_partkey", F.round(sampling.expansion_factor_column(c), 6).alias("factor"))
 
 
@@ -167,10 +168,12 @@ def fn_10(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", credit.normal_name_column(raw).alias("name"))
 
 
-@query("fn_17_version_constraint", "select p_partkey, (p_size % 3, p_size % 7, p_partkey % 10) >= (1, 2, 0) and (p_size % 3, p_size % 7, p_partkey % 10) < (2, 0, 0) as fits from part")
+@query("fn_17_version_constraint", "select p_partkey, case when p_size % 11 <> 0 then (p_size % 3, p_size % 7, p_partkey % 10) >= (1, 2, 0) and (p_size % 3, p_size % 7, p_partkey % 10) < (2, 0, 0) end as fits from part")
 def fn_17(spark, sf_dir):
-    version = F.concat_ws(".", (F.col("p_size") % 3).cast("string"), (F.col("p_size") % 7).cast("string"), (F.col("p_partkey") % 10).cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", normalize.satisfies_column(version, ">=1.2.0,<2.0.0").alias("fits"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    version = F.concat_ws(".", (size % 3).cast("string"), (size % 7).cast("string"), (key % 10).cast("string"))
+    constraint = F.when(size % 11 == 0, "any").when(key % 2 == 0, ">=1.2.0 <2.0.0").otherwise(">= 1.2.0, < 2.0.0")
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.satisfies_column(version, constraint).alias("fits"))
 
 
 @query("fn_18_canonical_json", "select n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' as j from nation")
@@ -220,13 +223,16 @@ def wf_08(spark, sf_dir):
 
 @query(
     "wf_16_plan_problems",
-    "with s as (select event_id, case when event_id % 3 = 0 then 'drop_table' else 'trim' end as step, case when event_id % 5 = 0 then 'nope' else event_type end as \"column\" from events) "
-    "select *, 'FORBIDDEN_STEP' as problem from s where step = 'drop_table' union all select *, 'NO_COLUMN' from s where \"column\" not in ('click', 'view')",
+    "with s as (select event_id, event_id % 6 as shape, event_type from events) select event_id, case shape when 0 then 'FORBIDDEN_STEP' when 1 then 'UNKNOWN_STEP' when 2 then 'UNKNOWN_PARAMETER' else 'UNKNOWN_COLUMN' end as problem, "
+    "case shape when 2 then 'how' when 3 then event_type when 4 then 'nope' else '' end as items from s where shape < 3 or shape = 3 and event_type not in ('click', 'view') or shape = 4",
 )
 def wf_16(spark, sf_dir):
-    k = F.col("event_id")
-    steps = table(spark, sf_dir, "events").select(k, F.when(k % 3 == 0, "drop_table").otherwise("trim").alias("step"), F.when(k % 5 == 0, "nope").otherwise(F.col("event_type")).alias("column"))
-    return lifecycle.plan_step_problems(steps, ["click", "view"])
+    k, e = F.col("event_id") % 6, F.col("event_type")
+    step = F.when(k == 0, "drop_duplicates").when(k == 1, "trim").when(k == 4, "engineer_feature").otherwise("scale_numeric")
+    params = F.when(k == 2, F.create_map(F.lit("column"), F.lit("view"), F.lit("how"), e)).when(k == 4, F.create_map(F.lit("name"), e)).otherwise(F.create_map(F.lit("column"), F.when(k == 5, "view").otherwise(e)))
+    sources = F.when(k == 4, F.array(F.lit("click"), F.lit("nope")))
+    steps = table(spark, sf_dir, "events").select("event_id", step.alias("step"), params.alias("params"), sources.alias("source_columns"))
+    return lifecycle.plan_step_problems(steps, ["click", "view"]).select("event_id", "problem", F.array_join("items", ",").alias("items"))
 
 
 @query(

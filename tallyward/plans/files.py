@@ -183,14 +183,25 @@ def src_14(spark, sf_dir):
     return workbook.list_sheets(_workbooks(spark, sf_dir))
 
 
-@query("src_18_manifests", "select p_partkey, case when p_size % 5 = 0 then 'INVALID' when p_size % 8 > 4 or p_size % 8 = 4 and p_partkey % 3 > 0 then 'INCOMPATIBLE' end as problem from part")
+@query("src_18_manifests", "select p_partkey, case when p_size % 5 = 0 then 'INVALID' when p_size % 7 = 0 or p_size % 8 > 4 or p_size % 8 = 4 and p_partkey % 3 > 0 then 'INCOMPATIBLE' end as problem from part")
 def src_18(spark, sf_dir):
     size, key = F.col("p_size"), F.col("p_partkey")
-    compat = F.concat(F.lit(">=1."), (size % 8).cast("string"), F.lit("."), (key % 3).cast("string"), F.lit(",<2.0.0"))
+    lower = F.concat(F.lit(">=1."), (size % 8).cast("string"), F.lit("."), (key % 3).cast("string"))
+    compat = F.when(size % 7 == 0, "newest").otherwise(F.concat(lower, F.when(key % 2 == 0, " <2.0.0").otherwise(",<2.0.0")))
     pack = F.struct(F.col("p_name").alias("id"), F.when(size % 5 != 0, "1.0.0").alias("version"), compat.alias("engine_compat"))
     return table(spark, sf_dir, "part").select("p_partkey", packs.manifest_problem(F.to_json(F.struct(pack.alias("pack"))), "1.4.0").alias("problem"))
 
 
+@query("src_18_installed_conflicts", "with n as (select distinct p_brand as pack, case when p_size % 2 = 0 then 'break_code' else 'dimension' end as kind, p_size as code from part where p_size > 40), i as (select 'core' as owner, 'break_code' as kind, p_size as code from part where p_size < 45 group by 3) select pack, kind, code, owner from n join i using (kind, code)")
+def src_18_conflicts(spark, sf_dir):
+    from tallyward.operators.lifecycle import conflicts_with_installed
+
+    part, size = table(spark, sf_dir, "part"), F.col("p_size")
+    new = part.where("p_size > 40").select(F.col("p_brand").alias("pack"), F.when(size % 2 == 0, "break_code").otherwise("dimension").alias("kind"), size.alias("code"))
+    installed = part.where("p_size < 45").select(F.lit("core").alias("pack"), F.lit("break_code").alias("kind"), size.alias("code")).distinct()
+    return conflicts_with_installed(new, installed)
+
+
 @query("snk_01_findings", "select event_id, value from events where value > 100")
 def snk_01(spark, sf_dir):
     path = _path(spark, "findings")

@@ -9,27 +9,33 @@ from tallyward.operators import frequency, prepare
 from tallyward.plans.registry import query
 from tallyward.session import table
 
-_RAW = ["12.5", "PKR 1,234.50", "USD7", "45%", "1,23", "1e3", "", "unknown", "inf", "$ 9", "-5", "abc", "1,234,567"]
-_VALUES = ", ".join(f"'{x}'" for x in _RAW)
+def _by_key(shapes, key):
+    """The shape a row's key deals it."""
+    raw = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        raw = F.when(key == i, shape).otherwise(raw)
+    return raw
 
 
-def _values(spark):
-    return spark.sql(f"select explode(array({_VALUES})) raw")
-
-
-@query("pre_02_parse_number", f"with s as (select unnest([{_VALUES}]) as raw), x as (select raw, regexp_replace(regexp_replace(trim(raw), '^(?i:PKR|USD|EUR|\\$|€)\\s*', ''), '\\s*%$', '') as t from s) select raw, case when regexp_matches(t, '^[+-]?\\d{{1,3}}(,\\d{{3}})+(\\.\\d*)?$') then replace(t, ',', '')::double when regexp_matches(t, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') then t::double end as number from x")
+@query("pre_02_parse_number", "select o_orderkey, case o_orderkey % 12 when 0 then round(o_totalprice, 2) when 1 then round(o_totalprice, 2) when 2 then round(o_totalprice, 2) when 3 then round(o_totalprice, 2) when 4 then round(o_totalprice, 2) when 5 then -round(o_totalprice, 2) when 10 then 1000.0 end as number from orders")
 def pre_02(spark, sf_dir):
-    return _values(spark).select("raw", parsing.parse_number(F.col("raw")).alias("number"))
+    x = F.col("o_totalprice")
+    plain, grouped = F.format_string("%.2f", x), F.format_number(x, 2)
+    shapes = [plain, F.concat(F.lit("PKR "), grouped), F.concat(F.lit("USD"), plain), F.concat(plain, F.lit("%")), F.concat(F.lit("$ "), grouped), F.concat(F.lit("-"), plain), F.lit("1,23"), F.lit("unknown"), F.lit("inf"), F.lit("abc"), F.lit("1e3"), F.lit("")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", parsing.parse_number(_by_key(shapes, F.col("o_orderkey") % 12)).alias("number"))
 
 
-@query("pre_03_missing_reason", f"with s as (select unnest([{_VALUES}]) as raw) select raw, case when raw is null then 'null' when trim(raw) = '' then 'blank' when lower(trim(raw)) in ('unknown','null','none','nan','n/a') then 'token' when lower(trim(raw)) in ('inf','+inf','-inf','infinity','+infinity','-infinity') then 'non_finite' end as reason from s")
+@query("pre_03_missing_reason", "select o_orderkey, case o_orderkey % 8 when 0 then 'null' when 1 then 'blank' when 2 then 'token' when 3 then 'token' when 4 then 'non_finite' when 5 then 'non_finite' when 6 then 'token' end as reason from orders")
 def pre_03(spark, sf_dir):
-    return _values(spark).select("raw", parsing.missing_reason(F.col("raw")).alias("reason"))
+    shapes = [F.lit(None).cast("string"), F.lit("  "), F.lit("Unknown"), F.lit("n/a"), F.lit("inf"), F.lit("-Infinity"), F.lit("NaN"), F.col("o_totalprice").cast("string")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", parsing.missing_reason(_by_key(shapes, F.col("o_orderkey") % 8)).alias("reason"))
 
 
-@query("pre_05_strict_date", "with s as (select unnest(['2024-02-29', '2024/03/01', '2023-02-29', '01-02-2024', '2024-1-1']) as raw) select raw, case when regexp_matches(raw, '^\\d{4}-\\d{2}-\\d{2}$') or regexp_matches(raw, '^\\d{4}/\\d{2}/\\d{2}$') then try_cast(replace(raw, '/', '-') as date)::varchar end as day from s")
+@query("pre_05_strict_date", "select o_orderkey, case o_orderkey % 6 when 0 then o_orderdate::date when 1 then o_orderdate::date end::varchar as day from orders")
 def pre_05(spark, sf_dir):
-    return spark.sql("select explode(array('2024-02-29', '2024/03/01', '2023-02-29', '01-02-2024', '2024-1-1')) raw").select("raw", parsing.strict_date(F.col("raw")).cast("string").alias("day"))
+    day = lambda f: F.date_format("o_orderdate", f)
+    shapes = [day("yyyy-MM-dd"), day("yyyy/MM/dd"), day("dd-MM-yyyy"), F.concat(day("yyyy"), F.lit("-02-30")), day("yyyy-MM/dd"), F.lit("2024-1-1")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", parsing.strict_date(_by_key(shapes, F.col("o_orderkey") % 6)).cast("string").alias("day"))
 
 
 def _orders_cells(spark, sf_dir):

@@ -39,12 +39,16 @@ def agg_02(spark, sf_dir):
     return ordering.nearest_rank(table(spark, sf_dir, "events"), "value", [0.25, 0.5, 0.75, 0.95])
 
 
-@query("agg_03_date_detection", "with s as (select unnest(['2024-01-31', '2024/02/29', '31-12-2023', '31/12/2023', '12/31/2023', '2024-13-01', 'abc', '2024-01-31T10:00']) as raw) select raw, try_strptime(substr(raw, 1, 10), ['%Y-%m-%d', '%Y/%m/%d', '%d-%m-%Y', '%d/%m/%Y', '%m/%d/%Y']) is not null as is_date from s")
+@query("agg_03_date_detection", "select o_orderkey, o_orderkey % 9 < 6 as is_date from orders")
 def agg_03(spark, sf_dir):
     from tallyward.functions.parsing import is_date
 
-    raw = spark.sql("select explode(array('2024-01-31', '2024/02/29', '31-12-2023', '31/12/2023', '12/31/2023', '2024-13-01', 'abc', '2024-01-31T10:00')) raw")
-    return raw.select("raw", is_date(F.col("raw")).alias("is_date"))
+    day = lambda f: F.date_format("o_orderdate", f)
+    shapes = [day("yyyy-MM-dd"), day("yyyy/MM/dd"), day("dd-MM-yyyy"), day("dd/MM/yyyy"), day("MM/dd/yyyy"), day("yyyy-MM-dd'T'HH:mm"), F.col("o_orderstatus"), F.concat(day("yyyy"), F.lit("-13-01")), day("yyyyMMdd")]
+    raw = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        raw = F.when(F.col("o_orderkey") % 9 == i, shape).otherwise(raw)
+    return table(spark, sf_dir, "orders").select("o_orderkey", is_date(raw).alias("is_date"))
 
 
 @query("agg_04_histogram", "with b as (select min(value) as lo, max(value) as hi from events), c as (select least(7, floor((value - lo) / ((hi - lo) / 8)))::bigint as bin, count(*) as n from events, b where value is not null group by 1) select s.bin, round(lo + s.bin * ((hi - lo) / 8), 4) as low, coalesce(c.n, 0) as n from (select unnest(range(8)) as bin) s cross join b left join c using (bin)")

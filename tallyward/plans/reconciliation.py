@@ -179,29 +179,61 @@ def join_21(spark, sf_dir):
 # --- scalar functions -----------------------------------------------------------------------------
 
 
-def _one(spark, values: list[str]):
-    return spark.createDataFrame([(v,) for v in values], "raw string")
+_KIND = "case o_orderkey % 7 when 0 then null when 1 then '  ' when 2 then 'N/A' when 3 then ' Unknown' when 4 then '-' when 5 then 'none' else o_orderstatus end"
 
 
-@query("fn_01_null_kind", "select * from (values (null, 'NULL'), ('  ', 'EMPTY'), ('N/A', 'UNKNOWN_LITERAL'), ('-', 'UNKNOWN_LITERAL'), ('x', 'VALUE')) t(raw, kind)")
+@query("fn_01_null_kind", f"select o_orderkey, {_KIND} as raw, case o_orderkey % 7 when 0 then 'NULL' when 1 then 'EMPTY' when 2 then 'UNKNOWN_LITERAL' when 3 then 'UNKNOWN_LITERAL' else 'VALUE' end as kind from orders")
 def fn_01(spark, sf_dir):
-    return _one(spark, [None, "  ", "N/A", "-", "x"]).select("raw", parsing.null_kind(F.col("raw")).alias("kind"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_KIND).alias("raw"))
+    return o.withColumn("kind", parsing.null_kind(F.col("raw")))
 
 
-@query("fn_02_normalize_date", "select * from (values ('2024-03-05', '2024-03-05'), ('05/03/2024', '2024-03-05'), ('05.03.2024', '2024-03-05'), ('20240305', '2024-03-05'), ('5 Mar 2024', '2024-03-05'), ('31/02/2024', null), ('x', null)) t(raw, day)")
+#: Shapes of a date by key % 12; what a reader with the month first, or the day first, makes of each.
+_SHAPES = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyyMMdd", "d MMM yyyy", "MMMM d, yyyy", "dd-MMM-yy", "EEE, dd MMM yyyy HH:mm:ss '+0500'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy MMM dd 'at' hh:mm a", "yyyy-MM-dd 'foo'")
+_DAY = "o_orderdate::date"
+_SWAPPED = f"case when day(o_orderdate) <= 12 then make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) else {_DAY} end"
+
+
+def _dates(spark, sf_dir, dayfirst):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % len(_SHAPES)
+    raw = F.lit(None).cast("string")
+    for i, shape in enumerate(_SHAPES):
+        raw = F.when(k == i, F.date_format("o_orderdate", shape)).otherwise(raw)
+    return o.select("o_orderkey", normalize.normalize_date(raw, dayfirst).cast("string").alias("day"))
+
+
+@query("fn_02_normalize_date", f"select o_orderkey, (case o_orderkey % 12 when 1 then {_SWAPPED} when 3 then {_SWAPPED} when 11 then null else {_DAY} end)::varchar as day from orders")
 def fn_02(spark, sf_dir):
-    return _one(spark, ["2024-03-05", "05/03/2024", "05.03.2024", "20240305", "5 Mar 2024", "31/02/2024", "x"]).select("raw", normalize.normalize_date(F.col("raw")).cast("string").alias("day"))
+    return _dates(spark, sf_dir, False)
+
+
+@query("fn_02_day_first", f"select o_orderkey, (case o_orderkey % 12 when 0 then {_SWAPPED} when 2 then {_SWAPPED} when 4 then {_SWAPPED} when 9 then {_SWAPPED} when 11 then null else {_DAY} end)::varchar as day from orders")
+def fn_02_day_first(spark, sf_dir):
+    return _dates(spark, sf_dir, True)
 
 
-@query("fn_03_normalize_amount", "select * from (values ('1,234.50', '1234.50000000', 'CR'), ('(99.10)', '99.10000000', 'DR'), ('1.234,50', '1234.50000000', 'CR'), ('12-', '12.00000000', 'DR'), ('-7,5', '7.50000000', 'DR'), ('1,234', '1234.00000000', 'CR'), ('x', null, 'CR')) t(raw, amount, direction)")
+@query(
+    "fn_03_normalize_amount",
+    "with a as (select o_orderkey, o_orderkey % 9 as shape, case o_orderkey % 9 when 5 then floor(o_totalprice) when 8 then null else round(o_totalprice, 2) end::decimal(28,8) as amount from orders) "
+    "select o_orderkey, amount::varchar as amount, case when shape in (1, 3, 4) then 'DR' when amount is not null then 'CR' end as direction from a",
+)
 def fn_03(spark, sf_dir):
-    d = _one(spark, ["1,234.50", "(99.10)", "1.234,50", "12-", "-7,5", "1,234", "x"]).select("raw", normalize.normalize_amount(F.col("raw")).alias("a"))
-    return d.select("raw", F.col("a.amount").cast("string").alias("amount"), "a.direction")
+    k, x = F.col("o_orderkey") % 9, F.col("o_totalprice")
+    grouped, plain = F.format_number(x, 2), F.format_string("%.2f", x)
+    shapes = [grouped, F.concat(F.lit("("), grouped, F.lit(")")), F.translate(grouped, ",.", ".,"), F.concat(plain, F.lit("-")), F.concat(F.lit("-"), F.translate(plain, ".", ",")), F.format_number(F.floor(x), 0), F.concat(F.lit("USD "), plain), F.concat(grouped, F.lit(" +")), F.lit("1-2.x")]
+    raw = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        raw = F.when(k == i, shape).otherwise(raw)
+    d = table(spark, sf_dir, "orders").select("o_orderkey", normalize.normalize_amount(raw).alias("a"))
+    return d.select("o_orderkey", F.col("a.amount").cast("string").alias("amount"), "a.direction")
+
 
+_CODES = "case c_custkey % 7 when 0 then ' usd ' when 1 then 'EUR' when 2 then 'ang' when 3 then 'SVC' when 4 then 'XDR' when 5 then 'US' else c_mktsegment end"
 
-@query("fn_04_normalize_currency", "select * from (values (' usd ', 'USD'), ('EUR', 'EUR'), ('XXQ', null)) t(raw, currency)")
+
+@query("fn_04_normalize_currency", "select c_custkey, case c_custkey % 7 when 0 then 'USD' when 1 then 'EUR' when 2 then 'ANG' when 4 then 'XDR' end as currency from customer")
 def fn_04(spark, sf_dir):
-    return _one(spark, [" usd ", "EUR", "XXQ"]).select("raw", normalize.normalize_currency(F.col("raw")).alias("currency"))
+    return table(spark, sf_dir, "customer").select("c_custkey", normalize.normalize_currency(F.expr(_CODES)).alias("currency"))
 
 
 @query("fn_05_normalize_reference", "select s_suppkey, upper(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) as reference from supplier")
@@ -209,9 +241,12 @@ def fn_05(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", normalize.normalize_reference(F.col("s_name")).alias("reference"))
 
 
-@query("fn_06_normalize_counterparty", "select * from (values ('Acme Co. Ltd.', 'ACME'), ('Zed & Sons, Inc', 'ZED SONS'), ('Limited Brands', 'LIMITED BRANDS')) t(raw, name)")
+_NAMES = "case s_suppkey % 7 when 0 then s_name || ' Ltd.' when 1 then s_name || ' Co., LTD' when 2 then s_name || '  Private   limited' when 3 then s_name || ' & Company' when 4 then ' ' || s_name || ' GmbH ' when 5 then s_name || ' LLP,' else s_name || ' LtdCo' end"
+
+
+@query("fn_06_normalize_counterparty", "select s_suppkey, case s_suppkey % 7 when 3 then s_name || ' & Company' when 6 then s_name || ' LtdCo' else s_name end as name from supplier")
 def fn_06(spark, sf_dir):
-    return _one(spark, ["Acme Co. Ltd.", "Zed & Sons, Inc", "Limited Brands"]).select("raw", normalize.normalize_counterparty(F.col("raw")).alias("name"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", normalize.normalize_counterparty(F.expr(_NAMES)).alias("name"))
 
 
 @query("fn_07_normalize_description", "select conv_id, turn, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) as digest from conversations where coalesce(text, '') = nfc_normalize(coalesce(text, '')) and not regexp_matches(coalesce(text, ''), '[^\\x20-\\x7E\\n\\t\\r]')")
@@ -235,9 +270,20 @@ def fn_09(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(*[F.col(v).alias(k) for k, v in mapping.items()])
 
 
-@query("fn_12_hardship_class", "select * from (values ('I lost my job', 'INCOME_LOSS'), ('unable to pay this month', 'PAYMENT_DIFFICULTY'), ('I have no hardship', 'NONE'), ('hello', 'UNKNOWN')) t(raw, class)")
+_PHRASES = "case o_orderkey % 8 when 0 then 'My salary has been delayed' when 1 then 'I cannot afford this' when 2 then 'we never paid' when 3 then 'Order ' || o_orderstatus when 4 then 'Income reduced; unable to pay' when 5 then 'wages were stopped' when 6 then 'It is resolved, I cannot pay' else 'We can''t manage it' end"
+
+
+@query(
+    "fn_12_hardship",
+    "with c as (select o_orderkey, o_orderkey % 8 as shape, o_orderkey % 11 = 0 as declared from orders) select o_orderkey, case when declared then 'DECLARED' when shape in (0, 1, 4, 7) then 'INFERRED_SIGNAL' else 'UNKNOWN' end as status, "
+    "case when declared then 'job_loss' when shape in (0, 4) then 'temporary_income_disruption' when shape in (1, 7) then 'payment_difficulty' end as category, "
+    "case when declared then 'member_declared_form' when shape in (2, 6) then 'text_requires_review' when shape in (3, 5) then 'unknown' else 'member_text' end as source, "
+    "case when declared then null when shape = 0 then 'my salary has been delayed' when shape = 1 then 'cannot afford' when shape = 4 then 'income reduced' when shape = 7 then 'can''t manage' end as evidence from c",
+)
 def fn_12(spark, sf_dir):
-    return _one(spark, ["I lost my job", "unable to pay this month", "I have no hardship", "hello"]).select("raw", normalize.hardship_class(F.col("raw")).alias("class"))
+    k = F.col("o_orderkey")
+    h = normalize.hardship(F.expr(_PHRASES), F.when(k % 11 == 0, "job_loss"))
+    return table(spark, sf_dir, "orders").select(k, h.alias("h")).select("o_orderkey", "h.status", "h.category", "h.source", "h.evidence")
 
 
 @query("fn_13_period_and_age", "select o_orderkey, strftime(o_orderdate + interval 1 month, '%Y-%m') as next_period, date_diff('day', o_orderdate::date, date '2002-01-01') as age_days from orders where day(o_orderdate) <= 28")
@@ -257,11 +303,18 @@ def fn_15(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(w >= 6, "High").when(w >= 3, "Medium").otherwise("Low").alias("risk"))
 
 
-@query("fn_16_numeric_grounding", "select * from (values ('12.5 of 100 items, 3 late', '12.5'), ('99.5 items', '')) t(raw, loose)")
+_NARRATIVE = "'Total ' || format_string('%.2f', o_totalprice) || ' for ' || o_custkey || ' of 1,000 rows, ' || (o_orderkey % 40) || ' late, 12.5% open'"
+
+
+@query(
+    "fn_16_numeric_grounding",
+    "with c as (select o_orderkey, round(o_totalprice, 2) as e, [o_custkey::varchar, '1,000', (o_orderkey % 40)::varchar, '12.5%'] as said, [o_custkey::double, 1000.0, (o_orderkey % 40)::double, 12.5] as v from orders), "
+    "x as (select o_orderkey, unnest(said) as said, unnest(v) as v, unnest([1, 2, 3, 4]) as place, e from c) "
+    "select o.o_orderkey, coalesce(string_agg(said, ' ' order by place), '') as loose from orders o left join (select * from x where not (v = floor(v) and abs(v) <= 20) and abs(v - e) > greatest(0.01, abs(e) * 0.01)) x on x.o_orderkey = o.o_orderkey group by 1",
+)
 def fn_16(spark, sf_dir):
-    d = _one(spark, ["12.5 of 100 items, 3 late", "99.5 items"])
-    loose = normalize.ungrounded_numbers(F.col("raw"), F.array(F.lit(100.0)))
-    return d.select("raw", F.array_join(F.transform(loose, lambda x: x.cast("string")), ",").alias("loose"))
+    loose = normalize.ungrounded_numbers(F.expr(_NARRATIVE), F.array("o_totalprice"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(loose, " ").alias("loose"))
 
 
 @query("fn_19_explanation_text", "select event_id, 'Value ' || printf('%.2f', value) || ' of user ' || user_id || ' is ' || case when value > 150 then 'high' else 'usual' end as message from events where value is not null")

@@ -8,20 +8,27 @@ from tallyward.operators import lifecycle
 from tallyward.plans.registry import query
 from tallyward.session import table
 
-_ST = list(lifecycle.MOVES)
-_ST_SQL = "[" + ", ".join(f"'{s}'" for s in _ST) + "]"
-_MOVES_SQL = "(values " + ", ".join(f"('{a}', '{b}')" for a, bs in lifecycle.MOVES.items() for b in bs) + ") mv(b, s)"
-_EV = f"with e as (select user_id as case_id, event_id, ({_ST_SQL})[(event_id * 7 + user_id) % 12 + 1] as status from events)"
+_ST = "OPEN TRIAGED PROPOSED UNDER_REVIEW APPROVED REJECTED RETURNED ACTION_PENDING RESOLVED CLOSED REOPENED CARRIED_FORWARD".split()
+_EV = "with e as (select user_id as case_id, event_id, ([" + ", ".join(f"'{x}'" for x in _ST) + "])[(event_id * 7 + user_id) % 12 + 1] as status, event_id % 9 = 0 as closing, case when event_id % 2 = 0 then 'why' else '' end as reason from events)"
+_LEGAL = (
+    "(before = 'OPEN' and status = 'TRIAGED' or before = 'TRIAGED' and status = 'PROPOSED' or before = 'PROPOSED' and status = 'UNDER_REVIEW' or before = 'UNDER_REVIEW' and status in ('APPROVED', 'REJECTED', 'RETURNED') or before in ('REJECTED', 'RETURNED', 'REOPENED', 'CARRIED_FORWARD') and status = 'TRIAGED' "
+    "or before = 'APPROVED' and status = 'ACTION_PENDING' or before = 'ACTION_PENDING' and status = 'RESOLVED' or before = 'RESOLVED' and status = 'CLOSED' or before = 'CLOSED' and status = 'REOPENED')"
+)
 
 
 def _events(spark, sf_dir):
-    status = F.element_at(F.array(*[F.lit(s) for s in _ST]), ((F.col("event_id") * 7 + F.col("user_id")) % 12 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), "event_id", status.alias("status"))
+    k = F.col("event_id")
+    status = F.element_at(F.array(*[F.lit(s) for s in _ST]), ((k * 7 + F.col("user_id")) % 12 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), "event_id", status.alias("status"), (k % 9 == 0).alias("closing"), F.when(k % 2 == 0, "why").otherwise("").alias("reason"))
 
 
-@query("wf_01_invalid_moves", _EV + f", l as (select *, lag(status) over (partition by case_id order by event_id) as before from e) select event_id, before, status from l where before is not null and not exists (select 1 from {_MOVES_SQL} where mv.b = l.before and mv.s = l.status)")
+@query(
+    "wf_01_invalid_moves",
+    _EV + ", l as (select *, lag(status) over (partition by case_id order by event_id) as before from e), p as (select event_id, before, status, case when closing then case when status <> 'CARRIED_FORWARD' then 'ONLY_CARRY_FORWARD' when before in ('RESOLVED', 'CLOSED', 'REOPENED', 'CARRIED_FORWARD') then 'NOT_ELIGIBLE' end "
+    f"when not {_LEGAL} then 'ILLEGAL' when status = 'REOPENED' and reason = '' then 'NO_REASON' end as problem from l where before is not null) select * from p where problem is not null",
+)
 def wf_01(spark, sf_dir):
-    return lifecycle.invalid_moves(_events(spark, sf_dir), "case_id", [F.col("event_id")]).select("event_id", "before", "status")
+    return lifecycle.invalid_moves(_events(spark, sf_dir), "case_id", [F.col("event_id")], reason="reason", period_close="closing").select("event_id", "before", "status", "problem")
 
 
 @query("wf_01_current_status", _EV + " select case_id, arg_max(status, event_id) as status from e group by 1")
@@ -66,12 +73,11 @@ def wf_05(spark, sf_dir):
     return lifecycle.triage_queue(_cases(spark, sf_dir).where("status = 'O'"), 100).select("case_id", "risk", "amount")
 
 
-@query("wf_06_maker_checker", "select o_orderkey, case when o_orderkey % 4 = o_custkey % 4 then 'MAKER_IS_CHECKER' when o_orderkey % 3 = 0 then 'ROLE' when o_orderstatus = 'P' then 'REASON' end as problem from orders")
+@query("wf_06_maker_checker", "select o_orderkey, case when o_orderkey % 4 = o_custkey % 4 then 'MAKER_IS_CHECKER' when o_orderkey % 3 = 0 then 'ROLE' when o_orderstatus = 'P' and o_custkey % 5 = 0 then 'REOPEN_PERMISSION' when o_orderstatus = 'P' and o_custkey % 2 = 0 then 'REASON' end as problem from orders")
 def wf_06(spark, sf_dir):
-    k = F.col("o_orderkey")
-    role = F.when(k % 3 == 0, "VIEWER").otherwise("CHECKER")
-    status = F.when(F.col("o_orderstatus") == "P", "REOPENED").otherwise("PROPOSED")
-    return table(spark, sf_dir, "orders").select(k, lifecycle.approval_problem(k % 4, F.col("o_custkey") % 4, role, status, F.lit(" ")).alias("problem"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    problem = lifecycle.approval_problem(k % 4, c % 4, k % 3 != 0, F.col("o_orderstatus") == "P", c % 5 != 0, F.when(c % 2 != 0, "why"))
+    return table(spark, sf_dir, "orders").select(k, problem.alias("problem"))
 
 
 _J = "with l as (select l_orderkey as draft, case when l_linenumber % 2 = 0 then 'DR' else 'CR' end as direction, l_discount::decimal(20,2) as amount from lineitem), g as (select draft, count(*) as n, count(*) filter (where direction = 'DR') as ndr, count(*) filter (where direction = 'CR') as ncr, count(*) filter (where amount <= 0) as bad, coalesce(sum(amount) filter (where direction = 'DR'), 0) as sdr, coalesce(sum(amount) filter (where direction = 'CR'), 0) as scr from l group by 1)"
@@ -83,25 +89,57 @@ def wf_07(spark, sf_dir):
     return lifecycle.journal_problems(l)
 
 
-@query("wf_09_confidence_band", "select o_orderkey, case when o_totalprice / 500000 >= 0.98 and o_orderkey % 5 <> 0 then 'AUTO' when o_totalprice / 500000 >= 0.85 then 'SUGGEST' when o_totalprice / 500000 >= 0.6 then 'INVESTIGATE' else 'NONE' end as band from orders")
+@query("wf_09_confidence_band", "select o_orderkey, case when o_totalprice / 500000 >= 0.98 and o_custkey % 4 in (1, 2) and o_orderkey % 3 > 0 and o_orderkey % 5 <> 0 then 'AUTO' when o_totalprice / 500000 >= 0.85 then 'SUGGEST' when o_totalprice / 500000 >= 0.6 then 'INVESTIGATE' else 'NONE' end as band from orders")
 def wf_09(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", lifecycle.confidence_band(F.col("o_totalprice") / 500000, F.col("o_orderkey") % 5 == 0).alias("band"))
+    k, layer = F.col("o_orderkey"), F.col("o_custkey") % 4
+    return table(spark, sf_dir, "orders").select(k, lifecycle.confidence_band(F.col("o_totalprice") / 500000, layer.isin(1, 2), k % 3 > 0, k % 5 == 0).alias("band"))
 
 
-@query("wf_10_circuit_breaker", "with m as (select event_id, event_type, value > 200 as breach, event_id % 50 = 0 as reset from events where value is not null), e as (select *, sum(reset::int) over (partition by event_type order by event_id) as epoch from m) select event_id, bool_or(breach) over (partition by event_type, epoch order by event_id) and not reset as latched from e")
+@query(
+    "wf_10_circuit_breaker",
+    "with m as (select event_id, event_type, event_id % 50 = 0 as control, event_id % 100 = 0 as valid, value / 3000000 as a, (user_id % 100) / 1960.0 as c, (event_id % 613) / 122000.0 as s from events where value is not null), "
+    "b as (select *, case when control then null when a > 0.0001 then 'auto_match_false_rate' when c > 0.05 then 'calibration_ece' when s > 0.005 then 'suggest_false_accept_rate' end as metric, sum(valid::int) over (partition by event_type order by event_id) as epoch from m), "
+    "f as (select event_type, epoch, min(event_id) as at, arg_min(metric, event_id) as metric from b where metric is not null group by 1, 2) "
+    "select event_id, coalesce(event_id >= f.at, false) as tripped, case when event_id >= f.at then f.metric end as metric, case when event_id >= f.at then f.at end as at from b left join f using (event_type, epoch)",
+)
 def wf_10(spark, sf_dir):
-    m = table(spark, sf_dir, "events").where("value is not null").select("event_id", "event_type", (F.col("value") > 200).alias("breach"), (F.col("event_id") % 50 == 0).alias("reset"))
-    return lifecycle.breaker_state(m, "event_type", "event_id").select("event_id", "latched")
+    k = F.col("event_id")
+    seen = lambda x: F.when(k % 50 != 0, x)
+    m = table(spark, sf_dir, "events").where("value is not null").select(
+        "event_id", "event_type", seen(F.col("value") / 3000000).alias("auto_match_false_rate"), seen((F.col("user_id") % 100) / 1960.0).alias("calibration_ece"), seen((k % 613) / 122000.0).alias("suggest_false_accept_rate"),
+        F.when(k % 50 == 0, "ann").alias("reset_by"), F.when(k % 100 == 0, "checked").alias("reset_reason"),
+    )
+    return lifecycle.breaker_state(m, "event_type", "event_id").select("event_id", "tripped", "breach.metric", "breach.at")
+
+
+def _chain_problems(e, stream):
+    chain = lifecycle.chained(e, stream, "seq", F.col("event_type"))
+    key = F.col("event_id") % 500
+    kept = chain.where(key != 11).withColumn("event_type", F.when(key == 7, "forged").otherwise(F.col("event_type")))
+    kept = kept.withColumn("previous", F.when(key == 9, F.lit("0" * 64)).otherwise(F.col("previous")))
+    return lifecycle.broken_links(kept, stream, "seq", F.col("event_type")).select(stream, "seq", "problem")
+
+
+_CHAIN = (
+    "k as (select *, lag(seq) over (partition by {s} order by seq) as before from n where event_id % 500 <> 11), p as (select {s}, seq, case when event_id % 500 = 7 then 'ALTERED' when before is not null and seq <> before + 1 then 'GAP' "
+    "when event_id % 500 = 9 and before is not null then 'BROKEN' when before is null and seq <> 1 then 'BROKEN' end as problem from k) select * from p where problem is not null"
+)
 
 
-@query("wf_11_chain_verification", "with n as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as seq from events) select user_id, seq, case when event_id % 500 = 7 then 'ALTERED' end as problem from n where event_id % 500 = 7")
+@query("wf_11_chain_verification", "with n as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as seq from events), " + _CHAIN.format(s="user_id"))
 def wf_11(spark, sf_dir):
     from pyspark.sql.window import Window as W
 
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("seq"))
-    chain = lifecycle.chained(e, "user_id", "seq", F.col("event_type"))
-    tampered = chain.withColumn("event_type", F.when(F.col("event_id") % 500 == 7, "forged").otherwise(F.col("event_type")))
-    return lifecycle.broken_links(tampered, "user_id", "seq", F.col("event_type"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("seq"))
+    return _chain_problems(e, "user_id")
+
+
+@query("wf_11_single_stream", "with n as (select 1 as stream, event_id, row_number() over (order by event_id) as seq from events), " + _CHAIN.format(s="stream"))
+def wf_11_single(spark, sf_dir):
+    from tallyward.operators.ordering import row_numbers
+
+    e = row_numbers(table(spark, sf_dir, "events").select(F.lit(1).alias("stream"), "event_id", "event_type"), [F.col("event_id")], "seq")
+    return _chain_problems(e, "stream")
 
 
 @query("wf_12_audit_list", "select event_id, user_id, count(*) over () as total from events where event_type = 'purchase' and user_id % 3 = 0 order by event_id desc limit 20 offset 20")
@@ -130,12 +168,22 @@ def wf_15(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where((F.col("role") == "user") & (F.length(F.trim(F.coalesce("text", F.lit("")))) >= 10)).select("conv_id", "turn")
 
 
-@query("wf_17_proposal_problems", "select o_orderkey as proposal_id, 'UNKNOWN_ID' as problem from orders where o_orderkey % 100 = 0 and o_orderkey <> 0 union all select o_orderkey, 'FORBIDDEN_FIELD' from orders where o_orderkey % 100 = 50")
+@query(
+    "wf_17_proposal_problems",
+    "with o as (select o_orderkey as k, o_custkey as c, o_orderdate::date as day, o_orderkey % 10 as chunk from orders) select k as proposal_id, 'UNKNOWN_RECORD' as problem, (-k)::varchar as item from o where k % 100 = 0 and k <> 0 union all select k, 'UNKNOWN_BREAK', '-1' from o where k % 77 = 0 "
+    "union all select k, 'NOT_RETRIEVED', '99' from o where k % 50 = 1 union all select k, 'NOT_YET_EFFECTIVE', chunk::varchar from o where chunk % 2 = 0 and day < date '1993-01-01' union all select k, 'NO_LONGER_EFFECTIVE', chunk::varchar from o where chunk % 3 = 0 and day > date '1997-01-01' "
+    "union all select k, 'FORBIDDEN_FIELD', 'approved' from o where k % 100 = 50",
+)
 def wf_17(spark, sf_dir):
+    k, c, chunk = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 10
     o = table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
-    p = o.select(k.alias("proposal_id"), F.when(k % 100 == 0, F.array(k, -k)).otherwise(F.array(k)).alias("cited"), F.when(k % 100 == 50, F.array(F.lit("note"), F.lit("amount"))).otherwise(F.array(F.lit("note"))).alias("fields"))
-    return lifecycle.proposal_problems(p, table(spark, sf_dir, "orders").select(k.alias("id")))
+    day = lambda x: F.lit(x).cast("date")
+    p = o.select(
+        k.alias("proposal_id"), F.to_date("o_orderdate").alias("case_date"), F.when(k % 100 == 0, F.array(k, -k)).otherwise(F.array(k)).alias("record_ids"), F.when(k % 77 == 0, F.array(c, F.lit(-1).cast("long"))).otherwise(F.array(c)).alias("break_ids"),
+        F.when(k % 50 == 1, F.array(chunk, F.lit(99).cast("long"))).otherwise(F.array(chunk)).alias("citations"), F.when(k % 100 == 50, F.array(F.lit("note"), F.lit("approved"))).otherwise(F.array(F.lit("note"))).alias("fields"),
+    )
+    trace = o.select(k.alias("proposal_id"), chunk.alias("chunk_id"), F.when(chunk % 2 == 0, day("1993-01-01")).alias("effective_from"), F.when(chunk % 3 == 0, day("1997-01-01")).alias("effective_to"))
+    return lifecycle.proposal_problems(p, o.select(k.alias("id")), o.select(c.alias("id")), trace)
 
 
 @query("wf_17_step_budget", "with s as (select user_id, event_id, value, sum(value) over (partition by user_id order by event_id) as used from events where value is not null) select event_id from s where used <= 500")

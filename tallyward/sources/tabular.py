@@ -6,7 +6,7 @@ import csv
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tallyward.operators.prepare import clean_headers
 
@@ -56,8 +56,16 @@ def read_delimited(spark: SparkSession, path: str, *, strict: bool = True, multi
     """
     delimiter, encoding = sniff(_head(spark, path))
     single = encoding in ("cp1252", "latin-1")
-    df = spark.read.csv(path, sep=delimiter, header=True, encoding="ISO-8859-1" if single else encoding, quote='"', escape='"', multiLine=multiline, mode="FAILFAST" if strict else "PERMISSIVE", inferSchema=False)
-    df = clean_headers(df)
+    reader = spark.read.options(sep=delimiter, header=True, encoding="ISO-8859-1" if single else encoding, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", inferSchema=False)
+    schema = reader.csv(path).schema
+    extra = "_surplus"
+    while extra in schema.fieldNames():
+        extra = f"_{extra}"
+    # one column more than the header names holds what a row has beyond them
+    df = reader.schema(StructType([*schema.fields, StructField(extra, StringType())])).csv(path)
+    if strict:
+        df = df.where(F.when(F.col(extra).isNotNull(), F.raise_error(F.lit("a row has more values than the header")).cast("boolean")).otherwise(True))
+    df = clean_headers(df.drop(extra))
     text = lambda c: F.translate(c, _C1, _CP1252) if encoding == "cp1252" else c
     return df.select(*[F.coalesce(text(F.col(f"`{c}`")), F.lit("")).alias(c) for c in df.columns])
 
