@@ -2,8 +2,8 @@
 
 Distinct points are dealt to their nearest pivot (pivots come from a bounded sample; any will do). The
 points of a pivot, sorted by distance from it, are cut into packs: shells with a least and a greatest
-radius. A pack is first compared with itself, which bounds the distance of each point's k-th neighbour. For a
-point q whose own pivot is at distance o and another pivot p at distance d, no point of p's cell is nearer than
+radius. A pack is first compared with itself and with the packs of its points' nearest cells, which bounds the distance of each
+point's k-th neighbour. For a point q whose own pivot is at distance o and another pivot p at distance d, no point of p's cell is nearer than
 
 * d - (greatest radius), or (least radius) - d, by the triangle inequality, nor than
 * (d - o) / 2, as every point is nearest to its own pivot.
@@ -26,6 +26,8 @@ from tallyward.session import materialize
 
 #: Points that pivots are chosen from, pivots, and points of a pack, at most.
 SAMPLE, PIVOTS, PACK = 8192, 1024, 256
+#: Cells that each point visits first.
+NEAREST = 3
 #: Bounds keep this much room for rounding.
 ROOM = 1e-9
 
@@ -99,8 +101,8 @@ class Index:
 
         return self.points.groupBy("pack").applyInArrow(work, "point long, other long, d double")
 
-    def pairs(self, reach: DataFrame) -> DataFrame:
-        """(pack, other): packs that some point of a pack must be compared with, given each point's reach (point, reach)."""
+    def pairs(self, reach: DataFrame, nearest: int = 0) -> DataFrame:
+        """(pack, other): packs that some point of a pack must be compared with, given each point's reach (point, reach); with nearest, only those of each point's so many nearest cells."""
         shared, dim = self.points.sparkSession.sparkContext.broadcast((self.pivots, self.near, self.far)), self.dim
 
         def work(t: pa.Table) -> pa.Table:
@@ -110,6 +112,8 @@ class Index:
             room = ROOM * (1 + d)
             least = np.maximum(np.maximum(d - far, near - d), (d - d.min(1, keepdims=True)) / 2)
             open_ = (least <= reach + room) & (far >= 0)
+            if 0 < nearest < d.shape[1]:
+                open_ &= d <= np.partition(d, nearest - 1, axis=1)[:, [nearest - 1]]
             cells = np.flatnonzero(open_.any(0))
             lo = np.where(open_, d - reach - room, np.inf).min(0)[cells]
             hi = np.where(open_, d + reach + room, -np.inf).max(0)[cells]
@@ -139,10 +143,16 @@ class Index:
     def nearest(self, k: int) -> DataFrame:
         """(point, other, d): the k nearest other points of each point, exactly; ties by the number of the point."""
         best = lambda df: df.withColumn("_r", F.row_number().over(W.partitionBy("point").orderBy("d", "other"))).where(F.col("_r") <= k).drop("_r")
-        own = materialize(self.within(k))
-        reach = materialize(own.groupBy("point").agg(F.count("*").alias("n"), F.max("d").alias("reach")).where(F.col("n") == k).drop("n"))
-        self.compared = materialize(self.pairs(reach))
-        return best(own.unionByName(self.across(self.compared, reach, k)))
+        reached = lambda df: materialize(df.groupBy("point").agg(F.count("*").alias("n"), F.max("d").alias("reach")).where(F.col("n") == k).drop("n"))
+        found = materialize(self.within(k))
+        # the nearest cells first, so that few others stay open
+        reach = reached(found)
+        first = materialize(self.pairs(reach, NEAREST))
+        found = materialize(best(found.unionByName(self.across(first, reach, k))))
+        reach = reached(found)
+        rest = materialize(self.pairs(reach).join(first, ["pack", "other"], "left_anti"))
+        self.compared = first.unionByName(rest)
+        return best(found.unionByName(self.across(rest, reach, k)))
 
 
 def _nearest(d: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int, reach: np.ndarray) -> pa.Table:
