@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyward.functions import normalize
+from tallyward.functions.canonical import canonical_json, content_hash
 from tallyward.operators import credit, frequency, lifecycle, prepare, risk, rules, sampling
 from tallyward.plans.registry import query
 from tallyward.session import shared_dir, table
@@ -176,9 +177,24 @@ def fn_17(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", normalize.satisfies_column(version, constraint).alias("fits"))
 
 
-@query("fn_18_canonical_json", "select n_nationkey, '{\"key\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}' as j from nation")
+_ESCAPED = (
+    "array_to_string(list_transform(string_split({t}, ''), lambda c: case when c = '\"' then '\\\"' when c = '\\' then '\\\\' when c = chr(10) then '\\n' when c = chr(13) then '\\r' when c = chr(9) then '\\t' when unicode(c) between 32 and 126 then c "
+    "when unicode(c) > 65535 then printf('\\u%04x\\u%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) else printf('\\u%04x', unicode(c)) end), '')"
+)
+
+
+@query("fn_18_canonical_json", "select event_id, '{\"Meta\":{\"at\":\"' || strftime(ts, '%Y-%m-%d') || '\",\"ok\":' || (event_id % 2 = 0)::varchar || '},\"list\":[' || user_id || ',null],\"m\":{\"a\":' || event_id || ',\"b\":0},\"value\":' || coalesce(value::varchar, 'null') || '}' as j from events")
 def fn_18(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("j"))
+    k = F.col("event_id")
+    value = F.struct(F.create_map(F.lit("b"), F.lit(0).cast("long"), F.lit("a"), k).alias("m"), F.col("value"), F.struct((k % 2 == 0).alias("ok"), F.to_date("ts").alias("at")).alias("Meta"), F.array("user_id", F.lit(None).cast("long")).alias("list"))
+    d = table(spark, sf_dir, "events").select("event_id", value.alias("v"))
+    return d.select("event_id", canonical_json(F.col("v"), d.schema["v"].dataType).alias("j"))
+
+
+@query("fn_18_content_hash", "select conv_id, turn, sha256('{\"role\":\"' || role || '\",\"text\":' || case when text is null then 'null' else '\"' || " + _ESCAPED.format(t="text") + " || '\"' end || ',\"turn\":' || turn || '}') as digest from conversations")
+def fn_18_hash(spark, sf_dir):
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("turn", "text", "role").alias("v"))
+    return d.select("conv_id", "turn", content_hash(F.col("v"), d.schema["v"].dataType).alias("digest"))
 
 
 @query("ml_18_match_confidence")

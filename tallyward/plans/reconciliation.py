@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyward.functions import normalize, parsing
-from tallyward.operators import matching
+from tallyward.operators import imports, matching
 from tallyward.plans.registry import query
 from tallyward.session import table
 
@@ -255,19 +255,53 @@ def fn_07(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(normalize.normalize_description(F.col("t"))).alias("digest"))
 
 
-@query("fn_08_import_validation", "select o_orderkey, array_to_string(list_filter([case when o_totalprice > 400000 then 'AMOUNT' end, case when o_orderkey % 9 = 0 then 'CURRENCY' end, case when strftime(o_orderdate, '%Y-%m') < '1996-01' then 'PERIOD' end], lambda x: x is not null), ',') as problems from orders where o_totalprice > 400000 or o_orderkey % 9 = 0 or strftime(o_orderdate, '%Y-%m') < '1996-01'")
+_RAW_IMPORT = "o_orderkey, strftime(o_orderdate, '%Y-%m') as batch, case when o_orderkey % 1009 = 0 then 1 when o_orderkey % 1013 = 0 then 2 when o_orderkey % 1019 = 0 then 3 when o_orderkey % 1021 = 0 then 4 when o_orderkey % 1031 = 0 then 5 when o_orderkey % 1033 = 0 then 6 when o_orderkey % 1039 = 0 then 7 else 0 end as fault"
+_FAULTS = "case fault when 1 then 'AMOUNT_FORMAT' when 2 then 'AMOUNT_RANGE' when 3 then 'DIRECTION' when 4 then 'VALUE_DATE' when 5 then 'OUTSIDE_PERIOD' when 6 then 'CURRENCY' when 7 then 'REFERENCE' end"
+
+
+def _imported(spark, sf_dir):
+    k, plain = F.col("o_orderkey"), F.format_string("%.2f", "o_totalprice")
+    fault = F.lit(0)
+    for code, prime in reversed(list(enumerate((1009, 1013, 1019, 1021, 1031, 1033, 1039), 1))):
+        fault = F.when(k % prime == 0, code).otherwise(fault)
+    o = table(spark, sf_dir, "orders").withColumn("fault", fault)
+    at = lambda code, bad, good: F.when(F.col("fault") == code, bad).otherwise(good)
+    amount = F.when(F.col("fault") == 1, F.concat(plain, F.lit("1234567"))).when(F.col("fault") == 2, "100000000000000000000").otherwise(F.concat(F.lit(" "), plain))
+    day = F.when(F.col("fault") == 4, F.date_format("o_orderdate", "yyyy-MM-dd HH")).when(F.col("fault") == 5, F.date_format(F.add_months("o_orderdate", 1), "yyyy-MM-dd")).when(k % 2 == 0, F.date_format("o_orderdate", "yyyyMMdd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    raw = o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("batch"), amount.alias("Amt"), at(6, "SVC", " usd").alias("Ccy"), at(3, "X", "dr ").alias("Side"), day.alias("Day"), at(7, "--", F.concat(F.lit("ref-"), k.cast("string"))).alias("Ref"))
+    mapping = {"amount": "Amt", "currency": "Ccy", "direction": "Side", "value_date": "Day", "reference": "Ref"}
+    return imports.validated(imports.apply_mapping(raw, mapping, ("o_orderkey", "batch")), "batch")
+
+
+@query("fn_08_import_validation", f"select o_orderkey, {_FAULTS} as problem from (select {_RAW_IMPORT} from orders) where fault > 0")
 def fn_08(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    currency = F.when(F.col("o_orderkey") % 9 == 0, "??").otherwise("USD")
-    checks = [(F.col("o_totalprice") > 400000, "AMOUNT"), (normalize.normalize_currency(currency).isNull(), "CURRENCY"), (F.date_format("o_orderdate", "yyyy-MM") < "1996-01", "PERIOD")]
-    p = F.array_compact(F.array(*[F.when(c, m) for c, m in checks]))
-    return o.select("o_orderkey", F.array_join(p, ",").alias("problems")).where("problems <> ''")
+    return _imported(spark, sf_dir).where("problem is not null").select("o_orderkey", "problem")
+
+
+_BATCHES = f"with r as (select {_RAW_IMPORT} from orders), b as (select batch, count(*) as n_rows, count(*) filter (where fault > 0) as n_errors, count(*) + (batch like '%-03')::int as expected from r group by 1), s as (select *, n_rows - n_errors <> expected as row_count_error from b)"
+
+
+def _reports(spark, sf_dir):
+    rows = _imported(spark, sf_dir)
+    expected = rows.groupBy("batch").agg(F.count("*").alias("n")).select("batch", (F.col("n") + F.col("batch").endswith("-03").cast("int")).alias("expected"))
+    return rows, imports.batch_reports(rows, "batch", expected)
+
+
+@query("fn_08_held_batches", _BATCHES + " select batch, n_rows, n_errors, row_count_error, case when n_errors > 0 or row_count_error then 'HELD' else 'ACCEPTED' end as status from s")
+def fn_08_batches(spark, sf_dir):
+    return _reports(spark, sf_dir)[1]
+
+
+@query("fn_08_accepted_rows", _BATCHES + " select o_orderkey, reference as reference_canonical, amount from (select r.o_orderkey, 'REF' || r.o_orderkey as reference, round(o.o_totalprice, 2)::decimal(28,8)::varchar as amount from r join s using (batch) join orders o on o.o_orderkey = r.o_orderkey where s.n_errors = 0 and not s.row_count_error)")
+def fn_08_accepted(spark, sf_dir):
+    rows, reports = _reports(spark, sf_dir)
+    return imports.accepted(rows, reports, "batch").select("o_orderkey", "reference_canonical", F.col("typed_amount").cast("string").alias("amount"))
 
 
-@query("fn_09_apply_mapping", "select o_orderkey as reference, o_totalprice as amount from orders")
+@query("fn_09_apply_mapping", "select o_orderkey::varchar as reference, o_totalprice::varchar as amount, o_orderstatus as direction, o_orderpriority as currency, o_orderdate::date::varchar as value_date from orders")
 def fn_09(spark, sf_dir):
-    mapping = {"reference": "o_orderkey", "amount": "o_totalprice"}
-    return table(spark, sf_dir, "orders").select(*[F.col(v).alias(k) for k, v in mapping.items()])
+    o = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    return imports.apply_mapping(o, {"reference": "o_orderkey", "amount": "o_totalprice", "direction": "o_orderstatus", "currency": "o_orderpriority", "value_date": "day"})
 
 
 _PHRASES = "case o_orderkey % 8 when 0 then 'My salary has been delayed' when 1 then 'I cannot afford this' when 2 then 'we never paid' when 3 then 'Order ' || o_orderstatus when 4 then 'Income reduced; unable to pay' when 5 then 'wages were stopped' when 6 then 'It is resolved, I cannot pay' else 'We can''t manage it' end"

@@ -225,3 +225,39 @@ def test_plan_steps(spark):
     got = {r["number"]: r["problem"] for r in lifecycle.plan_step_problems(df, ["a", "b"]).collect()}
     assert got == {r[1]: r[5] for r in rows if r[5]}
     assert {r["number"] for r in lifecycle.valid_steps(df, ["a", "b"]).collect()} == {0, 5}
+
+
+def test_canonical_json_equals_the_usual_writer(spark):
+    import json
+
+    from pyspark.sql import types as T
+
+    from tallyward.functions.canonical import canonical_json, content_hash
+
+    rng = random.Random(1)
+    numbers = [0.1, 1e16, 1e15, 123456789012345680.0, 1e-4, 1e-5, 1.5e-7, -2.5, 1e22, 1.0, 100.0, 1e7, 3.14e300, 0.0, -0.0, 0.001, 0.00012345, None, float("inf")] + [rng.uniform(-1, 1) * 10 ** rng.randint(-20, 20) for _ in range(500)]
+    texts = ['a"b\\c\n\r\t\b\f\x01\x7f/', "éß", "😀x", "", None, "\n", "plain"]
+    kind = T.StructType.fromDDL("z struct<b: bigint, a: array<string>>, m map<string, double>, B boolean, s string, x double")
+    rows = [((i, [texts[i % 7], None]), {f"k{j}": x for j in range(i % 3)} | {"é": 1.0}, None if i % 5 == 0 else i % 2 == 0, texts[(i + 3) % 7], x) for i, x in enumerate(numbers)]
+    df = spark.createDataFrame([(r,) for r in rows], T.StructType([T.StructField("v", kind)]))
+    for r in df.select("v", canonical_json(F.col("v"), kind).alias("j"), content_hash(F.col("v"), kind).alias("h")).collect():
+        want = json.dumps(r["v"].asDict(recursive=True), sort_keys=True, separators=(",", ":"))
+        assert r["j"] == want and len(r["h"]) == 64
+
+
+def test_imports_hold_whole_batches(spark):
+    from tallyward.operators import imports
+
+    good = ("12.50", "usd", "dr", "2024-03-05", "r-1")
+    faults = {"AMOUNT_FORMAT": ("1,5", *good[1:]), "AMOUNT_RANGE": ("1" + "0" * 20, *good[1:]), "DIRECTION": (*good[:2], "x", *good[3:]), "VALUE_DATE": (*good[:3], "2024-02-30", good[4]), "OUTSIDE_PERIOD": (*good[:3], "20240401", good[4]), "CURRENCY": ("1", "SVC", *good[2:]), "REFERENCE": (*good[:4], " - ")}
+    rows = [("ok", "2024-03", *good), ("ok", "2024-03", "99999999999999999999.12345678", "EUR", " CR", "20240331", "x"), ("short", "2024-03", *good)] + [(k, "2024-03", *v) for k, v in faults.items()] + [("null", "2024-03", None, None, None, None, None)]
+    raw = spark.createDataFrame(rows, "batch string, period string, amount string, currency string, direction string, value_date string, reference string")
+    out = imports.validated(raw, "period")
+    assert {(r["batch"], r["problem"]) for r in out.where("problem is not null").collect()} == {(k, k) for k in faults} | {("null", "AMOUNT_FORMAT")}
+    reports = imports.batch_reports(out, "batch", spark.createDataFrame([("ok", 2), ("short", 5), ("gone", 0)], "batch string, expected long"))
+    assert {r["batch"] for r in reports.where("status = 'ACCEPTED'").collect()} == {"ok"}
+    assert [r["typed_amount"] for r in imports.accepted(out, reports, "batch").orderBy("typed_amount").collect()] == [Decimal("12.5"), Decimal("99999999999999999999.12345678")]
+    with pytest.raises(ValueError, match="value_date"):
+        imports.apply_mapping(raw, {x: x for x in imports.REQUIRED if x != "value_date"})
+    with pytest.raises(ValueError, match="nope"):
+        imports.apply_mapping(raw, {x: x for x in imports.REQUIRED} | {"reference": "nope"})
