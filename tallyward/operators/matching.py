@@ -5,18 +5,22 @@ Records have id, side (SOURCE_A or SOURCE_B), account, currency, amount, directi
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from heapq import merge
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 A, B = "SOURCE_A", "SOURCE_B"
 BLOCK = ["account", "currency", "direction"]
 
+#: Sums of half a set that one search lists, at most.
+HALVES = 3_000_000
+
 
 def exact_pairs(records: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(a_id, b_id): keys with exactly one record on each side. One aggregation, no join; blank references never match."""
@@ -52,6 +56,25 @@ def tolerance_pairs(records: DataFrame, *, days: int, absolute: float | None = N
     return one.groupBy("b_id").agg(F.count("*").alias("n"), F.max("a_id").alias("a_id")).where("n = 1").select("a_id", "b_id")
 
 
+def _sums(values: np.ndarray, k: int) -> np.ndarray:
+    """Sums of all sets of k values, sorted."""
+    sums, last = values, np.arange(len(values))
+    for _ in range(k - 1):
+        parts = [(sums[last < j] + values[j], j) for j in range(len(values))]
+        sums = np.concatenate([p for p, _ in parts])
+        last = np.repeat([j for _, j in parts], [len(p) for p, _ in parts])
+    return np.sort(sums)
+
+
+def _may_net(values: np.ndarray, sides: list[str], size: int, tolerance: float) -> bool:
+    """False if no set of size values of both sides adds up to zero within tolerance, by meeting sums of its halves; True if one may, or the halves have too many sums to list."""
+    if len(values) < size or len(set(sides)) < 2 or math.comb(len(values), size - size // 2) > HALVES:
+        return len(values) >= size and len(set(sides)) > 1
+    a, b = _sums(values, size // 2), _sums(values, size - size // 2)
+    at = np.searchsorted(a, -b - tolerance)
+    return bool((a[np.minimum(at, len(a) - 1)] <= -b + tolerance)[at < len(a)].any())
+
+
 def _smallest_sets(rows: list[tuple[str, str, int]], most_size: int, tolerance: float, steps: int) -> tuple[list[list[int]], bool]:
     """Sets of rows (id, side, cents) of both sides that net to zero, smallest first, then in the order of rows; and whether the steps ran out.
 
@@ -63,7 +86,10 @@ def _smallest_sets(rows: list[tuple[str, str, int]], most_size: int, tolerance:
         sums.setdefault(rows[i][2] + rows[j][2], []).append((i, j))
     keys = sorted(sums)
     for size in range(2, most_size + 1):
-        for head in combinations(range(n), size - 2):
+        free = [i for i in range(n) if i not in used]
+        if not _may_net(np.array([rows[i][2] for i in free], np.int64), [rows[i][1] for i in free], size, tolerance):
+            continue  # proven: no set of this size nets to zero
+        for head in combinations(free, size - 2):
             tried += 1
             if tried > steps:
                 return found, True
@@ -122,9 +148,15 @@ def breaks(records: DataFrame, matched: DataFrame) -> DataFrame:
     twin = left.groupBy("side", *BLOCK, "amount", "value_date", "reference").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     twin = twin.select("side", *BLOCK, "amount", "value_date", "reference", F.lit(True).alias("twice"))
     d = left.join(twin, ["side", *BLOCK, "amount", "value_date", "reference"], "left")
-    w = W.partitionBy("account", "currency", "reference")
-    other = F.max(F.when(F.col("side") == A, F.col("amount"))).over(w), F.max(F.when(F.col("side") == B, F.col("amount"))).over(w)
-    partner = F.when(F.col("side") == A, other[1]).otherwise(other[0])
+    # the largest amount of each side by aggregation, so that a common reference gathers in no task
+    key = ("account", "currency", "reference")
+    top = left.groupBy(*key).agg(F.max(F.when(F.col("side") == A, F.col("amount"))).alias("_top_a"), F.max(F.when(F.col("side") == B, F.col("amount"))).alias("_top_b"))
+    top = top.select(*[F.col(c).alias(f"_{c}") for c in key], "_top_a", "_top_b")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    d = d.join(top, same, "left")
+    partner = F.when(F.col("side") == A, F.col("_top_b")).otherwise(F.col("_top_a"))
     code = F.when(F.col("twice"), "DUP-01").when(partner.isNotNull() & (partner != F.col("amount")), "AMT-02").otherwise("TIM-01")
     return d.select("id", code.alias("code"))
 

@@ -69,7 +69,7 @@ def join_05(spark, sf_dir):
     whole = base.select("account", "currency", F.concat(F.lit("A"), k.cast("string")).alias("id"), F.lit("SOURCE_A").alias("side"), F.lit("CR").alias("direction"), F.col("p").alias("amount"))
     part = lambda i, share: base.where(k % 3 == 0).select("account", "currency", F.concat(F.lit(f"B{i}-"), k.cast("string")).alias("id"), F.lit("SOURCE_B").alias("side"), F.lit("DR").alias("direction"), share.alias("amount"))
     records = whole.unionByName(part(1, F.floor(F.col("p") / 2).cast("double"))).unionByName(part(2, F.col("p") - F.floor(F.col("p") / 2)))
-    return matching.group_matches(records, steps=60_000)
+    return matching.group_matches(records)
 
 
 @query("join_06_isolating_guard", _REC + ", d as (select *, case when account % 3 = 0 then null else account % 4 end as fund from r) select a.id as a_id, b.id as b_id from d a join d b on a.side = 'SOURCE_A' and b.side = 'SOURCE_B' and a.reference = b.reference and a.fund is not distinct from b.fund where a.reference <> ''")

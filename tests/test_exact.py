@@ -261,3 +261,31 @@ def test_imports_hold_whole_batches(spark):
         imports.apply_mapping(raw, {x: x for x in imports.REQUIRED if x != "value_date"})
     with pytest.raises(ValueError, match="nope"):
         imports.apply_mapping(raw, {x: x for x in imports.REQUIRED} | {"reference": "nope"})
+
+
+def test_group_matches_equal_plain_enumeration():
+    from itertools import combinations
+
+    from tallyward.operators.matching import _may_net, _smallest_sets
+
+    rng = random.Random(6)
+    for _ in range(60):
+        rows = [(f"r{i:02d}", rng.choice(["SOURCE_A", "SOURCE_B"]), rng.randint(-40, 40)) for i in range(rng.randint(2, 11))]
+        used, want = set(), []
+        for size in range(2, 7):
+            for c in combinations(range(len(rows)), size):
+                if not used & set(c) and sum(rows[i][2] for i in c) == 0 and len({rows[i][1] for i in c}) == 2:
+                    want.append(list(c))
+                    used |= set(c)
+        assert _smallest_sets(rows, 6, 0, 10**9) == (want, False)
+        for size in range(2, 7):
+            if not _may_net(np.array([r[2] for r in rows]), [r[1] for r in rows], size, 0):
+                assert not any(sum(rows[i][2] for i in c) == 0 and len({rows[i][1] for i in c}) == 2 for c in combinations(range(len(rows)), size))
+
+
+def test_group_matches_of_a_large_pool_without_a_net_set_are_proven(spark):
+    from tallyward.operators import matching
+
+    rows = [("a", "USD", f"i{i:03d}", "SOURCE_A" if i % 2 else "SOURCE_B", "CR", float(3 * i + 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "account string, currency string, id string, side string, direction string, amount double")
+    assert matching.group_matches(df, most_size=6, steps=1000).count() == 0
