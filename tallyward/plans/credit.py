@@ -126,6 +126,22 @@ def ml_15(spark, sf_dir):
     return e.select("event_id", credit.contributions({"value": (40.0, 0.02), "user_id": (50.0, 0.01)})[0]["feature"].alias("leading"))
 
 
+@query("ml_15_tree_attributions", "select p_partkey, 2 as n_features, 0.0::double as gap from part")
+def ml_15_trees(spark, sf_dir):
+    """gap is what base and attributions miss of the margin of boosted trees."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from tallyward.operators.attribution import tree_attributions
+
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 40).cast("double").alias("shelf"), "p_retailprice")
+    d = VectorAssembler(inputCols=["size", "shelf"], outputCol="_f").transform(part)
+    model = GBTRegressor(featuresCol="_f", labelCol="p_retailprice", predictionCol="margin", maxIter=5, maxDepth=3, seed=1).fit(d)
+    out = tree_attributions(model.transform(d), model, ["size", "shelf"])
+    total = F.aggregate("attributions.by_feature", F.col("attributions.base"), lambda a, x: a + x["attribution"])
+    return out.select("p_partkey", F.size("attributions.by_feature").alias("n_features"), (F.round(total - F.col("margin"), 6) + 0.0).alias("gap"))
+
+
 @query("ml_16_drift", "with r as (select avg(value) as a, stddev_pop(value) as s, avg(user_id) as ua, stddev_pop(user_id) as us from events where event_type <> 'purchase'), n as (select avg(value) as v, avg(user_id) as u from events where event_type = 'purchase') select 'value' as \"column\", round(abs(v - a) / greatest(s, 1e-6), 6) as shift, abs(v - a) / greatest(s, 1e-6) > 0.5 as drifted from r, n union all select 'user_id', round(abs(u - ua) / greatest(us, 1e-6), 6), abs(u - ua) / greatest(us, 1e-6) > 0.5 from r, n")
 def ml_16(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -289,3 +289,46 @@ def test_group_matches_of_a_large_pool_without_a_net_set_are_proven(spark):
     rows = [("a", "USD", f"i{i:03d}", "SOURCE_A" if i % 2 else "SOURCE_B", "CR", float(3 * i + 1)) for i in range(60)]
     df = spark.createDataFrame(rows, "account string, currency string, id string, side string, direction string, amount double")
     assert matching.group_matches(df, most_size=6, steps=1000).count() == 0
+
+
+def test_tree_attributions_are_shapley_values(spark):
+    from itertools import combinations
+    from math import factorial
+
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from tallyward.operators import attribution
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 8, (300, 3)).astype(float)
+    y = x[:, 0] * x[:, 1] + 3 * x[:, 2] + rng.normal(size=300)
+    df = spark.createDataFrame([(*map(float, r), float(t), float(t > 20)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double, z double")
+    d = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(df)
+    boosted = GBTRegressor(featuresCol="f", labelCol="y", predictionCol="margin", maxIter=3, maxDepth=3).fit(d)
+    forest = RandomForestClassifier(featuresCol="f", labelCol="z", numTrees=3, maxDepth=3, seed=1).fit(d)
+    for model in (boosted, forest):
+        found = attribution.leaves(model)
+        some = x[:20]
+
+        def worth(row, known):
+            total = 0.0
+            for v, path in found:
+                for f, (share, conditions) in path.items():
+                    v *= all(a < row[f] <= b for _, a, b in conditions) if f in known else share
+                total += v
+            return total
+
+        want = np.zeros((20, 3))
+        for r, row in enumerate(some):
+            for f in range(3):
+                for n in range(3):
+                    for s in combinations([g for g in range(3) if g != f], n):
+                        want[r, f] += factorial(n) * factorial(2 - n) / 6 * (worth(row, {*s, f}) - worth(row, set(s)))
+        assert np.allclose(attribution.shapley(some, found), want)
+    out = attribution.tree_attributions(boosted.transform(d), boosted, ["a", "b", "c"]).collect()
+    assert all(abs(r["attributions"]["base"] + sum(p["attribution"] for p in r["attributions"]["by_feature"]) - r["margin"]) < 1e-9 for r in out)
+    probability = forest.transform(d).select("probability").collect()
+    out = attribution.tree_attributions(df, forest, ["a", "b", "c"]).collect()
+    assert all(abs(r["attributions"]["base"] + sum(p["attribution"] for p in r["attributions"]["by_feature"]) - q["probability"][1]) < 1e-9 for r, q in zip(out, probability, strict=True))
