@@ -99,6 +99,28 @@ def join_09(spark, sf_dir):
     return matching.breaks(r, matching.cascade(r, days=2, absolute=1))
 
 
+_CYCLE = (
+    _REC.replace("with r as (", "with r0 as (") + ", own as (select *, strftime(value_date, '%Y-%m') as period from r0 where strftime(value_date, '%m') <> '01'), r as (select id, side, period || '|' || account as account, currency, amount, direction, value_date, reference, period from own where not (id like 'A%' and period < '1993-01') and not period = '1995-06')"
+    + _L1 + _L2 + _M
+)
+
+
+@query(
+    "wf_19_scheduled_cycle",
+    _CYCLE + ", o as (select period, count(*) as n_open from r group by 1), n as (select period, count(*) as n_matched from m join r using (id) group by 1), a as (select distinct period from own) "
+    "select a.period, coalesce(n_open, 0) as n_open, coalesce(n_matched, 0) as n_matched, coalesce(n_open, 0) - coalesce(n_matched, 0) as n_breaks, case when n_open is null then 'SKIPPED' else 'RECONCILED' end as status from a left join o using (period) left join n using (period)",
+)
+def wf_19(spark, sf_dir):
+    """January periods are certified; records of source A before 1993 and all of June 1995 were matched by earlier cycles."""
+    from tallyward.operators.cycle import run_cycle
+
+    r = _records(spark, sf_dir)
+    period = F.date_format("value_date", "yyyy-MM")
+    matched = r.where((F.col("id").startswith("A") & (period < "1993-01")) | (period == "1995-06")).select("id")
+    periods = r.select(period.alias("period")).distinct().withColumn("status", F.when(F.col("period").endswith("-01"), "CERTIFIED").otherwise("OPEN"))
+    return run_cycle(r, matched, periods, period, days=2, absolute=1)[2]
+
+
 @query("join_10_resolved_cases", _REC + _L1 + ", m as (select a_id as id from l1 union all select b_id from l1), c as (select o_custkey as case_id, 'A' || o_orderkey as id from orders) select case_id from c left join m using (id) group by 1 having count(*) = count(m.id)")
 def join_10(spark, sf_dir):
     c = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(F.collect_list(F.concat(F.lit("A"), F.col("o_orderkey").cast("string"))).alias("record_ids"))
