@@ -113,7 +113,10 @@ def snk_07(spark, sf_dir):
     return packs.select("o_custkey", F.size(back["items"]).cast("long").alias("n"))
 
 
-@query("snk_08_export_manifest")
+_EXPORTED = "'{\"o_custkey\":' || o_custkey || ',\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || '\",\"o_orderkey\":' || o_orderkey || ',\"o_orderpriority\":\"' || o_orderpriority || '\",\"o_orderstatus\":\"' || o_orderstatus || '\",\"o_totalprice\":' || o_totalprice || '}'"
+
+
+@query("snk_08_export_manifest", f"with r as (select o_orderkey, sha256({_EXPORTED}) as h from orders) select count(*) as rows, count(distinct o_orderkey) as keys, sha256(count(*) || '|' || sum(('0x' || substr(h, 1, 14))::ubigint::hugeint)) as digest from r")
 def snk_08(spark, sf_dir):
     return sinks.manifest(table(spark, sf_dir, "orders"), "o_orderkey")
 

@@ -369,3 +369,26 @@ def test_scheduled_cycles_replay_to_the_same_result(spark, tmp_path):
     assert run("c2") == first  # the source replayed from the start
     done = spark.createDataFrame([(x[0],) for x in rows], "id string")
     assert {r["status"] for r in run_cycle(records, done, periods, period, days=2, absolute=1)[2].collect()} == {"SKIPPED"}
+
+
+def test_isotonic_equals_pooled_violators(spark):
+    from tallyward.operators import credit
+
+    rng = np.random.default_rng(2)
+    p = rng.permutation(200) / 200.0
+    y = (rng.random(200) < p).astype(int)
+    model = credit.isotonic(spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "p double, y int").repartition(3), "p", "y")
+    blocks = []
+    for v in y[np.argsort(p)]:
+        blocks.append([float(v), 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            v, n = blocks.pop()
+            blocks[-1] = [(blocks[-1][0] * blocks[-1][1] + v * n) / (blocks[-1][1] + n), blocks[-1][1] + n]
+    want = np.repeat([b[0] for b in blocks], [b[1] for b in blocks])
+    assert np.allclose(np.interp(np.sort(p), list(model.boundaries), list(model.predictions)), want)
+
+
+def test_fingerprints_see_every_row_and_no_order(spark):
+    rows = [(i, i * 1.5) for i in range(100)]
+    mark = lambda r: sampling.dataset_fingerprint(spark.createDataFrame(r, "k long, a double").repartition(4), "k", "a").first()[0]
+    assert mark(rows) == mark(rows[::-1]) != mark([*rows[:-1], (99, 1.0)]) and mark(rows) != mark([*rows, rows[0]])
