@@ -457,7 +457,7 @@ def test_language_model_learns_from_every_token(spark, docs):
     subs = language_model._counts(train, language_model.TOKENIZER, scratch)[1].toPandas()
     ids = np.zeros(language_model.VOCABULARY)
     ids[subs.item] = subs.n
-    language_model.train_attention(train, language_model.class_map(ids)[0], ids, language_model.TOKENIZER, scratch)
+    language_model.train_attention(train, language_model.class_map(ids, language_model.subwords(language_model.TOKENIZER).starts_word)[0], ids, language_model.TOKENIZER, scratch)
     assert {r["seen"] for r in kept["weights"].collect()} == {ids.sum()}
 
 
@@ -664,3 +664,81 @@ def test_language_model_keeps_clashing_columns(spark, docs):
     got = language_model.score_texts(d, docs.select("doc_id", "text")).collect()
     assert len(got) == d.count()
     assert all(r["_k1"] == r["k1"] == r["row"] == r["a.b"] == r["doc_id"] and r["score"] < 0 for r in got)
+
+
+def _made_up_texts(n, seed):
+    """Texts in either of two vocabularies of words of two to five syllables, some words far more frequent than others."""
+    rng = np.random.default_rng(9)
+    syllables = ["".join(rng.choice(list(c)) for c in ("bdfgklmnprst", "aeiou", "lnrs")) for _ in range(60)]
+    words = [["".join(rng.choice(syllables, rng.integers(2, 6))) for _ in range(300)] for _ in range(2)]
+    p = 1 / np.arange(1, 301)
+    rng = np.random.default_rng(seed)
+    return [" ".join(rng.choice(words[i % 2], 120, p=p / p.sum())) for i in range(n)]
+
+
+@pytest.mark.skipif(not os.path.exists(language_model.TOKENIZER), reason="no tokenizer")
+def test_language_model_beats_word_counts_on_unseen_texts(spark):
+    train = spark.createDataFrame(list(enumerate(_made_up_texts(400, 1))), "doc_id long, text string")
+    unseen = spark.createDataFrame(list(enumerate(_made_up_texts(40, 2))), "doc_id long, text string")
+    got = language_model.score_texts(unseen, train).toPandas()
+    assert got.score.sum() > got.base_score.sum()
+
+
+@pytest.mark.skipif(not os.path.exists(language_model.TOKENIZER), reason="no tokenizer")
+def test_language_model_mixed_with_spelling_is_a_distribution():
+    lm = language_model
+    plain = lm.subwords(lm.TOKENIZER)
+    own, per, _, events = plain.followers([t.encode() for t in _made_up_texts(30, 3)])
+    spelled = lm.Subwords(lm.TOKENIZER, lm.Spelling.of(*events))
+    cls, share = lm.class_map(np.bincount(own, minlength=lm.VOCABULARY).astype(float), plain.starts_word)
+    starts = np.isin(np.arange(lm.CLASSES - 1), cls[plain.starts_word])
+    assert not np.isin(cls[~plain.starts_word], np.flatnonzero(starts)).any()
+    w = lm.unpack((np.random.default_rng(4).standard_normal(sum(lm._SIZES.values())) * 0.3).astype(np.float32))
+    # shares of the ids of a text agree with a plain count
+    text = b"baldinbal dinfurbal"
+    ids, _, _, shares = spelled.spelled([text])
+    assert len(ids) == len(shares) and tuple(shares[0]) == (1, 0) and ids[-1] == lm.END
+    # whatever id comes second, after one that begins a frequent word: chances sum to one
+    a = int(own[0])
+    begin = np.full(lm.VOCABULARY, lm._mix(np.zeros(1, np.uint64), np.array([a + 1]))[0])
+    second = np.arange(lm.VOCABULARY)
+    table_ = spelled.spelling(begin, np.where(plain.starts_word, lm.NEXT_WORD, second))
+    assert 0 < table_[0, 1] < 1
+    pairs = np.stack([np.full(lm.VOCABULARY, a), second], 1).ravel()
+    both = np.stack([np.tile(np.float32([1, 0]), (lm.VOCABULARY, 1)), table_], 1).reshape(-1, 2)
+    lp = lm.log_probabilities(w, cls[pairs], share[pairs], np.full(lm.VOCABULARY, 2), both, starts.astype(np.float32))
+    one = lm.log_probabilities(w, cls[[a]], share[[a]], np.array([1]), np.float32([[1, 0]]), starts.astype(np.float32))
+    assert abs(np.exp(lp - one[0]).sum() - 1) < 1e-3
+
+
+def test_largest_counts_stay_within_the_bound(spark):
+    t = spark.createDataFrame([(i, 1 + i // 10, 2) for i in range(100)], "item long, n long, size long")
+    for bound in (0, 5, 50, 150, 1000):
+        kept = language_model.largest(t, "n", bound, "size").toPandas()
+        assert 2 * len(kept) <= bound and (len(kept) == 100 or kept.n.min() > t.toPandas().query("item not in @kept.item").n.max() if len(kept) else True)
+    assert language_model.largest(t, "n", 200, "size").count() == 100 and language_model.largest(t.limit(0), "n", 10).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(language_model.TOKENIZER), reason="no tokenizer")
+def test_spelling_counts_match_brute_force(spark, docs, monkeypatch):
+    lm = language_model
+    train = docs.select("doc_id", "text")
+    scratch = common.Scratch(spark, "spelling-test")
+    got = {(r["item"], r["part"]): r["n"] for r in lm._counts(train, lm.TOKENIZER, scratch)[2].collect()}
+    want = {}
+    sub = lm.subwords(lm.TOKENIZER)
+    for text in (r["text"] for r in train.collect()):
+        for word in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+            ids = sub.encode(" " + word.translate(lm._LOWER).decode("utf-8", "replace"))
+            h = np.zeros(1, np.uint64)
+            for place, x in enumerate([*ids, lm.NEXT_WORD]):
+                if place:
+                    key = int(h.view(np.int64)[0]), x
+                    want[key] = want.get(key, 0) + 1
+                h = lm._mix(h, np.array([x + 1]))
+    assert got == want
+    # beginnings beyond the bound are left to the attention
+    whole = lm.spelling(lm._counts(train, lm.TOKENIZER, scratch)[2], scratch)
+    monkeypatch.setattr(lm, "FOLLOWERS", len(whole.key) // 2)
+    assert 0 < len(lm.spelling(lm._counts(train, lm.TOKENIZER, scratch)[2], scratch).key) <= len(whole.key) // 2
+    scratch.release()
