@@ -205,3 +205,31 @@ def eligible_policies(cases: DataFrame, policies: DataFrame) -> DataFrame:
 
 def evidence_difference(a: Column, b: Column) -> Column:
     return F.struct(F.sort_array(F.array_except(a, b)).alias("only_a"), F.sort_array(F.array_except(b, a)).alias("only_b"), F.sort_array(F.array_intersect(a, b)).alias("common"))
+
+
+def unmatch(requests: DataFrame, matches: DataFrame, open_periods: DataFrame) -> DataFrame:
+    """requests (request_id, match_id, role, reason) with problem: null where the match is reversed.
+
+    Problems in this order: ROLE (only a MAKER unmatches), REASON (none but spaces), NOT_FOUND, ALREADY_REVERSED, PERIOD_CLOSED.
+    matches has (match_id, period, reversed), open_periods (period). Of several good requests for a match the one of
+    smallest request_id counts; the others find it reversed. Repeated rows of one request_id fare alike.
+    """
+    m = matches.groupBy("match_id").agg(F.max(F.coalesce("reversed", F.lit(False))).alias("_reversed"), F.max("period").alias("period"))
+    m = m.join(open_periods.select("period", F.lit(True).alias("_open")).distinct(), "period", "left").drop("period")
+    r = requests.join(m, "match_id", "left")
+    own = (
+        F.when(~F.col("role").eqNullSafe("MAKER"), "ROLE").when(F.trim(F.coalesce("reason", F.lit(""))) == "", "REASON").when(F.col("_reversed").isNull(), "NOT_FOUND")
+        .when(F.col("_reversed"), "ALREADY_REVERSED").when(F.col("_open").isNull(), "PERIOD_CLOSED")
+    )
+    r = r.withColumn("problem", own).drop("_reversed", "_open")
+    first = r.where("problem is null").groupBy("match_id").agg(F.min("request_id").alias("_first"))
+    r = r.join(first, "match_id", "left")
+    late = F.col("problem").isNull() & (F.col("request_id") > F.col("_first"))
+    return r.withColumn("problem", F.when(late, "ALREADY_REVERSED").otherwise(F.col("problem"))).drop("_first")
+
+
+def after_unmatch(members: DataFrame, answers: DataFrame) -> DataFrame:
+    """members (match_id, record_id, status) as they stand after unmatch(): records of reversed matches that were MATCHED are UNMATCHED; no row goes."""
+    gone = answers.where("problem is null").select("match_id", F.lit(True).alias("_gone")).distinct()
+    status = F.when(F.col("_gone") & (F.col("status") == "MATCHED"), "UNMATCHED").otherwise(F.col("status"))
+    return members.join(gone, "match_id", "left").withColumn("status", status).drop("_gone")

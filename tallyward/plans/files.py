@@ -186,6 +186,21 @@ def src_14(spark, sf_dir):
     return workbook.list_sheets(_workbooks(spark, sf_dir))
 
 
+@query(
+    "src_18_installation",
+    "with m as (select p_partkey as key, p_size, p_partkey % 40 as dim, case when p_size % 5 = 0 then 'INVALID' when p_size % 7 = 0 then 'INCOMPATIBLE' end as own from part) "
+    "select key, coalesce(own, case when p_size < 25 then 'BREAK_CODE' when dim < 5 then 'DIMENSION' end) as problem, case when own is not null then '' when p_size < 25 then array_to_string(list_sort(case when p_size < 24 then ['B' || p_size, 'B' || (p_size + 1)] else ['B' || p_size] end), ',') when dim < 5 then 'D' || dim else '' end as items from m",
+)
+def src_18_installation(spark, sf_dir):
+    size, text = F.col("p_size"), lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    codes = F.transform(F.array(F.lit(1), F.lit(0)), lambda more: F.struct(F.when(size + more < 100, text("B", size + more)).alias("code")))
+    pack = F.struct(F.col("p_name").alias("id"), F.when(size % 5 != 0, "1.0.0").alias("version"), F.when(size % 7 == 0, ">=2.0.0").otherwise(">=1.0.0 <2.0.0").alias("engine_compat"))
+    manifest = F.struct(pack.alias("pack"), F.when(size != 49, codes).alias("break_types"), F.array(F.struct(text("D", F.col("p_partkey") % 40).alias("key"))).alias("dimensions"))
+    installed = table(spark, sf_dir, "nation").select(F.lit("BREAK_CODE").alias("kind"), text("B", F.col("n_nationkey")).alias("name")).unionByName(table(spark, sf_dir, "region").select(F.lit("DIMENSION").alias("kind"), text("D", F.col("r_regionkey")).alias("name")))
+    found = packs.installation_problems(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.to_json(manifest).alias("raw")), installed)
+    return found.select("key", "problem", F.array_join("items", ",").alias("items"))
+
+
 @query("src_18_manifests", "select p_partkey, case when p_size % 5 = 0 then 'INVALID' when p_size % 7 = 0 or p_size % 8 > 4 or p_size % 8 = 4 and p_partkey % 3 > 0 then 'INCOMPATIBLE' end as problem from part")
 def src_18(spark, sf_dir):
     size, key = F.col("p_size"), F.col("p_partkey")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyward.functions import normalize, parsing
+from tallyward.functions import explain, normalize, parsing
 from tallyward.operators import imports, matching
 from tallyward.plans.registry import query
 from tallyward.session import table
@@ -153,6 +153,34 @@ def join_12(spark, sf_dir):
     return last.agg(F.count_if(F.col("status") == "MATCHED").alias("active"), F.count_if(F.col("status") == "REVERSED").alias("reversed"))
 
 
+_UNMATCH = (
+    "with q as (select l_orderkey * 10 + l_linenumber as request_id, l_orderkey as match_id, case when l_linenumber = 2 then 'CHECKER' else 'MAKER' end as role, case when l_linenumber = 1 and l_orderkey % 3 = 0 then '  ' else l_linestatus end as reason from lineitem), "
+    "m as (select o_orderkey as match_id, o_orderkey % 5 = 0 as reversed, o_orderdate >= timestamp '1995-01-01' as opened from orders where o_orderkey % 7 <> 0), "
+    "p as (select q.request_id, q.match_id, case when role <> 'MAKER' then 'ROLE' when trim(reason) = '' then 'REASON' when m.match_id is null then 'NOT_FOUND' when reversed then 'ALREADY_REVERSED' when not opened then 'PERIOD_CLOSED' end as problem from q left join m using (match_id)), "
+    "a as (select request_id, match_id, case when problem is null and request_id > min(case when problem is null then request_id end) over (partition by match_id) then 'ALREADY_REVERSED' else problem end as problem from p) "
+)
+
+
+def _unmatch(spark, sf_dir):
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    requests = l.select((k * 10 + n).alias("request_id"), k.alias("match_id"), F.when(n == 2, "CHECKER").otherwise("MAKER").alias("role"), F.when((n == 1) & (k % 3 == 0), "  ").otherwise(F.col("l_linestatus")).alias("reason"))
+    period = F.date_format("o_orderdate", "yyyy-MM").alias("period")
+    matches = o.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("match_id"), period, (F.col("o_orderkey") % 5 == 0).alias("reversed"))
+    return matching.unmatch(requests, matches, o.select(period).where("period >= '1995-01'"))
+
+
+@query("join_12_unmatch_requests", _UNMATCH + "select * from a")
+def join_12_requests(spark, sf_dir):
+    return _unmatch(spark, sf_dir).select("request_id", "match_id", "problem")
+
+
+@query("join_12_records_after", _UNMATCH + ", g as (select distinct match_id from a where problem is null) select o_orderkey as match_id, case when o_orderstatus = 'P' then 'HELD' when g.match_id is not null then 'UNMATCHED' else 'MATCHED' end as status from orders left join g on g.match_id = o_orderkey")
+def join_12_after(spark, sf_dir):
+    members = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") == "P", "HELD").otherwise("MATCHED").alias("status"))
+    return matching.after_unmatch(members, _unmatch(spark, sf_dir)).select("match_id", "status")
+
+
 _ROUTES = [(1, "AMT", None, 100000.0, "analyst", True), (2, "AMT", 100000.0, 300000.0, "senior", False), (3, "AMT", 300000.0, None, "controller", False), (4, "TIM", None, None, "analyst", True), (5, "TIM", 400000.0, None, "senior", False)]
 _ROUTE_SQL = "(values " + ", ".join(f"({o}, '{f}', {'null' if g is None else g}, {'null' if l is None else l}, '{r}', {str(a).lower()})" for o, f, g, l, r, a in _ROUTES) + ") rules(ord, family, gte, lt, role, allow_auto)"
 
@@ -377,3 +405,43 @@ def fn_16(spark, sf_dir):
 def fn_19(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value is not null")
     return e.select("event_id", F.format_string("Value %.2f of user %d is %s", F.col("value"), F.col("user_id"), F.when(F.col("value") > 150, "high").otherwise("usual")).alias("message"))
+
+
+_FINDING = (
+    "with f as (select e.event_id, case when e.event_id % 9 = 0 then 'column-level' else e.event_id::varchar end as r, e.event_type as model, floor(e.value)::bigint::varchar as score, (0.55 + e.event_id % 45 / 100)::decimal(4,2)::varchar as conf, 'value above ' || e.user_id as threshold, "
+    "case when e.event_id % 4 > 0 then 'value' end as feature, 'far from ' || e.user_id as reason, 'Value of user ' || e.user_id as message, case when e.event_id % 2 = 0 then 'Check ' || e.event_type end as act, "
+    "lower(coalesce(c.text, '')) || case c.turn % 4 when 0 then ' why?' when 1 then ' which score?' when 2 then ' karna?' else '' end as q, c.turn from events e join conversations c on c.conv_id = e.event_id where e.value is not null and c.role = 'user') "
+)
+_has = lambda words: "(" + " or ".join(f"contains(q, '{w}')" for w in words.split()) + ")"
+
+
+def _findings(spark, sf_dir):
+    k, u = F.col("event_id"), F.col("user_id").cast("string")
+    driver = F.struct(F.lit("value").alias("feature"), F.concat(F.lit("far from "), u).alias("reason"))
+    finding = F.struct(
+        F.when(k % 9 != 0, k).alias("row"), F.col("event_type").alias("model"), F.lit("median").alias("method"), F.lit("L2").alias("layer"), F.floor("value").alias("score"), F.lit("high").alias("severity"), (0.55 + k % 45 / 100).cast("decimal(4,2)").alias("confidence"),
+        F.concat(F.lit("value above "), u).alias("threshold"), F.concat(F.lit("Value of user "), u).alias("message"), F.when(k % 4 > 0, F.array(driver)).otherwise(F.array().cast("array<struct<feature:string,reason:string>>")).alias("drivers"),
+        F.when(k % 2 == 0, F.concat(F.lit("Check "), "event_type")).alias("recommended_action"),
+    )
+    asked = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(F.lit(" WHY?"), F.lit(" which Score?"), F.lit(" karna?"), F.lit("")), (F.col("turn") % 4 + 1).cast("int")))
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("event_id"), "turn", asked.alias("asked"))
+    return table(spark, sf_dir, "events").where("value is not null").select("event_id", finding.alias("finding")).join(c, "event_id")
+
+
+@query(
+    "fn_19_intent_reply",
+    _FINDING + "select event_id, turn, case when " + _has("why kyun kyo reason waja") + " then 'This anomaly was flagged because ' || case when feature is null then message else feature || ' (' || reason || ')' end || '. The detector was ' || model || ' using median.' "
+    "when " + _has("threshold score confidence risk") + " then 'The score is ' || score || ' on a capped 0-100 risk index, with confidence ' || conf || '. The threshold was: ' || threshold || '.' "
+    "when " + _has("fix action karna next review") + " then coalesce(act, 'Review the row values and verify the source record.') "
+    "else 'For row ' || r || ', the main finding is: ' || message || ' Main drivers: ' || case when feature is null then 'model threshold evidence' else feature || ' (' || reason || ')' end || '.' end as reply from f",
+)
+def fn_19_reply(spark, sf_dir):
+    return _findings(spark, sf_dir).select("event_id", "turn", explain.reply(F.col("asked"), F.col("finding")).alias("reply"))
+
+
+@query(
+    "fn_19_finding_explanation",
+    _FINDING + "select distinct event_id, 'Row ' || r || ' was flagged by ' || model || ' in L2. The score is ' || score || ' (high) because ' || case when feature is null then message else feature || ': ' || reason end || '. Threshold used: ' || threshold || '. Recommended next step: ' || coalesce(act, 'Review the source record.') as text from f",
+)
+def fn_19_explanation(spark, sf_dir):
+    return _findings(spark, sf_dir).select("event_id", explain.explanation(F.col("finding")).alias("text")).distinct()

@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyward.functions import dates, normalize, parsing
-from tallyward.operators import detect, lifecycle, neighbours, ordering, quantiles, sampling
-from tallyward.sources import tabular
+from tallyward.functions import dates, explain, normalize, parsing
+from tallyward.operators import detect, lifecycle, matching, neighbours, ordering, quantiles, sampling
+from tallyward.sources import packs, tabular
 
 FRACTIONS = [0, 0.05, 0.25, 0.5, 0.75, 0.95, 1]
 
@@ -392,3 +392,52 @@ def test_fingerprints_see_every_row_and_no_order(spark):
     rows = [(i, i * 1.5) for i in range(100)]
     mark = lambda r: sampling.dataset_fingerprint(spark.createDataFrame(r, "k long, a double").repartition(4), "k", "a").first()[0]
     assert mark(rows) == mark(rows[::-1]) != mark([*rows[:-1], (99, 1.0)]) and mark(rows) != mark([*rows, rows[0]])
+
+
+# --- explanations, packs on installation, reversals ------------------------------------------------------
+
+
+def test_replies_by_intent(spark):
+    kind = "row string, model string, method string, layer string, score double, severity string, confidence double, threshold string, message string, drivers array<struct<feature: string, reason: string>>, recommended_action string"
+    full = ("7", "ratio_break", "MAD", "L3", 54.0, "medium", 0.77, "z >= 3", "Odd ratio.", [(x, f"far {x}") for x in "abcde"], "Check units.")
+    bare = ("0", "ratio_break", "MAD", "L3", None, None, None, None, "Odd ratio.", None, None)
+    asked = ["WHY is it", "Reasonable score?", "what THRESHOLD", "next?", "hello", None, "yakarna"]
+    rows = [(i, m, f) for i, m in enumerate(asked) for f in (full, bare)]
+    df = spark.createDataFrame(rows, f"i int, asked string, f struct<{kind}>")
+    got = [tuple(r) for r in df.select("i", explain.intent(F.col("asked")).alias("intent"), explain.reply(F.col("asked"), F.col("f")).alias("reply"), explain.explanation(F.col("f")).alias("text")).collect()]
+    assert [r[1] for r in got[::2]] == ["WHY", "WHY", "MEASURE", "ACTION", "OTHER", "OTHER", "ACTION"]
+    assert got[0][2] == "This anomaly was flagged because a (far a), b (far b), c (far c), d (far d). The detector was ratio_break using MAD."
+    assert got[1][2] == "This anomaly was flagged because Odd ratio.. The detector was ratio_break using MAD."
+    assert got[4][2] == "The score is 54.0 on a capped 0-100 risk index, with confidence 0.77. The threshold was: z >= 3."
+    assert (got[6][2], got[7][2]) == ("Check units.", "Review the row values and verify the source record.")
+    assert got[9][2] == "For row column-level, the main finding is: Odd ratio. Main drivers: model threshold evidence."
+    assert got[0][3] == "Row 7 was flagged by ratio_break in L3. The score is 54.0 (medium) because a: far a; b: far b; c: far c; d: far d. Threshold used: z >= 3. Recommended next step: Check units."
+    assert got[1][3] == "Row column-level was flagged by ratio_break in L3. The score is  () because Odd ratio.. Threshold used: . Recommended next step: Review the source record."
+
+
+def test_installation_problems(spark):
+    head = '"pack": {"id": "p", "version": "1", "engine_compat": ">=1.0.0 <2.0.0"}'
+    raw = {
+        1: "{%s}" % head, 2: '{%s, "break_types": [{"code": "X9"}, {"code": "X10"}, {"code": "NEW"}, {}], "dimensions": [{"key": "FUND"}]}' % head, 3: '{%s, "break_types": [{"code": "FUND"}], "dimensions": [{"key": "FUND"}, {"key": "FUND"}]}' % head,
+        4: "no manifest", 5: None, 6: '{"pack": {"id": "p", "version": "1", "engine_compat": ">=2.0.0"}, "break_types": [{"code": "X9"}]}', 7: '{%s, "break_types": null, "dimensions": []}' % head,
+    }
+    installed = spark.createDataFrame([("BREAK_CODE", "X9"), ("BREAK_CODE", "X9"), ("BREAK_CODE", "X10"), ("DIMENSION", "FUND"), ("DIMENSION", None)], "kind string, name string")
+    manifests = spark.createDataFrame(list(raw.items()), "key int, raw string")
+    got = {r["key"]: (r["problem"], r["items"]) for r in packs.installation_problems(manifests, installed).collect()}
+    assert got == {1: (None, []), 2: ("BREAK_CODE", ["X10", "X9"]), 3: ("DIMENSION", ["FUND"]), 4: ("INVALID", []), 5: ("INVALID", []), 6: ("INCOMPATIBLE", []), 7: (None, [])}
+    assert packs.installation_problems(manifests, installed.limit(0)).where("problem = 'BREAK_CODE'").count() == 0
+    assert [r[0] for r in spark.createDataFrame([("core",), ("x",), (None,)], "p string").select(packs.removal_problem(F.col("p"))).collect()] == ["CORE_PACK", None, None]
+
+
+def test_unmatch_keeps_history(spark):
+    requests = spark.createDataFrame(
+        [(1, 10, "MAKER", "typo"), (2, 10, "MAKER", "again"), (3, 11, "CHECKER", "x"), (4, 11, "MAKER", " "), (5, 99, "MAKER", "x"), (6, 12, "MAKER", "x"), (7, 13, "MAKER", "x"), (8, 11, None, "x"), (9, None, "MAKER", "x"), (10, 14, "MAKER", "x"), (10, 14, "MAKER", "x")],
+        "request_id int, match_id int, role string, reason string",
+    )
+    matches = spark.createDataFrame([(10, "p1", False), (11, "p1", None), (12, "p1", True), (13, "p2", False), (14, "p1", False)], "match_id int, period string, reversed boolean")
+    answers = matching.unmatch(requests, matches, spark.createDataFrame([("p1",), ("p1",)], "period string"))
+    got = {r["request_id"]: r["problem"] for r in answers.collect()}
+    assert answers.count() == 11
+    assert got == {1: None, 2: "ALREADY_REVERSED", 3: "ROLE", 4: "REASON", 5: "NOT_FOUND", 6: "ALREADY_REVERSED", 7: "PERIOD_CLOSED", 8: "ROLE", 9: "NOT_FOUND", 10: None}
+    members = spark.createDataFrame([(10, "a", "MATCHED"), (10, "b", "HELD"), (11, "c", "MATCHED"), (14, "d", "MATCHED"), (None, "e", "MATCHED")], "match_id int, record_id string, status string")
+    assert {r["record_id"]: r["status"] for r in matching.after_unmatch(members, answers).collect()} == {"a": "UNMATCHED", "b": "HELD", "c": "MATCHED", "d": "UNMATCHED", "e": "MATCHED"}
