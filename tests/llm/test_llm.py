@@ -457,7 +457,7 @@ def test_language_model_learns_from_every_token(spark, docs):
     subs = language_model._counts(train, language_model.TOKENIZER, scratch)[1].toPandas()
     ids = np.zeros(language_model.VOCABULARY)
     ids[subs.item] = subs.n
-    language_model.train_attention(train, language_model.class_map(ids, language_model.subwords(language_model.TOKENIZER).starts_word)[0], ids, language_model.TOKENIZER, scratch)
+    language_model.train_attention(train, language_model.class_map(ids, language_model.word_starts(language_model.TOKENIZER))[0], ids, language_model.TOKENIZER, scratch)
     assert {r["seen"] for r in kept["weights"].collect()} == {ids.sum()}
 
 
@@ -690,9 +690,10 @@ def test_language_model_mixed_with_spelling_is_a_distribution():
     plain = lm.subwords(lm.TOKENIZER)
     own, per, _, events = plain.followers([t.encode() for t in _made_up_texts(30, 3)])
     spelled = lm.Subwords(lm.TOKENIZER, lm.Spelling.of(*events))
-    cls, share = lm.class_map(np.bincount(own, minlength=lm.VOCABULARY).astype(float), plain.starts_word)
-    starts = np.isin(np.arange(lm.CLASSES - 1), cls[plain.starts_word])
-    assert not np.isin(cls[~plain.starts_word], np.flatnonzero(starts)).any()
+    first = lm.word_starts(lm.TOKENIZER)
+    cls, share = lm.class_map(np.bincount(own, minlength=lm.VOCABULARY).astype(float), first)
+    starts = np.isin(np.arange(lm.CLASSES - 1), cls[first])
+    assert not np.isin(cls[~first], np.flatnonzero(starts)).any()
     w = lm.unpack((np.random.default_rng(4).standard_normal(sum(lm._SIZES.values())) * 0.3).astype(np.float32))
     # shares of the ids of a text agree with a plain count
     text = b"baldinbal dinfurbal"
@@ -702,7 +703,7 @@ def test_language_model_mixed_with_spelling_is_a_distribution():
     a = int(own[0])
     begin = np.full(lm.VOCABULARY, lm._mix(np.zeros(1, np.uint64), np.array([a + 1]))[0])
     second = np.arange(lm.VOCABULARY)
-    table_ = spelled.spelling(begin, np.where(plain.starts_word, lm.NEXT_WORD, second))
+    table_ = spelled.spelling(begin, np.where(first, lm.NEXT_WORD, second))
     assert 0 < table_[0, 1] < 1
     pairs = np.stack([np.full(lm.VOCABULARY, a), second], 1).ravel()
     both = np.stack([np.tile(np.float32([1, 0]), (lm.VOCABULARY, 1)), table_], 1).reshape(-1, 2)
