@@ -45,6 +45,16 @@ def test_query(spark, duck, name):
     assert _rows(df.columns, df.collect()) == _rows(want.columns, want.fetchall())
 
 
+def test_finding_ids_beyond_four_digits_are_those_of_sql(spark, duck, tmp_path):
+    """With over 9,999 findings the SQL's lpad cuts numbers to four digits."""
+    path = f"{tmp_path}/events.parquet"
+    duck.sql(f"copy (select e.* replace (e.event_id + i * 1000000 as event_id) from events e, range(150) r(i)) to '{path}'")
+    want = duck.sql(catalog.oracle_sql()["det_16_finding_ids"].replace("from events", f"from '{path}'")).fetchall()
+    assert len(want) > 10_000
+    got = catalog.queries()["det_16_finding_ids"](spark, str(tmp_path)).select("row", "id").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
