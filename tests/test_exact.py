@@ -291,6 +291,24 @@ def test_group_matches_of_a_large_pool_without_a_net_set_are_proven(spark):
     assert matching.group_matches(df, most_size=6, steps=1000).count() == 0
 
 
+def test_group_matches_take_many_accounts_per_call_of_python(spark):
+    from tallyward.operators import matching
+
+    rng = random.Random(8)
+    rows = [(a, "USD" if a % 2 else "EUR", f"i{i:02d}", rng.choice([matching.A, matching.B]), rng.choice(["CR", "DR"]), float(rng.randint(1, 30))) for a in range(700) for i in range(rng.randint(1, 9))]
+    rows.append((0, "EUR", "none", matching.A, "CR", None))  # a record without an amount is in no set
+    df = spark.createDataFrame(rows, "account int, currency string, id string, side string, direction string, amount double").repartition(3)
+    out = matching.group_matches(df, most_size=4)
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    want = set()
+    for a in range(700):
+        own = sorted((i, s, round(100 * x) * (1 if d == "CR" else -1)) for b, _, i, s, d, x in rows if b == a and x is not None)
+        for no, c in enumerate(matching._smallest_sets(own, 4, 0, 10**9)[0], 1):
+            want.add((a, "USD" if a % 2 else "EUR", no, tuple(own[i][0] for i in c), 0.0, False))
+    assert {(r["account"], r["currency"], r["group_no"], tuple(r["ids"]), r["net"], r["capped"]) for r in out.collect()} == want
+
+
 def test_tree_attributions_are_shapley_values(spark):
     from itertools import combinations
     from math import factorial
