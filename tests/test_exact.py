@@ -459,3 +459,25 @@ def test_unmatch_keeps_history(spark):
     assert got == {1: None, 2: "ALREADY_REVERSED", 3: "ROLE", 4: "REASON", 5: "NOT_FOUND", 6: "ALREADY_REVERSED", 7: "PERIOD_CLOSED", 8: "ROLE", 9: "NOT_FOUND", 10: None}
     members = spark.createDataFrame([(10, "a", "MATCHED"), (10, "b", "HELD"), (11, "c", "MATCHED"), (14, "d", "MATCHED"), (None, "e", "MATCHED")], "match_id int, record_id string, status string")
     assert {r["record_id"]: r["status"] for r in matching.after_unmatch(members, answers).collect()} == {"a": "UNMATCHED", "b": "HELD", "c": "MATCHED", "d": "UNMATCHED", "e": "MATCHED"}
+
+
+def test_a_cycle_finds_open_records_once(spark):
+    """Counting matches and breaks reads tables written once, not the records again."""
+    from tallyward.operators.cycle import run_cycle
+
+    rows = [(f"{s}{i}", "SOURCE_A" if s == "A" else "SOURCE_B", 1, "USD", "CR", f"{i}.00", f"2024-0{1 + i % 3}-05", f"R{i}") for i in range(9) for s in "AB" if s == "A" or i % 4]
+    records = spark.createDataFrame(rows, "id string, side string, account int, currency string, direction string, amount string, value_date string, reference string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    records = records.mapInArrow(counted, records.schema).selectExpr("* except (amount, value_date)", "cast(amount as decimal(28,8)) as amount", "cast(value_date as date) as value_date")
+    periods = spark.createDataFrame([("2024-01", "CERTIFIED")], "period string, status string")
+    found, stay, summary = run_cycle(records, spark.createDataFrame([], "id string"), periods, F.date_format("value_date", "yyyy-MM"), days=2, absolute=1)
+    got = {(r["period"], r["n_open"], r["n_matched"], r["n_breaks"], r["status"]) for r in summary.collect()}
+    assert got == {("2024-02", 5, 4, 1, "RECONCILED"), ("2024-03", 5, 4, 1, "RECONCILED")}
+    assert (found.count(), stay.count()) == (8, 2)
+    assert reads.value <= 2 * len(rows)
