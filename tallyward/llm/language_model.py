@@ -4,7 +4,8 @@ Words become subword ids of a public byte-level tokenizer, and ids become classe
 one each, the others share classes of about equal weight; ids that begin a word and ids inside words never
 share a class. One attention layer predicts the class of the next id from the ids before it; the share of
 an id in its class follows corpus counts. Inside a word, the prediction is mixed with counts of what
-followed the same beginning of a word (another id, or the next word), the more of it the surer they are;
+followed the same beginning of a word (another id, or the next word), the more of it the surer they are (those
+of frequent beginnings are broadcast, the others joined);
 which word comes next is the attention's alone. So the model is a proper distribution over sequences of ids
 and one end, and scores whole texts. Texts are scored
 in overlapping windows of two blocks: each window scores its second block, with the first as context,
@@ -44,9 +45,11 @@ CLASSES, SINGLE, BLOCK, WIDTH = 128, 111, 16, 16
 WARM_DOCS = 1500
 #: Words whose counts are broadcast; the counts of all others are joined.
 COMMON = 1 << 18
-#: What may follow beginnings of words, as broadcast; beyond it, those of the rarest beginnings are left to the attention.
+#: What may follow beginnings of words, as broadcast; beyond it, those of the rarest beginnings are joined.
 FOLLOWERS = 1 << 19
 NEXT_WORD = VOCABULARY
+#: The least chance of an id.
+LEAST = 1e-35
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -167,9 +170,13 @@ class Subwords:
 
     def spelled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray]:
         """As a call, with what the spelling says of each id and what it leaves to the attention; of a word's first id: of a next word."""
+        return self.opened(texts)[:4]
+
+    def opened(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]:
+        """As spelled(), with places and beginnings of the ids whose beginning the spelling does not know."""
         return self._flat(texts, *self._words(texts))
 
-    def _flat(self, texts: list[bytes], w: Words, at: np.ndarray, back: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray | None]:
+    def _flat(self, texts: list[bytes], w: Words, at: np.ndarray, back: np.ndarray, times: np.ndarray) -> tuple:
         lens_u = self.spans[at, 1]
         where = ragged(self.spans[at, 0], lens_u)
         flat = self.pool[where]
@@ -184,13 +191,17 @@ class Subwords:
         inner[ends] = False
         out[inner] = flat[pick]
         if not self.spelling:
-            return out, per_text, w, None
+            return out, per_text, w
         shares = np.tile(np.float32([1, 0]), (len(out), 1))  # a text begins with a word or its end
         heads = np.cumsum(lens) - lens + doc
         shares[inner] = self.inside[where][pick]
         shares[heads] = (1, 0)
         shares[heads + lens] = self.after[at][back]  # what follows a word is the next or the end
-        return out, per_text, w, shares
+        begins = np.zeros(len(out), np.uint64)
+        begins[inner] = self.begins[where][pick]
+        begins[heads + lens] = self.whole[at][back]
+        open_ = np.flatnonzero(shares[:, 1] == 1)  # a known beginning leaves less than all
+        return out, per_text, w, shares, open_, begins[open_]
 
 
 _subwords: dict[str, Subwords] = {}
@@ -439,11 +450,12 @@ class Scorer:
         return logits
 
 
-def log_probabilities(w: dict[str, np.ndarray], cls: np.ndarray, share: np.ndarray, per_text: np.ndarray, shares: np.ndarray | None = None, new: np.ndarray | None = None) -> np.ndarray:
+def log_probabilities(w: dict[str, np.ndarray], cls: np.ndarray, share: np.ndarray, per_text: np.ndarray, shares: np.ndarray | None = None, new: np.ndarray | None = None, chances: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each text.
 
     With shares (what spelling says of each id, what it leaves) and new (classes of ids that start words), inside words
     both are added; a word's first id has the mixed chance of a next word times its chance among such ids.
+    chances, if given, takes what the attention's part of each mixture is.
     """
     model = Scorer(w)
     x, targets, text, _ = windows(cls, per_text)
@@ -466,7 +478,9 @@ def log_probabilities(w: dict[str, np.ndarray], cls: np.ndarray, share: np.ndarr
             starts = (logits[rows] @ new) / (logits[rows] @ _ONES[: CLASSES - 1])
             first = new[cls[at]] > 0
             chance = np.where(first, starts, np.exp(lp))
-            mixed = np.log(np.maximum(said + left * chance, 1e-35))
+            if chances is not None:
+                chances[at] = chance
+            mixed = np.log(np.maximum(said + left * chance, LEAST))
             lp = np.where(first, lp - np.log(np.maximum(starts, 1e-35)) + mixed, mixed)
         total += np.bincount(np.repeat(text[i : i + 64], BLOCK)[rows], lp.astype(np.float64), len(per_text))
     return total
@@ -537,12 +551,30 @@ def largest(table_: DataFrame, n: str, bound: int, size: str = "1") -> DataFrame
     return table_.where(step >= floor) if floor is not None else table_.limit(0)
 
 
-def spelling(events: DataFrame, scratch: Scratch) -> Spelling:
-    """From (item: beginning, part: follower, n), for the most frequent beginnings with no more than FOLLOWERS followers in all."""
-    begins = events.groupBy("item").agg(F.sum("n").alias("all"), F.count("*").alias("followers"))
-    kept = largest(scratch.save(begins, "begins"), "all", FOLLOWERS, "followers").select("item")
+def spelling_parts(events: DataFrame, scratch: Scratch) -> tuple[Spelling, DataFrame | None]:
+    """From (item: beginning, part: follower, n): that of the most frequent beginnings with no more than FOLLOWERS followers in all, and (item, left, total) of all other beginnings, if there are any."""
+    begins = scratch.save(events.groupBy("item").agg(F.sum("n").alias("all"), F.count("*").alias("followers")), "begins")
+    kept = largest(begins, "all", FOLLOWERS, "followers").select("item")
     found = events.join(kept, "item", "left_semi").select("item", "part", "n").toArrow()  # FOLLOWERS rows at most
-    return Spelling.of(*(found[x].to_numpy() for x in ("item", "part", "n")))
+    spelled = Spelling.of(*(found[x].to_numpy() for x in ("item", "part", "n")))
+    if begins.count() == len(spelled.begin):
+        return spelled, None
+    total = F.col("all") + F.col("followers")
+    return spelled, begins.join(F.broadcast(kept), "item", "left_anti").select("item", (F.col("followers") / total).alias("left"), total.alias("total"))  # kept: FOLLOWERS rows at most
+
+
+def spelling(events: DataFrame, scratch: Scratch) -> Spelling:
+    """The part of spelling_parts() that is broadcast."""
+    return spelling_parts(events, scratch)[0]
+
+
+def spelled_by_join(scored: DataFrame, rare: DataFrame, events: DataFrame) -> DataFrame:
+    """(k1, k2, spelled): what the counts of rare beginnings add to the log10 scores of texts, for their open ids (item: beginning, part: follower, chance by the attention)."""
+    ids = scored.select("k1", "k2", F.explode("open").alias("o")).select("k1", "k2", "o.item", "o.part", F.col("o.chance").cast("double").alias("chance"))
+    said = F.coalesce(F.col("n"), F.lit(0)) / F.col("total")
+    known = ids.join(rare, "item").join(events, ["item", "part"], "left")
+    gain = F.log10(F.greatest(said + F.col("left") * F.col("chance"), F.lit(LEAST))) - F.log10(F.greatest("chance", F.lit(LEAST)))
+    return known.groupBy("k1", "k2").agg(F.sum(gain).alias("spelled"))
 
 
 def train_attention(train: DataFrame, cls: np.ndarray, ids: np.ndarray, tokenizer: str, scratch: Scratch) -> np.ndarray:
@@ -610,7 +642,8 @@ def score_texts(docs: DataFrame, train: DataFrame, *, tokenizer: str = TOKENIZER
     n, types = facts["n"] + ends, facts["types"] + (1 if ends else 0)
     starts_word = word_starts(tokenizer)
     cls, log_share = class_map(ids, starts_word)
-    spelled = spelling(events, scratch)
+    spelled, rare_begins = spelling_parts(events, scratch)
+    whole = rare_begins is None
     weights = train_attention(train, cls, ids, tokenizer, scratch)
     scratch.release()
 
@@ -628,8 +661,9 @@ def score_texts(docs: DataFrame, train: DataFrame, *, tokenizer: str = TOKENIZER
         w, sub = unpack(flat), Subwords(tokenizer, spelled)
         for b in batches:
             for lo, hi, texts in chunks(b):
-                own, per_text, words_, shares = sub.spelled(texts)
-                lp = log_probabilities(w, cls[own], log_share[own], per_text, shares, new) / np.log(10)
+                own, per_text, words_, shares, open_, begins = sub.opened(texts)
+                chances = None if whole else np.zeros(len(own), np.float32)
+                lp = log_probabilities(w, cls[own], log_share[own], per_text, shares, new, chances) / np.log(10)
                 h, doc = words_.hash.view(np.int64), words_.doc()
                 at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
                 hit = common[at] == h if len(common) else np.zeros(len(h), bool)
@@ -637,17 +671,26 @@ def score_texts(docs: DataFrame, train: DataFrame, *, tokenizer: str = TOKENIZER
                 logsum = np.bincount(doc[hit], logs[at[hit]], len(texts))
                 rest, cut = h[~hit], np.searchsorted(doc[~hit], np.arange(len(texts) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(rest))
+                # ids whose beginning is not broadcast: its counts, if any, are joined
+                if whole:
+                    open_, begins, chances = open_[:0], begins[:0], np.zeros(len(own), np.float32)
+                follower = np.where(starts_word[own[open_]], NEXT_WORD, own[open_])
+                spelt = pa.StructArray.from_arrays([pa.array(begins.view(np.int64)), pa.array(follower.astype(np.int32)), pa.array(chances[open_])], names=["item", "part", "chance"])
+                opens = pa.ListArray.from_arrays(pa.array(np.searchsorted(open_, np.concatenate([[0], np.cumsum(per_text)])).astype(np.int32)), spelt)
                 cols = [c.slice(lo, hi - lo) for c in b.columns[:2]]
-                yield pa.record_batch([*cols, pa.array(np.diff(words_.bounds).astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(logsum.astype(np.float64)), pa.array(lp), lists], names=["k1", "k2", "n_tokens", "known", "logsum", "score", "rest"])
+                yield pa.record_batch([*cols, pa.array(np.diff(words_.bounds).astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(logsum.astype(np.float64)), pa.array(lp), lists, opens], names=["k1", "k2", "n_tokens", "known", "logsum", "score", "rest", "open"])
 
-    scored = keyed.select("_k1", "_k2", "text").mapInArrow(work, "k1 long, k2 int, n_tokens long, known long, logsum double, score double, rest array<long>")
+    scored = keyed.select("_k1", "_k2", "text").mapInArrow(work, "k1 long, k2 int, n_tokens long, known long, logsum double, score double, rest array<long>, open array<struct<item: long, part: int, chance: float>>")
     scored = scratch.save(scored.dropDuplicates(["k1", "k2"]), "scored")
     # counts of the rarer words
     rest = scored.select("k1", "k2", F.explode("rest").alias("item")).groupBy("k1", "k2", "item").agg(F.count("*").alias("times"))
     rare = rest.join(words, "item").groupBy("k1", "k2").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"))
     end_log = float(np.log10(ends + 1))
     total = float(np.log10(n + types + 1))
-    out = scored.drop("rest").join(rare, ["k1", "k2"], "left")
+    out = scored.drop("rest", "open").join(rare, ["k1", "k2"], "left")
+    if not whole:
+        more = spelled_by_join(scored, rare_begins, events)
+        out = out.join(more, ["k1", "k2"], "left").withColumn("score", F.col("score") + F.coalesce("spelled", F.lit(0.0)))
     base_ = F.col("logsum") + F.coalesce("more_log", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(total)
     out = out.select("k1", "k2", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"), base_.alias("base_score"), "score")
     joined = keyed.join(out, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))

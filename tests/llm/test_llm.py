@@ -743,3 +743,16 @@ def test_spelling_counts_match_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(lm, "FOLLOWERS", len(whole.key) // 2)
     assert 0 < len(lm.spelling(lm._counts(train, lm.TOKENIZER, scratch)[2], scratch).key) <= len(whole.key) // 2
     scratch.release()
+
+
+@pytest.mark.skipif(not os.path.exists(language_model.TOKENIZER), reason="no tokenizer")
+def test_beginnings_beyond_the_broadcast_count_as_much(spark, monkeypatch):
+    """Scores do not depend on how many followers of beginnings are broadcast."""
+    lm = language_model
+    train = spark.createDataFrame(list(enumerate(_made_up_texts(200, 1))), "doc_id long, text string")
+    texts = spark.createDataFrame(list(enumerate([*_made_up_texts(20, 2), "", None, "unseen wörds"])), "doc_id long, text string")
+    whole = {r["doc_id"]: r["score"] for r in lm.score_texts(texts, train).collect()}
+    for bound in (0, 500):
+        monkeypatch.setattr(lm, "FOLLOWERS", bound)
+        got = {r["doc_id"]: r["score"] for r in lm.score_texts(texts, train).collect()}
+        assert got == pytest.approx(whole, rel=1e-5)
