@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyward.operators import credit
 from tallyward.plans.registry import query
-from tallyward.session import table
+from tallyward.session import spread, table
 
 _S = "with s as (select d.doc_id, d.source, least(1, d.n_chars / 8000) as p, coalesce(l.toxic, 0) as y from documents d join labels l using (doc_id)) "
 
@@ -135,7 +135,7 @@ def ml_15_trees(spark, sf_dir):
     from tallyward.operators.attribution import tree_attributions
 
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 40).cast("double").alias("shelf"), "p_retailprice")
-    d = VectorAssembler(inputCols=["size", "shelf"], outputCol="_f").transform(part)
+    d = VectorAssembler(inputCols=["size", "shelf"], outputCol="_f").transform(spread(part, "p_partkey"))
     model = GBTRegressor(featuresCol="_f", labelCol="p_retailprice", predictionCol="margin", maxIter=5, maxDepth=3, seed=1).fit(d)
     out = tree_attributions(model.transform(d), model, ["size", "shelf"])
     total = F.aggregate("attributions.by_feature", F.col("attributions.base"), lambda a, x: a + x["attribution"])

@@ -55,6 +55,18 @@ def test_finding_ids_beyond_four_digits_are_those_of_sql(spark, duck, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_boosted_trees_are_fitted_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+
+    from tallyward import session
+
+    sizes, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(session, "TASK_ROWS", 10, raising=False)
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, d: sizes.extend(d.rdd.glom().map(len).collect()) or fit(self, d))
+    n = catalog.queries()["ml_15_tree_attributions"](spark, SF).count()
+    assert sum(sizes) == n and max(sizes) <= 40
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
