@@ -756,3 +756,17 @@ def test_beginnings_beyond_the_broadcast_count_as_much(spark, monkeypatch):
         monkeypatch.setattr(lm, "FOLLOWERS", bound)
         got = {r["doc_id"]: r["score"] for r in lm.score_texts(texts, train).collect()}
         assert got == pytest.approx(whole, rel=1e-5)
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Rounds end when all edges are those of stars; no round follows to see that nothing changes."""
+    saved, save = [], common.Scratch.save
+    monkeypatch.setattr(common.Scratch, "save", lambda self, df, name: saved.append(name) or save(self, df, name))
+    scratch = common.Scratch(spark, "stars")
+    for edges, rounds in (([(2, 1), (1, 3), (7, 5), (5, 5)], 0), ([(4, 3), (3, 2), (2, 1), (9, 8)], None), ([], 0)):
+        saved.clear()
+        got = dict(map(tuple, common.connected_components(spark.createDataFrame(edges, "u long, v long"), scratch).collect()))
+        want = {2: 1, 1: 1, 3: 1, 7: 5, 5: 5} if rounds == 0 and edges else {4: 1, 3: 1, 2: 1, 1: 1, 9: 8, 8: 8} if edges else {}
+        assert got == want
+        if rounds is not None:
+            assert saved.count("large") == rounds
