@@ -4,8 +4,8 @@ Words become subword ids of a public byte-level tokenizer, and ids become classe
 one each, the others share classes of about equal weight; ids that begin a word and ids inside words never
 share a class. One attention layer predicts the class of the next id from the ids before it; the share of
 an id in its class follows corpus counts. Inside a word, the prediction is mixed with counts of what
-followed the same beginning of a word (another id, or the next word), the more of it the surer they are (those
-of frequent beginnings are broadcast, the others joined);
+followed the same beginning of a word (another id, or the next word), the more of it the surer they are (the most
+frequent counts are broadcast, the others joined);
 which word comes next is the attention's alone. So the model is a proper distribution over sequences of ids
 and one end, and scores whole texts. Texts are scored
 in overlapping windows of two blocks: each window scores its second block, with the first as context,
@@ -30,7 +30,8 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyward.llm.common import Scratch, Words, chunks, ragged, table
@@ -45,9 +46,11 @@ CLASSES, SINGLE, BLOCK, WIDTH = 128, 111, 16, 16
 WARM_DOCS = 1500
 #: Words whose counts are broadcast; the counts of all others are joined.
 COMMON = 1 << 18
-#: What may follow beginnings of words, as broadcast; beyond it, those of the rarest beginnings are joined.
+#: Beginnings of words with what follows, as broadcast; beyond it, the rarest are joined.
 FOLLOWERS = 1 << 19
 NEXT_WORD = VOCABULARY
+#: In place of a follower: rows of texts and of words.
+TEXT, WORD = -2, -1
 #: The least chance of an id.
 LEAST = 1e-35
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -62,29 +65,44 @@ def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Spelling:
-    """Shares of what follows the beginnings of words: own is what counts say of a follower, rest what they leave to the attention."""
+    """Shares of what follows the beginnings of words: own is what counts say of a follower, left what they leave to the attention.
 
-    def __init__(self, key: np.ndarray, own: np.ndarray, begin: np.ndarray, rest: np.ndarray):
+    begin and rest: beginnings with all their followers here, and what they leave; a follower that is not here then has no count.
+    """
+
+    def __init__(self, key: np.ndarray, own: np.ndarray, left: np.ndarray, begin: np.ndarray, rest: np.ndarray):
         by, by2 = np.argsort(key), np.argsort(begin)
-        self.key, self.own, self.begin, self.rest = key[by], own[by], begin[by2], rest[by2]
+        self.key, self.shares = key[by], np.stack([own, left], 1).astype(np.float32)[by]
+        self.begin, self.rest = begin[by2], rest[by2].astype(np.float32)
 
     @staticmethod
-    def of(begin: np.ndarray, follower: np.ndarray, n: np.ndarray) -> Spelling:
-        """From counts: a beginning seen c times with t followers leaves t of c + t."""
+    def of(begin: np.ndarray, follower: np.ndarray, n: np.ndarray, c: np.ndarray | None = None, t: np.ndarray | None = None) -> Spelling:
+        """From counts: a beginning seen c times with t followers leaves t of c + t (c and t of each row; where not given, all followers are here)."""
         begin = begin.astype(np.int64).view(np.uint64)
-        u, back = np.unique(begin, return_inverse=True)
-        c, t = np.bincount(back, n, len(u)), np.bincount(back, minlength=len(u))
-        return Spelling(_mix(begin, follower), (n / (c + t)[back]).astype(np.float32), u, (t / (c + t)).astype(np.float32))
+        u, first, back = np.unique(begin, return_index=True, return_inverse=True)
+        here = np.bincount(back, minlength=len(u))
+        if c is None:
+            c, t = np.bincount(back, n, len(u))[back], here[back]
+        left = t / (c + t)
+        whole = here == t[first]
+        return Spelling(_mix(begin, follower), n / (c + t), left, u[whole], left[first][whole])
 
     @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
+    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of wanted are among keys, and where."""
         if not len(keys):
-            return np.full(len(wanted), missing, np.float32)
+            return np.zeros(len(wanted), bool), np.zeros(0, np.int64)
         i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[i] == wanted, values[i], np.float32(missing))
+        hit = keys[i] == wanted
+        return hit, i[hit]
 
     def __call__(self, begin: np.ndarray, follower: np.ndarray) -> np.ndarray:
-        return np.stack([self._find(self.key, self.own, _mix(begin, follower), 0), self._find(self.begin, self.rest, begin, 1)], 1)
+        out = np.tile(np.float32([0, 1]), (len(begin), 1))
+        hit, at = self._find(self.begin, begin)
+        out[hit, 1] = self.rest[at]
+        hit, at = self._find(self.key, _mix(begin, follower))
+        out[hit] = self.shares[at]
+        return out
 
 
 def word_starts(path: str) -> np.ndarray:
@@ -173,7 +191,7 @@ class Subwords:
         return self.opened(texts)[:4]
 
     def opened(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]:
-        """As spelled(), with places and beginnings of the ids whose beginning the spelling does not know."""
+        """As spelled(), with places and beginnings of the ids of which the spelling knows nothing."""
         return self._flat(texts, *self._words(texts))
 
     def _flat(self, texts: list[bytes], w: Words, at: np.ndarray, back: np.ndarray, times: np.ndarray) -> tuple:
@@ -200,7 +218,7 @@ class Subwords:
         begins = np.zeros(len(out), np.uint64)
         begins[inner] = self.begins[where][pick]
         begins[heads + lens] = self.whole[at][back]
-        open_ = np.flatnonzero(shares[:, 1] == 1)  # a known beginning leaves less than all
+        open_ = np.flatnonzero(shares[:, 1] == 1)  # what is known leaves less than all
         return out, per_text, w, shares, open_, begins[open_]
 
 
@@ -489,8 +507,12 @@ def log_probabilities(w: dict[str, np.ndarray], cls: np.ndarray, share: np.ndarr
 # --- on Spark ------------------------------------------------------------------------------------------
 
 
-def _counts(train: DataFrame, tokenizer: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts of word hashes, of subword ids (END is the number of texts), and of what follows beginnings of words, over all training texts."""
+def _counts(train: DataFrame, tokenizer: str, scratch: Scratch, unseen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts of word hashes, of subword ids (END is the number of texts), and of what follows beginnings of words, over all training texts.
+
+    The last come with the times a beginning was seen (all) and how many followers it has; with n = 0 they hold what
+    only the texts of unseen have after such a beginning.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub, ids = subwords(tokenizer), np.zeros(VOCABULARY, np.int64)
@@ -513,12 +535,18 @@ def _counts(train: DataFrame, tokenizer: str, scratch: Scratch) -> tuple[DataFra
             words.clear()
             follow.clear()
 
+        def texts_of(b: pa.RecordBatch) -> Iterator[tuple[bool, list[bytes]]]:
+            for learn in (True, False):
+                for _, _, texts in chunks(b.filter(pc.equal(b.column(1), learn))):
+                    yield learn, texts
+
         for b in batches:
-            for _, _, texts in chunks(b):
+            for learn, texts in texts_of(b):
                 own, _, w, events = sub.followers(texts)
-                ids += np.bincount(own, minlength=VOCABULARY)
-                words.append(np.unique(w.hash, return_counts=True))
-                follow.append(events)
+                if learn:
+                    ids += np.bincount(own, minlength=VOCABULARY)
+                words.append(np.unique(w.hash if learn else w.hash[:0], return_counts=True))
+                follow.append(events if learn else (*events[:2], np.zeros(len(events[0]), np.int64)))
                 held += len(words[-1][0]) + len(events[0])
                 if held > 4_000_000:  # bounded: send the sums so far if merging does not shrink them
                     merge()
@@ -532,49 +560,47 @@ def _counts(train: DataFrame, tokenizer: str, scratch: Scratch) -> tuple[DataFra
         seen = np.flatnonzero(ids)
         yield rows(1, seen, np.zeros(len(seen)), ids[seen])
 
-    sums = train.select("text").mapInArrow(work, "kind tinyint, item long, part int, n long").groupBy("kind", "item", "part").agg(F.sum("n").alias("n"))
+    texts = train.select("text", F.lit(True).alias("learn"))
+    if unseen is not None:
+        texts = texts.unionByName(unseen.select("text", F.lit(False).alias("learn")))
+    # dealt by item once, for the sums and for the totals of an item
+    found = texts.mapInArrow(work, "kind tinyint, item long, part int, n long").repartition("item")
+    sums = found.groupBy("kind", "item", "part").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("kind", "item")
+    sums = sums.select("*", F.sum("n").over(own).alias("all"), F.count_if(F.col("n") > 0).over(own).alias("followers")).where(F.col("all") > 0)
     sums = scratch.save(sums, "counts")
-    of = lambda kind, *names: sums.where(F.col("kind") == kind).select(*names, "n")
-    return of(0, "item"), of(1, "item"), of(2, "item", "part")
+    of = lambda kind, *names: sums.where(F.col("kind") == kind).select(*names)
+    return of(0, "item", "n"), of(1, "item", "n"), of(2, "item", "part", "n", "all", "followers")
 
 
-def largest(table_: DataFrame, n: str, bound: int, size: str = "1") -> DataFrame:
-    """Rows of the largest n, down to a floor on n chosen so that their sizes sum to no more than bound: nothing is sorted."""
+def frequent(table_: DataFrame, n: str, bound: int, size: str = "1") -> Column:
+    """Whether a row has one of the largest n, down to a floor on n chosen so that the sizes of such rows sum to no more than bound: nothing is sorted."""
     step = F.floor(F.log2(F.col(n)) * 8)
-    steps = table_.groupBy(step.alias("step")).agg(F.sum(F.expr(size)).alias("size")).orderBy(F.desc("step")).collect()  # a few hundred rows at most
+    steps = table_.where(F.col(n) > 0).groupBy(step.alias("step")).agg(F.sum(F.expr(size)).alias("size")).orderBy(F.desc("step")).collect()  # a few hundred rows at most
     floor, total = None, 0
     for r in steps:
         total += r["size"]
         if total > bound:
             break
         floor = r["step"]
-    return table_.where(step >= floor) if floor is not None else table_.limit(0)
+    return F.coalesce(step >= floor, F.lit(False)) if floor is not None else F.lit(False)
+
+
+def largest(table_: DataFrame, n: str, bound: int, size: str = "1") -> DataFrame:
+    """Rows of the largest n, as frequent() has them."""
+    return table_.where(frequent(table_, n, bound, size))
 
 
-def spelling_parts(events: DataFrame, scratch: Scratch) -> tuple[Spelling, DataFrame | None]:
-    """From (item: beginning, part: follower, n): that of the most frequent beginnings with no more than FOLLOWERS followers in all, and (item, left, total) of all other beginnings, if there are any."""
-    begins = scratch.save(events.groupBy("item").agg(F.sum("n").alias("all"), F.count("*").alias("followers")), "begins")
-    kept = largest(begins, "all", FOLLOWERS, "followers").select("item")
-    found = events.join(kept, "item", "left_semi").select("item", "part", "n").toArrow()  # FOLLOWERS rows at most
-    spelled = Spelling.of(*(found[x].to_numpy() for x in ("item", "part", "n")))
-    if begins.count() == len(spelled.begin):
-        return spelled, None
-    total = F.col("all") + F.col("followers")
-    return spelled, begins.join(F.broadcast(kept), "item", "left_anti").select("item", (F.col("followers") / total).alias("left"), total.alias("total"))  # kept: FOLLOWERS rows at most
+def spelling_parts(events: DataFrame) -> tuple[Spelling, DataFrame]:
+    """From (item: beginning, part: follower, n, all, followers): the most frequent, FOLLOWERS at most, and the rows of all others."""
+    top = frequent(events, "n", FOLLOWERS)
+    found = events.where(top).toArrow()  # FOLLOWERS rows at most
+    return Spelling.of(*(found[x].to_numpy() for x in ("item", "part", "n", "all", "followers"))), events.where(~top)
 
 
 def spelling(events: DataFrame, scratch: Scratch) -> Spelling:
     """The part of spelling_parts() that is broadcast."""
-    return spelling_parts(events, scratch)[0]
-
-
-def spelled_by_join(scored: DataFrame, rare: DataFrame, events: DataFrame) -> DataFrame:
-    """(k1, k2, spelled): what the counts of rare beginnings add to the log10 scores of texts, for their open ids (item: beginning, part: follower, chance by the attention)."""
-    ids = scored.select("k1", "k2", F.explode("open").alias("o")).select("k1", "k2", "o.item", "o.part", F.col("o.chance").cast("double").alias("chance"))
-    said = F.coalesce(F.col("n"), F.lit(0)) / F.col("total")
-    known = ids.join(rare, "item").join(events, ["item", "part"], "left")
-    gain = F.log10(F.greatest(said + F.col("left") * F.col("chance"), F.lit(LEAST))) - F.log10(F.greatest("chance", F.lit(LEAST)))
-    return known.groupBy("k1", "k2").agg(F.sum(gain).alias("spelled"))
+    return spelling_parts(events)[0]
 
 
 def train_attention(train: DataFrame, cls: np.ndarray, ids: np.ndarray, tokenizer: str, scratch: Scratch) -> np.ndarray:
@@ -625,15 +651,15 @@ def train_attention(train: DataFrame, cls: np.ndarray, ids: np.ndarray, tokenize
     return out
 
 
-def score_texts(docs: DataFrame, train: DataFrame, *, tokenizer: str = TOKENIZER, scratch: Scratch | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, train: DataFrame, *, unseen: DataFrame | None = None, tokenizer: str = TOKENIZER, scratch: Scratch | None = None) -> DataFrame:
     """docs (doc_id, text, other columns of any name) with n_tokens, n_known, train_tokens, base_score, score.
 
-    Columns of docs that have one of these five names give way to them.
+    Columns of docs that have one of these five names give way to them. unseen: the rows of docs that are not in train, if known.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "language-model")
     train = train.select("doc_id", "text")
-    words, subs, events = _counts(train, tokenizer, scratch)
+    words, subs, events = _counts(train, tokenizer, scratch, docs if unseen is None else unseen)
     s = subs.toPandas()  # one row per subword id at most
     ids = np.zeros(VOCABULARY)
     ids[s.item] = s.n
@@ -642,12 +668,12 @@ def score_texts(docs: DataFrame, train: DataFrame, *, tokenizer: str = TOKENIZER
     n, types = facts["n"] + ends, facts["types"] + (1 if ends else 0)
     starts_word = word_starts(tokenizer)
     cls, log_share = class_map(ids, starts_word)
-    spelled, rare_begins = spelling_parts(events, scratch)
-    whole = rare_begins is None
+    spelled, rare_events = spelling_parts(events)
     weights = train_attention(train, cls, ids, tokenizer, scratch)
     scratch.release()
 
-    top = largest(words, "n", COMMON).toArrow().sort_by("item")
+    is_common = frequent(words, "n", COMMON)
+    top = words.where(is_common).toArrow().sort_by("item")
     new = np.zeros(CLASSES - 1, np.float32)
     new[cls[starts_word]] = 1
     shared = spark.sparkContext.broadcast((top["item"].to_numpy(), np.log10(top["n"].to_numpy() + 1.0), cls, log_share, weights, spelled, new))
@@ -659,40 +685,56 @@ def score_texts(docs: DataFrame, train: DataFrame, *, tokenizer: str = TOKENIZER
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, logs, cls, log_share, flat, spelled, new = shared.value
         w, sub = unpack(flat), Subwords(tokenizer, spelled)
+
+        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
         for b in batches:
             for lo, hi, texts in chunks(b):
                 own, per_text, words_, shares, open_, begins = sub.opened(texts)
-                chances = None if whole else np.zeros(len(own), np.float32)
+                chances = np.zeros(len(own), np.float32)
                 lp = log_probabilities(w, cls[own], log_share[own], per_text, shares, new, chances) / np.log(10)
                 h, doc = words_.hash.view(np.int64), words_.doc()
                 at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
                 hit = common[at] == h if len(common) else np.zeros(len(h), bool)
                 known = np.bincount(doc[hit], minlength=len(texts))
                 logsum = np.bincount(doc[hit], logs[at[hit]], len(texts))
-                rest, cut = h[~hit], np.searchsorted(doc[~hit], np.arange(len(texts) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(rest))
-                # ids whose beginning is not broadcast: its counts, if any, are joined
-                if whole:
-                    open_, begins, chances = open_[:0], begins[:0], np.zeros(len(own), np.float32)
+                r, k1, k2 = (c.slice(lo, hi - lo) for c in b.columns[:3])
+                yield rows(
+                    len(texts), r=r, item=k1, part=pa.array(np.full(len(texts), TEXT, np.int32)), k1=k1, k2=k2, n_tokens=pa.array(np.diff(words_.bounds).astype(np.int64) + 1),
+                    known=pa.array(known.astype(np.int64)), logsum=pa.array(logsum.astype(np.float64)), score=pa.array(lp),
+                )
+                # words and spellings that are not broadcast: their counts, if any, are joined
+                rare = np.flatnonzero(~hit)
                 follower = np.where(starts_word[own[open_]], NEXT_WORD, own[open_])
-                spelt = pa.StructArray.from_arrays([pa.array(begins.view(np.int64)), pa.array(follower.astype(np.int32)), pa.array(chances[open_])], names=["item", "part", "chance"])
-                opens = pa.ListArray.from_arrays(pa.array(np.searchsorted(open_, np.concatenate([[0], np.cumsum(per_text)])).astype(np.int32)), spelt)
-                cols = [c.slice(lo, hi - lo) for c in b.columns[:2]]
-                yield pa.record_batch([*cols, pa.array(np.diff(words_.bounds).astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(logsum.astype(np.float64)), pa.array(lp), lists, opens], names=["k1", "k2", "n_tokens", "known", "logsum", "score", "rest", "open"])
-
-    scored = keyed.select("_k1", "_k2", "text").mapInArrow(work, "k1 long, k2 int, n_tokens long, known long, logsum double, score double, rest array<long>, open array<struct<item: long, part: int, chance: float>>")
-    scored = scratch.save(scored.dropDuplicates(["k1", "k2"]), "scored")
-    # counts of the rarer words
-    rest = scored.select("k1", "k2", F.explode("rest").alias("item")).groupBy("k1", "k2", "item").agg(F.count("*").alias("times"))
-    rare = rest.join(words, "item").groupBy("k1", "k2").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_log"))
+                of = np.concatenate([doc[rare], np.searchsorted(np.cumsum(per_text), open_, side="right")])
+                yield rows(
+                    len(of), r=r.take(pa.array(of)), item=pa.array(np.concatenate([h[rare], begins.view(np.int64)])),
+                    part=pa.array(np.concatenate([np.full(len(rare), WORD), follower]).astype(np.int32)), chance=pa.array(np.concatenate([np.zeros(len(rare), np.float32), chances[open_]])),
+                )
+
+    # a row for each text and for each word or spelling to look up: they are dealt by what they look up once, and only sums by text are kept
+    names = {"r": pa.int64(), "item": pa.int64(), "part": pa.int32(), "chance": pa.float32(), "k1": pa.int64(), "k2": pa.int32(), "n_tokens": pa.int64(), "known": pa.int64(), "logsum": pa.float64(), "score": pa.float64()}
+    schema = pa.schema(names.items())
+    asked = keyed.select(F.monotonically_increasing_id().alias("r"), "_k1", "_k2", "text")
+    asked = asked.mapInArrow(work, "r long, item long, part int, chance float, k1 long, k2 int, n_tokens long, known long, logsum double, score double")
+    seen = F.col("all") + F.col("followers")
+    rare = rare_events.select("item", "part", "n", (F.col("n") / seen).alias("said"), (F.col("followers") / seen).alias("left"))
+    rare = rare.unionByName(words.where(~is_common).select("item", F.lit(WORD).alias("part"), "n"), allowMissingColumns=True)
+    # n_known and base score: of the rarer words; score: what counts add to the attention's part
+    chance = F.col("chance").cast("double")
+    gain = F.log10(F.greatest(F.col("said") + F.col("left") * chance, F.lit(LEAST))) - F.log10(F.greatest(chance, F.lit(LEAST)))
+    is_word = F.col("part") == WORD
+    firsts = [F.max(c).alias(c) for c in ("k1", "k2", "n_tokens", "known", "logsum", "score")]
+    scored = asked.join(rare, ["item", "part"], "left").groupBy("r").agg(
+        *firsts, F.count(F.when(is_word, F.col("n"))).alias("more"), F.sum(F.when(is_word, F.log10(F.col("n") + 1))).alias("more_log"), F.sum(F.when(~is_word & F.col("n").isNotNull(), gain)).alias("spelled")
+    )
+    out = scratch.save(scored, "scored").dropDuplicates(["k1", "k2"])
+    scratch.release()
     end_log = float(np.log10(ends + 1))
     total = float(np.log10(n + types + 1))
-    out = scored.drop("rest", "open").join(rare, ["k1", "k2"], "left")
-    if not whole:
-        more = spelled_by_join(scored, rare_begins, events)
-        out = out.join(more, ["k1", "k2"], "left").withColumn("score", F.col("score") + F.coalesce("spelled", F.lit(0.0)))
     base_ = F.col("logsum") + F.coalesce("more_log", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(total)
-    out = out.select("k1", "k2", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"), base_.alias("base_score"), "score")
+    out = out.select("k1", "k2", "n_tokens", (F.col("known") + F.col("more") + F.lit(1 if ends else 0)).alias("n_known"), base_.alias("base_score"), (F.col("score") + F.coalesce("spelled", F.lit(0.0))).alias("score"))
     joined = keyed.join(out, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
     return joined.select(*[F.col("row").getField(c).alias(c) for c in kept], "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -700,7 +742,8 @@ def score_texts(docs: DataFrame, train: DataFrame, *, tokenizer: str = TOKENIZER
 def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
-    out = score_texts(docs, docs.where(fold(F.col("doc_id"), 7) != 2))
+    learnt = F.coalesce(fold(F.col("doc_id"), 7) != 2, F.lit(False))
+    out = score_texts(docs, docs.where(learnt), unseen=docs.where(~learnt))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

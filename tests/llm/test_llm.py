@@ -758,6 +758,37 @@ def test_beginnings_beyond_the_broadcast_count_as_much(spark, monkeypatch):
         assert got == pytest.approx(whole, rel=1e-5)
 
 
+@pytest.mark.skipif(not os.path.exists(language_model.TOKENIZER), reason="no tokenizer")
+def test_joined_counts_travel_once_and_leave_unknown_beginnings_alone(spark, monkeypatch):
+    """The most frequent counts are broadcast, the tables written stay small, and scores agree with the shares of all counts."""
+    lm, kept, save = language_model, {}, common.Scratch.save
+    monkeypatch.setattr(common.Scratch, "save", lambda self, df, name: [out := save(self, df, name), kept.setdefault(name, out)][0])
+    train = spark.createDataFrame(list(enumerate(_made_up_texts(200, 1))), "doc_id long, text string")
+    unseen = [*_made_up_texts(20, 2), "unseen wörds of whatever kind", "zzqx " * 50, "Baldinbalx dinfurb"]
+    texts = spark.createDataFrame(list(enumerate(unseen)), "doc_id long, text string")
+    monkeypatch.setattr(lm, "FOLLOWERS", 500)
+    sent, fit = {}, lm.train_attention
+    monkeypatch.setattr(lm, "train_attention", lambda *a: sent.setdefault("w", (a[1], a[2], fit(*a)))[2])
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(texts, train).collect()}
+    # the whole table of counts on one side
+    scratch = common.Scratch(spark, "brute")
+    events = lm._counts(train, lm.TOKENIZER, scratch)[2].toPandas()
+    whole = lm.Subwords(lm.TOKENIZER, lm.Spelling.of(*(events[x].to_numpy() for x in ("item", "part", "n"))))
+    own, per, _, shares = whole.spelled([x.encode() for x in unseen])
+    cls, ids, flat = sent["w"]
+    first = lm.word_starts(lm.TOKENIZER)
+    new = np.zeros(lm.CLASSES - 1, np.float32)
+    new[cls[first]] = 1
+    want = lm.log_probabilities(lm.unpack(flat), cls[own], lm.class_map(ids, first)[1][own], per, shares, new) / np.log(10)
+    assert [got[i] for i in range(len(unseen))] == pytest.approx(want.tolist(), rel=1e-4)
+    # no pair that is broadcast is rarer than one that is joined
+    spelled, rare = lm.spelling_parts(kept["counts"].where("kind = 2").drop("kind"))
+    n = sorted(events.n)
+    assert 0 < len(spelled.key) <= 500 and rare.agg(F.max("n")).first()[0] <= n[-len(spelled.key)]
+    # one row of numbers a text, whatever is joined
+    assert kept["scored"].count() == len(unseen) and not [t for _, t in kept["scored"].dtypes if t.startswith("array")]
+
+
 def test_components_of_stars_take_no_round(spark, monkeypatch):
     """Rounds end when all edges are those of stars; no round follows to see that nothing changes."""
     saved, save = [], common.Scratch.save
