@@ -24,7 +24,7 @@ start. Empty tables give no rows.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import Scratch, Words, chunks, ragged, table
+from tallyward.llm.common import CHUNK_BYTES, Scratch, Words, chunks, ragged, table
 from tallyward.llm.quality import fold
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,6 +51,8 @@ FOLLOWERS = 1 << 19
 NEXT_WORD = VOCABULARY
 #: In place of a follower: rows of texts and of words.
 TEXT, WORD = -2, -1
+#: What a task holds of its own: words and ids of the tokenizer's cache; counts before they are summed; rows that it sends at a time.
+KNOWN, POOL, HELD, SENT = 1 << 18, 1 << 20, 2_000_000, 1 << 16
 #: The least chance of an id.
 LEAST = 1e-35
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -114,22 +116,32 @@ def word_starts(path: str) -> np.ndarray:
     return out
 
 
-class Subwords:
-    """Ids of texts, word by word; words met before come from a bounded cache."""
+_encoders: dict[str, Callable[[str], list[int]]] = {}
 
-    def __init__(self, path: str, spelling: Spelling | None = None):
+
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text; a process reads the tokenizer once."""
+    if path not in _encoders:
         import tiktoken
 
-        self.spelling = spelling
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        _encoders[path] = tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return _encoders[path]
+
+
+class Subwords:
+    """Ids of texts, word by word; words met before come from a cache of KNOWN words and POOL ids, as far as the texts of one call fit."""
+
+    def __init__(self, path: str, spelling: Spelling | None = None):
+        self.spelling, self.encode = spelling, encoder(path)
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.spans = np.zeros((0, 2), np.int64)  # of each known word: first place in pool, number of ids
-        self.pool = np.zeros(0, np.int64)
+        self.known = np.zeros(0, np.uint64)  # hashes of known words, in order
+        self.place = np.zeros(0, np.int32)  # of each: which known word it is
+        self.spans = np.zeros((0, 2), np.int32)  # of each known word: first place in pool, number of ids
+        self.pool = np.zeros(0, np.int32)
         self.begins = np.zeros(0, np.uint64)  # the word up to each id of the pool
         self.whole = np.zeros(0, np.uint64)  # each known word
         self.inside, self.after = np.zeros((0, 2), np.float32), np.zeros((0, 2), np.float32)  # shares by spelling: of each id of the pool, of a next word
@@ -138,8 +150,8 @@ class Subwords:
         found = [self.encode(x) for x in new]
         lens = np.fromiter(map(len, found), np.int64, len(found))
         spans = np.stack([len(self.pool) + np.cumsum(lens) - lens, lens], 1)
-        self.spans = np.concatenate([self.spans, spans])
-        ids = np.fromiter(chain.from_iterable(found), np.int64, int(lens.sum()))
+        self.spans = np.concatenate([self.spans, spans.astype(np.int32)])
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(lens.sum()))
         self.pool = np.concatenate([self.pool, ids])
         first, begins, whole = np.cumsum(lens) - lens, np.zeros(len(ids), np.uint64), np.zeros(len(lens), np.uint64)
         left, k = np.arange(len(lens)), 0
@@ -156,20 +168,18 @@ class Subwords:
     def _words(self, texts: list[bytes]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
         """Words of texts, the known words among them, which each word is, and how often each occurs."""
         w = Words(texts)
-        if len(self.known) > 400_000:
+        if len(self.known) > KNOWN or len(self.pool) > POOL:
             self._clear()
         u, first, back, times = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
-        known, new, at = self.known, [], np.zeros(len(u), np.int64)
-        low = w.raw.translate(_LOWER)
-        for i, h in enumerate(u.tolist()):
-            k = known.get(h)
-            if k is None:
-                k = known[h] = len(known)
-                f = first[i]
-                new.append(" " + low[w.start[f] : w.end[f]].decode("utf-8", "replace"))
-            at[i] = k
-        if new:
-            self._learn(new)
+        where, at = np.searchsorted(self.known, u), np.zeros(len(u), np.int64)
+        seen = where < len(self.known)
+        seen[seen] = self.known[where[seen]] == u[seen]
+        at[seen] = self.place[where[seen]]
+        if len(new := np.flatnonzero(~seen)):
+            at[new] = len(self.known) + np.arange(len(new))
+            self.known, self.place = np.insert(self.known, where[new], u[new]), np.insert(self.place, where[new], at[new])
+            low = w.raw.translate(_LOWER)
+            self._learn([" " + low[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist(), strict=True)])
         return w, at, back, times
 
     def followers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -179,7 +189,7 @@ class Subwords:
         where = ragged(self.spans[at, 0], lens)
         begin, n = self.begins[where], np.repeat(times, lens)
         inner = begin != 0
-        events = np.concatenate([begin[inner], self.whole[at]]), np.concatenate([self.pool[where][inner], np.full(len(at), NEXT_WORD)]), np.concatenate([n[inner], times])
+        events = np.concatenate([begin[inner], self.whole[at]]), np.concatenate([self.pool[where][inner], np.full(len(at), NEXT_WORD, np.int32)]), np.concatenate([n[inner], times])
         return *self._flat(texts, *found)[:3], events
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -222,13 +232,32 @@ class Subwords:
         return out, per_text, w, shares, open_, begins[open_]
 
 
-_subwords: dict[str, Subwords] = {}
+def subwords(path: str) -> Subwords:
+    """For one task: its cache goes with it."""
+    return Subwords(path)
 
 
-def subwords(path: str) -> Subwords:
-    if path not in _subwords:
-        _subwords[path] = Subwords(path)
-    return _subwords[path]
+def pieces(batches: Iterator[pa.RecordBatch], steps: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about so many CHUNK_BYTES of text, of one chunk of chunks() each by default, so a task makes objects of a slice's texts only."""
+    size = steps * CHUNK_BYTES
+    for b in batches:
+        lens = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lens + 1)
+        at = 0
+        while at < len(lens):
+            before = ends[at - 1] if at else 0
+            # as chunks(): the last text that still fits counts without its space
+            to = max(at + 1, int(np.searchsorted(ends, before + size + 1, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sum of n of each, and where each stands first."""
+    by = np.argsort(key, kind="stable")
+    own = key[by]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+    return own[first], np.add.reduceat(n[by], first) if len(first) else n[:0], by[first]
 
 
 def class_map(counts: np.ndarray, starts_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +375,8 @@ def _sum_by(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def _shares(s: np.ndarray, total: np.float32 = np.float32(1)) -> np.ndarray:
     """exp of each row over its sum, times total; may use the space of s."""
     top = s.max()
-    raw = np.exp(s - top)  # one shift for all rows
+    s -= top  # one shift for all rows
+    raw = np.exp(s)
     sums = raw @ _ONES[: s.shape[-1]]
     if sums.size and sums.min() < 1e-20:  # rows far below the largest: each by its own
         s -= s.max(-1, keepdims=True)
@@ -478,6 +508,8 @@ def log_probabilities(w: dict[str, np.ndarray], cls: np.ndarray, share: np.ndarr
     model = Scorer(w)
     x, targets, text, _ = windows(cls, per_text)
     total = np.zeros(len(per_text))
+    ones = _ONES[: CLASSES - 1]
+    parts = np.stack([ones, ones if new is None else new], 1)  # all classes, those of ids that start words
     for i in range(0, len(x), 64):
         logits = model(x[i : i + 64])
         t = targets[i : i + 64].ravel()
@@ -490,10 +522,11 @@ def log_probabilities(w: dict[str, np.ndarray], cls: np.ndarray, share: np.ndarr
         logits -= top
         np.exp(logits, out=logits)
         at = t[rows]
-        lp = hit - top - np.log(logits @ _ONES[: CLASSES - 1])[rows] + share[at]
+        whole, begun = (logits @ parts)[rows].T
+        lp = hit - top - np.log(whole) + share[at]
         if shares is not None:
             said, left = shares[at].T
-            starts = (logits[rows] @ new) / (logits[rows] @ _ONES[: CLASSES - 1])
+            starts = begun / whole
             first = new[cls[at]] > 0
             chance = np.where(first, starts, np.exp(lp))
             if chances is not None:
@@ -507,6 +540,57 @@ def log_probabilities(w: dict[str, np.ndarray], cls: np.ndarray, share: np.ndarr
 # --- on Spark ------------------------------------------------------------------------------------------
 
 
+def counted(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    """From (text, learn): rows of (kind, item, part, n), which are words (0), subword ids (1) and followers (2) with counts that are still to be summed."""
+    sub, ids = subwords(tokenizer), np.zeros(VOCABULARY, np.int64)
+    words, follow, held = [], [], 0  # (hash, times) and (beginning, follower, times)
+
+    def rows(kind: int, item: np.ndarray, part: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(item), SENT):
+            x, p, t = item[i : i + SENT], part[i : i + SENT], n[i : i + SENT]
+            yield pa.record_batch([pa.array(np.full(len(x), kind, np.int8)), pa.array(x.astype(np.uint64).view(np.int64)), pa.array(p.astype(np.int32)), pa.array(t.astype(np.int64))], names=["kind", "item", "part", "n"])
+
+    def merge() -> None:
+        h, n = (np.concatenate(x) for x in zip(*words, strict=True))
+        words[:] = [summed(h, n)[:2]]
+        begin, part, n = (np.concatenate(x) for x in zip(*follow, strict=True))
+        follow.clear()  # the sums take its place
+        _, n, at = summed(_mix(begin, part), n)
+        follow.append((begin[at], part[at], n))
+
+    def flush(below: float) -> Iterator[pa.RecordBatch]:
+        """Sends the sums below this, keeps the others."""
+        (h, n), (begin, part, times) = words[0], follow[0]
+        for kind, go, item, of, sums in ((0, n < below, h, np.zeros(len(h), np.int32), n), (2, times < below, begin, part, times)):
+            yield from rows(kind, item[go], of[go], sums[go])
+        words[:], follow[:] = [(h[n >= below], n[n >= below])], [tuple(x[times >= below] for x in follow[0])]
+
+    def texts_of(b: pa.RecordBatch) -> Iterator[tuple[bool, list[bytes]]]:
+        for learn in (True, False):
+            for _, _, texts in chunks(b.filter(pc.equal(b.column(1), learn))):
+                yield learn, texts
+
+    for b in pieces(batches, 8):
+        for learn, texts in texts_of(b):
+            own, _, w, events = sub.followers(texts)
+            if learn:
+                ids += np.bincount(own, minlength=VOCABULARY)
+            words.append(np.unique(w.hash if learn else w.hash[:0], return_counts=True))
+            follow.append(events if learn else (*events[:2], np.zeros(len(events[0]), np.int64)))
+            held += len(words[-1][0]) + len(events[0])
+            if held > HELD:  # bounded: if merging does not shrink the sums, send the ones so far, or all
+                merge()
+                for below in (2, np.inf):
+                    if len(words[0][0]) + len(follow[0][0]) > HELD // 2:
+                        yield from flush(below)
+                held = len(words[0][0]) + len(follow[0][0])
+    if words:
+        merge()
+        yield from flush(np.inf)
+    seen = np.flatnonzero(ids)
+    yield from rows(1, seen, np.zeros(len(seen), np.int32), ids[seen])
+
+
 def _counts(train: DataFrame, tokenizer: str, scratch: Scratch, unseen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts of word hashes, of subword ids (END is the number of texts), and of what follows beginnings of words, over all training texts.
 
@@ -514,57 +598,11 @@ def _counts(train: DataFrame, tokenizer: str, scratch: Scratch, unseen: DataFram
     only the texts of unseen have after such a beginning.
     """
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub, ids = subwords(tokenizer), np.zeros(VOCABULARY, np.int64)
-        words, follow, held = [], [], 0  # (hash, times) and (beginning, follower, times)
-
-        def rows(kind: int, item: np.ndarray, part: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.full(len(item), kind, np.int8)), pa.array(item.astype(np.uint64).view(np.int64)), pa.array(part.astype(np.int32)), pa.array(n.astype(np.int64))], names=["kind", "item", "part", "n"])
-
-        def merge() -> None:
-            h, n = (np.concatenate(x) for x in zip(*words, strict=True))
-            h, back = np.unique(h, return_inverse=True)
-            words[:] = [(h, np.bincount(back, n))]
-            begin, part, n = (np.concatenate(x) for x in zip(*follow, strict=True))
-            _, at, back = np.unique(_mix(begin, part), return_index=True, return_inverse=True)
-            follow[:] = [(begin[at], part[at], np.bincount(back, n))]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            yield rows(0, words[0][0], np.zeros(len(words[0][0])), words[0][1])
-            yield rows(2, *follow[0])
-            words.clear()
-            follow.clear()
-
-        def texts_of(b: pa.RecordBatch) -> Iterator[tuple[bool, list[bytes]]]:
-            for learn in (True, False):
-                for _, _, texts in chunks(b.filter(pc.equal(b.column(1), learn))):
-                    yield learn, texts
-
-        for b in batches:
-            for learn, texts in texts_of(b):
-                own, _, w, events = sub.followers(texts)
-                if learn:
-                    ids += np.bincount(own, minlength=VOCABULARY)
-                words.append(np.unique(w.hash if learn else w.hash[:0], return_counts=True))
-                follow.append(events if learn else (*events[:2], np.zeros(len(events[0]), np.int64)))
-                held += len(words[-1][0]) + len(events[0])
-                if held > 4_000_000:  # bounded: send the sums so far if merging does not shrink them
-                    merge()
-                    held = len(words[0][0]) + len(follow[0][0])
-                    if held > 2_000_000:
-                        yield from flush()
-                        held = 0
-        if words:
-            merge()
-            yield from flush()
-        seen = np.flatnonzero(ids)
-        yield rows(1, seen, np.zeros(len(seen)), ids[seen])
-
     texts = train.select("text", F.lit(True).alias("learn"))
     if unseen is not None:
         texts = texts.unionByName(unseen.select("text", F.lit(False).alias("learn")))
     # dealt by item once, for the sums and for the totals of an item
-    found = texts.mapInArrow(work, "kind tinyint, item long, part int, n long").repartition("item")
+    found = texts.mapInArrow(lambda batches: counted(batches, tokenizer), "kind tinyint, item long, part int, n long").repartition("item")
     sums = found.groupBy("kind", "item", "part").agg(F.sum("n").alias("n"))
     own = Window.partitionBy("kind", "item")
     sums = sums.select("*", F.sum("n").over(own).alias("all"), F.count_if(F.col("n") > 0).over(own).alias("followers")).where(F.col("all") > 0)
@@ -608,12 +646,15 @@ def train_attention(train: DataFrame, cls: np.ndarray, ids: np.ndarray, tokenize
     share = np.bincount(cls, ids, CLASSES)[:-1]
     begin = start_weights(share / max(1.0, share.sum()))
 
-    def blocks(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, per_text, _ = subwords(tokenizer)(texts)
-        own = classes[own]
-        x, y = sequences(own, per_text)
-        # a byte each, so the rows of a task take less than its texts
-        return x.astype(np.int8), y.astype(np.int8)
+    def blocks(batches: Iterator[pa.RecordBatch], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sub, found = subwords(tokenizer), []
+        for b in pieces(batches):
+            for _, _, texts in chunks(b):
+                own, per_text, _ = sub(texts)
+                # a byte each, so the rows of a task take less than its texts
+                found.append([z.astype(np.int8) for z in sequences(classes[own], per_text)])
+        x = np.concatenate([z[0] for z in found]) if found else np.zeros((0, 2 * BLOCK), np.int8)
+        return x, np.concatenate([z[1] for z in found]) if found else x
 
     shared = spark.sparkContext.broadcast((cls, begin))
     # hashes are ordered first, so no task gets texts but those chosen
@@ -623,9 +664,8 @@ def train_attention(train: DataFrame, cls: np.ndarray, ids: np.ndarray, tokenize
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, flat = shared.value
-        found = [blocks(texts, classes) for b in batches for _, _, texts in chunks(b)]
-        if found:
-            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        x, y = blocks(batches, classes)
+        if len(x):
             flat = fit(flat, x, y, 0.01, 2)
         yield pa.record_batch([pa.array([flat.tobytes()])], names=["w"])
 
@@ -635,9 +675,8 @@ def train_attention(train: DataFrame, cls: np.ndarray, ids: np.ndarray, tokenize
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, flat = shared2.value
-        found = [blocks(texts, classes) for b in batches for _, _, texts in chunks(b)]
-        if found:
-            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        x, y = blocks(batches, classes)
+        if len(x):
             flat = fit(flat, x, y, 0.002, 1)
             seen = float((y >= 0).sum())
             yield pa.record_batch([pa.array(range(len(flat)), pa.int32()), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen))], names=["i", "w", "seen"])
@@ -689,7 +728,7 @@ def score_texts(docs: DataFrame, train: DataFrame, *, unseen: DataFrame | None =
         def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
             return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-        for b in batches:
+        for b in pieces(batches):
             for lo, hi, texts in chunks(b):
                 own, per_text, words_, shares, open_, begins = sub.opened(texts)
                 chances = np.zeros(len(own), np.float32)

@@ -8,6 +8,7 @@ import os
 import random
 import re
 import struct
+import tracemalloc
 import zipfile
 import zlib
 
@@ -789,6 +790,49 @@ def test_joined_counts_travel_once_and_leave_unknown_beginnings_alone(spark, mon
     assert kept["scored"].count() == len(unseen) and not [t for _, t in kept["scored"].dtypes if t.startswith("array")]
 
 
+@pytest.mark.skipif(not os.path.exists(language_model.TOKENIZER), reason="no tokenizer")
+def test_counting_holds_no_more_of_longer_batches(monkeypatch):
+    """What a counting task holds is bounded, however much text a batch has, and its sums are those of all texts."""
+    lm, rng = language_model, np.random.default_rng(6)
+    texts = [" ".join([*(np.base_repr(x, 36) for x in rng.integers(0, 1 << 40, 300)), "the same words"]) for _ in range(1200)]
+    batch = lambda n: pa.record_batch([pa.array(texts[:n]), pa.array([i % 7 != 2 for i in range(n)])], names=["text", "learn"])
+
+    def sums(n):
+        found = collections.Counter()
+        for b in lm.counted(iter([batch(n)]), lm.TOKENIZER):
+            for *key, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found[tuple(key)] += times
+        return found
+
+    def peak(n):
+        b = batch(n)
+        tracemalloc.start()
+        try:
+            assert sum(x.num_rows for x in lm.counted(iter([b]), lm.TOKENIZER)) > 100 * n
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    want = sums(400)
+    for module in (common, lm):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 1 << 14)
+    for name, bound in (("KNOWN", 2000), ("POOL", 20_000), ("HELD", 30_000), ("SENT", 5000)):
+        monkeypatch.setattr(lm, name, bound)
+    assert max(b.num_rows for b in lm.counted(iter([batch(400)]), lm.TOKENIZER)) <= 5000
+    assert sums(400) == want
+    assert peak(1200) < 1.3 * peak(400)
+
+
+def test_pieces_of_batches_are_the_chunks_of_whole_ones(monkeypatch):
+    for module in (common, language_model):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 20)
+    rng = np.random.default_rng(7)
+    texts = [None if n == 40 else "ä" * (n // 2) + "x" * (n % 2) for n in (*rng.integers(0, 41, 300).tolist(), 0, 19, 0, 20, 21, 0, 200, 0, 0)]
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    assert [t for b in language_model.pieces(iter([batch])) for _, _, t in common.chunks(b)] == [t for _, _, t in common.chunks(batch)]
+    assert [len(list(common.chunks(b))) for b in language_model.pieces(iter([batch, batch.slice(0, 0)]))] == [1] * len(list(common.chunks(batch)))
+
+
 def test_components_of_stars_take_no_round(spark, monkeypatch):
     """Rounds end when all edges are those of stars; no round follows to see that nothing changes."""
     saved, save = [], common.Scratch.save
